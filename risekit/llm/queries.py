@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from risekit.llm import chat, line_dedup, sharding, url_filters
+from risekit.llm import bpe, chat, fingerprints, line_dedup, sharding, url_filters, warc
 
 
 def queries() -> dict:
     return {
+        "op1_warc": warc.op1_warc,
+        "op3_bpe": bpe.op3_bpe,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_url_filters": url_filters.op5_url_filters,
         "op6_sharding": sharding.op6_sharding,
+        "op8_fingerprints": fingerprints.op8_fingerprints,
         "op10_chat_format": chat.op10_chat_format,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc": warc.op1_sql(),
         "op4_line_dedup": line_dedup.op4_sql(),
         "op5_url_filters": url_filters.op5_sql(),
         "op10_chat_format": chat.op10_sql(),
