@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from risekit.llm import bpe, chat, fingerprints, line_dedup, sharding, url_filters, warc
+from risekit.llm import bpe, chat, decontaminate, fingerprints, line_dedup, sharding, toxicity, url_filters, warc
 
 
 def queries() -> dict:
@@ -12,7 +12,9 @@ def queries() -> dict:
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_url_filters": url_filters.op5_url_filters,
         "op6_sharding": sharding.op6_sharding,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_fingerprints": fingerprints.op8_fingerprints,
+        "op9_decontamination": decontaminate.op9_decontamination,
         "op10_chat_format": chat.op10_chat_format,
     }
 
@@ -22,5 +24,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_warc": warc.op1_sql(),
         "op4_line_dedup": line_dedup.op4_sql(),
         "op5_url_filters": url_filters.op5_sql(),
+        "op9_decontamination": decontaminate.op9_sql(),
         "op10_chat_format": chat.op10_sql(),
     }
