@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from risekit.llm import bpe, chat, decontaminate, fingerprints, line_dedup, sharding, toxicity, url_filters, warc
+from risekit.llm import bpe, chat, decontaminate, fingerprints, jaccard, line_dedup, sharding, toxicity, url_filters, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc": warc.op1_warc,
+        "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
         "op3_bpe": bpe.op3_bpe,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_url_filters": url_filters.op5_url_filters,
@@ -22,6 +23,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": warc.op1_sql(),
+        "op2_ngram_jaccard": jaccard.op2_sql(),
         "op4_line_dedup": line_dedup.op4_sql(),
         "op5_url_filters": url_filters.op5_sql(),
         "op9_decontamination": decontaminate.op9_sql(),
