@@ -1,0 +1 @@
+"""Rise-curve analytics on level time series, and corpus operators, on Spark."""
