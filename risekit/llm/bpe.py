@@ -294,17 +294,18 @@ def _slices(batch: pa.RecordBatch, column: int, most: int = 1 << 22) -> Iterator
         yield start, len(size)
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """docs with columns ids (packed little-endian unsigned 32-bit) and n_tokens.
+def encode(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (or their columns in keep) with columns ids (packed little-endian unsigned 32-bit) and n_tokens.
 
     A null or empty text has no tokens. Rows are handled one by one where they lie: nothing is
     shuffled, and repeated rows get equal ids. Existing columns ids and n_tokens are replaced.
     Memory: one slice of a batch, the vocabulary and a bounded cache of words.
     """
-    kept = [c for c in docs.columns if c.lower() not in {"ids", "n_tokens"}]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept])
-    at = kept.index(text_col)
-    schema = T.StructType([*source.schema.fields, T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {"ids", "n_tokens"}]
+    names = kept if text_col in kept else [*kept, text_col]
+    source = docs.select(*[F.col(f"`{c}`") for c in names])
+    at = names.index(text_col)
+    schema = T.StructType([*source.schema.fields[: len(kept)], T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
@@ -312,7 +313,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
             for a, b in _slices(batch, at):
                 part = batch.slice(a, b - a)
                 ids = bpe.encode_batch(t or "" for t in part.column(at).to_pylist())
-                columns = [*part.columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+                columns = [*part.columns[: len(kept)], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, "ids", "n_tokens"])
 
     return source.mapInArrow(run, schema)
@@ -338,6 +339,6 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
 
 def op3_bpe(spark, sf_dir: str) -> DataFrame:
     path = vocabulary_path()
-    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids", "n_tokens")
+    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep=["doc_id"])
     out = decode(ids, path)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
