@@ -215,7 +215,8 @@ def read_archives(spark: SparkSession, manifest: DataFrame, chunk_bytes: int = C
     length of the full payload. A revisit record has one row, without data, with those of the
     payload that it revisits. No archives: an empty table.
     """
-    paths = manifest.select("archive").repartition("archive")
+    # a task per archive: a partitioning of a given size isn't coalesced, however small the paths are
+    paths = manifest.select("archive").coalesce(1).repartition(max(1, manifest.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
