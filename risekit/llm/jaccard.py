@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -232,7 +232,7 @@ def signature_rows(docs: DataFrame, text_col: str, n: int, schemes: Schemes) ->
 
 
 def meetings(signatures: DataFrame, percent: int, long_run: int = LONG_RUN) -> DataFrame:
-    """Candidate pairs (kind 0: a < b) of short runs, and the members (kind 1: a key, b set, meta) of long ones.
+    """Pairs (kind 0: a < b, meta band and how often) of short runs, and the members (kind 1: a key, b set, meta) of long ones.
 
     Rows are sorted by key and streamed, so a run of any length takes bounded memory.
     """
@@ -289,11 +289,12 @@ def _runs(key, sid, meta, size, long, percent: int) -> Iterator[pa.RecordBatch]:
             break
         i, j = same, same + step
         ok = (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent) & ((own[i] | own[j]) == 1) & ((deleted[i] & deleted[j]) == 0)
-        found.append(np.stack((sid[i[ok]], sid[j[ok]])))
+        x, y = sid[i[ok]], sid[j[ok]]
+        found.append(np.stack((np.minimum(x, y), np.maximum(x, y), meta[i[ok]] >> 54)))
     if found:
-        pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+        pairs, times = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
         if pairs.shape[1]:
-            yield rows(0, pairs[0].copy(), pairs[1].copy(), np.zeros(pairs.shape[1], np.int64))
+            yield rows(0, pairs[0].copy(), pairs[1].copy(), pairs[2] << 32 | times)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -324,6 +325,19 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def forest(pairs: DataFrame) -> DataFrame:
+    """Of each set's pairs with smaller ones, that with the smallest: a star where all of a group meet."""
+    return pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+
+
+def across(pairs: DataFrame, component: DataFrame) -> DataFrame:
+    """The pairs whose ends are not yet in one component: only these can still change the components."""
+    x = component.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    y = component.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    ends = pairs.join(x, "a", "left").join(y, "b", "left")
+    return ends.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def block_links(sids: list[int], sets: list[np.ndarray], side: list[int], percent: int) -> list[tuple[int, int]]:
     """A forest of the links among a block's sets (side 0 against 1 where both occur), exact and all at once."""
     size = np.array([len(s) for s in sets])
@@ -365,23 +379,49 @@ def block_links(sids: list[int], sets: list[np.ndarray], side: list[int], percen
     return out
 
 
-def long_run_members(met: DataFrame, schemes: Schemes) -> DataFrame:
+def _long_rows(met: DataFrame) -> DataFrame:
+    band, segment = F.shiftright("meta", 54).cast("int"), F.shiftright("meta", 28).bitwiseAND(F.lit((1 << 24) - 1))
+    size = F.col("meta").bitwiseAND(F.lit((1 << 28) - 1))
+    return met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("sid"), band.alias("band"), segment.alias("segment"), size.alias("n"))
+
+
+def _spare(schemes: Schemes) -> Column:
+    return F.get(F.array(*[F.lit(b.spare) for b in schemes.bands]), F.col("band"))
+
+
+def long_segments(met: DataFrame) -> DataFrame:
+    """(sid, band, long): in how many segments a set has a signature in a long run."""
+    return _long_rows(met).groupBy("sid", "band").agg(F.countDistinct("segment").alias("long"))
+
+
+def candidate_pairs(met: DataFrame, long: DataFrame, schemes: Schemes) -> DataFrame:
+    """Pairs (a, b) that meet in so many short runs as linked ones must.
+
+    Linked sets agree in more segments than their scheme has spare ones. Of these, either set's
+    segments in long runs may be missing among the short runs, but all others are there.
+    """
+    times = F.sum(F.col("meta").bitwiseAND(F.lit((1 << 32) - 1)))
+    pairs = met.where("kind = 0").groupBy("a", "b", F.shiftright("meta", 32).cast("int").alias("band")).agg(times.alias("times"))
+    x = long.select(F.col("sid").alias("a"), "band", F.col("long").alias("la"))
+    y = long.select(F.col("sid").alias("b"), "band", F.col("long").alias("lb"))
+    both = pairs.join(x, ["a", "band"], "left").join(y, ["b", "band"], "left")
+    missing = F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
+    return both.where(F.col("times") > _spare(schemes) - missing).select("a", "b").distinct()
+
+
+def long_run_members(met: DataFrame, long: DataFrame, schemes: Schemes) -> DataFrame:
     """(key, sid, n) of the sets that must compare within long runs: those with more long segments than spare ones.
 
     In subset schemes such a set leaves out as many of its most frequent signatures as its scheme
     has spare segments: a linked pair shares more than that, so its rarest common one is kept.
     """
-    hot = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("sid"), F.shiftright("meta", 54).cast("int").alias("band"), (F.shiftright("meta", 28).bitwiseAND(F.lit((1 << 24) - 1))).alias("segment"), F.col("meta").bitwiseAND(F.lit((1 << 28) - 1)).alias("n"))
-    spare = F.array(*[F.lit(b.spare) for b in schemes.bands])
-    deletion = F.array(*[F.lit(b.deletion) for b in schemes.bands])
-    many = (
-        hot.groupBy("sid", "band").agg(F.countDistinct("segment").alias("long")).where(F.col("long") > F.get(spare, F.col("band"))).select("sid", "band")
-    )
-    rows = hot.join(many, ["sid", "band"], "left_semi").select("key", "sid", "band", "n").distinct()
+    deletion = F.get(F.array(*[F.lit(b.deletion) for b in schemes.bands]), F.col("band"))
+    many = long.where(F.col("long") > _spare(schemes)).select("sid", "band")
+    rows = _long_rows(met).join(many, ["sid", "band"], "left_semi").select("key", "sid", "band", "n").distinct()
     times = rows.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
     order = Window.partitionBy("sid", "band").orderBy(F.col("times").desc(), "key")
     ranked = rows.join(times, "key").withColumn("i", F.row_number().over(order))
-    return ranked.where(F.get(deletion, F.col("band")) | (F.col("i") > F.get(spare, F.col("band")))).select("key", "sid", "n")
+    return ranked.where(deletion | (F.col("i") > _spare(schemes))).select("key", "sid", "n")
 
 
 def long_run_links(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -411,19 +451,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an id or a text link as any others; null ids are never the smallest. No rows: no rows.
 
     Nothing is capped: each linked pair of unequal sets meets in a short run, or in a block of a
-    long run, and is verified on whole texts. Shingles and sets are compared by 64-bit hashes.
+    long run. A forest of the pairs is verified first, then every pair whose ends that left in
+    different components; both on whole texts. Shingles and sets are compared by 64-bit hashes.
     """
     schemes = Schemes(percent)
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sets = written(document_sets(plain, "doc_id", "text", n), "jaccard-sets")
     met = written(meetings(signature_rows(plain, "text", n, schemes), percent), "jaccard-met")
-    pairs = written(met.where("kind = 0").select("a", "b").distinct(), "jaccard-pairs")
-    members = written(long_run_members(met, schemes), "jaccard-members")
+    long = written(long_segments(met), "jaccard-long")
+    pairs = written(candidate_pairs(met, long, schemes), "jaccard-pairs")
+    members = written(long_run_members(met, long, schemes), "jaccard-members")
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(members.select("sid")).distinct()
     first = sets.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(wanted, "sid", "left_semi")
     texts = written(plain.join(first, "doc_id").select("sid", "text").dropDuplicates(["sid"]), "jaccard-texts")
-    links = verify(pairs, texts, n, percent).union(long_run_links(members, texts, n, percent))
-    component = connected_components(written(links, "jaccard-links"))
+    links = written(verify(forest(pairs), texts, n, percent).union(long_run_links(members, texts, n, percent)), "jaccard-links")
+    component = written(connected_components(links), "jaccard-components")
+    open_pairs = written(across(pairs.join(forest(pairs), ["a", "b"], "left_anti"), component), "jaccard-open")
+    if not open_pairs.isEmpty():
+        more = written(verify(open_pairs, texts, n, percent), "jaccard-more")
+        component = connected_components(links.union(more))
     joined = sets.join(component, sets["sid"] == component["node"], "left").select("doc_id", "n_shingles", "sid", F.coalesce("component", "sid").alias("class"))
     least = joined.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
     return joined.join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
