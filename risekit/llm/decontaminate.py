@@ -69,7 +69,8 @@ def suffix_array(symbols: np.ndarray, breaks: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for j in range(packed):
         key <<= bits
-        key[: n - j] |= rank[j:] if j else rank
+        if j < n:
+            key[: n - j] |= rank[j:]
     sa = np.argsort(key, kind="stable")
     ordered = key[sa]
     new = np.r_[True, ordered[1:] != ordered[:-1]]
@@ -324,7 +325,9 @@ def cut_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(*cells)
 
 
-def without_spans(text: str, spans) -> str:
+def without_spans(text: str | None, spans) -> str | None:
+    if text is None or spans is None or not len(spans):
+        return text
     raw = text.encode()
     blank = np.r_[True, np.frombuffer(raw.translate(_WORDS), np.uint8) == 32, True]
     start, end = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
