@@ -103,6 +103,13 @@ f AS (
           FROM f JOIN o e ON e.user_id = f.user_id AND e.rn = f.rn + 1)))))"""
 
 
+def _blur(value: str, line: str, along: str) -> str:
+    w = f"OVER (PARTITION BY frame_id, {line} ORDER BY {along})"
+    return f"""(coalesce(lag({value}, 2) {w}, CASE WHEN lag({value}) {w} IS NULL THEN lead({value}, 2) {w} ELSE {value} END)
+  + 4.0::DOUBLE * coalesce(lag({value}) {w}, lead({value}) {w}) + 6.0::DOUBLE * {value} + 4.0::DOUBLE * coalesce(lead({value}) {w}, lag({value}) {w})
+  + coalesce(lead({value}, 2) {w}, CASE WHEN lead({value}) {w} IS NULL THEN lag({value}, 2) {w} ELSE {value} END)) / 16.0::DOUBLE"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "rolling_median": f"SELECT event_id, round_even(smoothed, 4) AS smoothed FROM ({_SMOOTH})",
@@ -152,6 +159,10 @@ r AS (SELECT *, sum(n) OVER (PARTITION BY frame_id ORDER BY bin) AS so_far, sum(
 m AS (SELECT frame_id, coalesce(min(bin) FILTER (so_far >= total / 2), 128) AS median_bin FROM r GROUP BY frame_id)
 SELECT frame_id, median_bin, round_even(greatest(10.0, median_bin * 0.66::DOUBLE * 0.6::DOUBLE), 4) AS lower,
        round_even(greatest(greatest(10.0, median_bin * 0.66::DOUBLE * 0.6::DOUBLE) + 20.0, median_bin * 1.33::DOUBLE), 4) AS upper FROM m""",
+        "blurred_energy": f"""WITH q AS (SELECT vec_id AS frame_id, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding)))::INT AS i FROM embeddings),
+p AS (SELECT frame_id, i % 8 AS x, i // 8 AS y, v FROM q), b1 AS (SELECT *, {_blur('v', 'y', 'x')} AS b FROM p), b2 AS (SELECT frame_id, x, y, {_blur('b', 'x', 'y')} AS s FROM b1),
+d AS (SELECT frame_id, y, abs(coalesce(lead(s) OVER c, s) - coalesce(lag(s) OVER c, s)) AS e FROM b2 WINDOW c AS (PARTITION BY frame_id, x ORDER BY y))
+SELECT frame_id, y, round_even(sum(e), 6) AS energy FROM d GROUP BY frame_id, y""",
         "wall_pairs": f"""{_SEGMENTS},
 w AS (SELECT frame_id, idx, ((x1 + x2) // 2)::INT AS x, least(y1, y2) AS top, greatest(y1, y2) AS bottom FROM seg WHERE abs(y1 - y2) > 0 AND abs(x1 - x2) <= greatest(4, abs(y1 - y2) * 0.09::DOUBLE)),
 j AS (SELECT a.frame_id, a.x AS "left", b.x AS "right", greatest(a.top, b.top) AS top, least(a.bottom, b.bottom) AS bottom, a.idx AS ia, b.idx AS ib FROM w a JOIN w b USING (frame_id) WHERE b.x - a.x >= 10),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from risekit.functions import rise
-from risekit.operators import profiles, rolling, rows, segments
+from risekit.operators import pixels, profiles, rolling, rows, segments
 from risekit.options import AnalysisOptions
 from risekit.plans import batch
 from risekit.scratch import scratch_path
@@ -141,6 +141,14 @@ def histogram_median(spark, sf_dir):
     return m.select("frame_id", "median_bin", F.bround(lower, 4).alias("lower"), F.bround(upper, 4).alias("upper"))
 
 
+def blurred_energy(spark, sf_dir):
+    """Edge energy of the blurred rows of embeddings, taken as images of 8 by 8."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("frame_id"), F.posexplode(profiles.doubles(F.col("embedding"))).alias("i", "v"))
+    p = e.select("frame_id", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), "v")
+    energy = pixels.edge_energy(pixels.gaussian_blur(p, ["frame_id"]), ["frame_id"])
+    return energy.select("frame_id", "y", F.bround("energy", 6).alias("energy"))
+
+
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of a frame (supplier and month): upright ones and level ones of many lengths."""
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -259,6 +267,6 @@ def diagnostics_lines(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         rolling_median, rise_percent, window_slope, lag_gate, collapse_candidates, flat_run_peak, peak_forecast, moving_average, moving_average_embeddings,
-        edge_surface, band_top, combined_surface, bottom_from_energy, row_reductions, histogram_median, wall_pairs, lowest_horizontal, rise_fold, rise_readings,
+        edge_surface, band_top, combined_surface, bottom_from_energy, row_reductions, histogram_median, blurred_energy, wall_pairs, lowest_horizontal, rise_fold, rise_readings,
         rise_resets, rise_stream, sigmoid_fit, reading_json, discovery, snapshot_urls, state_import, retention, diagnostics_lines,
     )}

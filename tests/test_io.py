@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -103,3 +104,33 @@ def test_stream_equals_batch_over_a_restart(spark, tmp_path):
     streamed = sorted(map(str, spark.read.parquet(out).select(*columns).collect()))
     stored = sorted(map(str, batch.readings(rows, queries.NO_FIT, keep=["series_id", "ts"], kind=F.col("kind")).select(*columns).collect()))
     assert streamed == stored and streamed
+
+
+def test_published_states_and_availability(spark, tmp_path):
+    from risekit.streaming import run
+
+    seen = []
+    listener = run.Availability("jar", lambda *m: seen.append(m))
+    spark.streams.addListener(listener)
+    rows = spark.createDataFrame([("a", dt.datetime(2024, 1, 1, 0, m), 100.0 + m, None) for m in range(3)], "series_id string, ts timestamp, height double, kind string")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    out = f"{tmp_path}/sent"
+
+    def connect():
+        def send(topic, payload, retain):
+            with open(out, "a") as f:
+                f.write(f"{topic} {retain}\n")
+
+        return send
+
+    s = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    q = run.start(stream.stream_readings(s, options.AnalysisOptions()), "jar", connect, f"{tmp_path}/state", available_now=True)
+    q.awaitTermination()
+    with open(out) as f:
+        assert f.read() == "jar/state True\n" * 3
+    for _ in range(100):
+        if len(seen) == 2:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    assert [m[1] for m in seen] == ["online", "offline"]
