@@ -37,12 +37,15 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at a similarity of 0.8 or more the smallest id stays.
 
-    Documents without words are in no group and all stay; of rows that repeat the kept id one stays.
+    Documents without words are in no group and all stay. Of rows that repeat the kept id those with
+    different texts stay, one of each text.
     """
     groups = jaccard.near_duplicates(docs, n=5, percent=80)
-    leaders = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept")).distinct()
-    stay = docs.join(leaders, docs["doc_id"].eqNullSafe(F.col("kept")), "left_semi")
-    return stay.dropDuplicates(["doc_id"]).select(*docs.columns)
+    rows = groups.groupBy("doc_id").agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), (F.count("*") > 1).alias("repeated"))
+    leaders = rows.where("stays").select(F.col("doc_id").alias("kept"), "repeated")
+    stay = docs.join(leaders, docs["doc_id"].eqNullSafe(F.col("kept")))
+    once, again = stay.where("NOT repeated").select(*docs.columns), stay.where("repeated").select(*docs.columns)
+    return once.union(again.dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
