@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from risekit.functions.once import once
+
 MIN_STEP_CONTRAST = 55.0
 
 
@@ -26,8 +28,12 @@ def range_mean(values: Column, start: Column, end: Column) -> Column:
 def moving_average(values: Column, window: int) -> Column:
     """Centred mean over window rows, cut off at both ends."""
     half = window // 2
-    last = F.size(values) - 1
-    return F.transform(values, lambda _, i: range_mean(values, F.greatest(i - half, F.lit(0)), F.least(i + half, last)))
+
+    def of(v: Column) -> Column:
+        last = F.size(v) - 1
+        return F.transform(v, lambda _, i: range_mean(v, F.greatest(i - half, F.lit(0)), F.least(i + half, last)))
+
+    return once(values, of)
 
 
 def _at(values: Column, i: Column) -> Column:
@@ -116,7 +122,8 @@ def combined_surface(df: DataFrame, energy: str, intensity: str) -> DataFrame:
     A band's top is snapped to the strongest edge near it; without a band the edge surface counts.
     """
     df = edge_surface(band_top(df, intensity), energy, "__edge")
-    e = doubles(F.col(energy))
+    df = df.withColumn("__e", doubles(F.col(energy)))
+    e = F.col("__e")
     reach = F.greatest(F.lit(3), F.floor(F.size(e) * 3 / 100).cast("int"))
     first = F.greatest(F.lit(0), F.col("band_top") - reach)
     rows = _rows(first, F.least(F.size(e) - 1, F.col("band_top") + reach) + 1)
@@ -125,7 +132,7 @@ def combined_surface(df: DataFrame, energy: str, intensity: str) -> DataFrame:
     has_band = F.col("band_top").isNotNull() & (F.col("band_contrast") >= MIN_STEP_CONTRAST)
     df = df.withColumn("surface", F.when(has_band, snapped).otherwise(F.col("__edge")).cast("int"))
     method = F.when(has_band, "band").when(F.col("__edge").isNotNull(), "edge").otherwise("none")
-    return df.withColumn("method", method).drop("__edge")
+    return df.withColumn("method", method).drop("__edge", "__e")
 
 
 def bottom_from_energy(df: DataFrame, energy: str, fallback: str, top: str, out: str = "bottom") -> DataFrame:
