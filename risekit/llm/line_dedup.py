@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from risekit.functions.once import once
 from risekit.llm.common import ascii_lower
 
 #: A line is boilerplate from so many documents on, if its key has so many code points.
@@ -66,8 +67,12 @@ def dedup_lines(
     )
     joined = docs.join(lost, docs[id_col].eqNullSafe(F.col("__id")) & (version == F.col("__v")), "left")
     own = text_lines(F.col(text_col))
-    left = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), "__lost")
-    kept = F.when(F.col("__lost").isNull(), own).otherwise(F.transform(left, lambda i: F.get(own, i)))
+
+    def without(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__lost")
+        return F.transform(left, lambda i: F.get(lines, i))
+
+    kept = F.when(F.col("__lost").isNull(), own).otherwise(once(own, without))
     cells = [F.array_join(kept, "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in rest]
     dropped = F.when(F.col("__lost").isNull(), 0).otherwise(F.size("__lost")).cast("long")
     return joined.select(*cells, F.size(own).cast("long").alias("n_lines"), dropped.alias("n_dropped"))
