@@ -18,18 +18,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from risekit.llm.common import table
+from risekit.llm.common import slices, small_batches, table
 
 #: The tokenizer of the production query, from the public vocabularies.
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct words kept between batches of a task.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 END = "</w>"
 #: White space as the vocabulary's normaliser sees it (Unicode White_Space).
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -281,42 +280,34 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-def _slices(batch: pa.RecordBatch, column: int, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch with about most bytes each, so that one slice bounds the memory."""
-    size = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
-    start, total = 0, 0
-    for i, n in enumerate(size.tolist()):
-        total += n
-        if total >= most:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(size):
-        yield start, len(size)
-
-
-def encode(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
     """docs (or their columns in keep) with columns ids (packed little-endian unsigned 32-bit) and n_tokens.
 
-    A null or empty text has no tokens. Rows are handled one by one where they lie: nothing is
-    shuffled, and repeated rows get equal ids. Existing columns ids and n_tokens are replaced.
-    Memory: one slice of a batch, the vocabulary and a bounded cache of words.
+    With decoded, also the text that the ids decode to, in the same pass. A null or empty text has
+    no tokens. Rows are handled one by one where they lie: nothing is shuffled, and repeated rows
+    get equal ids. Existing columns of these names are replaced. Memory: one slice of a batch, the
+    vocabulary and a bounded cache of words, which a task gives back at its end.
     """
-    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {"ids", "n_tokens"}]
+    added = ["ids", "n_tokens", *["decoded"] * decoded]
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in added]
     names = kept if text_col in kept else [*kept, text_col]
     source = docs.select(*[F.col(f"`{c}`") for c in names])
     at = names.index(text_col)
-    schema = T.StructType([*source.schema.fields[: len(kept)], T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
+    fields = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), *[T.StructField("decoded", T.StringType())] * decoded]
+    schema = T.StructType([*source.schema.fields[: len(kept)], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for batch in batches:
-            for a, b in _slices(batch, at):
-                part = batch.slice(a, b - a)
+            for part in slices(batch, at):
                 ids = bpe.encode_batch(t or "" for t in part.column(at).to_pylist())
                 columns = [*part.columns[: len(kept)], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "ids", "n_tokens"])
+                if decoded:
+                    columns.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, *added])
+        bpe.cache.clear()
 
-    return source.mapInArrow(run, schema)
+    return small_batches(source).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -329,16 +320,14 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for batch in batches:
-            for a, b in _slices(batch, at):
-                part = batch.slice(a, b - a)
+            for part in slices(batch, at):
                 text = [bpe.decode(x or b"") for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.string())], names=[*kept, "decoded"])
 
-    return source.mapInArrow(run, schema)
+    return small_batches(source).mapInArrow(run, schema)
 
 
 def op3_bpe(spark, sf_dir: str) -> DataFrame:
     path = vocabulary_path()
-    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep=["doc_id"])
-    out = decode(ids, path)
+    out = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep=["doc_id"], decoded=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

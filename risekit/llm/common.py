@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +39,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame, most: str = "4m") -> DataFrame:
+    """df, after bounding the bytes of texts that are handed to Python at a time for the session.
+
+    Arrow batches are buffered on both sides of the pipe, in every task of an executor at once.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+    return df
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, everything else as it is (lower() would change accented letters too)."""
     return F.translate(c, UPPER, LOWER)
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about most bytes each in a text or binary column: a part bounds a task's memory."""
+    size = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    start, total = 0, 0
+    for i, n in enumerate(size.tolist()):
+        total += n
+        if total >= most:
+            yield batch.slice(start, i + 1 - start)
+            start, total = i + 1, 0
+    if start < len(size):
+        yield batch.slice(start)

@@ -19,11 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from risekit.llm.common import table
+from risekit.llm.common import small_batches, table
 
 WINDOW = 10
 #: Bytes of documents indexed together; one longer document is a shard of its own.
-SHARD_BYTES = 12_000_000
+SHARD_BYTES = 5_000_000
 #: Bytes of benchmark text that one pass over the documents searches for.
 BLOCK_BYTES = 16_000_000
 SAMPLE = 8
@@ -259,8 +259,9 @@ def find_spans(docs: DataFrame, phrases: Phrases, text_col: str = "text", keep:
         for batch in batches:
             texts, begin = batch.column(at), 0
             for i, text in enumerate(texts):
-                words.append(words_of(text.as_py()))
-                size += len(texts[i].as_py() or "")
+                text = text.as_py()
+                words.append(words_of(text))
+                size += len(text or "")
                 if size >= SHARD_BYTES:
                     held.append(batch.slice(begin, i + 1 - begin))
                     yield from _answer(held, words, own)
@@ -288,7 +289,7 @@ def find_spans(docs: DataFrame, phrases: Phrases, text_col: str = "text", keep:
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *cells], names=[*kept, *added])
 
-    return source.mapInArrow(run, schema)
+    return small_batches(source).mapInArrow(run, schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
