@@ -27,17 +27,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from risekit.llm.common import table, written
+from risekit.llm.common import small_batches, table, written
 from risekit.llm.components import connected_components
 
 #: Longer runs of one signature are long runs.
 LONG_RUN = 32
 #: Cost of a signature that is likely to meet by chance, against that of a row.
-CHANCE_COST = 15
+CHANCE_COST = 8
 #: Members and n-grams of a block in which a long run's sets are verified against each other.
 BLOCK_ROWS, BLOCK_GRAMS = 1024, 1 << 20
+#: A table of ids is broadcast up to so many rows.
+BROADCAST_ROWS = 500_000
+#: Parts that the rows of a hot key are dealt into where they join a row of that key.
+SALTS = 8
 #: Sets that a task remembers so as not to send equal ones again.
-SEEN = 500_000
+SEEN = 100_000
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 _BYTE = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x5851F42D4C957F2D
@@ -128,7 +132,7 @@ class Schemes:
         options = []
         for deletion in (False, True):
             least = differ // 2 + 1 if deletion else differ + 1
-            spare = max(1, least // 3)
+            spare = max(1, least // 4)
             segments = least + spare
             t = size / segments
             chance = math.exp(-t) * (1 + t)
@@ -222,7 +226,7 @@ def signature_rows(docs: DataFrame, text_col: str, n: int, schemes: Schemes) ->
                     sids.append(sid)
                     metas.append(meta)
                     size += len(key)
-                if size > 300_000:
+                if size > 100_000:
                     yield flush()
                     keys, sids, metas, size = [], [], [], 0
         if size:
@@ -455,7 +459,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     different components; both on whole texts. Shingles and sets are compared by 64-bit hashes.
     """
     schemes = Schemes(percent)
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    plain = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sets = written(document_sets(plain, "doc_id", "text", n), "jaccard-sets")
     met = written(meetings(signature_rows(plain, "text", n, schemes), percent), "jaccard-met")
     long = written(long_segments(met), "jaccard-long")
@@ -463,16 +467,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = written(long_run_members(met, long, schemes), "jaccard-members")
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(members.select("sid")).distinct()
     first = sets.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(wanted, "sid", "left_semi")
-    texts = written(plain.join(first, "doc_id").select("sid", "text").dropDuplicates(["sid"]), "jaccard-texts")
+    first = written(first, "jaccard-first")
+    few = first.count() <= BROADCAST_ROWS  # 16 bytes a row; beyond that the planner shuffles both sides
+    texts = written(plain.join(F.broadcast(first) if few else first, "doc_id").select("sid", "text").dropDuplicates(["sid"]), "jaccard-texts")
     links = written(verify(forest(pairs), texts, n, percent).union(long_run_links(members, texts, n, percent)), "jaccard-links")
     component = written(connected_components(links), "jaccard-components")
     open_pairs = written(across(pairs.join(forest(pairs), ["a", "b"], "left_anti"), component), "jaccard-open")
     if not open_pairs.isEmpty():
         more = written(verify(open_pairs, texts, n, percent), "jaccard-more")
         component = connected_components(links.union(more))
-    joined = sets.join(component, sets["sid"] == component["node"], "left").select("doc_id", "n_shingles", "sid", F.coalesce("component", "sid").alias("class"))
-    least = joined.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return joined.join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    # a set or a class may have a third of all rows: they join its one row by salts
+    joined = _salted_join(sets, "sid", component.select(F.col("node").alias("key"), "component"))
+    joined = joined.select("doc_id", "n_shingles", F.coalesce("component", "sid").alias("class"))
+    least = joined.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    out = _salted_join(joined, "class", least.select(F.col("class").alias("key"), "least"))
+    return out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def _salted_join(rows: DataFrame, column: str, per_key: DataFrame) -> DataFrame:
+    """rows left-joined with the one row of per_key (column key) that has their key."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    spread = per_key.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(spread, (salted[column] == spread["key"]) & (salted["__salt"] == spread["__salt"]), "left").drop("__salt", "key")
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
