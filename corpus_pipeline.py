@@ -55,10 +55,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids (packed) and the text that they decode to."""
-    path = bpe.vocabulary_path()
-    encoded = bpe.encode(docs, path).select("doc_id", "lang", "source", "n_tokens", "ids")
-    return bpe.decode(encoded, path)
+    """doc_id, lang, source, ids (packed), n_tokens and the text that they decode to."""
+    keep = ["doc_id", "lang", "source"]
+    return bpe.encode(docs, bpe.vocabulary_path(), keep=keep, decoded=True)
 
 
 STAGES = [
