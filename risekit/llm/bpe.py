@@ -28,7 +28,7 @@ from risekit.llm.common import slices, small_batches, table
 #: The tokenizer of the production query, from the public vocabularies.
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct words kept between batches of a task.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 300_000
 END = "</w>"
 #: White space as the vocabulary's normaliser sees it (Unicode White_Space).
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -299,7 +299,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for batch in batches:
-            for part in slices(batch, at):
+            for part in slices(batch, at, 1 << 22):
                 ids = bpe.encode_batch(t or "" for t in part.column(at).to_pylist())
                 columns = [*part.columns[: len(kept)], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
                 if decoded:
