@@ -355,7 +355,7 @@ def block_links(sids: list[int], sets: list[np.ndarray], side: list[int], percen
     width = 4096
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    cuts = np.searchsorted(col, np.arange(0, (col[-1] if len(col) else 0) + width, width))
+    cuts = np.searchsorted(col, np.arange(0, (col[-1] + 1 if len(col) else 0) + width, width))
     for a, b in zip(cuts[:-1], cuts[1:]):
         part = np.zeros((len(sets), width), np.float32)
         part[row[a:b], col[a:b] % width] = 1

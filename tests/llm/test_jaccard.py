@@ -150,6 +150,16 @@ def test_components(spark):
     assert got == {x: root(x) for x in parent if x not in alone}
 
 
+@pytest.mark.parametrize("shared", [4096, 4097, 8193])
+def test_block_counts_the_last_shared_shingle(shared):
+    # each set is linked at common = 85 and union = 100 parts, and not with one shingle of its own more
+    alone = shared * 100 // 85 - shared
+    a, b = np.arange(shared, dtype=np.uint64), np.arange(shared + alone, dtype=np.uint64)
+    assert 100 * shared >= 85 * len(b) > 100 * (shared - 1)
+    assert jaccard.block_links([1, 2], [a, b], [0, 0], 85) == [(1, 2)]
+    assert jaccard.block_links([1, 2], [a, np.arange(len(b) + 1, dtype=np.uint64)], [0, 0], 85) == []
+
+
 def test_no_documents(documents):
     assert jaccard.near_duplicates(documents([])).count() == 0
     assert jaccard.near_duplicates(documents([(1, None), (2, "")])).count() == 2
