@@ -184,18 +184,32 @@ def set_id(tokens: np.ndarray) -> int:
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(doc_id, n_shingles, sid) of each row; sid is null for a text without words."""
+    """(doc_id, text_hash, n_shingles, sid) of each row; sid is null for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [grams(t.as_py(), n) for t in batch.column(1)]
+            sets = [grams(t.as_py(), n) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())],
-                names=["doc_id", "n_shingles", "sid"],
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())],
+                names=["doc_id", "text_hash", "n_shingles", "sid"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(run, f"doc_id {kind}, n_shingles long, sid long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), text_col)
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, sid long")
+
+
+def set_texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, text): for each sid of wanted the text of one row of docs (doc_id, text) that has this set.
+
+    The row is found by its id, which may be null, and the hash of its text: rows of one id may differ in their texts.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    first = sets.where("sid IS NOT NULL").groupBy("sid").agg(F.min(row).alias("row")).join(wanted, "sid", "left_semi")
+    first = written(first.select("sid", F.col("row.doc_id").alias("first_id"), F.col("row.text_hash").alias("first_hash")), "jaccard-first")
+    few = first.count() <= BROADCAST_ROWS  # 24 bytes a row; beyond that the planner shuffles both sides
+    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.xxhash64("text") == F.col("first_hash"))
+    return docs.join(F.broadcast(first) if few else first, same).select("sid", "text").dropDuplicates(["sid"])
 
 
 def signature_rows(docs: DataFrame, text_col: str, n: int, schemes: Schemes) -> DataFrame:
@@ -466,10 +480,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = written(candidate_pairs(met, long, schemes), "jaccard-pairs")
     members = written(long_run_members(met, long, schemes), "jaccard-members")
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(members.select("sid")).distinct()
-    first = sets.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(wanted, "sid", "left_semi")
-    first = written(first, "jaccard-first")
-    few = first.count() <= BROADCAST_ROWS  # 16 bytes a row; beyond that the planner shuffles both sides
-    texts = written(plain.join(F.broadcast(first) if few else first, "doc_id").select("sid", "text").dropDuplicates(["sid"]), "jaccard-texts")
+    texts = written(set_texts(plain, sets, wanted), "jaccard-texts")
     links = written(verify(forest(pairs), texts, n, percent).union(long_run_links(members, texts, n, percent)), "jaccard-links")
     component = written(connected_components(links), "jaccard-components")
     open_pairs = written(across(pairs.join(forest(pairs), ["a", "b"], "left_anti"), component), "jaccard-open")

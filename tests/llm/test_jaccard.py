@@ -160,6 +160,14 @@ def test_block_counts_the_last_shared_shingle(shared):
     assert jaccard.block_links([1, 2], [a, np.arange(len(b) + 1, dtype=np.uint64)], [0, 0], 85) == []
 
 
+@pytest.mark.parametrize("ids", [lambda i: i // 8, lambda i: None, lambda i: i // 3 if i % 3 else None])
+def test_repeated_and_null_ids_with_texts_of_their_own(documents, ids):
+    texts = [t for _, t in corpus(5, 12, (30, 80), (2, 5), (0, 4))]
+    rows = [(ids(i), t) for i, t in enumerate(texts)] + [(10_000 + i, t + " end") for i, t in enumerate(texts)]
+    got = [tuple(x) for x in jaccard.near_duplicates(documents(rows), n=4, percent=85).collect()]
+    assert sorted(got, key=str) == brute(rows, 4, 85)
+
+
 def test_no_documents(documents):
     assert jaccard.near_duplicates(documents([])).count() == 0
     assert jaccard.near_duplicates(documents([(1, None), (2, "")])).count() == 2
