@@ -37,13 +37,16 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at a similarity of 0.8 or more the smallest id stays.
 
-    Documents without words are in no group and all stay. Of rows that repeat the kept id those with
-    different texts stay, one of each text.
+    One document of each group stays: of rows that repeat the kept id one text, of rows that repeat
+    both one row. A null id stays where its group has no other. Documents without words are in no
+    group and all stay.
     """
-    groups = jaccard.near_duplicates(docs, n=5, percent=80)
-    rows = groups.groupBy("doc_id").agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), (F.count("*") > 1).alias("repeated"))
-    leaders = rows.where("stays").select(F.col("doc_id").alias("kept"), "repeated")
-    stay = docs.join(leaders, docs["doc_id"].eqNullSafe(F.col("kept")))
+    rows = jaccard.classes(docs, n=5, percent=80)
+    counted = rows.where("class IS NOT NULL").groupBy("class", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    first = counted.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "n")).alias("row"))
+    leaders = first.select(F.col("row.doc_id").alias("kept"), F.col("row.text_hash").alias("hash"), (F.col("row.n") > 1).alias("repeated"))
+    wordless = rows.where("class IS NULL").select("doc_id", "text_hash", F.lit(False)).distinct()
+    stay = docs.join(leaders.union(wordless), docs["doc_id"].eqNullSafe(F.col("kept")) & (F.xxhash64(docs["text"]) == F.col("hash")))
     once, again = stay.where("NOT repeated").select(*docs.columns), stay.where("repeated").select(*docs.columns)
     return once.union(again.dropDuplicates(["doc_id", "text"]))
 

@@ -460,18 +460,8 @@ def long_run_links(members: DataFrame, texts: DataFrame, n: int, percent: int) -
     return with_text.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of docs.
-
-    Two rows link when 100 * common shingles >= percent * all shingles of both; component_id is the
-    smallest id that a row reaches by links. A text of fewer than n words is one shingle, a text
-    without words has none and links with nothing: its component is its own id. Rows that repeat
-    an id or a text link as any others; null ids are never the smallest. No rows: no rows.
-
-    Nothing is capped: each linked pair of unequal sets meets in a short run, or in a block of a
-    long run. A forest of the pairs is verified first, then every pair whose ends that left in
-    different components; both on whole texts. Shingles and sets are compared by 64-bit hashes.
-    """
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, class) of each row of docs: rows that links connect share a class, null without words."""
     schemes = Schemes(percent)
     plain = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sets = written(document_sets(plain, "doc_id", "text", n), "jaccard-sets")
@@ -489,7 +479,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         component = connected_components(links.union(more))
     # a set or a class may have a third of all rows: they join its one row by salts
     joined = _salted_join(sets, "sid", component.select(F.col("node").alias("key"), "component"))
-    joined = joined.select("doc_id", "n_shingles", F.coalesce("component", "sid").alias("class"))
+    return joined.select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "sid").alias("class"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of docs.
+
+    Two rows link when 100 * common shingles >= percent * all shingles of both; component_id is the
+    smallest id that a row reaches by links. A text of fewer than n words is one shingle, a text
+    without words has none and links with nothing: its component is its own id. Rows that repeat
+    an id or a text link as any others; null ids are never the smallest. No rows: no rows.
+
+    Nothing is capped: each linked pair of unequal sets meets in a short run, or in a block of a
+    long run. A forest of the pairs is verified first, then every pair whose ends that left in
+    different components; both on whole texts. Shingles and sets are compared by 64-bit hashes.
+    """
+    joined = classes(docs, id_col, text_col, n, percent)
     least = joined.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
     out = _salted_join(joined, "class", least.select(F.col("class").alias("key"), "least"))
     return out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))

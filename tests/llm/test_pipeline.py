@@ -40,6 +40,17 @@ def test_no_near_duplicates_are_left(spark, stages):
     assert {r["doc_id"] for r in stages[3].collect()} == leaders
 
 
+def test_one_row_of_each_group_stays(spark, documents):
+    one, other, alone = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(1, one), (1, one + " end"), (2, one), (1, other), (3, other + " end"), (7, alone), (7, alone)]
+    rows += [(None, " "), (None, None), (None, one), (4, "")] + [(None, "n " * 3 + alone[:90]), (None, "N " * 3 + alone[:90])]
+    kept = sorted(((r["doc_id"], r["text"]) for r in cp.near_duplicates_stage(spark, documents(rows), SF).collect()), key=str)
+    assert len(kept) == 7
+    assert [sum(c in (t or "") for _, t in kept) for c in ("x0", "y0", "z59")] == [1, 1, 1]
+    assert all(d == 1 for d, t in kept if t and ("x0" in t or "y0" in t))
+    assert [(None, " ") in kept, (None, None) in kept, (4, "") in kept, (7, alone) in kept] == [True] * 4
+
+
 def test_no_benchmark_passage_is_left(spark, stages):
     from risekit.llm import decontaminate as d
 
