@@ -356,8 +356,8 @@ def across(pairs: DataFrame, component: DataFrame) -> DataFrame:
     return ends.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def block_links(sids: list[int], sets: list[np.ndarray], side: list[int], percent: int) -> list[tuple[int, int]]:
-    """A forest of the links among a block's sets (side 0 against 1 where both occur), exact and all at once."""
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two sets share, by exact incidence products."""
     size = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     token, code, times = np.unique(flat, return_inverse=True, return_counts=True)
@@ -374,13 +374,31 @@ def block_links(sids: list[int], sets: list[np.ndarray], side: list[int], percen
         part = np.zeros((len(sets), width), np.float32)
         part[row[a:b], col[a:b] % width] = 1
         common += part @ part.T
+    return common
+
+
+def block_near(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which two of a block's sets are linked."""
+    size = np.array([len(s) for s in sets])
+    common = common_counts(sets)
     union = size[:, None] + size[None, :] - common
     near = (100 * common >= percent * union) & (common > 0)
     np.fill_diagonal(near, False)
+    return near
+
+
+def block_links(sids: list[int], sets: list[np.ndarray], side: list[int], percent: int) -> list[tuple[int, int]]:
+    """A forest of the links among a block's sets (side 0 against 1 where both occur), exact and all at once."""
+    near = block_near(sets, percent)
     side_of = np.array(side)
     if side_of.any() and not side_of.all():
         near &= side_of[:, None] != side_of[None, :]
-    parent = list(range(len(sets)))
+    return link_forest(sids, near)
+
+
+def link_forest(sids: list[int], near: np.ndarray) -> list[tuple[int, int]]:
+    """A forest of the links in a matrix."""
+    parent = list(range(len(sids)))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -442,13 +460,18 @@ def long_run_members(met: DataFrame, long: DataFrame, schemes: Schemes) -> DataF
     return ranked.where(deletion | (F.col("i") > _spare(schemes))).select("key", "sid", "n")
 
 
-def long_run_links(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links among the members of each key, verified block against block."""
+def dealt_members(members: DataFrame) -> DataFrame:
+    """(sid, key, i, j, side): the members of each key dealt into blocks, and once into each pair of blocks."""
     sizes = members.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("grams")).where("rows > 1")
     blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
     dealt = members.join(sizes.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("sid", "key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("sid", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    return dealt.select("sid", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+
+
+def long_run_links(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links among the members of each key, verified block against block."""
+    dealt = dealt_members(members)
     with_text = dealt.join(texts, "sid")
 
     def run(group: pa.Table) -> pa.Table:
@@ -460,8 +483,57 @@ def long_run_links(members: DataFrame, texts: DataFrame, n: int, percent: int) -
     return with_text.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, class) of each row of docs: rows that links connect share a class, null without words."""
+def long_run_counts(members: DataFrame, texts: DataFrame, copies: DataFrame, n: int, percent: int) -> DataFrame:
+    """A forest of the links (kind 0: a, b) among the members of each key, and (kind 1: a set, b links) how many rows they link to.
+
+    A pair is counted under the smallest of the keys that both are members of.
+    """
+    keys = members.groupBy("sid").agg(F.collect_set("key").alias("keys"))
+    rows = dealt_members(members).join(texts.join(keys, "sid").join(copies, "sid"), "sid")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        sids, key = group.column("sid").to_pylist(), group.column("key")[0].as_py()
+        near = block_near([grams(t.as_py(), n) for t in group.column("text")], percent)
+        side = group.column("side").to_numpy()
+        if group.column("i")[0].as_py() != group.column("j")[0].as_py():
+            near &= side[:, None] != side[None, :]
+        links = link_forest(sids, near)
+        lists = [np.array(k, np.int64) for k in group.column("keys").to_pylist()]
+        near &= common_counts([k[k < key] for k in lists]) == 0
+        count = near @ group.column("copies").to_numpy().astype(np.int64)
+        some = np.flatnonzero(count)
+        a, b = [x for x, _ in links] + [sids[i] for i in some], [y for _, y in links] + count[some].tolist()
+        kind = np.repeat(np.array([0, 1], np.int32), [len(links), len(some)])
+        return pa.table({"kind": pa.array(kind), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(run, "kind int, a long, b long")
+
+
+def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links): near_duplicates, and to how many other rows each row links.
+
+    Every pair that meets is verified. Pairs of long runs are counted in their blocks and not emitted.
+    """
+    sets, pairs, members, texts = met_sets(docs, id_col, text_col, n, percent)
+    copies = written(sets.where("sid IS NOT NULL").groupBy("sid").agg(F.count("*").alias("copies")), "jaccard-copies")
+    verified = written(verify(pairs, texts, n, percent), "jaccard-links")
+    blocks = written(long_run_counts(members, texts, copies, n, percent), "jaccard-blocks")
+    component = connected_components(verified.union(blocks.where("kind = 0").select("a", "b")))
+    keys = members.groupBy("sid").agg(F.collect_set("key").alias("keys"))
+    x, y = keys.select(F.col("sid").alias("a"), F.col("keys").alias("ka")), keys.select(F.col("sid").alias("b"), F.col("keys").alias("kb"))
+    alone = verified.join(x, "a", "left").join(y, "b", "left").where(~F.coalesce(F.arrays_overlap("ka", "kb"), F.lit(False)))
+    ends = alone.select(F.explode(F.array(F.struct(F.col("a").alias("sid"), F.col("b").alias("other")), F.struct(F.col("b").alias("sid"), F.col("a").alias("other")))).alias("e"))
+    ends = ends.select("e.*").join(copies.select(F.col("sid").alias("other"), "copies"), "other").select("sid", F.col("copies").alias("n"))
+    counts = ends.union(blocks.where("kind = 1").select("a", "b")).union(copies.select("sid", F.col("copies") - 1))
+    per_set = counts.groupBy("sid").agg(F.sum("n").alias("n_links")).join(component, F.col("sid") == F.col("node"), "left")
+    joined = _salted_join(sets, "sid", per_set.select(F.col("sid").alias("key"), "n_links", "component"))
+    joined = joined.select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "sid").alias("class"))
+    return _least_ids(joined).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def met_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The sets of the rows, pairs that meet in short runs, members of long runs, and the texts of both."""
     schemes = Schemes(percent)
     plain = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sets = written(document_sets(plain, "doc_id", "text", n), "jaccard-sets")
@@ -471,6 +543,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     members = written(long_run_members(met, long, schemes), "jaccard-members")
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(members.select("sid")).distinct()
     texts = written(set_texts(plain, sets, wanted), "jaccard-texts")
+    return sets, pairs, members, texts
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, class) of each row of docs: rows that links connect share a class, null without words."""
+    sets, pairs, members, texts = met_sets(docs, id_col, text_col, n, percent)
     links = written(verify(forest(pairs), texts, n, percent).union(long_run_links(members, texts, n, percent)), "jaccard-links")
     component = written(connected_components(links), "jaccard-components")
     open_pairs = written(across(pairs.join(forest(pairs), ["a", "b"], "left_anti"), component), "jaccard-open")
@@ -494,10 +572,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     long run. A forest of the pairs is verified first, then every pair whose ends that left in
     different components; both on whole texts. Shingles and sets are compared by 64-bit hashes.
     """
-    joined = classes(docs, id_col, text_col, n, percent)
+    return _least_ids(classes(docs, id_col, text_col, n, percent)).select("doc_id", "n_shingles", "component_id")
+
+
+def _least_ids(joined: DataFrame) -> DataFrame:
+    """joined and component_id, the smallest doc_id of its class."""
     least = joined.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
     out = _salted_join(joined, "class", least.select(F.col("class").alias("key"), "least"))
-    return out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return out.withColumn("component_id", F.coalesce("least", "doc_id"))
 
 
 def _salted_join(rows: DataFrame, column: str, per_key: DataFrame) -> DataFrame:
@@ -512,6 +594,11 @@ def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, n=4, percent=85)
 
 
+def op2_ngram_jaccard_links(spark, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_links(docs, n=4, percent=85)
+
+
 def op2_sql() -> str:
     return """
 WITH RECURSIVE w AS (

@@ -9,6 +9,7 @@ def queries() -> dict:
     return {
         "op1_warc": warc.op1_warc,
         "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
+        "op2_ngram_jaccard_links": jaccard.op2_ngram_jaccard_links,
         "op3_bpe": bpe.op3_bpe,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_url_filters": url_filters.op5_url_filters,

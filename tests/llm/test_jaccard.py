@@ -168,6 +168,21 @@ def test_repeated_and_null_ids_with_texts_of_their_own(documents, ids):
     assert sorted(got, key=str) == brute(rows, 4, 85)
 
 
+@pytest.mark.parametrize("long_run", [3, 32])
+def test_links_are_counted(documents, long_run, monkeypatch):
+    # short and long runs, several blocks a key, copies, repeated and null ids
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(jaccard.meetings, "__defaults__", (long_run,))
+    rows = corpus(3, 2, (60, 150), (50, 50), (0, 4)) + [(20_000 + i, t) for i, t in corpus(4, 20, (4, 40), (1, 12), (0, 3))]
+    rows += [(rows[0][0], rows[1][1]), (None, rows[2][1]), (30_000, rows[3][1]), (30_001, " "), (30_002, None)]
+    sets = [shingles(t, 4) for _, t in rows]
+    links = [sum(i != j and 100 * len(a & b) >= 85 * len(a | b) > 0 for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    got = jaccard.near_links(documents(rows), n=4, percent=85).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(rows, 4, 85)
+    assert sum(links) > 2 * len(rows)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["n_links"]) for r in got), key=str) == sorted(((d, len(s), k) for (d, _), s, k in zip(rows, sets, links)), key=str)
+
+
 def test_no_documents(documents):
     assert jaccard.near_duplicates(documents([])).count() == 0
     assert jaccard.near_duplicates(documents([(1, None), (2, "")])).count() == 2
