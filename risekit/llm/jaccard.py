@@ -7,9 +7,13 @@ segment up to one n-gram). Signatures of segment subsets, and of subsets with on
 meet in sorted runs; the sets that meet are verified exactly on their texts.
 
 A scheme has a few segments to spare. So a set may ignore that many segments whose subset very many
-sets have (long runs), and the pair is still found in another. Only sets with more such segments
-than that compare within long runs: there, blocks of members of bounded size are verified against
-each other by exact incidence products, which emit links and no candidate pairs.
+sets have (long runs), and the pair is still found in another. Sets with more such segments than
+that share a passage with very many others. Among these the universe is cut once more, into a
+segment for each n-gram: rare n-grams make pairs that share as many as linked ones must beyond what
+very many sets have. Only sets that are almost all common content are left to compare within long
+runs: first with the one that has the least of its own, then those still outside of their run's
+largest component with all others, in blocks of bounded size that are verified by exact incidence
+products and emit links and no candidate pairs.
 
 Equal sets are one node from the start, so exact copies cost nothing further.
 """
@@ -38,8 +42,10 @@ CHANCE_COST = 8
 BLOCK_ROWS, BLOCK_GRAMS = 1024, 1 << 20
 #: A table of ids is broadcast up to so many rows.
 BROADCAST_ROWS = 500_000
-#: Parts that the rows of a hot key are dealt into where they join a row of that key.
-SALTS = 8
+#: Rows of one key, and pairs of one set, that a task gets where they join a row of that key.
+ROWS_PER_PART, PAIRS_PER_PART = 500, 64
+#: Parts that rows without a key are dealt into.
+NULL_PARTS = 1024
 #: Sets that a task remembers so as not to send equal ones again.
 SEEN = 100_000
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -321,8 +327,13 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets that are linked, checked on their documents' whole texts."""
-    both = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b")
+    """The pairs (a, b) of sets that are linked, checked on their documents' whole texts.
+
+    A set of very many pairs has its text sent in parts of PAIRS_PER_PART pairs each.
+    """
+    total = pairs.count()
+    with_b = _salted_join(pairs, "b", texts.select(F.col("sid").alias("key"), F.col("text").alias("tb")), total, PAIRS_PER_PART, "inner")
+    both = _salted_join(with_b, "a", texts.select(F.col("sid").alias("key"), F.col("text").alias("ta")), total, PAIRS_PER_PART, "inner", pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: OrderedDict[int, np.ndarray] = OrderedDict()
@@ -356,49 +367,37 @@ def across(pairs: DataFrame, component: DataFrame) -> DataFrame:
     return ends.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def common_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """How many elements each two sets share, by exact incidence products."""
-    size = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    token, code, times = np.unique(flat, return_inverse=True, return_counts=True)
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of left shares with each of right, by exact incidence products."""
+    size = np.array([len(s) for s in (*left, *right)])
+    flat = np.concatenate((*left, *right))
+    _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
     rank = np.cumsum(times > 1) - 1
-    row = np.repeat(np.arange(len(sets)), size)
+    row = np.repeat(np.arange(len(size)), size)
     shared = times[code] > 1
     row, col = row[shared], rank[code[shared]]
-    common = np.zeros((len(sets), len(sets)), np.float32)
+    common = np.zeros((len(left), len(right)))
     width = 4096
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
     cuts = np.searchsorted(col, np.arange(0, (col[-1] + 1 if len(col) else 0) + width, width))
     for a, b in zip(cuts[:-1], cuts[1:]):
-        part = np.zeros((len(sets), width), np.float32)
+        part = np.zeros((len(size), width), np.float32)
         part[row[a:b], col[a:b] % width] = 1
-        common += part @ part.T
+        common += part[: len(left)] @ part[len(left) :].T
     return common
 
 
-def block_near(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which two of a block's sets are linked."""
-    size = np.array([len(s) for s in sets])
-    common = common_counts(sets)
-    union = size[:, None] + size[None, :] - common
-    near = (100 * common >= percent * union) & (common > 0)
-    np.fill_diagonal(near, False)
-    return near
-
-
-def block_links(sids: list[int], sets: list[np.ndarray], side: list[int], percent: int) -> list[tuple[int, int]]:
-    """A forest of the links among a block's sets (side 0 against 1 where both occur), exact and all at once."""
-    near = block_near(sets, percent)
-    side_of = np.array(side)
-    if side_of.any() and not side_of.all():
-        near &= side_of[:, None] != side_of[None, :]
-    return link_forest(sids, near)
+def block_near(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of left are linked with which of right."""
+    common = common_counts(left, right)
+    union = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :] - common
+    return (100 * common >= percent * union) & (common > 0)
 
 
-def link_forest(sids: list[int], near: np.ndarray) -> list[tuple[int, int]]:
-    """A forest of the links in a matrix."""
-    parent = list(range(len(sids)))
+def link_forest(left: list[int], right: list[int], near: np.ndarray) -> list[tuple[int, int]]:
+    """A forest of the links in a matrix between two lists of sets, which may share some."""
+    parent: dict[int, int] = {x: x for x in (*left, *right)}
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -407,11 +406,11 @@ def link_forest(sids: list[int], near: np.ndarray) -> list[tuple[int, int]]:
         return i
 
     out = []
-    for i, j in zip(*np.nonzero(np.triu(near))):
-        x, y = root(int(i)), root(int(j))
+    for i, j in zip(*np.nonzero(near)):
+        x, y = root(left[i]), root(right[j])
         if x != y:
             parent[max(x, y)] = min(x, y)
-            out.append((sids[i], sids[j]))
+            out.append((left[i], right[j]))
     return out
 
 
@@ -460,80 +459,146 @@ def long_run_members(met: DataFrame, long: DataFrame, schemes: Schemes) -> DataF
     return ranked.where(deletion | (F.col("i") > _spare(schemes))).select("key", "sid", "n")
 
 
-def dealt_members(members: DataFrame) -> DataFrame:
-    """(sid, key, i, j, side): the members of each key dealt into blocks, and once into each pair of blocks."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("grams")).where("rows > 1")
-    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
-    dealt = members.join(sizes.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("sid", "key"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select("sid", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+def member_tokens(members: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(key, sid, meta) for each n-gram of each set that compares in long runs, in the form of signatures: a segment for each n-gram."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                tokens = grams(text.as_py(), n)
+                cells = [tokens.view(np.int64), np.full(len(tokens), sid, np.int64), np.full(len(tokens), _meta(0, True, False, np.zeros(1, np.int64), len(tokens))[0])]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells], names=["key", "sid", "meta"])
 
-def long_run_links(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links among the members of each key, verified block against block."""
-    dealt = dealt_members(members)
-    with_text = dealt.join(texts, "sid")
+    rows = texts.join(members.select("sid").distinct(), "sid", "left_semi").select("sid", "text")
+    return rows.mapInArrow(run, "key long, sid long, meta long")
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        sets = [grams(t.as_py(), n) for t in group.column("text")]
-        links = block_links(group.column("sid").to_pylist(), sets, group.column("side").to_pylist(), percent)
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    return with_text.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+def _needed(percent: int, x: Column, y: Column) -> Column:
+    """What two sets of sizes x and y share at least if they are linked."""
+    return F.ceil(percent * (x + y) / (100 + percent))
+
+
+def common_parts(tokens: DataFrame, met: DataFrame) -> DataFrame:
+    """(sid, n, common): size of each set, and how many of its n-grams very many of the sets have."""
+    size = tokens.groupBy("sid").agg(F.count("*").alias("n"))
+    common = met.where("kind = 1").groupBy(F.col("b").alias("sid")).agg(F.count("*").alias("common"))
+    return size.join(common, "sid", "left").select("sid", "n", F.coalesce("common", F.lit(0)).alias("common"))
+
+
+def rare_pairs(met: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that share so many rare n-grams as linked ones must, whose common n-grams are too few to link them."""
+    times = F.sum(F.col("meta").bitwiseAND(F.lit((1 << 32) - 1)))
+    pairs = met.where("kind = 0").groupBy("a", "b").agg(times.alias("times"))
+    x, y = (parts.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("common").alias(f"c{c}")) for c in ("a", "b"))
+    return pairs.join(x, "a").join(y, "b").where(F.col("times") >= _needed(percent, F.col("na"), F.col("nb")) - F.least("ca", "cb")).select("a", "b")
+
 
+def core_members(members: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """(key, sid, n, common, small): members of long runs that their common n-grams alone may link to another.
+
+    Of two sets that common n-grams alone link, either has percent of its n-grams among them, and
+    the smaller one (small) so many as a pair of its size needs. Runs without a small one go.
+    """
+    core = parts.where(100 * F.col("common") >= percent * F.col("n")).withColumn("small", F.col("common") >= _needed(percent, F.col("n"), F.col("n")))
+    rows = written(members.select("key", "sid").join(core, "sid"), "jaccard-core")
+    keys = rows.groupBy("key").agg(F.max("small").alias("small"), F.count("*").alias("members")).where("small AND members > 1")
+    return _salted_join(rows, "key", keys.select("key"), rows.count(), how="inner").select("key", "sid", "n", "common", "small")
+
+
+def pivot_pairs(core: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each member with the member of its run that has the fewest n-grams of its own, where common ones may link them."""
+    share = F.struct((F.col("common") / F.col("n")).alias("share"), (-F.col("sid")).alias("first"))
+    pivot = core.where("small").groupBy("key").agg(F.max_by(F.struct("sid", "n", "common"), share).alias("p"))
+    met = _salted_join(core, "key", pivot, core.count(), how="inner").where(F.col("sid") != F.col("p.sid"))
+    close = met.where(F.least("common", "p.common") >= _needed(percent, F.col("n"), F.col("p.n")))
+    return close.select(F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b")).distinct()
 
-def long_run_counts(members: DataFrame, texts: DataFrame, copies: DataFrame, n: int, percent: int) -> DataFrame:
-    """A forest of the links (kind 0: a, b) among the members of each key, and (kind 1: a set, b links) how many rows they link to.
 
-    A pair is counted under the smallest of the keys that both are members of.
+def stragglers(core: DataFrame, component: DataFrame) -> DataFrame:
+    """(key, sid): members outside of the largest component of their run."""
+    own = component.select(F.col("node").alias("sid"), "component")
+    rows = written(core.select("key", "sid").join(own, "sid", "left").select("key", "sid", F.coalesce("component", "sid").alias("component")), "jaccard-runs")
+    per = rows.groupBy("key", "component").agg(F.count("*").alias("rows"))
+    main = per.groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.count("*").alias("pieces")).where("pieces > 1")
+    return _salted_join(rows, "key", main.select("key", "main"), rows.count(), how="inner").where("component <> main").select("key", "sid")
+
+
+def dealt_blocks(core: DataFrame, some: DataFrame) -> DataFrame:
+    """(block, part, sid, left): each set of some (key, sid) in one block, which meets the parts of all members of core that share a run with it.
+
+    A set's block is that of its smallest key, so the sets of one text's neighbourhood mostly share
+    it; blocks and parts are of bounded size. A member is sent once to each block that it meets.
     """
-    keys = members.groupBy("sid").agg(F.collect_set("key").alias("keys"))
-    rows = dealt_members(members).join(texts.join(keys, "sid").join(copies, "sid"), "sid")
+    n = core.select("sid", "n").distinct()
+    home = some.groupBy("sid").agg(F.min("key").alias("home")).join(n, "sid")
+    size = home.groupBy("home").agg(_blocks().alias("blocks"))
+    home = written(home.join(size, "home").select("sid", "n", F.xxhash64("home", F.pmod(F.xxhash64("sid"), "blocks")).alias("block")), "jaccard-homes")
+    blocks = some.join(home, "sid").select("key", "block").distinct()
+    right = written(core.select("key", "sid", "n").join(blocks, "key").select("block", "sid", "n").distinct(), "jaccard-parts")
+    parts = written(right.groupBy("block").agg(_blocks().alias("parts")), "jaccard-blocks")
+    right = right.join(parts, "block").select("block", F.pmod(F.xxhash64("sid"), "parts").alias("part"), "sid", F.lit(False).alias("left"))
+    left = home.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("parts") - 1).cast("long"))).alias("part"), "sid", F.lit(True).alias("left"))
+    return left.union(right)
+
+
+def _blocks() -> Column:
+    return F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int")
+
+
+def block_links(dealt: DataFrame, texts: DataFrame, copies: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of each block's sets against each of its parts a forest of the links (kind 0: a, b) and how many rows they link to (kind 1: a set, b rows)."""
+    rows = dealt.join(texts, "sid").join(copies, "sid")
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        sids, key = group.column("sid").to_pylist(), group.column("key")[0].as_py()
-        near = block_near([grams(t.as_py(), n) for t in group.column("text")], percent)
-        side = group.column("side").to_numpy()
-        if group.column("i")[0].as_py() != group.column("j")[0].as_py():
-            near &= side[:, None] != side[None, :]
-        links = link_forest(sids, near)
-        lists = [np.array(k, np.int64) for k in group.column("keys").to_pylist()]
-        near &= common_counts([k[k < key] for k in lists]) == 0
-        count = near @ group.column("copies").to_numpy().astype(np.int64)
+        at = group.column("left").to_numpy(zero_copy_only=False)
+        sids, copy = group.column("sid").to_numpy(), group.column("copies").to_numpy()
+        sets = [grams(t.as_py(), n) for t in group.column("text")]
+        (left, x), (right, y) = ((sids[side], [s for s, z in zip(sets, side) if z]) for side in (at, ~at))
+        if not len(left) or not len(right):
+            return pa.table({"kind": pa.array([], pa.int32()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        near = block_near(x, y, percent) & (left[:, None] != right[None, :])
+        links = link_forest(left.tolist(), right.tolist(), near)
+        count = near @ copy[~at].astype(np.int64)
         some = np.flatnonzero(count)
-        a, b = [x for x, _ in links] + [sids[i] for i in some], [y for _, y in links] + count[some].tolist()
+        a, b = [p for p, _ in links] + left[some].tolist(), [q for _, q in links] + count[some].tolist()
         kind = np.repeat(np.array([0, 1], np.int32), [len(links), len(some)])
         return pa.table({"kind": pa.array(kind), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("key", "i", "j").applyInArrow(run, "kind int, a long, b long")
+    return rows.select("block", "part", "sid", "left", "text", "copies").groupBy("block", "part").applyInArrow(run, "kind int, a long, b long")
 
 
 def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links): near_duplicates, and to how many other rows each row links.
 
-    Every pair that meets is verified. Pairs of long runs are counted in their blocks and not emitted.
+    Every pair that meets is verified. Pairs that common n-grams alone may link are counted in their
+    blocks and not emitted.
     """
-    sets, pairs, members, texts = met_sets(docs, id_col, text_col, n, percent)
+    sets, pairs, core, texts = met_sets(docs, id_col, text_col, n, percent)
     copies = written(sets.where("sid IS NOT NULL").groupBy("sid").agg(F.count("*").alias("copies")), "jaccard-copies")
     verified = written(verify(pairs, texts, n, percent), "jaccard-links")
-    blocks = written(long_run_counts(members, texts, copies, n, percent), "jaccard-blocks")
+    dealt = written(dealt_blocks(core, core.select("key", "sid")), "jaccard-dealt")
+    blocks = written(block_links(dealt, texts, copies, n, percent), "jaccard-block-links")
     component = connected_components(verified.union(blocks.where("kind = 0").select("a", "b")))
-    keys = members.groupBy("sid").agg(F.collect_set("key").alias("keys"))
-    x, y = keys.select(F.col("sid").alias("a"), F.col("keys").alias("ka")), keys.select(F.col("sid").alias("b"), F.col("keys").alias("kb"))
-    alone = verified.join(x, "a", "left").join(y, "b", "left").where(~F.coalesce(F.arrays_overlap("ka", "kb"), F.lit(False)))
-    ends = alone.select(F.explode(F.array(F.struct(F.col("a").alias("sid"), F.col("b").alias("other")), F.struct(F.col("b").alias("sid"), F.col("a").alias("other")))).alias("e"))
-    ends = ends.select("e.*").join(copies.select(F.col("sid").alias("other"), "copies"), "other").select("sid", F.col("copies").alias("n"))
+    # a pair counts once each way: in the block of the one where the other is sent there, else from the verified pairs
+    home = dealt.where("left").select("sid", "block").distinct()
+    sent = dealt.where("NOT left").select(F.col("sid").alias("other"), "block")
+    ends = verified.select(F.explode(F.array(F.struct(F.col("a").alias("sid"), F.col("b").alias("other")), F.struct(F.col("b").alias("sid"), F.col("a").alias("other")))).alias("e")).select("e.*")
+    alone = ends.join(home, "sid", "left").join(sent, ["other", "block"], "left_anti")
+    ends = alone.join(copies.select(F.col("sid").alias("other"), "copies"), "other").select("sid", F.col("copies").alias("n"))
     counts = ends.union(blocks.where("kind = 1").select("a", "b")).union(copies.select("sid", F.col("copies") - 1))
     per_set = counts.groupBy("sid").agg(F.sum("n").alias("n_links")).join(component, F.col("sid") == F.col("node"), "left")
-    joined = _salted_join(sets, "sid", per_set.select(F.col("sid").alias("key"), "n_links", "component"))
+    total = sets.count()
+    joined = _salted_join(sets, "sid", per_set.select(F.col("sid").alias("key"), "n_links", "component"), total)
     joined = joined.select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "sid").alias("class"))
-    return _least_ids(joined).select("doc_id", "n_shingles", "component_id", "n_links")
+    return _least_ids(written(joined, "jaccard-classes"), total).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def met_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The sets of the rows, pairs that meet in short runs, members of long runs, and the texts of both."""
+    """The sets of the rows, pairs that must be verified, core members of long runs, and the texts of both.
+
+    Each linked pair of unequal sets is among the pairs, or both are core members of one run.
+    """
     schemes = Schemes(percent)
     plain = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sets = written(document_sets(plain, "doc_id", "text", n), "jaccard-sets")
@@ -543,21 +608,31 @@ def met_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
     members = written(long_run_members(met, long, schemes), "jaccard-members")
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(members.select("sid")).distinct()
     texts = written(set_texts(plain, sets, wanted), "jaccard-texts")
-    return sets, pairs, members, texts
+    tokens = written(member_tokens(members, texts, n), "jaccard-tokens")
+    met_tokens = written(meetings(tokens, percent), "jaccard-met-tokens")
+    parts = written(common_parts(tokens, met_tokens), "jaccard-common")
+    pairs = written(pairs.union(rare_pairs(met_tokens, parts, percent)).distinct(), "jaccard-pairs")
+    core = written(core_members(members, parts, percent), "jaccard-core")
+    return sets, pairs, core, texts
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, text_hash, n_shingles, class) of each row of docs: rows that links connect share a class, null without words."""
-    sets, pairs, members, texts = met_sets(docs, id_col, text_col, n, percent)
-    links = written(verify(forest(pairs), texts, n, percent).union(long_run_links(members, texts, n, percent)), "jaccard-links")
+    sets, pairs, core, texts = met_sets(docs, id_col, text_col, n, percent)
+    first = written(forest(pairs).union(pivot_pairs(core, percent)).distinct(), "jaccard-first-pairs")
+    links = written(verify(first, texts, n, percent), "jaccard-links")
     component = written(connected_components(links), "jaccard-components")
-    open_pairs = written(across(pairs.join(forest(pairs), ["a", "b"], "left_anti"), component), "jaccard-open")
+    open_pairs = written(across(pairs.join(first, ["a", "b"], "left_anti"), component), "jaccard-open")
     if not open_pairs.isEmpty():
-        more = written(verify(open_pairs, texts, n, percent), "jaccard-more")
-        component = connected_components(links.union(more))
-    # a set or a class may have a third of all rows: they join its one row by salts
-    joined = _salted_join(sets, "sid", component.select(F.col("node").alias("key"), "component"))
-    return joined.select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "sid").alias("class"))
+        links = links.union(written(verify(open_pairs, texts, n, percent), "jaccard-more"))
+        component = written(connected_components(links), "jaccard-components")
+    left = written(stragglers(core, component), "jaccard-stragglers")
+    if not left.isEmpty():
+        none = sets.where("sid IS NOT NULL").select("sid").distinct().withColumn("copies", F.lit(1).cast("long"))
+        blocks = block_links(dealt_blocks(core, left), texts, none, n, percent).where("kind = 0").select("a", "b")
+        component = connected_components(links.union(written(blocks, "jaccard-block-links")))
+    joined = _salted_join(sets, "sid", component.select(F.col("node").alias("key"), "component"), sets.count())
+    return written(joined.select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "sid").alias("class")), "jaccard-classes")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -568,25 +643,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     without words has none and links with nothing: its component is its own id. Rows that repeat
     an id or a text link as any others; null ids are never the smallest. No rows: no rows.
 
-    Nothing is capped: each linked pair of unequal sets meets in a short run, or in a block of a
-    long run. A forest of the pairs is verified first, then every pair whose ends that left in
-    different components; both on whole texts. Shingles and sets are compared by 64-bit hashes.
+    Nothing is capped: each linked pair of unequal sets meets in a short run, shares rare n-grams,
+    or is in a block of a long run. A forest of the pairs is verified first, then every pair whose
+    ends that left in different components, then those in the blocks; all on whole texts. Shingles
+    and sets are compared by 64-bit hashes.
     """
-    return _least_ids(classes(docs, id_col, text_col, n, percent)).select("doc_id", "n_shingles", "component_id")
+    rows = classes(docs, id_col, text_col, n, percent)
+    return _least_ids(rows, rows.count()).select("doc_id", "n_shingles", "component_id")
 
 
-def _least_ids(joined: DataFrame) -> DataFrame:
-    """joined and component_id, the smallest doc_id of its class."""
+def _least_ids(joined: DataFrame, total: int) -> DataFrame:
+    """joined (of total rows) and component_id, the smallest doc_id of its class."""
     least = joined.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    out = _salted_join(joined, "class", least.select(F.col("class").alias("key"), "least"))
+    out = _salted_join(joined, "class", least.select(F.col("class").alias("key"), "least"), total)
     return out.withColumn("component_id", F.coalesce("least", "doc_id"))
 
 
-def _salted_join(rows: DataFrame, column: str, per_key: DataFrame) -> DataFrame:
-    """rows left-joined with the one row of per_key (column key) that has their key."""
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
-    spread = per_key.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(spread, (salted[column] == spread["key"]) & (salted["__salt"] == spread["__salt"]), "left").drop("__salt", "key")
+def _salted_join(rows: DataFrame, column: str, per_key: DataFrame, total: int, per_part: int = ROWS_PER_PART, how: str = "left", counted: DataFrame | None = None) -> DataFrame:
+    """rows (of total rows) joined with the one row of per_key (column key) that has their key.
+
+    A key of more than per_part rows, of which there are BROADCAST_ROWS at most, is dealt into as
+    many parts as its rows need. counted may stand for rows where it has the same keys.
+    """
+    most = max(per_part, total // BROADCAST_ROWS)
+    source = rows if counted is None else counted
+    hot = source.groupBy(F.col(column).alias("__key")).agg(F.count("*").alias("__n")).where(F.col("__n") > most)
+    hot = F.broadcast(hot.select("__key", F.ceil(F.col("__n") / most).cast("int").alias("__parts")))
+    salt = F.when(F.col(column).isNull(), F.lit(NULL_PARTS)).otherwise(F.coalesce("__parts", F.lit(1)))
+    salted = rows.join(hot, F.col(column) == F.col("__key"), "left").withColumn("__salt", F.pmod(F.xxhash64(*source.columns), salt)).drop("__key", "__parts")
+    keyed = per_key.withColumnRenamed("key", "__of")
+    spread = keyed.join(hot, F.col("__of") == F.col("__key"), "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), (F.coalesce("__parts", F.lit(1)) - 1).cast("long"))))
+    spread = spread.drop("__key", "__parts")
+    return salted.join(spread, (F.col(column) == F.col("__of")) & (F.col("__salt") == F.col("__part")), how).drop("__salt", "__part", "__of")
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -76,23 +76,43 @@ def test_against_brute_force(spark, documents, n, percent):
 def test_long_runs_lose_no_link(spark, documents, long_run, monkeypatch):
     # near copies whose edits add up: many pairs are just over or under the threshold, and nearly all runs are long
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(jaccard, "ROWS_PER_PART", 10)
+    monkeypatch.setattr(jaccard, "PAIRS_PER_PART", 4)
+    monkeypatch.setattr(jaccard.meetings, "__defaults__", (long_run,))
     rows = corpus(3, 3, (60, 150), (60, 60), (0, 9)) + [(20_000 + i, t) for i, t in corpus(4, 2, (4, 12), (40, 40), (0, 3))]
-    schemes = jaccard.Schemes(85)
     docs = documents(rows)
-    met = jaccard.meetings(jaccard.signature_rows(docs, "text", 4, schemes), 85, long_run).cache()
-    long = jaccard.long_segments(met)
-    pairs = jaccard.candidate_pairs(met, long, schemes)
-    members = jaccard.long_run_members(met, long, schemes)
-    assert members.count() > 100
-    sets = jaccard.document_sets(docs, "doc_id", "text", 4)
-    texts = docs.join(sets.select("doc_id", "sid"), "doc_id").select("sid", "text").dropDuplicates(["sid"])
-    links = jaccard.verify(pairs, texts, 4, 85).union(jaccard.long_run_links(members, texts, 4, 85))
-    component = connected_components(links)
-    joined = sets.join(component, sets["sid"] == component["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "sid").alias("class"))
-    least = joined.groupBy("class").agg(F.min("doc_id").alias("least"))
-    got = [tuple(x) for x in joined.join(least, "class").select("doc_id", "n_shingles", "least").collect()]
+    sets, pairs, core, texts = jaccard.met_sets(docs, "doc_id", "text", 4, 85)
+    assert core.select("sid").distinct().count() > 50
+    got = [tuple(x) for x in jaccard.near_duplicates(docs, n=4, percent=85).collect()]
+    assert sorted(got, key=str) == brute(rows, 4, 85)
+
+
+def test_stragglers_meet_the_whole_run(documents, monkeypatch):
+    # a star of near copies, and a chain at its end whose sets are not linked with the star's middle
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(jaccard.meetings, "__defaults__", (3,))
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*base[: 2 * i], "x", *base[2 * i + 1 :]])) for i in range(30)]
+    rows += [(100 + k, " ".join([*(f"y{j}" for j in range(4 * k)), *base[4 * k :]])) for k in range(1, 12)]
+    got = [tuple(x) for x in jaccard.near_duplicates(documents(rows), n=4, percent=85).collect()]
     assert sorted(got, key=str) == brute(rows, 4, 85)
-    met.unpersist()
+
+
+def passages(count, own):
+    r = random.Random(7)
+    passage = " ".join(f"p{i}" for i in range(300))
+    return [(i, passage + " " + " ".join(f"o{r.randrange(1 << 40)}" for _ in range(own))) for i in range(count)]
+
+
+@pytest.mark.parametrize("own", [90, 35])
+def test_a_shared_passage_alone_sends_no_text(documents, own):
+    # unlinked documents that share a long passage: texts cross the network as often in a long run as in a short one
+    sent = []
+    for count in (60, 120):
+        sets, pairs, core, texts = jaccard.met_sets(documents(passages(count, own)), "doc_id", "text", 4, 85)
+        sent.append((pairs.count() + core.count()) / count)
+    assert sent[1] <= sent[0]
+    assert jaccard.near_duplicates(documents(passages(60, own)), n=4, percent=85).where("component_id <> doc_id").count() == 0
 
 
 def test_schemes_leave_a_segment_for_every_pair():
@@ -156,8 +176,8 @@ def test_block_counts_the_last_shared_shingle(shared):
     alone = shared * 100 // 85 - shared
     a, b = np.arange(shared, dtype=np.uint64), np.arange(shared + alone, dtype=np.uint64)
     assert 100 * shared >= 85 * len(b) > 100 * (shared - 1)
-    assert jaccard.block_links([1, 2], [a, b], [0, 0], 85) == [(1, 2)]
-    assert jaccard.block_links([1, 2], [a, np.arange(len(b) + 1, dtype=np.uint64)], [0, 0], 85) == []
+    assert jaccard.block_near([a], [b], 85).tolist() == [[True]]
+    assert jaccard.block_near([a], [np.arange(len(b) + 1, dtype=np.uint64), b], 85).tolist() == [[False, True]]
 
 
 @pytest.mark.parametrize("ids", [lambda i: i // 8, lambda i: None, lambda i: i // 3 if i % 3 else None])
