@@ -523,19 +523,33 @@ def stragglers(core: DataFrame, component: DataFrame) -> DataFrame:
     return _salted_join(rows, "key", main.select("key", "main"), rows.count(), how="inner").where("component <> main").select("key", "sid")
 
 
+def homes(core: DataFrame, some: DataFrame) -> DataFrame:
+    """(sid, home) of the sets of some (key, sid): a key that the sets of one neighbourhood agree upon.
+
+    Each set names the longest of its runs, each run the longest that its sets name, and each set
+    the longest that its runs name.
+    """
+    total = some.count()
+    size = core.groupBy("key").agg(F.count("*").alias("members"))
+    own = _salted_join(some, "key", size, total, how="inner").withColumn("run", F.struct("members", "key"))
+    named = written(own.groupBy("sid").agg(F.max("run").alias("run")), "jaccard-named")
+    label = some.join(named, "sid").groupBy("key").agg(F.max("run").alias("run"))
+    return _salted_join(some, "key", label, total, how="inner").groupBy("sid").agg(F.max("run")["key"].alias("home"))
+
+
 def dealt_blocks(core: DataFrame, some: DataFrame) -> DataFrame:
     """(block, part, sid, left): each set of some (key, sid) in one block, which meets the parts of all members of core that share a run with it.
 
-    A set's block is that of its smallest key, so the sets of one text's neighbourhood mostly share
-    it; blocks and parts are of bounded size. A member is sent once to each block that it meets.
+    The sets of one neighbourhood share blocks. Blocks and parts are of bounded size, and a member
+    is sent once to each block that it meets.
     """
-    n = core.select("sid", "n").distinct()
-    home = some.groupBy("sid").agg(F.min("key").alias("home")).join(n, "sid")
+    home = homes(core, some).join(core.select("sid", "n").distinct(), "sid")
     size = home.groupBy("home").agg(_blocks().alias("blocks"))
     home = written(home.join(size, "home").select("sid", "n", F.xxhash64("home", F.pmod(F.xxhash64("sid"), "blocks")).alias("block")), "jaccard-homes")
-    blocks = some.join(home, "sid").select("key", "block").distinct()
-    right = written(core.select("key", "sid", "n").join(blocks, "key").select("block", "sid", "n").distinct(), "jaccard-parts")
-    parts = written(right.groupBy("block").agg(_blocks().alias("parts")), "jaccard-blocks")
+    blocks = written(some.join(home, "sid").select("key", "block").distinct(), "jaccard-blocks")
+    right = _salted_join(core.select("key", "sid", "n"), "key", blocks, core.count(), how="inner")
+    right = written(right.select("block", "sid", "n").distinct(), "jaccard-parts")
+    parts = written(right.groupBy("block").agg(_blocks().alias("parts")), "jaccard-part-counts")
     right = right.join(parts, "block").select("block", F.pmod(F.xxhash64("sid"), "parts").alias("part"), "sid", F.lit(False).alias("left"))
     left = home.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("parts") - 1).cast("long"))).alias("part"), "sid", F.lit(True).alias("left"))
     return left.union(right)
@@ -660,7 +674,7 @@ def _least_ids(joined: DataFrame, total: int) -> DataFrame:
 
 
 def _salted_join(rows: DataFrame, column: str, per_key: DataFrame, total: int, per_part: int = ROWS_PER_PART, how: str = "left", counted: DataFrame | None = None) -> DataFrame:
-    """rows (of total rows) joined with the one row of per_key (column key) that has their key.
+    """rows (of total rows) joined with the few rows of per_key (column key) that have their key.
 
     A key of more than per_part rows, of which there are BROADCAST_ROWS at most, is dealt into as
     many parts as its rows need. counted may stand for rows where it has the same keys.
