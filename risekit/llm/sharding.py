@@ -1,9 +1,10 @@
 """Sharding by fixed virtual slots.
 
-Records hash into thousands of slots; bytes and rows are aggregated per slot; a versioned map
-says which shard owns each slot. Version 1 deals slots round robin, version 2 is that map edited
-until the shards' bytes are near equal, and growing by a shard is one more edit that moves slots
-into the new shard only. Only the slot table (a fixed number of rows) reaches the driver.
+Records hash into thousands of slots; bytes and rows are aggregated per slot; a versioned map,
+stored as Parquet, says which shard owns each slot. Version 1 deals slots round robin. Later ones
+are the one before, edited: until the shards' bytes are near equal, or to grow by a shard, which
+moves slots into the new shard only. Rows find their shard by joining a stored version. Only the
+slot table (a fixed number of rows) reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ import heapq
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from risekit.llm.common import written
+from risekit.llm.common import new_path, written
 
 N_SHARDS = 16
 N_SLOTS = 4096
@@ -81,73 +83,138 @@ def slot_of(text_hash: Column, id_hash: Column, hot: list[int], n_slots: int) ->
     return F.when(text_hash.isin(hot), F.pmod(F.xxhash64(text_hash, id_hash), F.lit(n_slots))).otherwise(by_text)
 
 
-def slot_map(spark: SparkSession, versions: dict[int, list[int]], slot_bytes: list[int]) -> DataFrame:
-    """The map as a table: version, slot, shard, bytes."""
-    rows = [(v, slot, shard, slot_bytes[slot]) for v, owner in versions.items() for slot, shard in enumerate(owner)]
-    return spark.createDataFrame(rows, "version int, slot int, shard int, bytes long")
+def store_map(spark: SparkSession, path: str, version: int, owner: list[int], slot_bytes: list[int], hot: list[int]) -> None:
+    """Write a version of the map: (slot, shard, bytes) for every slot, and the hot groups that are dealt out by id.
+
+    A version is a folder of its own and is never changed; the slots' folder is written last, so a
+    version is there as a whole or not at all.
+    """
+    spark.createDataFrame([(h,) for h in hot], "text_hash long").coalesce(1).write.parquet(f"{path}/hot/version={version}")
+    rows = [(slot, shard, slot_bytes[slot]) for slot, shard in enumerate(owner)]
+    spark.createDataFrame(rows, "slot int, shard int, bytes long").coalesce(1).write.parquet(f"{path}/slots/version={version}")
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The stored versions of a map, in order; none where there is no map."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/slots")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    found = [f.getPath() for f in files.listStatus(folder)]
+    whole = [p for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().split("=")[1]) for p in whole)
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """(slot, shard, bytes) of a stored version, the last one if none is named."""
+    version = versions(spark, path)[-1] if version is None else version
+    return spark.read.schema("slot int, shard int, bytes long").parquet(f"{path}/slots/version={version}")
+
+
+def load_hot(spark: SparkSession, path: str, version: int) -> list[int]:
+    rows = spark.read.schema("text_hash long").parquet(f"{path}/hot/version={version}").collect()  # fewer than 2 * n_shards rows a version
+    return sorted(r["text_hash"] for r in rows)
+
+
+def _owner(stored: DataFrame) -> tuple[list[int], list[int]]:
+    """owner and bytes of each slot of a stored version; a fixed number of rows."""
+    rows = sorted(tuple(r) for r in stored.select("slot", "shard", "bytes").collect())
+    return [r[1] for r in rows], [r[2] for r in rows]
+
+
+def rebalance_map(spark: SparkSession, path: str, slot_bytes: list[int], hot: list[int], n_shards: int) -> int:
+    """Edit the last stored version for the slots' bytes of today and store the result; its version."""
+    last = versions(spark, path)[-1]
+    owner, _ = _owner(load_map(spark, path, last))
+    store_map(spark, path, last + 1, rebalance(slot_bytes, owner, n_shards), slot_bytes, hot)
+    return last + 1
+
+
+def grow_map(spark: SparkSession, path: str) -> int:
+    """Edit the last stored version for one more shard and store the result; its version."""
+    last = versions(spark, path)[-1]
+    owner, slot_bytes = _owner(load_map(spark, path, last))
+    store_map(spark, path, last + 1, grow(slot_bytes, owner, max(owner) + 1), slot_bytes, load_hot(spark, path, last))
+    return last + 1
+
+
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, size, text_crc32, th) of each row: what placing it needs, without its text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    size = (F.octet_length(text) + 1).cast("long")
+    return docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("th"))
+
+
+def hot_groups(light: DataFrame, n_shards: int) -> list[int]:
+    """Hashes of the texts that hold more than a shard's fair part of all bytes or rows: fewer than 2 * n_shards."""
+    groups = light.groupBy("th").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+    total = light.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("tb"), F.count("*").alias("tn")).first()
+    large = groups.where((F.col("b") * n_shards > total["tb"]) | (F.col("n") * n_shards > total["tn"]))
+    return sorted(r["th"] for r in large.select("th").collect())
+
+
+def placed(light: DataFrame, hot: list[int], n_slots: int) -> DataFrame:
+    """light with its virtual_slot and lane."""
+    slot = slot_of(F.col("th"), F.xxhash64("doc_id"), hot, n_slots).cast("int")
+    return light.withColumn("virtual_slot", slot).withColumn("lane", F.pmod(F.xxhash64("doc_id", "size"), F.lit(N_LANES)).cast("int"))
+
+
+def assigned(rows: DataFrame, lanes: DataFrame, stored: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32, virtual_slot, shard, slot: placed rows joined with a stored version of the map.
+
+    slot numbers a shard's rows from 0 without a gap, by (virtual slot, lane, id, text hash); lanes
+    counts the rows of each lane, n_slots * N_LANES rows at most.
+    """
+    owned = lanes.join(F.broadcast(stored.select(F.col("slot").alias("virtual_slot"), "shard")), "virtual_slot")
+    before = Window.partitionBy("shard").orderBy("virtual_slot", "lane").rowsBetween(Window.unboundedPreceding, -1)
+    start = owned.select("virtual_slot", "lane", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    number = F.row_number().over(Window.partitionBy("virtual_slot", "lane").orderBy("doc_id", "th"))
+    numbered = rows.withColumn("n", number).join(F.broadcast(start), ["virtual_slot", "lane"])
+    return numbered.select("doc_id", "size", "text_crc32", "virtual_slot", "shard", (F.col("start") + F.col("n") - 1).cast("long").alias("slot"))
 
 
 def shard_rows(
     docs: DataFrame,
+    map_path: str,
     id_col: str = "doc_id",
     text_col: str = "text",
     n_shards: int = N_SHARDS,
     n_slots: int = N_SLOTS,
-) -> tuple[DataFrame, DataFrame]:
-    """(rows, map): a row per document with doc_id, size, text_crc32, virtual_slot, shard, slot; the map's versions.
+) -> DataFrame:
+    """A row per document: doc_id, size, text_crc32, virtual_slot, shard, slot, by the map at map_path.
+
+    Without a stored map, version 1 deals n_slots slots to n_shards round robin. The last version is edited by the
+    bytes of today, the result is stored as the next one, and rows are placed by joining it.
 
     size is the text's UTF-8 bytes plus 1 (null: 1). Equal texts share a virtual slot and so a
     shard, unless they hold more than a shard's fair part of all bytes or rows: such a group (there
-    are fewer than 2 * n_shards) is dealt over all slots by id, so that shards stay near equal.
-    slot numbers a shard's rows from 0 without a gap, by (virtual slot, lane, id, text hash); rows
-    that repeat an id each get a slot of their own. Null ids are one id. No rows: an empty result.
+    are fewer than 2 * n_shards) is dealt over all slots by id, so that shards stay near equal; once
+    dealt out it stays so in later versions. Rows that repeat an id each get a slot of their own.
+    Null ids are one id. No rows: an empty result.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    light = written(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            (F.octet_length(text) + 1).cast("long").alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.xxhash64(text).alias("th"),
-        ),
-        "shard-rows",
-    )
-    groups = light.groupBy("th").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
-    total = light.agg(F.sum("size").alias("tb"), F.count("*").alias("tn")).first()
-    if not total["tn"]:
-        empty = light.select("doc_id", "size", "text_crc32", F.lit(0).alias("virtual_slot"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-        return empty, slot_map(spark, {1: [s % n_shards for s in range(n_slots)]}, [0] * n_slots)
-    large = groups.where((F.col("b") * n_shards > total["tb"]) | (F.col("n") * n_shards > total["tn"]))
-    hot = [r["th"] for r in large.select("th").collect()]  # fewer than 2 * n_shards rows
-    placed = light.withColumn("virtual_slot", slot_of(F.col("th"), F.xxhash64("doc_id"), hot, n_slots).cast("int")).withColumn(
-        "lane", F.pmod(F.xxhash64("doc_id", "size"), F.lit(N_LANES)).cast("int")
-    )
-    lanes = placed.groupBy("virtual_slot", "lane").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()  # n_slots * N_LANES rows at most
+    light = written(sized(docs, id_col, text_col), "shard-rows")
+    stored = versions(spark, map_path)
+    if stored:  # a stored map's slots and shards are what they are
+        owner, _ = _owner(load_map(spark, map_path))
+        n_slots, n_shards = len(owner), max(owner) + 1
+    hot = hot_groups(light, n_shards)
+    if stored:
+        hot = sorted({*hot, *load_hot(spark, map_path, stored[-1])})
+    else:
+        store_map(spark, map_path, 1, [s % n_shards for s in range(n_slots)], [0] * n_slots, hot)
+    rows = placed(light, hot, n_slots)
+    lanes = written(rows.groupBy("virtual_slot", "lane").agg(F.sum("size").alias("b"), F.count("*").alias("n")), "shard-lanes")
     slot_bytes = [0] * n_slots
-    for r in lanes:
-        slot_bytes[r["virtual_slot"]] += r["b"]
-    first = [s % n_shards for s in range(n_slots)]
-    second = rebalance(slot_bytes, first, n_shards)
-    third = grow(slot_bytes, second, n_shards)
-    used, starts = [0] * n_shards, []
-    for r in sorted(lanes, key=lambda r: (r["virtual_slot"], r["lane"])):
-        shard = second[r["virtual_slot"]]
-        starts.append((r["virtual_slot"], r["lane"], shard, used[shard]))
-        used[shard] += r["n"]
-    start = spark.createDataFrame(starts, "virtual_slot int, lane int, shard int, start long")
-    number = F.expr("row_number() OVER (PARTITION BY virtual_slot, lane ORDER BY doc_id, th)")
-    rows = (
-        placed.withColumn("n", number)
-        .join(F.broadcast(start), ["virtual_slot", "lane"])  # n_slots * N_LANES rows at most
-        .select("doc_id", "size", "text_crc32", "virtual_slot", "shard", (F.col("start") + F.col("n") - 1).cast("long").alias("slot"))
-    )
-    return rows, slot_map(spark, {1: first, 2: second, 3: third}, slot_bytes)
+    for r in lanes.groupBy("virtual_slot").agg(F.sum("b").alias("b")).collect():  # n_slots rows at most
+        slot_bytes[r["virtual_slot"]] = r["b"]
+    version = rebalance_map(spark, map_path, slot_bytes, hot, n_shards)
+    return assigned(rows, lanes, load_map(spark, map_path, version))
 
 
 def op6_sharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows, _ = shard_rows(docs)
+    rows = shard_rows(docs, new_path(spark, "shard-map"))
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot"
     )
