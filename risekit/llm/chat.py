@@ -38,9 +38,8 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
         .join(offset, ranged["conv_id"].eqNullSafe(offset["c"]) & (ranged["piece"] == offset["p"]))
         .withColumn("pos", (F.col("offset") + F.col("i")).cast("long"))
     )
-    hashed = placed.select(
-        "conv_id", "piece", "pos", "role", "text", F.xxhash64("pos", "role", "text").alias("x1"), F.xxhash64(F.lit("second"), "pos", "role", "text").alias("x2")
-    )
+    turn = ["pos", F.isnull("role"), "role", F.isnull("text"), "text"]  # a hash passes over nulls, so they are named
+    hashed = placed.select("conv_id", "piece", "pos", "role", "text", F.xxhash64(*turn).alias("x1"), F.xxhash64(F.lit("second"), *turn).alias("x2"))
     hashed = written(hashed, "chat-hashed")
     totals = hashed.groupBy("conv_id", "piece").agg(F.expr("bit_xor(x1)").alias("x1"), F.expr("bit_xor(x2)").alias("x2"))
     carried = totals.select(
@@ -60,7 +59,8 @@ def collapse_snapshots(conversations: DataFrame) -> DataFrame:
 
     Rows that repeat (conv_id, turn, role, text) are one turn. Turns are ordered by (turn, role,
     text), nulls first, so ties are defined. Rows with a null conv_id are one conversation. A null
-    role or text differs from an empty one. An empty table gives an empty result.
+    role or text differs from an empty one, and a null role before a text from that text as the role
+    of a null. Other columns are not read. An empty table gives an empty result.
     """
     turns = conversations.select("conv_id", "turn", "role", "text").distinct()
     hashed = written(prefix_hashes(turns), "chat-prefixes")

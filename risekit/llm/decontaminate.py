@@ -240,12 +240,14 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_spans(docs: DataFrame, phrases: Phrases, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs with n_words, spans (word start and end, merged) and items added to those it has already."""
+def find_spans(docs: DataFrame, phrases: Phrases, text_col: str = "text", keep: list[str] | None = None, before: bool = False) -> DataFrame:
+    """docs with n_words, spans (word start and end, merged) and items, in place of columns of these names.
+
+    before: docs is the result of another pass, whose spans and items are added to.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(phrases)  # BLOCK_BYTES of text at most
     added = ["n_words", "spans", "items"]
-    before = {"spans", "items"} <= set(docs.columns)
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in added]
     extra = [c for c in dict.fromkeys([text_col, *(("spans", "items") if before else ())]) if c not in kept]
     source = docs.select(*[F.col(f"`{c}`") for c in [*kept, *extra]])
     fields = [source.schema[c] for c in kept]
@@ -299,7 +301,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     without words have none. Spans are the merged word ranges inside occurrences, items the sorted
     ids of items with an occurring window (a null id isn't listed, its windows count). The
     benchmark is searched in blocks of bounded size, one pass over the documents each. A null text
-    has no words; repeated rows get equal results; nothing is shuffled or dropped.
+    has no words; repeated rows get equal results; nothing is shuffled or dropped. Columns of docs
+    named n_words, spans or items are replaced, all others come through.
     """
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
@@ -307,7 +310,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     for b in range(blocks):
         rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).select("item_id", "text").collect()
         last = b == blocks - 1
-        out = find_spans(out, Phrases([(r["item_id"], r["text"]) for r in rows]), text_col, keep if last else None)
+        out = find_spans(out, Phrases([(r["item_id"], r["text"]) for r in rows]), text_col, keep if last else None, before=b > 0)
     return out
 
 

@@ -1,6 +1,6 @@
 """Line dedup: lines that many documents share lose all their occurrences.
 
-Lines are exploded with their position and a hash of their normalised form; documents are
+Lines are exploded once, with their position and a hash of their normalised form; documents are
 counted per hash, hashes over the threshold are joined back to the (light) line rows, and each
 document is rebuilt from its own text and the positions it loses. Texts cross the network once.
 """
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from risekit.functions.once import once
-from risekit.llm.common import ascii_lower
+from risekit.llm.common import ascii_lower, written
 
 #: A line is boilerplate from so many documents on, if its key has so many code points.
 MIN_DOCS = 10
@@ -36,8 +36,9 @@ def dedup_lines(
     A line's key is the line stripped of ASCII white space with A-Z lower-cased. Keys of at least
     min_chars code points found in at least min_docs documents (distinct ids; rows with a null id
     count as one document) lose all their lines. Rows may repeat an id,
-    with the same text or another. A null or empty text is
-    one empty line, which is never lost; its result is the empty text.
+    with the same text or another, and are of any type. A null or empty text is
+    one empty line, which is never lost; its result is the empty text. Columns of docs named n_lines
+    or n_dropped are replaced, all others come through.
 
     Keys are compared by two 64-bit hashes of their bytes. A key in a third of all documents is
     pre-aggregated before the shuffle, and its line rows are salted over 32 partitions.
@@ -45,14 +46,15 @@ def dedup_lines(
     salts = 32
     rest = [c for c in docs.columns if c.lower() not in {"n_lines", "n_dropped"}]
     version = F.xxhash64(F.col(text_col))
-    lines = (
+    exploded = (
         docs.select(F.col(id_col).alias("id"), version.alias("v"), F.posexplode(text_lines(ascii_lower(F.col(text_col)))).alias("pos", "line"))
         .select("id", "v", "pos", F.btrim("line", F.lit(BLANKS)).alias("key"))
         .where(F.char_length("key") >= min_chars)
         .select("id", "v", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     )
+    lines = written(exploded, "line-hashes")
     common = (
-        lines.select("h1", "h2", F.coalesce("id", F.lit(-1)).alias("id"), F.col("id").isNull().alias("none"))
+        lines.select("h1", "h2", "id")
         .distinct()
         .groupBy("h1", "h2")
         .count()

@@ -27,6 +27,7 @@ def test_against_brute_force(spark):
     rows += [(c, i, "user", f"{c}") for c in range(30, 40) for i in range(3)]
     rows += rows[:20]  # repeated rows
     rows += [(50, 1, "user", "tie b"), (50, 1, "user", "tie a"), (50, None, "system", None), (None, 0, "user", "x"), (None, 1, None, None)]
+    rows += [(60, 0, None, "x"), (61, 0, "x", None), (62, 0, "", "x"), (63, 0, "x", ""), (64, 0, None, "x"), (64, 1, None, None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
     want = brute(rows)
     got = defaultdict(list)

@@ -98,6 +98,14 @@ def test_spans_are_cut_out(spark, documents):
     assert out == {1: "é Keep () rest.", 2: "nothing here", 3: None, 4: ""}
 
 
+def test_clashing_columns_are_replaced(spark, documents, monkeypatch):
+    monkeypatch.setattr(d, "BLOCK_BYTES", 12)  # several passes
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "gamma delta")], "item_id long, text string")
+    df = documents([(1, "x alpha beta gamma delta")]).selectExpr("*", "'a' AS spans", "'b' AS Items", "array('c') AS n_words", "1 AS start")
+    (r,) = d.contaminated(df, bench).collect()
+    assert (r["n_words"], [tuple(s) for s in r["spans"]], r["items"], r["start"], r["text"]) == (5, [(1, 5)], [1, 2], 1, "x alpha beta gamma delta")
+
+
 def test_no_rows(spark, documents):
     none = spark.createDataFrame([], "item_id long, text string")
     assert d.contaminated(documents([]), none).count() == 0

@@ -22,6 +22,12 @@ def brute(rows, least=10):
     return sorted(out, key=str)
 
 
+def test_any_type_of_id(spark):
+    rows = [(f"id {i}", f"shared\nown {i}", "x") for i in range(10)]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id string, text string, n_lines string")).collect()
+    assert sorted((r["doc_id"], r["text"], r["n_lines"]) for r in got) == sorted((i, t[7:], 2) for i, t, _ in rows)
+
+
 def test_against_brute_force(documents):
     rows = [(i, f"Shared Line \nown {i}\n\n shared line\nÉtat\n{'x' * (i % 3)}") for i in range(12)]
     rows += [(100 + i, "nine docs") for i in range(9)] + [(200, "shared line"), (201, ""), (202, None), (203, "\n\n"), (204, "état\n shared line")]

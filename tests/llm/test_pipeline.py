@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as cp
+from pyspark.sql import functions as F
+
 from risekit.llm import bpe
-from risekit.llm.common import written
+from risekit.llm.common import new_path, written
 
 SF = "/root/testdata/sf0.001"
 
@@ -73,6 +75,33 @@ def test_ids_decode(spark, stages):
         assert r["decoded"] == t.decode(bytes(r["ids"]))
 
 
+CLASHES = ["document", "_", "kept", "hash", "repeated", "n_lines", "n_dropped", "score", "predicted", "spans", "items", "n_words", "class", "text_hash", "sid", "key", "id", "pos", "with.dot"]
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_nulls_repeats_and_clashing_columns(spark, documents, empty):
+    passage = " ".join(f"b{i}" for i in range(30))
+    rows = [(1, None), (1, None), (None, None), (2, ""), (None, "some words of a text"), (3, "own words " * 20), (3, "own words " * 20), (4, "common line\n" + passage)]
+    rows += [(10 + i, f"common line\ntext {i} of its own") for i in range(12)] + [(40, "word " * 30_000)]
+    docs = documents([] if empty else rows)
+    for i, c in enumerate(CLASHES):
+        docs = docs.withColumn(c, F.lit(f"own {i}"))
+    folder = new_path(spark, "test-tables")
+    spark.createDataFrame([(3, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(7, passage), (None, ""), (8, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for name, stage in cp.STAGES:
+        out = written(stage(spark, docs, folder), "test-stage")
+        if name != "BPE":
+            assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+            for r in out.collect():
+                assert [r[c] for c in CLASHES] == [f"own {i}" for i in range(len(CLASHES))]
+        elif not empty:
+            assert out.count() == docs.count() > 10
+        docs = out if name != "BPE" else docs
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert texts == {} if empty else (texts[4] == "" and all("common line" not in (t or "") for t in texts.values()) and {1, 2, 3, 4, 40, None} <= set(texts))
+
+
 def test_run(spark, stages):
     got = sorted(map(str, cp.run(spark, SF).collect()))
     assert got == sorted(map(str, stages[5].collect()))
