@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages from raw documents to token ids.
 
 Each stage is written as Parquet in the shared folder and read again as the next one's documents.
-All but the last return the columns of documents; n_chars follows a text that a stage changes.
+All but the last return the columns of documents, whatever they are called; n_chars follows a text
+that a stage changes. A null text counts as an empty one. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -16,22 +17,28 @@ from risekit.llm.common import table, written
 ORACLE_SQL = None
 
 
-def _with_lengths(docs: DataFrame, like: DataFrame) -> DataFrame:
-    """docs in the columns of like, with n_chars taken from the text where there is such a column."""
-    if "n_chars" in like.columns:
-        docs = docs.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(like.schema["n_chars"].dataType))
-    return docs.select(*like.columns)
+def _packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, document): all other columns in one, so that none clashes with a column that an operator adds."""
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("first"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]).alias("document"))
+
+
+def _unpacked(packed: DataFrame, like: DataFrame, changed: bool = False) -> DataFrame:
+    """packed in the columns of like; where texts have changed, n_chars (if there is such a column) is taken from them."""
+    cells = {c: F.col(c if c in ("doc_id", "text") else f"document.c{i}").alias(c) for i, c in enumerate(like.columns)}
+    if changed and "n_chars" in cells:
+        cells["n_chars"] = F.coalesce(F.char_length("text"), F.lit(0)).cast(like.schema["n_chars"].dataType).alias("n_chars")
+    return packed.select(*cells.values())
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go; it learns from the labels of rows not held out."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return _unpacked(toxicity.score(_packed(docs), model).where("predicted = 0"), docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that at least ten documents share go; documents stay, a text may become empty."""
-    return _with_lengths(line_dedup.dedup_lines(docs), docs)
+    return _unpacked(line_dedup.dedup_lines(_packed(docs)), docs, changed=True)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,15 +53,15 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     first = counted.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "n")).alias("row"))
     leaders = first.select(F.col("row.doc_id").alias("kept"), F.col("row.text_hash").alias("hash"), (F.col("row.n") > 1).alias("repeated"))
     wordless = rows.where("class IS NULL").select("doc_id", "text_hash", F.lit(False)).distinct()
-    stay = docs.join(leaders.union(wordless), docs["doc_id"].eqNullSafe(F.col("kept")) & (F.xxhash64(docs["text"]) == F.col("hash")))
-    once, again = stay.where("NOT repeated").select(*docs.columns), stay.where("repeated").select(*docs.columns)
-    return once.union(again.dropDuplicates(["doc_id", "text"]))
+    stay = _packed(docs).join(leaders.union(wordless), F.col("doc_id").eqNullSafe(F.col("kept")) & (F.xxhash64("text") == F.col("hash")))
+    once, again = stay.where("NOT repeated"), stay.where("repeated").dropDuplicates(["doc_id", "text"])
+    return _unpacked(once.union(again), docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out of the texts; documents stay, a text may become empty."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return _with_lengths(decontaminate.cut_spans(found), docs)
+    found = decontaminate.contaminated(_packed(docs), table(spark, sf_dir, "benchmark"))
+    return _unpacked(decontaminate.cut_spans(found), docs, changed=True)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
