@@ -9,11 +9,15 @@ from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under spark.checkpoint.dir, deleted when the application ends."""
+    """A fresh path, deleted when the application ends: under spark.checkpoint.dir, where that is unset under the warehouse.
+
+    On one machine (master local) without that setting it is under the machine's temporary folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="rise-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context = spark.sparkContext
+        alone = context.master == "local" or context.master.startswith("local[")
+        base = f"{tempfile.gettempdir() if alone else spark.conf.get('spark.sql.warehouse.dir')}/rise-{context.applicationId}"
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
