@@ -39,7 +39,7 @@ LONG_RUN = 32
 #: Cost of a signature that is likely to meet by chance, against that of a row.
 CHANCE_COST = 8
 #: Members and n-grams of a block in which a long run's sets are verified against each other.
-BLOCK_ROWS, BLOCK_GRAMS = 1024, 1 << 20
+BLOCK_ROWS, BLOCK_GRAMS = 512, 1 << 18
 #: A table of ids is broadcast up to so many rows.
 BROADCAST_ROWS = 500_000
 #: Rows of one key, and pairs of one set, that a task gets where they join a row of that key.
