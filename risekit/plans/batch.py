@@ -10,71 +10,120 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from risekit.options import AnalysisOptions
-from risekit.plans.fold import State, take
-from risekit.plans.sigmoid import fit
+from risekit.plans.fold import NO_TIME, take_rows
+from risekit.plans.sigmoid import fit_many
 from risekit.schemas import READING_FIELDS
 
 FIELDS = [f.split()[0] for f in READING_FIELDS.split(", ")]
 TIMES = ("peak_eta", "session_start")
+#: Samples of whole series that are fitted together.
+SERIES_SAMPLES = 200_000
 
 
-def reading_rows(series: list, times: list[int], heights: list, kinds: list, states: dict, options: AnalysisOptions) -> dict[str, list]:
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970; NO_TIME for null."""
+    return F.coalesce(F.unix_micros(ts.cast("timestamp")), F.lit(NO_TIME))
+
+
+def reading_frame(series: list, times: list[int], heights: list, kinds: list, states: dict, options: AnalysisOptions) -> pd.DataFrame:
     """Columns of the readings of rows in order; states is by series and is updated."""
-    out: dict[str, list] = {f: [] for f in FIELDS}
-    for s, t, h, k in zip(series, times, heights, kinds):
-        state = states.get(s)
-        if state is None:
-            state = states[s] = State()
-        r = take(state, t, None if h is None or h != h else h, k, options)
-        for f in FIELDS:
-            out[f].append(getattr(r, f))
-    return out
-
-
-def to_frame(out: dict[str, list]) -> pd.DataFrame:
-    frame = pd.DataFrame({f: pd.Series(v, dtype="object" if f not in TIMES else None) for f, v in out.items()})
+    rows = [(s, t, None if h is None or h != h else h, k) for s, t, h, k in zip(series, times, heights, kinds)]
+    readings = take_rows(rows, states, options)
+    frame = pd.DataFrame({f: pd.Series([getattr(r, f) for r in readings], dtype="object" if f not in TIMES else None) for f in FIELDS})
     for f in TIMES:
-        frame[f] = pd.to_datetime(pd.Series(out[f], dtype="Int64"), unit="us")
+        frame[f] = pd.to_datetime(pd.Series([getattr(r, f) for r in readings], dtype="Int64"), unit="us")
     for f in ("rise_percent", "rise_rate", "predicted_peak_percent", "smoothed", "rise_raw"):
         frame[f] = frame[f].astype("float64")
     return frame
 
 
+def _ordered(measurements: DataFrame, keep: list[str], kind: Column | None) -> DataFrame:
+    """keep, and series, time, height and kind as __s, __us, __h, __kind: in order within partitions that hold whole series."""
+    source = measurements.withColumn("__us", micros(F.col("ts"))).withColumn("__kind", kind if kind is not None else F.lit(None).cast("string"))
+    rows = source.select(*keep, F.col("series_id").alias("__s"), "__us", F.col("height").cast("double").alias("__h"), "__kind")
+    return rows.repartition("__s").sortWithinPartitions("__s", "__us", *keep)
+
+
+def _take(frame: pd.DataFrame, states: dict, options: AnalysisOptions) -> pd.DataFrame:
+    return reading_frame(frame["__s"].tolist(), frame["__us"].tolist(), frame["__h"].tolist(), frame["__kind"].tolist(), states, options)
+
+
 def readings(measurements: DataFrame, options: AnalysisOptions, keep: list[str] | None = None, kind: Column | None = None) -> DataFrame:
     """Readings of rows (series_id, ts, height): the columns in keep, and those of READING_FIELDS.
 
-    Every row in gives a row out; rejected ones have a status that starts with no_reading. Rows of a
-    series are taken in order of ts, then of keep. A partition is sorted and streamed, and holds the
-    state of one session at a time, so a series of any length takes bounded memory.
+    Every row in gives a row out; rejected ones have a status that starts with no_reading, as do
+    rows without a time, which come first and leave their series alone. Rows of a series are taken
+    in order of ts, then of keep. A partition is sorted and streamed, and holds the state of one
+    session at a time and a batch's rows, so a series of any length takes bounded memory.
     """
     keep = ["series_id", "ts"] if keep is None else keep
-    source = measurements.withColumn("__us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("__kind", kind if kind is not None else F.lit(None).cast("string"))
-    rows = source.select(*keep, F.col("series_id").alias("__s"), "__us", F.col("height").cast("double").alias("__h"), "__kind")
-    rows = rows.repartition("__s").sortWithinPartitions("__s", "__us", *keep)
+    rows = _ordered(measurements, keep, kind)
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(f"{c} {types[c]}" for c in keep) + ", " + READING_FIELDS
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         states: dict = {}
         for frame in frames:
-            series = frame["__s"].tolist()
-            out = to_frame(reading_rows(series, frame["__us"].tolist(), frame["__h"].tolist(), frame["__kind"].tolist(), states, options))
-            if series:
-                states = {series[-1]: states[series[-1]]}  # series come one after the other
+            out = _take(frame, states, options)
+            if len(frame):
+                last = frame["__s"].iloc[-1]
+                states = {last: states[last]}  # series come one after the other
             yield pd.concat([frame[keep].reset_index(drop=True), out], axis=1)
 
     return rows.mapInPandas(run, schema)
 
 
+def final_states(measurements: DataFrame, options: AnalysisOptions, kind: Column | None = None) -> DataFrame:
+    """(series_id, state): what the fold knows of each series after its last row, as the JSON that a stream starts from."""
+    series = measurements.schema["series_id"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        states: dict = {}
+        for frame in frames:
+            _take(frame, states, options)
+            if len(frame):
+                last = frame["__s"].iloc[-1]
+                done = {s: state for s, state in states.items() if s != last}
+                states = {last: states[last]}
+                yield pd.DataFrame({"series_id": list(done), "state": [s.dumps() for s in done.values()]})
+        yield pd.DataFrame({"series_id": list(states), "state": [s.dumps() for s in states.values()]})
+
+    return _ordered(measurements, [], kind).mapInPandas(run, f"series_id {series}, state string")
+
+
 def final_fits(measurements: DataFrame) -> DataFrame:
-    """(series_id, limit, rate, middle, relative_error, samples): a logistic for each series' (ts, value) rows, null without one."""
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("us")
-        hours = frame["us"].to_numpy(np.float64) / 3_600_000_000
-        f = fit(hours - hours[0], frame["value"].to_numpy(np.float64))
-        row = [key[0], f.limit, f.rate, f.middle, f.relative_error, len(frame)] if f else [key[0], None, None, None, None, len(frame)]
-        return pd.DataFrame([row], columns=["series_id", "limit", "rate", "middle", "relative_error", "samples"])
+    """(series_id, limit, rate, middle, relative_error, samples): a logistic for each series' (ts, value) rows, null without one.
 
+    Partitions are sorted and streamed; series are fitted many at once. A fit needs all samples of
+    its series at a time, 16 bytes each. Rows without a time or a value are not fitted.
+    """
     kind = measurements.schema["series_id"].dataType.simpleString()
-    rows = measurements.select("series_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "value")
-    return rows.groupBy("series_id").applyInPandas(run, f"series_id {kind}, limit double, rate double, middle double, relative_error double, samples long")
+    rows = measurements.select("series_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("value").cast("double").alias("value"))
+    rows = rows.repartition("series_id").sortWithinPartitions("series_id", "us", "value")
+
+    def fitted(held: list[pd.DataFrame]) -> pd.DataFrame:
+        names, hours, values = [], [], []
+        for name, group in pd.concat(held).groupby("series_id", sort=False, dropna=False):
+            group = group.dropna(subset=["us", "value"])
+            names.append(name)
+            hours.append(group["us"].to_numpy(np.float64) / 3_600_000_000)
+            values.append(group["value"].to_numpy(np.float64))
+        fits = [(f.limit, f.rate, f.middle, f.relative_error) if f else (None,) * 4 for f in fit_many(hours, values)]
+        return pd.DataFrame([(s, *f, len(v)) for s, f, v in zip(names, fits, values)], columns=["series_id", "limit", "rate", "middle", "relative_error", "samples"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for frame in frames:
+            if not len(frame):
+                continue
+            last = frame["series_id"].eq(frame["series_id"].iloc[-1]) | (frame["series_id"].isna() & pd.isna(frame["series_id"].iloc[-1]))
+            first = int(np.flatnonzero(last)[0])  # the last series may go on in the next frame
+            held.append(frame[:first])
+            if sum(map(len, held)) >= SERIES_SAMPLES and first:
+                yield fitted(held)
+                held = []
+            held.append(frame[first:])
+        if held:
+            yield fitted(held)
+
+    return rows.mapInPandas(run, f"series_id {kind}, limit double, rate double, middle double, relative_error double, samples long")

@@ -1,25 +1,32 @@
 """The per-series fold: measurements in order of time, one state, one reading or none for each.
 
 Gates, sessions, collapses and the peak latch depend on which earlier rows were accepted, so no
-window expresses them. The state holds one session at most, whose length the options bound, and is
-shared by the batch and the streaming plan.
+window expresses them. Gates and sessions don't depend on fits: rows are first taken into their
+sessions, and what a fit decides is filled in afterwards, with the fits of many sessions at once.
+The state holds one session at most, whose length the options bound, and is shared by the batch and
+the streaming plan.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field, replace
 from statistics import median
 
 import numpy as np
 
 from risekit.options import AnalysisOptions
-from risekit.plans.sigmoid import Fit, fit
+from risekit.plans.sigmoid import Fit, descend, first_start, fittable, sound
 
 US_PER_MINUTE, US_PER_HOUR = 60_000_000, 3_600_000_000
 #: A fit whose peak lies further off has no peak time.
 MAX_ETA_HOURS = 1_000_000
+#: Stands for a null time.
+NO_TIME = -(1 << 63)
+#: Rows of each session whose fits are prepared together.
+FIT_ROWS = 32
 
 
 @dataclass
@@ -78,14 +85,33 @@ class Reading:
     rise_raw: float | None = None
 
 
+@dataclass(frozen=True)
+class Draft:
+    """A sample of a session, whose fit and peak are still to be decided."""
+
+    samples: list[tuple[int, float]]  # the session's; count of them up to this one
+    count: int
+    session_start: int
+    smoothed: float
+    rise: float
+    slope: float | None
+    flat: bool  # the last slopes are
+    top: float  # the largest rise so far, where they are
+
+
 def rounded(x: float, low: float, high: float, digits: int) -> float:
     return x if math.isnan(x) else round(min(max(x, low), high), digits)
 
 
 def _slope(samples: list[tuple[int, float]], now: int, minutes: float) -> float | None:
-    window = [(t, r) for t, r in samples if (now - t) / US_PER_MINUTE <= minutes]
+    window = []
+    for t, r in reversed(samples):
+        if (now - t) / US_PER_MINUTE > minutes:
+            break
+        window.append((t, r))
     if len(window) < 4:
         return None
+    window.reverse()
     x = np.array([(t - window[0][0]) / US_PER_HOUR for t, _ in window])
     y = np.array([r for _, r in window])
     dx = x - x.mean()
@@ -99,9 +125,15 @@ def reset(state: State, now: int) -> Reading:
     return Reading("ok", rise_percent=0.0, new_session=True)
 
 
-def step(state: State, time: int, height: float | None, options: AnalysisOptions) -> Reading:
-    """Take a measurement into the state. status is ok, or no_reading with the reason after a colon."""
+def advance(state: State, time: int, height: float | None, options: AnalysisOptions) -> Reading | Draft:
+    """Take a measurement into the state: a reading where no fit matters, else a draft.
+
+    status is ok, or no_reading with the reason after a colon. A row without a time or a
+    measurement leaves the state alone.
+    """
     o = options
+    if time == NO_TIME:
+        return Reading("no_reading:time")
     if height is None:
         return Reading("no_reading:measurement")
     expired = bool(state.samples) and (time - state.session_start) / US_PER_HOUR > o.max_session_hours
@@ -133,39 +165,107 @@ def step(state: State, time: int, height: float | None, options: AnalysisOptions
     slope = _slope(state.samples, time, o.slope_window_minutes)
     if slope is not None:
         state.slopes.append((time, slope))
-    found = None
-    if not state.peaked and len(state.samples) >= o.min_samples_for_fit:
-        hours = np.array([t for t, _ in state.samples], np.float64) / US_PER_HOUR
-        found = fit(hours - hours[0], np.array([r for _, r in state.samples]), state.last_fit)
-        if found is not None and found.relative_error > o.max_eta_relative_std_error:
-            found = None
-    if found is not None:
-        state.last_fit = found
     n = o.peak_confirm_windows
-    if slope is not None and not state.peaked and len(state.slopes) >= n and all(s <= o.flat_slope_percent_per_hour for _, s in state.slopes[-n:]):
-        top = max(r for _, r in state.samples)
-        state.peaked = (found is not None and top >= found.limit * o.peak_fraction) or top >= o.min_rise_percent_for_peak
+    flat = slope is not None and not state.peaked and len(state.slopes) >= n and all(s <= o.flat_slope_percent_per_hour for _, s in state.slopes[-n:])
+    top = max(r for _, r in state.samples) if flat else math.nan
+    return Draft(state.samples, len(state.samples), state.session_start, smoothed, rise, slope, flat, top)
+
+
+def judged(draft: Draft, found: Fit | None, peaked: bool, options: AnalysisOptions) -> Reading:
+    """The reading of a draft, given its fit and whether its session had its peak before."""
+    o = options
+    if draft.flat and not peaked:
+        peaked = (found is not None and draft.top >= found.limit * o.peak_fraction) or draft.top >= o.min_rise_percent_for_peak
     eta = None
     if found is not None:
         hours = found.hours_at_fraction(o.peak_fraction)
         if abs(hours) <= MAX_ETA_HOURS:
-            eta = state.session_start + round(hours * US_PER_HOUR)
+            eta = draft.session_start + round(hours * US_PER_HOUR)
     return Reading(
         "ok",
-        rise_percent=rounded(rise, 0.0, 500.0, 1),
-        rise_rate=None if slope is None else rounded(slope, -100.0, 500.0, 1),
+        rise_percent=rounded(draft.rise, 0.0, 500.0, 1),
+        rise_rate=None if draft.slope is None else rounded(draft.slope, -100.0, 500.0, 1),
         predicted_peak_percent=None if found is None else rounded(found.limit * o.peak_fraction, 0.0, 500.0, 0),
         peak_eta=eta,
-        peaked=state.peaked,
-        session_start=state.session_start,
-        smoothed=smoothed,
-        rise_raw=rise,
+        peaked=peaked,
+        session_start=draft.session_start,
+        smoothed=draft.smoothed,
+        rise_raw=draft.rise,
     )
 
 
-def take(state: State, time: int, height: float | None, kind: str | None, options: AnalysisOptions) -> Reading:
-    """A measurement, or a control row of kind reset."""
-    return reset(state, time) if kind == "reset" else step(state, time, height, options)
+class _Session:
+    """The drafts of one session, what was known before the first, and its samples as arrays."""
+
+    def __init__(self, state: State):
+        self.state, self.samples = state, state.samples
+        self.peaked, self.last_fit = state.peaked, state.last_fit
+        self.drafts: list[tuple[int, Draft]] = []
+
+    def ready(self) -> None:
+        self.hours = np.array([t for t, _ in self.samples], np.float64) / US_PER_HOUR
+        self.hours -= self.hours[0]
+        self.values = np.array([r for _, r in self.samples])
+
+    def wanted(self, i: int, options: AnalysisOptions) -> int:
+        """Samples to fit for the i-th draft; 0 for none."""
+        if self.peaked or i >= len(self.drafts):
+            return 0
+        n = self.drafts[i][1].count
+        return n if n >= options.min_samples_for_fit and fittable(self.values[:n]) else 0
+
+
+def take_rows(rows: Sequence[tuple], states: dict, options: AnalysisOptions) -> list[Reading]:
+    """Readings of rows (series, time, height, kind) in order; states is by series and is updated.
+
+    Sessions go side by side: the first fits of all, then the second ones, and so on, as a fit
+    starts from the one before and ends with the peak.
+    """
+    out: list[Reading | None] = [None] * len(rows)
+    sessions: dict[int, _Session] = {}
+    for i, (series, time, height, kind) in enumerate(rows):
+        state = states.get(series)
+        if state is None:
+            state = states[series] = State()
+        r = reset(state, time) if kind == "reset" else advance(state, time, height, options)
+        if isinstance(r, Draft):
+            if id(r.samples) not in sessions:  # the drafts keep the list alive
+                sessions[id(r.samples)] = _Session(state)
+            sessions[id(r.samples)].drafts.append((i, r))
+        else:
+            out[i] = r
+    fitting = [s for s in sessions.values() if not s.peaked and s.drafts[-1][1].count >= options.min_samples_for_fit]
+    for s in fitting:
+        s.ready()
+    for begin in range(0, max((len(s.drafts) for s in sessions.values()), default=0), FIT_ROWS):
+        steps = range(begin, begin + FIT_ROWS)
+        lanes = [(s, i, n) for s in fitting for i in steps if (n := s.wanted(i, options))]
+        first = descend([first_start(s.hours[:n], s.values[:n]) for s, _, n in lanes], [s.hours[:n] for s, _, n in lanes], [s.values[:n] for s, _, n in lanes])
+        found = {(id(s), i): [r] for (s, i, _), r in zip(lanes, first)}
+        for i in steps:
+            again = [(s, n) for s in fitting if s.last_fit is not None and (n := s.wanted(i, options))]
+            warm = descend([(s.last_fit.limit, s.last_fit.rate, s.last_fit.middle) for s, _ in again], [s.hours[:n] for s, n in again], [s.values[:n] for s, n in again])
+            for (s, _), r in zip(again, warm):
+                found[id(s), i].append(r)
+            for s in sessions.values():
+                if i >= len(s.drafts):
+                    continue
+                row, draft = s.drafts[i]
+                best = None if s.peaked else sound(found.get((id(s), i), []), draft.count)
+                if best is not None and best.relative_error > options.max_eta_relative_std_error:
+                    best = None
+                s.last_fit = best or s.last_fit
+                out[row] = judged(draft, best, s.peaked, options)
+                s.peaked = out[row].peaked
+    for s in sessions.values():
+        if s.state.samples is s.samples:
+            s.state.peaked, s.state.last_fit = s.peaked, s.last_fit
+    return out
+
+
+def step(state: State, time: int, height: float | None, options: AnalysisOptions) -> Reading:
+    """Take one measurement into a state."""
+    return take_rows([(0, time, height, None)], {0: state}, options)[0]
 
 
 def restored(state: State, options: AnalysisOptions, now: int) -> State:

@@ -1,13 +1,20 @@
-"""Logistic growth fit by Nelder-Mead on the sum of squared errors."""
+"""Logistic growth fits by Nelder-Mead on the sum of squared errors, many at once.
+
+A fit is a lane of numpy arrays: all lanes of a batch take their steps together, and lanes that have
+settled leave it. What a lane finds doesn't depend on the others.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 
 TOLERANCE, MAX_ITERATIONS, MAX_LIMIT = 1e-8, 5000, 500.0
+#: Samples, padding included, that a batch of lanes holds.
+LANE_CELLS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -21,70 +28,120 @@ class Fit:
         return self.middle - math.log(1.0 / fraction - 1.0) / self.rate
 
 
-def squared_error(p: np.ndarray, hours: np.ndarray, value: np.ndarray) -> float:
-    """The objective; out of bounds it is the largest double."""
-    if p[0] <= 0 or p[1] <= 0:
-        return math.inf
-    with np.errstate(over="ignore"):
-        error = p[0] / (1.0 + np.exp(-p[1] * (hours - p[2]))) - value
-    return float(error @ error)
-
-
-def nelder_mead(f, start: np.ndarray) -> tuple[np.ndarray, float]:
-    """Minimum of f near start: a simplex that reflects, expands, contracts and shrinks."""
-    n = len(start)
-    points = [start] + [start + np.eye(n)[i] * (0.05 * start[i] if start[i] else 0.00025) for i in range(n)]
-    simplex = sorted(((f(p), i, p) for i, p in enumerate(points)), key=lambda x: x[:2])
-    serial = n + 1
-    for _ in range(MAX_ITERATIONS):
-        best, worst = simplex[0][0], simplex[-1][0]
-        if math.isfinite(worst) and 2 * abs(worst - best) <= TOLERANCE * (abs(worst) + abs(best) + 1e-10):
-            break
-        centre = np.mean([p for _, _, p in simplex[:-1]], axis=0)
-        away = centre - simplex[-1][2]
-
-        def put(p: np.ndarray, value: float) -> None:
-            nonlocal serial
-            simplex[-1] = (value, serial, p)
-            serial += 1
+def squared_errors(p: np.ndarray, hours: np.ndarray, value: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The objective of each lane (weight 0 pads a row); out of bounds it is infinite."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        error = (p[:, :1] / (1.0 + np.exp(-p[:, 1:2] * (hours - p[:, 2:]))) - value) * weight
+        total = np.einsum("ij,ij->i", error, error)
+    return np.where((p[:, 0] > 0) & (p[:, 1] > 0), total, np.inf)
+
 
+def nelder_mead(start: np.ndarray, hours: np.ndarray, value: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Points and errors of the minima near start (lanes, 3): simplexes that reflect, expand, contract and shrink."""
+    lanes, n = start.shape
+    x = np.repeat(start[:, None], n + 1, axis=1)
+    for i in range(n):
+        x[:, i + 1, i] += np.where(start[:, i] != 0, 0.05 * start[:, i], 0.00025)
+    f = np.stack([squared_errors(x[:, i], hours, value, weight) for i in range(n + 1)], axis=1)
+    points, errors = np.empty_like(start), np.empty(lanes)
+    lane = np.arange(lanes)  # which lanes the rows are
+    for step in range(MAX_ITERATIONS + 1):
+        # stable, and a new point stands last: of equal values the older goes first
+        order = np.argsort(f, axis=1, kind="stable")
+        f, x = np.take_along_axis(f, order, axis=1), np.take_along_axis(x, order[:, :, None], axis=1)
+        best, worst = f[:, 0], f[:, -1]
+        with np.errstate(invalid="ignore"):
+            done = np.isfinite(worst) & (2 * np.abs(worst - best) <= TOLERANCE * (np.abs(worst) + np.abs(best) + 1e-10))
+        if step == MAX_ITERATIONS:
+            done[:] = True
+        if done.any():
+            points[lane[done]], errors[lane[done]] = x[done, 0], best[done]
+            left = ~done
+            lane, x, f, hours, value, weight = lane[left], x[left], f[left], hours[left], value[left], weight[left]
+            if not len(lane):
+                break
+            best, worst = f[:, 0], f[:, -1]
+        centre = x[:, :-1].mean(axis=1)
+        away = centre - x[:, -1]
         p = centre + away
-        v = f(p)
-        if v < best:
-            q = centre + 2 * away
-            w = f(q)
-            put(*((q, w) if w < v else (p, v)))
-        elif v < simplex[-2][0]:
-            put(p, v)
-        else:
-            q = centre + (0.5 * away if v < worst else -0.5 * away)
-            w = f(q)
-            if w < min(v, worst):
-                put(q, w)
-            else:
-                low = simplex[0][2]
-                for i in range(1, n + 1):
-                    s = low + 0.5 * (simplex[i][2] - low)
-                    simplex[i] = (f(s), serial, s)
-                    serial += 1
-        simplex.sort(key=lambda x: x[:2])
-    return simplex[0][2], simplex[0][0]
+        v = squared_errors(p, hours, value, weight)
+        better, taken = v < best, v < f[:, -2]
+        again = np.flatnonzero(better | ~taken)
+        if len(again):
+            reach = np.where(better[again], 2.0, np.where(v[again] < worst[again], 0.5, -0.5))
+            q = centre[again] + reach[:, None] * away[again]
+            w = squared_errors(q, hours[again], value[again], weight[again])
+            use = np.where(better[again], w < v[again], w < np.minimum(v[again], worst[again]))
+            p[again[use]], v[again[use]] = q[use], w[use]
+            taken[again[use]] = True
+        x[taken, -1], f[taken, -1] = p[taken], v[taken]
+        small = np.flatnonzero(~taken)
+        if len(small):
+            for i in range(1, n + 1):
+                x[small, i] = x[small, 0] + 0.5 * (x[small, i] - x[small, 0])
+                f[small, i] = squared_errors(x[small, i], hours[small], value[small], weight[small])
+    return points, errors
 
 
-def fit(hours: np.ndarray, value: np.ndarray, before: Fit | None = None) -> Fit | None:
-    """Best logistic over hours since the first sample; None where there is too little to fit or none is sound."""
-    if len(value) < 5 or value.max() < 5:
-        return None
-    hours = hours - hours[0]
-    seeds = [np.array([max(1.5 * value.max(), 30.0), 1.0, max(float(hours[-1]), 1.0)])]
-    if before is not None:
-        seeds.append(np.array([before.limit, before.rate, before.middle]))
+def _padded(rows: Sequence[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(rows), max(map(len, rows))))
+    for i, r in enumerate(rows):
+        out[i, : len(r)] = r
+    return out
+
+
+def descend(starts: Sequence[Sequence[float]], hours: Sequence[np.ndarray], values: Sequence[np.ndarray]) -> list[tuple[np.ndarray, float]]:
+    """Nelder-Mead's (point, error) for each start and its samples, in batches of lanes of about one length."""
+    out: list = [None] * len(starts)
+    order = sorted(range(len(starts)), key=lambda i: -len(values[i]))
+    at = 0
+    while at < len(order):
+        lanes = order[at : at + max(1, LANE_CELLS // len(values[order[at]]))]
+        at += len(lanes)
+        weight = _padded([np.ones(len(values[i])) for i in lanes])
+        points, errors = nelder_mead(np.array([starts[i] for i in lanes], np.float64), _padded([hours[i] for i in lanes]), _padded([values[i] for i in lanes]), weight)
+        for i, p, e in zip(lanes, points, errors):
+            out[i] = (p, float(e))
+    return out
+
+
+def fittable(value: np.ndarray) -> bool:
+    return len(value) >= 5 and bool(value.max() >= 5)
+
+
+def first_start(hours: np.ndarray, value: np.ndarray) -> tuple[float, float, float]:
+    return max(1.5 * float(value.max()), 30.0), 1.0, max(float(hours[-1]), 1.0)
+
+
+def sound(found: Sequence[tuple[np.ndarray, float]], samples: int) -> Fit | None:
+    """The best of what several starts found, of those within bounds."""
     best, least = None, math.inf
-    for seed in seeds:
-        p, error = nelder_mead(lambda x: squared_error(x, hours, value), seed)
-        sound = p[0] > 0 and p[1] > 0 and p[0] <= MAX_LIMIT and not np.isnan(p).any()
-        if sound and error < least:
+    for p, error in found:
+        if p[0] > 0 and p[1] > 0 and p[0] <= MAX_LIMIT and not np.isnan(p).any() and error < least:
             best, least = p, error
-    if best is None:
-        return None
-    return Fit(float(best[0]), float(best[1]), float(best[2]), math.sqrt(least / len(value)) / float(best[0]))
+    return None if best is None else Fit(float(best[0]), float(best[1]), float(best[2]), math.sqrt(least / samples) / float(best[0]))
+
+
+def fit_many(hours: Sequence[np.ndarray], values: Sequence[np.ndarray], before: Sequence[Fit | None] | None = None) -> list[Fit | None]:
+    """Best logistics, each over hours since its first sample; None where there is too little to fit or none is sound.
+
+    A fit starts from the samples' own range and, where there is one, from the fit before.
+    """
+    before = [None] * len(values) if before is None else before
+    starts, lanes, at = [], [], []
+    for i, (h, v) in enumerate(zip(hours, values)):
+        if fittable(v):
+            h = h - h[0]
+            for s in [first_start(h, v)] + ([] if before[i] is None else [(before[i].limit, before[i].rate, before[i].middle)]):
+                starts.append(s)
+                lanes.append((h, v))
+                at.append(i)
+    found: list[list] = [[] for _ in values]
+    for i, r in zip(at, descend(starts, [h for h, _ in lanes], [v for _, v in lanes])):
+        found[i].append(r)
+    return [sound(f, len(v)) for f, v in zip(found, values)]
+
+
+def fit(hours: np.ndarray, value: np.ndarray, before: Fit | None = None) -> Fit | None:
+    """fit_many of one."""
+    return fit_many([hours], [value], [before])[0]

@@ -10,29 +10,43 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from risekit.options import AnalysisOptions
-from risekit.plans.batch import reading_rows, to_frame
-from risekit.plans.fold import State
+from risekit.plans.batch import micros, reading_frame
+from risekit.plans.fold import NO_TIME, State, restored
 from risekit.schemas import READING_FIELDS
 
 
-def stream_readings(measurements: DataFrame, options: AnalysisOptions, lateness: str | None = None) -> DataFrame:
+def stream_readings(measurements: DataFrame, options: AnalysisOptions, lateness: str | None = None, saved: DataFrame | None = None) -> DataFrame:
     """Readings of a streaming (series_id, ts, height, kind): series_id, ts and READING_FIELDS.
 
-    Rows of a micro-batch are taken in order of ts within their series. Rows older than what was
-    accepted before are rejected by the fold itself (its gate counts them); a lateness, if given,
-    sets a watermark that only bounds what the engine keeps.
+    Rows of a micro-batch are taken in order of ts within their series, and a series' rows of one
+    micro-batch are held in memory: bound it at the source. Rows older than what was accepted
+    before are rejected by the fold itself (its gate counts them); a lateness, if given, sets a
+    watermark that only bounds what the engine keeps. A row without a time leaves its series alone.
+
+    saved (series_id, state), one row a series, holds states as JSON. A series that the checkpoint
+    doesn't know starts from its saved state as after a restart at its first row.
     """
     rows = measurements.withColumn("ts", F.col("ts").cast("timestamp"))
     if lateness:
         rows = rows.withWatermark("ts", lateness)
     kind = rows.schema["series_id"].dataType.simpleString()
-    rows = rows.select("series_id", "ts", F.unix_micros("ts").alias("us"), F.col("height").cast("double").alias("height"), "kind")
+    rows = rows.select("series_id", "ts", micros(F.col("ts")).alias("us"), F.col("height").cast("double").alias("height"), "kind")
+    if saved is None:
+        rows = rows.withColumn("saved", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(saved.select("series_id", F.col("state").alias("saved")), "series_id", "left")
+
+    def begin(batch: pd.DataFrame) -> State:
+        text = batch["saved"].iloc[0]
+        if not isinstance(text, str):
+            return State()
+        timed = batch["us"][batch["us"] != NO_TIME]
+        return restored(State.loads(text), options, int(timed.iloc[0])) if len(timed) else State.loads(text)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        state = State.loads(kept.get[0]) if kept.exists else State()
         batch = pd.concat(list(frames)).sort_values("us", kind="stable").reset_index(drop=True)
-        n = len(batch)
-        out = to_frame(reading_rows([key[0]] * n, batch["us"].tolist(), batch["height"].tolist(), batch["kind"].tolist(), {key[0]: state}, options))
+        state = State.loads(kept.get[0]) if kept.exists else begin(batch)
+        out = reading_frame([0] * len(batch), batch["us"].tolist(), batch["height"].tolist(), batch["kind"].tolist(), {0: state}, options)
         kept.update((state.dumps(),))
         yield pd.concat([batch[["series_id", "ts"]], out], axis=1)
 
