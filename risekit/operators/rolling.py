@@ -1,7 +1,13 @@
-"""Rolling operators over series: one shuffle by series, then window expressions."""
+"""Rolling operators over series: one shuffle by series, then window expressions.
+
+Rows of equal times are taken in the order of ties; without a column there that tells them apart
+their results depend on the plan.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -12,55 +18,56 @@ from risekit.options import AnalysisOptions
 DEFAULTS = AnalysisOptions()
 
 
-def ordered(keys: list[str], ts: str = "ts") -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy(ts)
+def ordered(keys: list[str], ts: str = "ts", ties: Sequence[str] = ()) -> WindowSpec:
+    """Rows of a series in order of ts; those of equal times in order of the columns in ties."""
+    return Window.partitionBy(*keys).orderBy(ts, *ties)
 
 
 def elapsed_hours(ts: Column, origin: Column) -> Column:
     return (F.unix_micros(ts) - F.unix_micros(origin)) / 3_600_000_000.0
 
 
-def rolling_median(df: DataFrame, keys: list[str], value: str, size: int = DEFAULTS.median_window_size, out: str = "smoothed", ts: str = "ts") -> DataFrame:
+def rolling_median(df: DataFrame, keys: list[str], value: str, size: int = DEFAULTS.median_window_size, out: str = "smoothed", ts: str = "ts", ties: Sequence[str] = ()) -> DataFrame:
     """Median of the last size values, the current one among them (an even count averages the middle two)."""
-    return df.withColumn(out, F.percentile(value, F.lit(0.5)).over(ordered(keys, ts).rowsBetween(1 - size, 0)))
+    return df.withColumn(out, F.percentile(value, F.lit(0.5)).over(ordered(keys, ts, ties).rowsBetween(1 - size, 0)))
 
 
-def rise_over_first(df: DataFrame, keys: list[str], value: str = "smoothed", out: str = "rise", ts: str = "ts") -> DataFrame:
+def rise_over_first(df: DataFrame, keys: list[str], value: str = "smoothed", out: str = "rise", ts: str = "ts", ties: Sequence[str] = ()) -> DataFrame:
     """Rise in per cent over the first value of the session."""
-    first = F.first(value).over(ordered(keys, ts).rowsBetween(Window.unboundedPreceding, 0))
+    first = F.first(value).over(ordered(keys, ts, ties).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn(out, rise.rise_percent(F.col(value), first))
 
 
-def window_slope(df: DataFrame, keys: list[str], value: str, minutes: float = DEFAULTS.slope_window_minutes, least: int = 4, out: str = "slope", ts: str = "ts") -> DataFrame:
+def window_slope(df: DataFrame, keys: list[str], value: str, minutes: float = DEFAULTS.slope_window_minutes, least: int = 4, out: str = "slope", ts: str = "ts", ties: Sequence[str] = ()) -> DataFrame:
     """Least-squares slope per hour over the rows of the last minutes (both ends count); null under least rows."""
     instant = F.col(ts).cast("timestamp")
-    origin = F.first(instant).over(ordered(keys, ts).rowsBetween(Window.unboundedPreceding, 0))
+    origin = F.first(instant).over(ordered(keys, ts, ties).rowsBetween(Window.unboundedPreceding, 0))
     timed = df.withColumn("__h", elapsed_hours(instant, origin)).withColumn("__us", F.unix_micros(instant))
     frame = Window.partitionBy(*keys).orderBy("__us").rangeBetween(-round(minutes * 60_000_000), 0)
     slope = F.when(F.count(F.lit(1)).over(frame) >= least, F.regr_slope(F.col(value), F.col("__h")).over(frame))
     return timed.withColumn(out, slope).drop("__h", "__us")
 
 
-def collapse_candidates(df: DataFrame, keys: list[str], value: str = "rise", drop: float = DEFAULTS.reset_drop_fraction, out: str = "collapse", ts: str = "ts") -> DataFrame:
+def collapse_candidates(df: DataFrame, keys: list[str], value: str = "rise", drop: float = DEFAULTS.reset_drop_fraction, out: str = "collapse", ts: str = "ts", ties: Sequence[str] = ()) -> DataFrame:
     """Rows far under the median of the five before them, where that median is over 20 per cent."""
-    frame = ordered(keys, ts).rowsBetween(-5, -1)
+    frame = ordered(keys, ts, ties).rowsBetween(-5, -1)
     recent = F.when(F.count(value).over(frame) >= 5, F.percentile(value, F.lit(0.5)).over(frame))
     return df.withColumn("recent_median", recent).withColumn(out, F.coalesce((recent > 20) & (F.col(value) < recent * (1 - drop)), F.lit(False)))
 
 
-def flat_run_peak(df: DataFrame, keys: list[str], value: str = "rise", slope: str = "slope", options: AnalysisOptions = DEFAULTS, out: str = "peaked", ts: str = "ts") -> DataFrame:
+def flat_run_peak(df: DataFrame, keys: list[str], value: str = "rise", slope: str = "slope", options: AnalysisOptions = DEFAULTS, out: str = "peaked", ts: str = "ts", ties: Sequence[str] = ()) -> DataFrame:
     """Latched peak flag without a fit: the last slopes are all flat and the largest rise is enough."""
     n = options.peak_confirm_windows
-    last, so_far = ordered(keys, ts).rowsBetween(1 - n, 0), ordered(keys, ts).rowsBetween(Window.unboundedPreceding, 0)
+    last, so_far = ordered(keys, ts, ties).rowsBetween(1 - n, 0), ordered(keys, ts, ties).rowsBetween(Window.unboundedPreceding, 0)
     top = df.withColumn("__top", F.max(value).over(so_far)).where(F.col(slope).isNotNull())
     flat = (F.count(slope).over(last) >= n) & F.every(F.col(slope) <= options.flat_slope_percent_per_hour).over(last)
     now = top.withColumn("__now", flat & (F.col("__top") >= options.min_rise_percent_for_peak))
     return now.withColumn(out, F.some("__now").over(so_far)).drop("__top", "__now")
 
 
-def lag_gate(df: DataFrame, keys: list[str], value: str, per_minute: float = DEFAULTS.max_rise_px_per_minute, jitter: float = DEFAULTS.jitter_tolerance_px, out: str = "implausible", ts: str = "ts") -> DataFrame:
+def lag_gate(df: DataFrame, keys: list[str], value: str, per_minute: float = DEFAULTS.max_rise_px_per_minute, jitter: float = DEFAULTS.jitter_tolerance_px, out: str = "implausible", ts: str = "ts", ties: Sequence[str] = ()) -> DataFrame:
     """Jump gate against the row before. (The full gate compares with the last accepted row: see plans.fold.)"""
-    order = ordered(keys, ts)
+    order = ordered(keys, ts, ties)
     minutes = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(F.col(ts).cast("timestamp")).over(order))) / 60_000_000.0
     jump = F.abs(F.col(value) - F.lag(value).over(order))
     return df.withColumn(out, F.coalesce((minutes <= 0) | (jump > per_minute * minutes + jitter), F.lit(False)))

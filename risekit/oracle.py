@@ -54,6 +54,21 @@ snap AS (SELECT frame_id, arg_max(y, (e, -y)) AS y, max(e) AS top FROM p JOIN ba
 combined AS (SELECT frame_id, CASE WHEN band_top IS NOT NULL THEN CASE WHEN top > 0 THEN snap.y ELSE band_top END ELSE surface END::INT AS surface,
              CASE WHEN band_top IS NOT NULL THEN 'band' WHEN surface IS NOT NULL THEN 'edge' ELSE 'none' END AS method
       FROM band JOIN edge USING (frame_id) LEFT JOIN snap USING (frame_id))"""
+def _bottom(surfaces: str) -> str:
+    """low (frame_id, bottom): the lower edge below the surfaces of a table."""
+    return f"""
+ja AS (SELECT p.frame_id, y, n, {_smooth('e', 5)} AS s, surface FROM p JOIN {surfaces} USING (frame_id)),
+jb AS (SELECT *, greatest(0, coalesce(surface, 0) + 1, floor(n * 0.35::DOUBLE)::INT) AS a FROM ja),
+jc AS (SELECT *, greatest(a + 1, n - 1) AS z FROM jb),
+jd AS (SELECT *, coalesce(lag(s) OVER (PARTITION BY frame_id ORDER BY y), s) AS l, coalesce(lead(s) OVER (PARTITION BY frame_id ORDER BY y), s) AS r,
+             avg(s) FILTER (y >= a AND y <= z) OVER f AS base, max(s) FILTER (y >= a AND y <= z) OVER f AS top FROM jc WINDOW f AS (PARTITION BY frame_id)),
+je AS (SELECT frame_id, n, base, top, y, a, z, (s - base) * 1.35::DOUBLE + (s - least(l, r)) * 0.75::DOUBLE + (z - y)::DOUBLE / greatest(1, z - a + 1) * 0.15::DOUBLE - (y - a)::DOUBLE / greatest(1, z - a + 1) * 0.05::DOUBLE AS score
+      FROM jd WHERE y >= a AND y <= z),
+low AS (SELECT f.frame_id, coalesce(bottom, f.n - 1)::INT AS bottom FROM (SELECT DISTINCT frame_id, n FROM p) f
+LEFT JOIN (SELECT frame_id, arg_max(y, (score, -y)) AS bottom FROM je WHERE top > base GROUP BY frame_id) USING (frame_id))"""
+
+
+_BOTTOM = _bottom("combined")
 _SEGMENTS = """WITH seg AS (
   SELECT l_suppkey || '-' || strftime(l_shipdate, '%Y%m') AS frame_id, l_orderkey * 10 + l_linenumber AS idx,
          l_partkey % 200 AS x1, l_orderkey % 100 AS y1,
@@ -143,16 +158,7 @@ SELECT frame_id AS vec_id, y, round_even({_smooth('v', 5)}, 6) AS m FROM p""",
         "edge_surface": f"{_EDGE} SELECT frame_id, surface FROM edge",
         "band_top": f"{_PROFILE}, {_BAND} SELECT frame_id, band_top, round_even(band_contrast, 4) AS band_contrast FROM band",
         "combined_surface": f"{_COMBINED} SELECT frame_id, surface, method FROM combined",
-        "bottom_from_energy": f"""{_EDGE},
-ja AS (SELECT p.frame_id, y, n, {_smooth('e', 5)} AS s, surface FROM p JOIN edge USING (frame_id)),
-jb AS (SELECT *, greatest(0, coalesce(surface, 0) + 1, floor(n * 0.35::DOUBLE)::INT) AS a FROM ja),
-jc AS (SELECT *, greatest(a + 1, n - 1) AS z FROM jb),
-jd AS (SELECT *, coalesce(lag(s) OVER (PARTITION BY frame_id ORDER BY y), s) AS l, coalesce(lead(s) OVER (PARTITION BY frame_id ORDER BY y), s) AS r,
-             avg(s) FILTER (y >= a AND y <= z) OVER f AS base, max(s) FILTER (y >= a AND y <= z) OVER f AS top FROM jc WINDOW f AS (PARTITION BY frame_id)),
-je AS (SELECT frame_id, n, base, top, y, a, z, (s - base) * 1.35::DOUBLE + (s - least(l, r)) * 0.75::DOUBLE + (z - y)::DOUBLE / greatest(1, z - a + 1) * 0.15::DOUBLE - (y - a)::DOUBLE / greatest(1, z - a + 1) * 0.05::DOUBLE AS score
-      FROM jd WHERE y >= a AND y <= z)
-SELECT f.frame_id, coalesce(bottom, f.n - 1)::INT AS bottom FROM (SELECT DISTINCT frame_id, n FROM p) f
-LEFT JOIN (SELECT frame_id, arg_max(y, (score, -y)) AS bottom FROM je WHERE top > base GROUP BY frame_id) USING (frame_id)""",
+        "bottom_from_energy": f"{_EDGE}, {_bottom('edge')} SELECT frame_id, bottom FROM low",
         "row_reductions": "SELECT l_orderkey AS y, round_even(sum(l_quantity), 2) AS row_sum, round_even(median(l_quantity), 2) AS row_median FROM lineitem GROUP BY l_orderkey",
         "histogram_median": """WITH h AS (SELECT l_suppkey AS frame_id, (l_quantity * 5)::INT AS bin, count(*) AS n FROM lineitem GROUP BY 1, 2),
 r AS (SELECT *, sum(n) OVER (PARTITION BY frame_id ORDER BY bin) AS so_far, sum(n) OVER (PARTITION BY frame_id) AS total FROM h WHERE bin BETWEEN 0 AND 255),
@@ -177,6 +183,36 @@ SELECT event_id, user_id, status, round_even(smoothed, 4) AS smoothed, round_eve
 SELECT user_id AS series_id, (SELECT ts FROM events e WHERE e.event_id = f.event_id) AS ts, status, round_even(smoothed, 4) AS smoothed, round_even(rise_raw, 4) AS rise_raw, new_session FROM f WHERE rn > 0""",
         "rise_resets": f"""{_fold(True)}
 SELECT event_id, event_type, status, new_session, CASE WHEN status = 'ok' THEN CASE WHEN new_session THEN 0.0::DOUBLE ELSE round_even(greatest(0, least(500, rise_raw)), 1) END END AS rise_percent FROM f WHERE rn > 0""",
+        "rise_slopes": f"""{_fold(False)},
+t AS (SELECT *, (acc_us - session_us) / 3600000000.0::DOUBLE AS h FROM f WHERE rn > 0 AND status = 'ok' AND NOT new_session),
+sl AS (SELECT event_id, user_id, session_us, acc_us, CASE WHEN count(*) OVER q >= 4 THEN regr_slope(rise_raw, h) OVER q END AS slope, max(rise_raw) OVER s AS top
+       FROM t WINDOW q AS (PARTITION BY user_id, session_us ORDER BY acc_us RANGE {round(SLOPE_MINUTES * 60_000_000)} PRECEDING), s AS (PARTITION BY user_id, session_us ORDER BY acc_us)),
+x AS (SELECT event_id, count(*) OVER l >= 3 AND bool_and(slope <= 0.5) OVER l AND top >= 25 AS now FROM sl WHERE slope IS NOT NULL
+      WINDOW l AS (PARTITION BY user_id, session_us ORDER BY acc_us ROWS 2 PRECEDING)),
+y AS (SELECT sl.event_id, slope, bool_or(coalesce(now, FALSE)) OVER (PARTITION BY user_id, session_us ORDER BY acc_us) AS peaked FROM sl LEFT JOIN x USING (event_id))
+SELECT f.event_id, status, CASE WHEN slope IS NOT NULL THEN round_even(greatest(-100, least(500, slope)), 1) END AS rise_rate, coalesce(peaked, FALSE) AS peaked, new_session, make_timestamp(session_us) AS session_start
+FROM f LEFT JOIN y ON y.event_id = f.event_id WHERE rn > 0""",
+        "rise_restored": f"""{_fold(False)},
+r AS (SELECT f.*, e.ts FROM f JOIN events e ON e.event_id = f.event_id WHERE rn > 0)
+SELECT user_id AS series_id, ts, status, round_even(smoothed, 4) AS smoothed, round_even(rise_raw, 4) AS rise_raw, new_session FROM r
+WHERE epoch_us(ts) >= (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 FROM events)""",
+        "reading_status": f"""{_fold(False)},
+r AS (SELECT f.*, e.ts FROM f JOIN events e ON e.event_id = f.event_id WHERE rn > 0)
+SELECT 'monitor/' || user_id || CASE WHEN status = 'ok' THEN '/state' ELSE '/measurement_status' END AS topic, status <> 'ok' AS "none", status = 'ok' AS retain,
+       CASE WHEN status = 'ok' THEN CASE WHEN new_session THEN 0.0::DOUBLE ELSE round_even(greatest(0, least(500, rise_raw)), 1) END END AS rise_percent,
+       CASE WHEN status = 'ok' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '0+00:00' END AS last_update FROM r""",
+        "debug_messages": f"""{_COMBINED}, {_BOTTOM},
+m AS (SELECT frame_id, c.surface, method, band_top, band_contrast, bottom FROM combined c JOIN band USING (frame_id) JOIN low USING (frame_id))
+SELECT 'monitor_' || frame_id || '/diagnostics' AS topic, TRUE AS retain, method, round_even(band_contrast, 0)::INT AS band_contrast, band_top AS band_top_row, surface AS final_row,
+       surface + 10 AS dough_top_px, CASE WHEN surface IS NOT NULL THEN bottom + 10 END AS jar_bottom_px, CASE WHEN surface IS NOT NULL THEN bottom END AS jar_height_px,
+       bottom - surface AS dough_height_px FROM m""",
+        "debug_discovery": """WITH d AS (SELECT DISTINCT 'monitor_' || user_id AS d FROM events),
+k(kind, key, source, unit, category, field) AS (VALUES ('camera', 'debug_image', 'debug_image', NULL, NULL, NULL), ('sensor', 'detection_method', 'diagnostics', NULL, 'diagnostic', 'method'),
+  ('sensor', 'band_contrast', 'diagnostics', NULL, 'diagnostic', 'band_contrast'), ('sensor', 'dough_top_px', 'diagnostics', 'px', 'diagnostic', 'dough_top_px'),
+  ('sensor', 'jar_bottom_px', 'diagnostics', 'px', 'diagnostic', 'jar_bottom_px'), ('sensor', 'jar_height_px', 'diagnostics', 'px', 'diagnostic', 'jar_height_px'),
+  ('sensor', 'dough_height_px', 'diagnostics', 'px', 'diagnostic', 'dough_height_px'))
+SELECT 'homeassistant/' || kind || '/' || d || '/' || key || '/config' AS topic, d || '/' || source AS source, d || '_' || key AS unique_id, unit AS unit_of_measurement, category AS entity_category,
+       CASE WHEN field IS NOT NULL THEN '{{ value_json.' || field || ' }}' END AS value_template, TRUE AS retain FROM d, k""",
         "reading_json": f"""{_RISEN}
 SELECT 'monitor/' || user_id || '/state' AS topic, TRUE AS retain, CASE WHEN rise IS NOT NULL THEN round_even(greatest(0, least(500, rise)), 1) END AS rise_percent, NULL::DOUBLE AS rise_rate,
        CASE WHEN rise > 400 THEN 'ON' ELSE 'OFF' END AS peaked, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '0+00:00' AS last_update FROM r""",

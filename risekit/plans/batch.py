@@ -37,11 +37,16 @@ def reading_frame(series: list, times: list[int], heights: list, kinds: list, st
     return frame
 
 
+def _dealt(rows: DataFrame, series: str) -> DataFrame:
+    """Rows by series over all shuffle partitions: named, as few bytes of rows make much work and must not be merged into few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), series)
+
+
 def _ordered(measurements: DataFrame, keep: list[str], kind: Column | None) -> DataFrame:
     """keep, and series, time, height and kind as __s, __us, __h, __kind: in order within partitions that hold whole series."""
     source = measurements.withColumn("__us", micros(F.col("ts"))).withColumn("__kind", kind if kind is not None else F.lit(None).cast("string"))
     rows = source.select(*keep, F.col("series_id").alias("__s"), "__us", F.col("height").cast("double").alias("__h"), "__kind")
-    return rows.repartition("__s").sortWithinPartitions("__s", "__us", *keep)
+    return _dealt(rows, "__s").sortWithinPartitions("__s", "__us", *keep)
 
 
 def _take(frame: pd.DataFrame, states: dict, options: AnalysisOptions) -> pd.DataFrame:
@@ -77,6 +82,9 @@ def final_states(measurements: DataFrame, options: AnalysisOptions, kind: Column
     """(series_id, state): what the fold knows of each series after its last row, as the JSON that a stream starts from."""
     series = measurements.schema["series_id"].dataType.simpleString()
 
+    def dumped(states: dict) -> pd.DataFrame:
+        return pd.DataFrame({"series_id": list(states), "state": [s.dumps() for s in states.values()]}, dtype="object")
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         states: dict = {}
         for frame in frames:
@@ -85,8 +93,8 @@ def final_states(measurements: DataFrame, options: AnalysisOptions, kind: Column
                 last = frame["__s"].iloc[-1]
                 done = {s: state for s, state in states.items() if s != last}
                 states = {last: states[last]}
-                yield pd.DataFrame({"series_id": list(done), "state": [s.dumps() for s in done.values()]})
-        yield pd.DataFrame({"series_id": list(states), "state": [s.dumps() for s in states.values()]})
+                yield dumped(done)
+        yield dumped(states)
 
     return _ordered(measurements, [], kind).mapInPandas(run, f"series_id {series}, state string")
 
@@ -99,7 +107,7 @@ def final_fits(measurements: DataFrame) -> DataFrame:
     """
     kind = measurements.schema["series_id"].dataType.simpleString()
     rows = measurements.select("series_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("value").cast("double").alias("value"))
-    rows = rows.repartition("series_id").sortWithinPartitions("series_id", "us", "value")
+    rows = _dealt(rows, "series_id").sortWithinPartitions("series_id", "us", "value")
 
     def fitted(held: list[pd.DataFrame]) -> pd.DataFrame:
         names, hours, values = [], [], []

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from risekit.functions import rise
 from risekit.operators import pixels, profiles, rolling, rows, segments
-from risekit.options import AnalysisOptions
+from risekit.options import AnalysisOptions, PublishOptions
 from risekit.plans import batch
 from risekit.scratch import scratch_path
 from risekit.sinks import diagnostics, messages
@@ -28,6 +28,8 @@ OPTIONS = AnalysisOptions(slope_window_minutes=SLOPE_MINUTES, max_rise_px_per_mi
 #: Without fits, for the queries that SQL can follow.
 NO_FIT = AnalysisOptions(**(OPTIONS.__dict__ | {"min_samples_for_fit": 1 << 30}))
 KEYS = ["user_id"]
+#: Tells rows of a series apart that have equal times.
+TIES = ["event_id"]
 
 
 def _events(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
@@ -35,8 +37,8 @@ def _events(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
 
 
 def _risen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    smoothed = rolling.rolling_median(_events(spark, sf_dir), KEYS, "value")
-    return rolling.rise_over_first(smoothed, KEYS)
+    smoothed = rolling.rolling_median(_events(spark, sf_dir), KEYS, "value", ties=TIES)
+    return rolling.rise_over_first(smoothed, KEYS, ties=TIES)
 
 
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,12 +49,12 @@ def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rolling_median(spark, sf_dir):
-    df = rolling.rolling_median(_events(spark, sf_dir), KEYS, "value")
+    df = rolling.rolling_median(_events(spark, sf_dir), KEYS, "value", ties=TIES)
     return df.select("event_id", F.bround("smoothed", 4).alias("smoothed"))
 
 
 def rise_percent(spark, sf_dir):
-    df = rolling.window_slope(_risen(spark, sf_dir), KEYS, "rise", SLOPE_MINUTES)
+    df = rolling.window_slope(_risen(spark, sf_dir), KEYS, "rise", SLOPE_MINUTES, ties=TIES)
     return df.select(
         "event_id", "user_id", "ts",
         F.bround("smoothed", 4).alias("smoothed"), F.bround("rise", 4).alias("rise_raw"),
@@ -61,22 +63,22 @@ def rise_percent(spark, sf_dir):
 
 
 def window_slope(spark, sf_dir):
-    df = rolling.window_slope(_events(spark, sf_dir), KEYS, "value", SLOPE_MINUTES)
+    df = rolling.window_slope(_events(spark, sf_dir), KEYS, "value", SLOPE_MINUTES, ties=TIES)
     return df.select("event_id", F.bround("slope", 4).alias("slope"))
 
 
 def lag_gate(spark, sf_dir):
-    return rolling.lag_gate(_events(spark, sf_dir), KEYS, "value", GATE_PER_MINUTE, GATE_JITTER).select("event_id", "implausible")
+    return rolling.lag_gate(_events(spark, sf_dir), KEYS, "value", GATE_PER_MINUTE, GATE_JITTER, ties=TIES).select("event_id", "implausible")
 
 
 def collapse_candidates(spark, sf_dir):
-    df = rolling.collapse_candidates(_risen(spark, sf_dir), KEYS)
+    df = rolling.collapse_candidates(_risen(spark, sf_dir), KEYS, ties=TIES)
     return df.select("event_id", F.bround("recent_median", 4).alias("recent_median"), "collapse")
 
 
 def flat_run_peak(spark, sf_dir):
-    df = rolling.window_slope(_risen(spark, sf_dir), KEYS, "rise", SLOPE_MINUTES).withColumn("slope", F.bround("slope", 6))
-    return rolling.flat_run_peak(df, KEYS, options=OPTIONS).select("event_id", "peaked")
+    df = rolling.window_slope(_risen(spark, sf_dir), KEYS, "rise", SLOPE_MINUTES, ties=TIES).withColumn("slope", F.bround("slope", 6))
+    return rolling.flat_run_peak(df, KEYS, options=OPTIONS, ties=TIES).select("event_id", "peaked")
 
 
 def peak_forecast(spark, sf_dir):
@@ -202,10 +204,35 @@ def rise_stream(spark, sf_dir):
     return r.select("series_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "status", F.bround("smoothed", 4).alias("smoothed"), F.bround("rise_raw", 4).alias("rise_raw"), "new_session")
 
 
+def rise_slopes(spark, sf_dir):
+    """What the fold says besides fits: status, slope, session, and the peak that latches without a fit."""
+    m = _events(spark, sf_dir).withColumnRenamed("value", "height").withColumn("series_id", F.col("user_id"))
+    r = batch.readings(m, NO_FIT, keep=["event_id"])
+    return r.select("event_id", "status", "rise_rate", "peaked", "new_session", F.col("session_start").cast("timestamp_ntz").alias("session_start"))
+
+
+def rise_restored(spark, sf_dir):
+    """A stream over the later half of the time, started from the states that the earlier half left."""
+    source = spark.read.parquet(f"{sf_dir}/events.parquet")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    ends = source.agg(F.min(us).alias("first"), F.max(us).alias("last")).first()
+    middle = ((ends["first"] or 0) + (ends["last"] or 0)) // 2
+    out, state, saved = (scratch_path(spark, name) for name in ("rise-restored", "rise-state", "rise-saved"))
+    early = source.where(us < middle).select(F.col("user_id").alias("series_id"), "ts", F.col("value").alias("height"))
+    batch.final_states(early, NO_FIT).write.parquet(saved)
+    events = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).where(us >= middle)
+    rows = events.select(F.col("user_id").alias("series_id"), "ts", F.col("value").alias("height"), F.lit(None).cast("string").alias("kind"))
+    readings = stream.stream_readings(rows, NO_FIT, saved=spark.read.schema("series_id long, state string").parquet(saved))
+    q = readings.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+    q.awaitTermination()
+    r = spark.read.parquet(out)
+    return r.select("series_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "status", F.bround("smoothed", 4).alias("smoothed"), F.bround("rise_raw", 4).alias("rise_raw"), "new_session")
+
+
 def sigmoid_fit(spark, sf_dir):
     """A logistic of each series' cumulated values."""
     e = _events(spark, sf_dir)
-    total = F.sum("value").over(rolling.ordered(KEYS)) / F.sum("value").over(rolling.Window.partitionBy(*KEYS)) * 100.0
+    total = F.sum("value").over(rolling.ordered(KEYS, ties=TIES)) / F.sum("value").over(rolling.Window.partitionBy(*KEYS)) * 100.0
     return batch.final_fits(e.select(F.col("user_id").alias("series_id"), "ts", total.alias("value")))
 
 
@@ -228,6 +255,36 @@ def discovery(spark, sf_dir):
     return m.select("topic", F.get_json_object("payload", "$.unique_id").alias("unique_id"), F.get_json_object("payload", "$.device_class").alias("device_class"), "retain")
 
 
+def reading_status(spark, sf_dir):
+    """The fold's messages: states, and where a measurement was rejected that there is no reading."""
+    m = _events(spark, sf_dir).withColumnRenamed("value", "height").withColumn("series_id", F.col("user_id"))
+    r = batch.readings(m, NO_FIT, keep=["event_id", "user_id", "ts"])
+    sent = messages.reading_messages(r, F.concat(F.lit("monitor/"), F.col("user_id")))
+    p = F.from_json("payload", "rise_percent double, last_update string")
+    return sent.select("topic", (F.col("payload") == "no_reading").alias("none"), "retain", p["rise_percent"].alias("rise_percent"), p["last_update"].alias("last_update"))
+
+
+def debug_messages(spark, sf_dir):
+    """Diagnostics messages of each profile, taken as a column that begins at row 10 of its frame; parsed again."""
+    df = profiles.combined_surface(_profiles(spark, sf_dir), "e", "v").withColumn("last", F.size("e") - 1)
+    df = profiles.bottom_from_energy(df, "e", "last", "surface")
+    found = F.col("surface").isNotNull()
+    df = df.withColumns({"top": F.col("surface") + 10, "jar_top": F.when(found, F.lit(10)), "bottom": F.when(found, F.col("bottom") + 10)})
+    sent = messages.diagnostics_messages(df, F.concat(F.lit("monitor_"), F.col("frame_id")))
+    fields = ", ".join(f"{k} {'string' if k == 'method' else 'int'}" for k in messages.DIAGNOSTICS)
+    return sent.select("topic", "retain", F.from_json("payload", fields).alias("p")).select("topic", "retain", "p.*")
+
+
+def debug_discovery(spark, sf_dir):
+    """What the debug mode adds to the entity configurations of every series."""
+    devices = _events(spark, sf_dir).select(F.concat(F.lit("monitor_"), F.col("user_id")).alias("device")).distinct()
+    m = messages.discovery_rows(devices, options=PublishOptions(debug_mode=True))
+    cells = {c: F.get_json_object("payload", f"$.{c}") for c in ("unique_id", "unit_of_measurement", "entity_category", "value_template")}
+    source = F.coalesce(F.get_json_object("payload", "$.state_topic"), F.get_json_object("payload", "$.topic"))
+    rows = m.select("topic", source.alias("source"), *[c.alias(k) for k, c in cells.items()], "retain")
+    return rows.where(F.col("source").endswith("/diagnostics") | F.col("source").endswith("/debug_image"))
+
+
 def snapshot_urls(spark, sf_dir):
     """URL precedence over configurations made of pages."""
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
@@ -267,6 +324,6 @@ def diagnostics_lines(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         rolling_median, rise_percent, window_slope, lag_gate, collapse_candidates, flat_run_peak, peak_forecast, moving_average, moving_average_embeddings,
-        edge_surface, band_top, combined_surface, bottom_from_energy, row_reductions, histogram_median, blurred_energy, wall_pairs, lowest_horizontal, rise_fold, rise_readings,
-        rise_resets, rise_stream, sigmoid_fit, reading_json, discovery, snapshot_urls, state_import, retention, diagnostics_lines,
+        edge_surface, band_top, combined_surface, bottom_from_energy, row_reductions, histogram_median, blurred_energy, wall_pairs, lowest_horizontal, rise_fold, rise_readings, rise_slopes, rise_restored,
+        rise_resets, rise_stream, sigmoid_fit, reading_json, reading_status, debug_messages, discovery, debug_discovery, snapshot_urls, state_import, retention, diagnostics_lines,
     )}

@@ -15,8 +15,17 @@ SENSORS = {
     "peak_eta": ("Peak ETA", None, "timestamp"),
     "session_start": ("Session Started", None, "timestamp"),
 }
-#: Sensors of the debug mode, from the diagnostics message.
-DEBUG_SENSORS = {k: (k.replace("_", " ").title(), None, None) for k in ("method", "band_contrast", "band_top_row", "final_row", "jar_top_px", "jar_bottom_px")}
+#: Fields of the diagnostics message, in order.
+DIAGNOSTICS = ("method", "band_contrast", "band_top_row", "final_row", "dough_top_px", "jar_bottom_px", "jar_height_px", "dough_height_px")
+#: Sensors of the debug mode by key: name, unit, field of the diagnostics message.
+DEBUG_SENSORS = {
+    "detection_method": ("Detection Method", None, "method"),
+    "band_contrast": ("Band Contrast", None, "band_contrast"),
+    "dough_top_px": ("Dough Top", "px", "dough_top_px"),
+    "jar_bottom_px": ("Jar Bottom", "px", "jar_bottom_px"),
+    "jar_height_px": ("Jar Height", "px", "jar_height_px"),
+    "dough_height_px": ("Dough Height", "px", "dough_height_px"),
+}
 
 
 def iso(ts: Column) -> Column:
@@ -45,14 +54,23 @@ def reading_messages(readings: DataFrame, device: Column) -> DataFrame:
 
 
 def diagnostics_messages(frames: DataFrame, device: Column) -> DataFrame:
-    """Diagnostics of frames (method, band_contrast, band_top, surface), for the debug mode."""
-    payload = _json(
-        method=F.coalesce("method", F.lit("none")),
-        band_contrast=F.bround("band_contrast", 0).cast("int"),
-        band_top_row=F.col("band_top"),
-        final_row=F.col("surface"),
+    """Retained diagnostics of frames, for the debug mode.
+
+    frames has method, band_contrast, band_top and surface as rows of the searched column, and the
+    measurement top, jar_top and bottom as rows of the frame (null where there is none).
+    """
+    cells = (
+        F.coalesce("method", F.lit("none")),
+        F.bround(F.coalesce("band_contrast", F.lit(0.0)), 0).cast("int"),
+        F.col("band_top"),
+        F.col("surface"),
+        F.col("top"),
+        F.col("bottom"),
+        F.col("bottom") - F.col("jar_top"),
+        F.col("bottom") - F.col("top"),
     )
-    return frames.select(F.concat(device, F.lit("/diagnostics")).alias("topic"), payload.alias("payload"), F.lit(False).alias("retain"))
+    payload = _json(**dict(zip(DIAGNOSTICS, cells, strict=True)))
+    return frames.select(F.concat(device, F.lit("/diagnostics")).alias("topic"), payload.alias("payload"), F.lit(True).alias("retain"))
 
 
 def availability_message(device: Column, online: bool) -> Column:
@@ -61,9 +79,9 @@ def availability_message(device: Column, online: bool) -> Column:
 
 def discovery_rows(devices: DataFrame, device: str = "device", options: PublishOptions = PublishOptions()) -> DataFrame:
     """Retained configuration messages of every device: sensors, a binary sensor, a reset button, and in debug mode a camera and more sensors."""
-    sensors = [(k, *v, "state") for k, v in SENSORS.items()]
+    sensors = [(k, name, unit, kind, "state", k, None) for k, (name, unit, kind) in SENSORS.items()]
     if options.debug_mode:
-        sensors += [(k, *v, "diagnostics") for k, v in DEBUG_SENSORS.items()]
+        sensors += [(k, name, unit, None, "diagnostics", source, "diagnostic") for k, (name, unit, source) in DEBUG_SENSORS.items()]
     d = F.col(device)
     about = F.struct(F.array(d).alias("identifiers"), F.lit("Rise Monitor").alias("name"))
 
@@ -77,9 +95,9 @@ def discovery_rows(devices: DataFrame, device: str = "device", options: PublishO
         return {"name": F.lit(name), "unique_id": F.concat(d, F.lit(f"_{key}"))}
 
     rows = []
-    for key, name, unit, device_class, topic in sensors:
-        more = {"unit_of_measurement": F.lit(unit) if unit else None, "device_class": F.lit(device_class) if device_class else None}
-        rows.append(entity("sensor", key, named(name, key) | {"state_topic": F.concat(d, F.lit(f"/{topic}")), "value_template": F.lit(f"{{{{ value_json.{key} }}}}")} | more))
+    for key, name, unit, device_class, topic, source, category in sensors:
+        more = {k: F.lit(v) if v else None for k, v in (("unit_of_measurement", unit), ("device_class", device_class), ("entity_category", category))}
+        rows.append(entity("sensor", key, named(name, key) | {"state_topic": F.concat(d, F.lit(f"/{topic}")), "value_template": F.lit(f"{{{{ value_json.{source} }}}}")} | more))
     rows.append(entity("binary_sensor", "peaked", named("Peaked", "peaked") | {"state_topic": F.concat(d, F.lit("/state")), "value_template": F.lit("{{ value_json.peaked }}")}))
     rows.append(entity("button", "reset", named("Reset Session", "reset") | {"command_topic": F.concat(d, F.lit("/cmd/reset"))}))
     if options.debug_mode:

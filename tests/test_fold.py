@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from risekit.options import AnalysisOptions
-from risekit.plans.fold import State, reset, restored, step
+from risekit.plans.fold import NO_TIME, State, reset, restored, step, take_rows
 from risekit.plans.sigmoid import fit
 
 A = AnalysisOptions(min_samples_for_fit=3)
@@ -94,6 +94,29 @@ def test_out_of_order_and_missing_rows():
     assert [r.status for r in rs] == ["ok", "no_reading:implausible", "no_reading:implausible", "ok", "no_reading:measurement"]
 
 
+def test_a_row_without_a_time_leaves_the_state_alone():
+    state = State()
+    step(state, T0, 102.0, A)
+    before = state.dumps()
+    assert step(state, NO_TIME, 9000.0, A).status == "no_reading:time" and state.dumps() == before
+    assert step(state, T0 + MIN, 9000.0, A).status == "no_reading:implausible"
+
+
+def test_rows_together_and_one_by_one_agree():
+    r = np.random.default_rng(5)
+    rows, series = [], list(range(6))
+    for i in range(90):
+        for s in series:
+            height = 100 + 80 / (1 + math.exp(-0.15 * (i - 30 - s))) + r.normal(0, 0.5) - (60 if i == 70 and s < 2 else 0)
+            rows.append((s, T0 + 5 * MIN * i, None if i % 17 == 3 else height, "reset" if i == 50 and s == 4 else None))
+    one, out = {}, []
+    for row in rows:
+        out += take_rows([row], one, A)
+    together: dict = {}
+    assert take_rows(rows, together, A) == out and {s: x.dumps() for s, x in one.items()} == {s: x.dumps() for s, x in together.items()}
+    assert sum(x.predicted_peak_percent is not None for x in out) > 50 and any(x.peaked for x in out)
+
+
 def test_zero_baseline_is_not_a_number():
     rs, _ = run([(0, 200), (5, 190)])
     assert math.isnan(rs[1].rise_percent)

@@ -67,12 +67,13 @@ def test_discovery_has_more_in_debug_mode(spark):
 
 
 def test_diagnostics_lines_by_day(spark, tmp_path):
-    f = spark.createDataFrame([(dt.datetime(2024, 1, 2), "band", 60.4, 5, 6)], "ts timestamp, method string, band_contrast double, band_top int, surface int")
+    f = spark.createDataFrame([(dt.datetime(2024, 1, 2), "band", 60.4, 5, 6, 16, 10, 100)], "ts timestamp, method string, band_contrast double, band_top int, surface int, top int, jar_top int, bottom int")
     diagnostics.append_lines(diagnostics.diagnostics_lines(f), f"{tmp_path}/log")
     (row,) = spark.read.text(f"{tmp_path}/log").collect()
     assert json.loads(row["value"])["final_row"] == 6 and str(row["day"]) == "20240102"
     (m,) = messages.diagnostics_messages(f, F.lit("jar")).collect()
-    assert json.loads(m["payload"]) == {"method": "band", "band_contrast": 60, "band_top_row": 5, "final_row": 6}
+    size = {"dough_top_px": 16, "jar_bottom_px": 100, "jar_height_px": 90, "dough_height_px": 84}
+    assert m["retain"] and json.loads(m["payload"]) == {"method": "band", "band_contrast": 60, "band_top_row": 5, "final_row": 6} | size
 
 
 def test_image_pixels(spark, tmp_path):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from risekit.functions import rise
-from risekit.operators import profiles, rows, segments
+from risekit.operators import profiles, rolling, rows, segments
 
 EDGE_A = [0.8, 0.8, 0.8, 0.1, 0.1, 0.1, 0.1, 0.95, 0.95, 0.95, 0.95]
 EDGE_B = [0.1, 0.1, 0.1, 0.1, 0.2, 0.25, 0.3, 0.35, 0.3, 0.28, 0.24, 0.2]
@@ -106,3 +106,11 @@ def test_formulas(spark):
 def test_eta_is_to_the_microsecond(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1),)], "t timestamp").select(rise.after_hours(F.col("t"), F.lit(1.5)).alias("t"))
     assert one(df)["t"] == dt.datetime(2024, 1, 1, 1, 30)
+
+
+def test_equal_times_go_by_their_ties(spark):
+    rows = [(1, 5, k, float(v)) for k, v in enumerate((9, 1, 7, 3))]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "s int, ts long, k int, v double")
+        got = {r["k"]: r["m"] for r in rolling.rolling_median(df, ["s"], "v", 2, out="m", ties=["k"]).collect()}
+        assert got == {0: 9.0, 1: 5.0, 2: 4.0, 3: 5.0}
