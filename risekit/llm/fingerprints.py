@@ -120,7 +120,10 @@ def beside_next(docs: DataFrame, id_col: str, columns: list[str], rows_per_range
 
 
 def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of each text, of its edited text, and their likeness (see op8)."""
+    """Fingerprints of each text, of its edited text, and their likeness (see op8).
+
+    Only the id and the text are read, whatever other columns docs has. No rows: no rows.
+    """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     own = base.withColumn("fingerprint", fingerprint(F.col("text")))
     both = beside_next(own, "doc_id", ["text", "fingerprint"])

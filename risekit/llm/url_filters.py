@@ -113,7 +113,8 @@ def filter_urls(
 
     Nothing is shuffled and no row is dropped, so repeated rows each get the same verdict and a
     host with a third of all rows costs nothing extra. Null URLs have empty host and path, no
-    rule and the default verdict. An empty table gives an empty result.
+    rule and the default verdict. Of fitting rules of equal length the first in rules wins. An empty
+    table gives an empty result.
     """
     names = [host + path for _, host, path in rules]
     verdicts = [verdict for verdict, _, _ in rules]
