@@ -54,17 +54,17 @@ snap AS (SELECT frame_id, arg_max(y, (e, -y)) AS y, max(e) AS top FROM p JOIN ba
 combined AS (SELECT frame_id, CASE WHEN band_top IS NOT NULL THEN CASE WHEN top > 0 THEN snap.y ELSE band_top END ELSE surface END::INT AS surface,
              CASE WHEN band_top IS NOT NULL THEN 'band' WHEN surface IS NOT NULL THEN 'edge' ELSE 'none' END AS method
       FROM band JOIN edge USING (frame_id) LEFT JOIN snap USING (frame_id))"""
-def _bottom(surfaces: str) -> str:
-    """low (frame_id, bottom): the lower edge below the surfaces of a table."""
+def _bottom(surfaces: str, p: str = "p") -> str:
+    """low (frame_id, bottom): the lower edge below the surfaces of a table, in the profiles of p."""
     return f"""
-ja AS (SELECT p.frame_id, y, n, {_smooth('e', 5)} AS s, surface FROM p JOIN {surfaces} USING (frame_id)),
+ja AS (SELECT {p}.frame_id, y, n, {_smooth('e', 5)} AS s, surface FROM {p} JOIN {surfaces} USING (frame_id)),
 jb AS (SELECT *, greatest(0, coalesce(surface, 0) + 1, floor(n * 0.35::DOUBLE)::INT) AS a FROM ja),
 jc AS (SELECT *, greatest(a + 1, n - 1) AS z FROM jb),
 jd AS (SELECT *, coalesce(lag(s) OVER (PARTITION BY frame_id ORDER BY y), s) AS l, coalesce(lead(s) OVER (PARTITION BY frame_id ORDER BY y), s) AS r,
              avg(s) FILTER (y >= a AND y <= z) OVER f AS base, max(s) FILTER (y >= a AND y <= z) OVER f AS top FROM jc WINDOW f AS (PARTITION BY frame_id)),
 je AS (SELECT frame_id, n, base, top, y, a, z, (s - base) * 1.35::DOUBLE + (s - least(l, r)) * 0.75::DOUBLE + (z - y)::DOUBLE / greatest(1, z - a + 1) * 0.15::DOUBLE - (y - a)::DOUBLE / greatest(1, z - a + 1) * 0.05::DOUBLE AS score
       FROM jd WHERE y >= a AND y <= z),
-low AS (SELECT f.frame_id, coalesce(bottom, f.n - 1)::INT AS bottom FROM (SELECT DISTINCT frame_id, n FROM p) f
+low AS (SELECT f.frame_id, coalesce(bottom, f.n - 1)::INT AS bottom FROM (SELECT DISTINCT frame_id, n FROM {p}) f
 LEFT JOIN (SELECT frame_id, arg_max(y, (score, -y)) AS bottom FROM je WHERE top > base GROUP BY frame_id) USING (frame_id))"""
 
 
@@ -77,6 +77,36 @@ _SEGMENTS = """WITH seg AS (
   FROM lineitem)"""
 
 
+_FRAMES = f"""WITH line AS (
+  SELECT l_suppkey || '-' || strftime(l_shipdate, '%Y') AS frame, l_orderkey * 10 + l_linenumber AS idx, l_partkey % 60 AS x, l_orderkey % 40 AS y,
+         l_orderkey % 20 AS high, l_quantity::BIGINT AS n, l_linenumber % 2 = 0 AS upright,
+         CASE WHEN l_suppkey % 2 = 0 AND l_orderkey % 40 < 20 THEN 200 ELSE 60 END + l_partkey % 40 AS v FROM lineitem),
+sg AS (SELECT frame, idx, x AS x1, CASE WHEN upright THEN high ELSE y END AS y1, CASE WHEN upright THEN x + n % 4 ELSE x + n % 20 END AS x2,
+              CASE WHEN upright THEN least(39, high + n) ELSE y + n % 3 END AS y2, level FROM line, (VALUES (0), (1)) q (level) WHERE level = 1 OR n >= 35),
+w AS (SELECT frame, level, idx, (x1 + x2) // 2 AS x, least(y1, y2) AS top, greatest(y1, y2) AS bottom FROM sg WHERE y1 <> y2 AND abs(x1 - x2) <= greatest(4, abs(y1 - y2) * 0.09::DOUBLE)),
+k AS (SELECT a.frame, a.level, a.x AS l, b.x AS r, greatest(a.top, b.top) AS top, least(a.bottom, b.bottom) AS bottom,
+             row_number() OVER (PARTITION BY a.frame, a.level ORDER BY least(a.bottom, b.bottom) - greatest(a.top, b.top) DESC, a.x, a.idx, b.x, b.idx) AS i
+      FROM w a JOIN w b USING (frame, level) WHERE b.x - a.x >= 10 AND least(a.bottom, b.bottom) - greatest(a.top, b.top) >= 8),
+tries AS (SELECT frame, level AS attempt, l, r, top, bottom FROM k WHERE i = 1
+          UNION ALL SELECT frame, attempt, 3, 57, 2, 38 FROM (SELECT DISTINCT frame FROM line), (VALUES (2), (3)) q (attempt)),
+c AS (SELECT frame || '#' || attempt AS frame_id, frame, attempt, l + greatest(3, (r - l) // 10) AS first, r - l - 2 * greatest(3, (r - l) // 10) AS wide, top, bottom - top AS n FROM tries),
+d AS (SELECT *, first + wide // 4 AS mid, greatest(1, wide // 2) AS half FROM c WHERE wide > 0 AND n > 0),
+px AS (SELECT frame_id, y - top AS y, CASE WHEN line.n >= CASE WHEN attempt % 2 = 0 THEN 40 ELSE 25 END THEN 255 ELSE 0 END AS e, x >= mid AND x < mid + half AS central, v
+       FROM d JOIN line USING (frame) WHERE x >= first AND x < first + wide AND y >= top AND y < top + d.n),
+pr AS (SELECT frame_id, y, sum(e)::DOUBLE AS e, sum(e) FILTER (central)::DOUBLE AS se, median(v) FILTER (central)::DOUBLE AS v FROM px GROUP BY 1, 2),
+al AS (SELECT frame_id, n, unnest(range(n)) AS y FROM d),
+p AS (SELECT frame_id, y, n, coalesce(v, 0)::DOUBLE AS v, coalesce(e, 0)::DOUBLE AS e FROM al LEFT JOIN pr USING (frame_id, y)),
+ps AS (SELECT frame_id, y, n, coalesce(se, 0)::DOUBLE AS e FROM al LEFT JOIN pr USING (frame_id, y)){_COMBINED.removeprefix(_PROFILE)}, {_bottom("combined", "ps")},
+hz AS (SELECT frame_id, arg_max((y1 + y2) // 2 - d.top, (abs(x1 - x2), (y1 + y2) // 2)) AS line
+       FROM d JOIN combined USING (frame_id) JOIN sg ON sg.frame = d.frame AND sg.level = d.attempt % 2
+       WHERE least(x1, x2) >= mid AND greatest(x1, x2) < mid + half AND half >= 3 AND n >= 3 AND abs(x1 - x2) >= greatest(8, half // 4)
+         AND abs(y1 - y2) <= greatest(2, abs(x1 - x2) * 0.03::DOUBLE) AND (y1 + y2) // 2 - d.top > surface + 2 AND (y1 + y2) // 2 - d.top <= n - 1 GROUP BY frame_id)
+SELECT frame AS frame_id, attempt::INT AS attempt, method, d.top::INT AS jar_top, (d.top + surface)::INT AS dough_top, (d.top + coalesce(line, low.bottom))::INT AS jar_bottom,
+       (coalesce(line, low.bottom) - surface) AS level
+FROM d JOIN combined USING (frame_id) JOIN low USING (frame_id) LEFT JOIN hz USING (frame_id)
+WHERE surface IS NOT NULL QUALIFY row_number() OVER (PARTITION BY frame ORDER BY attempt) = 1"""
+
+
 def _fold(reset: bool) -> str:
     """The fold, row by row for all series at once: lists hold the last heights and rises."""
     is_reset = "e.event_type = 'error'" if reset else "FALSE"
@@ -177,6 +207,7 @@ SELECT frame_id, "left", "right", top, bottom, overlap FROM k WHERE i = 1""",
         "lowest_horizontal": f"""{_SEGMENTS},
 h AS (SELECT frame_id, ((y1 + y2) // 2)::INT AS y, abs(x1 - x2) AS length FROM seg WHERE abs(x1 - x2) > 0 AND abs(y1 - y2) <= greatest(2, abs(x1 - x2) * 0.03::DOUBLE))
 SELECT frame_id, arg_max(y, (length, y)) AS bottom FROM h WHERE y > 12 AND y <= 90 GROUP BY frame_id""",
+        "measured_frames": _FRAMES,
         "rise_fold": f"""{_fold(False)}
 SELECT event_id, user_id, status, round_even(smoothed, 4) AS smoothed, round_even(rise_raw, 4) AS rise_raw, new_session, make_timestamp(session_us) AS session_start FROM f WHERE rn > 0""",
         "rise_stream": f"""{_fold(False)}

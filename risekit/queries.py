@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from risekit.functions import rise
 from risekit.operators import pixels, profiles, rolling, rows, segments
 from risekit.options import AnalysisOptions, PublishOptions
-from risekit.plans import batch
+from risekit.plans import batch, frames
 from risekit.scratch import scratch_path
 from risekit.sinks import diagnostics, messages
 from risekit.sources import snapshots, states
@@ -172,6 +172,27 @@ def lowest_horizontal(spark, sf_dir):
     return segments.lowest_long_horizontal(_segments(spark, sf_dir), F.lit(10), F.lit(90))
 
 
+#: Size of the frames that measured_frames makes of lineitem.
+FRAME_WIDTH, FRAME_HEIGHT = 60, 40
+
+
+def measured_frames(spark, sf_dir):
+    """A measurement of each frame (supplier and year); every other supplier's frames have a bright upper half."""
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    x, y, n = F.col("l_partkey") % FRAME_WIDTH, F.col("l_orderkey") % FRAME_HEIGHT, F.col("l_quantity").cast("long")
+    frame = F.concat_ws("-", "l_suppkey", F.date_format("l_shipdate", "yyyy")).alias("frame_id")
+    bright = (F.col("l_suppkey") % 2 == 0) & (y < FRAME_HEIGHT // 2)
+    edge, relaxed = (F.when(n >= least, 255).otherwise(0) for least in (40, 25))
+    pixels_ = line.select(frame, x.alias("x"), y.alias("y"), (F.when(bright, 200).otherwise(60) + F.col("l_partkey") % 40).alias("v"), edge.alias("edge"), relaxed.alias("edge_relaxed"))
+    upright, high = F.col("l_linenumber") % 2 == 0, F.col("l_orderkey") % 20
+    lines = line.select(
+        frame, (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("idx"), x.alias("x1"), F.when(upright, high).otherwise(y).alias("y1"),
+        F.when(upright, x + n % 4).otherwise(x + n % 20).alias("x2"), F.when(upright, F.least(F.lit(FRAME_HEIGHT - 1), high + n)).otherwise(y + n % 3).alias("y2"),
+        F.explode(F.when(n >= 35, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True)))).alias("relaxed"),
+    )
+    return frames.measure(pixels_, lines, FRAME_WIDTH, FRAME_HEIGHT, 10, 16)
+
+
 def rise_fold(spark, sf_dir):
     """The full fold without fits: gates, streaks, sessions and collapses."""
     m = _events(spark, sf_dir).withColumnRenamed("value", "height").withColumn("series_id", F.col("user_id"))
@@ -324,6 +345,6 @@ def diagnostics_lines(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         rolling_median, rise_percent, window_slope, lag_gate, collapse_candidates, flat_run_peak, peak_forecast, moving_average, moving_average_embeddings,
-        edge_surface, band_top, combined_surface, bottom_from_energy, row_reductions, histogram_median, blurred_energy, wall_pairs, lowest_horizontal, rise_fold, rise_readings, rise_slopes, rise_restored,
+        edge_surface, band_top, combined_surface, bottom_from_energy, row_reductions, histogram_median, blurred_energy, wall_pairs, lowest_horizontal, measured_frames, rise_fold, rise_readings, rise_slopes, rise_restored,
         rise_resets, rise_stream, sigmoid_fit, reading_json, reading_status, debug_messages, discovery, debug_discovery, snapshot_urls, state_import, retention, diagnostics_lines,
     )}
