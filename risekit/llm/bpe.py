@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -27,7 +28,7 @@ from risekit.llm.common import slices, small_batches, table
 
 #: The tokenizer of the production query, from the public vocabularies.
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct words kept between batches of a task.
+#: Distinct words and chunks kept between batches of a task.
 CACHE_WORDS = 300_000
 END = "</w>"
 #: White space as the vocabulary's normaliser sees it (Unicode White_Space).
@@ -49,8 +50,13 @@ def _ranges(kind: str, top: int = 0x250) -> str:
 #: The same words for texts of Latin letters, in the quicker standard module.
 _LATIN = re.compile(rf"[{_ranges('L')}]+|'(?:s|t|re|ve|m|ll|d)|[{_ranges('N')}]|[^{_SPACE}{_ranges('L')}{_ranges('N')}]+")
 _NOT_LATIN = re.compile("[^\x00-\u024f]")
+#: White space to Python, but not to the vocabulary.
+_SEPARATOR = re.compile("[\x1c-\x1f]")
+_CHUNK = re.compile(f"[^{_SPACE}]+")
 _FOREVER = np.int64(1 << 40)
 _NO_PAIR = 1 << 60
+#: Bytes of words that are merged side by side in one array, and rows of it.
+_SIDE_BY_SIDE, _ROWS = (8, 16, 32), 1 << 15
 #: Letters that tokens are looked up by.
 _HEAD = 4
 
@@ -68,10 +74,15 @@ def byte_letters() -> list[str]:
     return letters
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordBpe:
     """Encoder and decoder of one vocabulary file whose words end in ``</w>``."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS, speculate: bool = True):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -95,7 +106,10 @@ class WordBpe:
         self.best = merges.get
         order = np.argsort(keys)
         self.keys, self.key_ranks = np.array(keys, np.int64)[order], np.array(ranks, np.int64)[order]
+        self.merged = np.array([self.vocab[a + b] for a, b in model["merges"]], np.int64)
         self.letters = dict(enumerate(byte_letters()))
+        self.letter, self.last_letter = (np.array([self.vocab.get(x + end, -1) for x in byte_letters()], np.int64) for end in ("", END))
+        self.whole = min(self.letter.min(), self.last_letter.min()) >= 0  # the vocabulary has every letter
         # the longest token, and the longest with a word's end, among those that start with the same letters
         self.reach: dict[str, int] = {}
         self.reach_end: dict[str, int] = {}
@@ -104,8 +118,10 @@ class WordBpe:
             head = letters[:_HEAD]
             reach[head] = max(reach.get(head, 0), len(letters))
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        # words and chunks (stretches between white space) of two generations, each of half the size
         self.cache: dict[str | int, bytes] = {}
-        self.cache_words = cache_words
+        self.older: dict[str | int, bytes] = {}
+        self.cache_words, self.speculate = cache_words, speculate
         self.exact = 0  # words that needed exact merging
         self.reachable = self._reachable()
 
@@ -132,9 +148,7 @@ class WordBpe:
         live = np.arange(len(a))
         while len(live):
             x, y = a[live], b[live]
-            key = x << 20 | y
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.where(self.keys[at] == key, self.key_ranks[at], _FOREVER)
+            rank = self.ranks(x, y)
             clash = (rank < end_a[live]) & (rank <= end_b[live])
             ok[live[clash]] = False
             go = ~clash & ((self.born[x] >= 0) | (self.born[y] >= 0))
@@ -215,29 +229,82 @@ class WordBpe:
                         heapq.heappush(heap, (m, left))
         return [t for t, d in zip(ids, dead) if not d]
 
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair's merge, or _FOREVER."""
+        key = a.astype(np.int64) << 20 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.key_ranks[at], _FOREVER)
+
+    def merge_words(self, words: list[str]) -> list[bytes]:
+        """Exact merging of many words: short ones side by side as rows of an array, a merge each at a time."""
+        raw = [w.encode() for w in words]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        out: list[bytes] = [b""] * len(raw)
+        least = 0
+        for most in _SIDE_BY_SIDE:
+            rows = np.flatnonzero((size > least) & (size <= most)) if self.whole else np.zeros(0, np.int64)
+            for part in (rows[i : i + _ROWS] for i in range(0, len(rows), _ROWS)):
+                for i, ids in zip(part.tolist(), self._merge_rows([raw[i] for i in part.tolist()], size[part], most)):
+                    out[i] = ids
+            least = most if self.whole else 0
+        for i in np.flatnonzero(size > least).tolist():
+            out[i] = packed(self.merge(self.symbols(words[i])))
+        return out
+
+    def _merge_rows(self, raw: list[bytes], size: np.ndarray, width: int) -> list[bytes]:
+        at = np.arange(width)
+        letters = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in raw), np.uint8).reshape(-1, width)
+        ids = np.where(at == size[:, None] - 1, self.last_letter[letters], self.letter[letters])
+        best = np.where(at[1:] < size[:, None], self.ranks(ids[:, :-1], ids[:, 1:]), _FOREVER)
+        best = np.hstack([best, np.full((len(ids), 1), _FOREVER)])
+        done, n, live = ids.astype("<u4"), size.copy(), np.arange(len(ids))
+        while len(live):
+            i = best.argmin(1)
+            row = np.arange(len(live))
+            rank = best[row, i]
+            go = rank < _FOREVER
+            if not go.all():
+                done[live[~go]] = ids[~go]
+                ids, best, i, rank, live = ids[go], best[go], i[go], rank[go], live[go]
+                row = np.arange(len(live))
+            n[live] -= 1
+            left = n[live]
+            new = self.merged[rank]
+            shift = np.minimum(at + (at > i[:, None]), width - 1)
+            ids = np.take_along_axis(ids, shift, 1)
+            ids[row, i] = new
+            best = np.take_along_axis(best, np.minimum(at + (at >= i[:, None]), width - 1), 1)
+            after = np.minimum(i + 1, width - 1)
+            best[row, i] = np.where(i + 1 < left, self.ranks(new, ids[row, after]), _FOREVER)
+            inner = np.flatnonzero(i > 0)
+            best[inner, i[inner] - 1] = self.ranks(ids[inner, i[inner] - 1], new[inner])
+        flat, ends = done.tobytes(), n.tolist()
+        return [flat[4 * width * k : 4 * width * k + 4 * m] for k, m in enumerate(ends)]
+
     def learn(self, words: Iterable[str]) -> None:
         """Encode words that the cache lacks: speculate, verify all pairs at once, merge the rest."""
         words = list(words)
-        text = [self.symbols(w) for w in words]
-        cuts = [self.greedy(s) for s in text]
-        flat = np.fromiter((t for c in cuts for t in (c or ())), np.int64)
-        size = np.fromiter((len(c or ()) for c in cuts), np.int64, len(cuts))
-        owner = np.repeat(np.arange(len(cuts)), size)
-        good = size > 0
-        good[owner[~self.reachable[flat]]] = False
-        inner = np.flatnonzero(owner[1:] == owner[:-1]) if len(flat) else np.zeros(0, np.int64)
-        if len(inner):
-            pairs, where = np.unique(flat[inner] << 20 | flat[inner + 1], return_inverse=True)
-            fits = self.compatible(pairs >> 20, pairs & (1 << 20) - 1)
-            good[owner[inner[~fits[where]]]] = False
-        for w, s, c, ok in zip(words, text, cuts, good.tolist()):
-            if not ok:
-                self.exact += 1
-                c = self.merge(s)
-            self.cache[w] = np.array(c, "<u4").tobytes()
-
-    def words(self, text: str) -> list[str | int]:
-        """The words of a text after normalisation; a special token's string gives its id."""
+        if self.speculate:
+            text = [self.symbols(w) for w in words]
+            cuts = [self.greedy(s) for s in text]
+            flat = np.fromiter((t for c in cuts for t in (c or ())), np.int64)
+            size = np.fromiter((len(c or ()) for c in cuts), np.int64, len(cuts))
+            owner = np.repeat(np.arange(len(cuts)), size)
+            good = size > 0
+            good[owner[~self.reachable[flat]]] = False
+            inner = np.flatnonzero(owner[1:] == owner[:-1]) if len(flat) else np.zeros(0, np.int64)
+            if len(inner):
+                pairs, where = np.unique(flat[inner] << 20 | flat[inner + 1], return_inverse=True)
+                fits = self.compatible(pairs >> 20, pairs & (1 << 20) - 1)
+                good[owner[inner[~fits[where]]]] = False
+            good = good.tolist()
+            self.cache.update((w, packed(c)) for w, c, ok in zip(words, cuts, good) if ok)
+            words = [w for w, ok in zip(words, good) if not ok]
+        self.exact += len(words)
+        self.cache.update(zip(words, self.merge_words(words)))
+
+    def chunks(self, text: str) -> list[str | int]:
+        """The stretches between white space after normalisation, no word spans two; a special token's string gives its id."""
         out: list[str | int] = []
         for piece in self.split.split(text) if self.split else [text]:
             if piece in self.special:
@@ -246,22 +313,61 @@ class WordBpe:
                 if not piece.isascii():
                     piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")  # lower() has a rule for final sigma
                 piece = piece.lower()
-                out += (_WORD if _NOT_LATIN.search(piece) else _LATIN).findall(piece)
+                # split() also breaks at four separators that are no white space to the vocabulary
+                out += _CHUNK.findall(piece) if _SEPARATOR.search(piece) else piece.split()
         return out
 
+    def learn_chunks(self, chunks: set[str | int]) -> None:
+        """Put chunks into the cache, from the generation before or by learning their words."""
+        if len(self.cache) + len(chunks) > self.cache_words // 2:
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
+        cuts, new = [], set()
+        for x in chunks:
+            if isinstance(x, int):
+                cache[x] = packed([x])
+            elif (ids := older.get(x)) is not None:
+                cache[x] = ids
+            else:
+                words = (_WORD if _NOT_LATIN.search(x) else _LATIN).findall(x)
+                cuts.append((x, words))
+                for w in words:
+                    if w not in cache:
+                        if (ids := older.get(w)) is not None:
+                            cache[w] = ids
+                        else:
+                            new.add(w)
+        self.learn(new)
+        for x, words in cuts:
+            if words != [x]:
+                cache[x] = b"".join([cache[w] for w in words])
+
     def encode_batch(self, texts: Iterable[str]) -> list[bytes]:
         """Ids of each text, packed as little-endian unsigned 32-bit integers."""
-        texts = [self.words(t) for t in texts]
-        cache = self.cache
-        words = set().union(*texts)
-        new = words.difference(cache, self.special.values())
-        if len(cache) + len(new) > self.cache_words:
-            cache.clear()
-            new = words.difference(self.special.values())
-        self.learn(new)
-        for i in self.special.values():
-            cache[i] = i.to_bytes(4, "little")
-        return [b"".join(map(cache.__getitem__, t)) for t in texts]
+        get, out, waiting, new = self.cache.get, [], [], set()
+        for text in texts:
+            chunks = self.chunks(text)
+            cells = list(map(get, chunks))
+            if None in cells:
+                gaps = [i for i, c in enumerate(cells) if c is None]
+                names = [chunks[i] for i in gaps]
+                new.update(names)
+                waiting.append((len(out), cells, gaps, names))
+                out.append(b"")
+            else:
+                out.append(b"".join(cells))
+        if new:
+            self.learn_chunks(new)
+            found = self.cache
+            for k, cells, gaps, names in waiting:
+                for i, x in zip(gaps, names):
+                    cells[i] = found[x]
+                out[k] = b"".join(cells)
+        return out
+
+    def forget(self) -> None:
+        """Give the cache's memory back."""
+        self.cache, self.older = {}, {}
 
     def decode(self, ids: bytes) -> str:
         """The tokens' strings joined by blanks; this vocabulary names no other decoder."""
@@ -270,8 +376,8 @@ class WordBpe:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> WordBpe:
-    return WordBpe(path)
+def tokenizer(path: str, cache_words: int = CACHE_WORDS, speculate: bool = True) -> WordBpe:
+    return WordBpe(path, cache_words, speculate)
 
 
 def vocabulary_path() -> str:
@@ -305,7 +411,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] |
                 if decoded:
                     columns.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *added])
-        bpe.cache.clear()
+        bpe.forget()
 
     return small_batches(source).mapInArrow(run, schema)
 
