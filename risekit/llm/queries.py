@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from risekit.llm import bpe, chat, decontaminate, fingerprints, jaccard, line_dedup, sharding, toxicity, url_filters, warc
+from risekit.llm import bpe, chat, decontaminate, fingerprints, jaccard, line_dedup, packing, sharding, toxicity, url_filters, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_fingerprints": fingerprints.op8_fingerprints,
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_chat_format": chat.op10_chat_format,
+        "op11_packing": packing.op11_packing,
     }
 
 
