@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from risekit.llm import bpe, chat, decontaminate, fingerprints, jaccard, line_dedup, packing, sharding, toxicity, url_filters, warc
+from risekit.llm import bpe, chat, decontaminate, fingerprints, jaccard, line_dedup, packing, search, sharding, toxicity, url_filters, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_chat_format": chat.op10_chat_format,
         "op11_packing": packing.op11_packing,
+        "op12_search": search.op12_search,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_url_filters": url_filters.op5_sql(),
         "op9_decontamination": decontaminate.op9_sql(),
         "op10_chat_format": chat.op10_sql(),
+        "op12_search": search.op12_sql(),
     }
