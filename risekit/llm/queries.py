@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from risekit.llm import bpe, chat, decontaminate, fingerprints, jaccard, line_dedup, packing, search, sharding, toxicity, url_filters, warc
+from risekit.llm import bpe, chat, decontaminate, fingerprints, jaccard, line_dedup, negatives, packing, search, sharding, toxicity, url_filters, warc
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op10_chat_format": chat.op10_chat_format,
         "op11_packing": packing.op11_packing,
         "op12_search": search.op12_search,
+        "op13_hard_negatives": negatives.op13_hard_negatives,
     }
 
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_decontamination": decontaminate.op9_sql(),
         "op10_chat_format": chat.op10_sql(),
         "op12_search": search.op12_sql(),
+        "op13_hard_negatives": negatives.op13_sql(),
     }
