@@ -77,21 +77,28 @@ _SEGMENTS = """WITH seg AS (
   FROM lineitem)"""
 
 
-_FRAMES = f"""WITH line AS (
-  SELECT l_suppkey || '-' || strftime(l_shipdate, '%Y') AS frame, l_orderkey * 10 + l_linenumber AS idx, l_partkey % 60 AS x, l_orderkey % 40 AS y,
-         l_orderkey % 20 AS high, l_quantity::BIGINT AS n, l_linenumber % 2 = 0 AS upright,
-         CASE WHEN l_suppkey % 2 = 0 AND l_orderkey % 40 < 20 THEN 200 ELSE 60 END + l_partkey % 40 AS v FROM lineitem),
+_LINES = """SELECT l_suppkey || '-' || strftime(l_shipdate, '%Y') AS frame, l_orderkey * 10 + l_linenumber AS idx, l_partkey % 60 AS x, l_orderkey % 40 AS y,
+         l_orderkey % 20 AS high, l_quantity::BIGINT AS n, l_linenumber % 2 = 0 AS upright, l_suppkey % 10 AS kind,
+         CASE WHEN l_suppkey % 2 = 0 AND l_orderkey % 40 < 20 THEN 200 ELSE 60 END + l_partkey % 40 AS v,
+         CASE WHEN l_quantity::BIGINT >= 40 AND l_suppkey % 10 NOT IN (3, 7) THEN 255 ELSE 0 END AS edge,
+         CASE WHEN l_quantity::BIGINT >= 25 AND l_suppkey % 10 <> 7 THEN 255 ELSE 0 END AS edge_relaxed FROM lineitem"""
+
+
+def _frames(line: str, width: int, height: int, walls: bool, moved: int) -> str:
+    """Measurements of frames: pixels of line, all four attempts of each frame, the first with a surface or the last."""
+    mx, my = max(3, width // 20), max(2, height // 30)
+    return f"""WITH line AS ({line}),
 sg AS (SELECT frame, idx, x AS x1, CASE WHEN upright THEN high ELSE y END AS y1, CASE WHEN upright THEN x + n % 4 ELSE x + n % 20 END AS x2,
-              CASE WHEN upright THEN least(39, high + n) ELSE y + n % 3 END AS y2, level FROM line, (VALUES (0), (1)) q (level) WHERE level = 1 OR n >= 35),
+              CASE WHEN upright THEN least(39, high + n) ELSE y + n % 3 END AS y2, level FROM line, (VALUES (0), (1)) q (level) WHERE {walls} AND kind NOT IN (3, 7) AND (level = 1 OR n >= 35)),
 w AS (SELECT frame, level, idx, (x1 + x2) // 2 AS x, least(y1, y2) AS top, greatest(y1, y2) AS bottom FROM sg WHERE y1 <> y2 AND abs(x1 - x2) <= greatest(4, abs(y1 - y2) * 0.09::DOUBLE)),
 k AS (SELECT a.frame, a.level, a.x AS l, b.x AS r, greatest(a.top, b.top) AS top, least(a.bottom, b.bottom) AS bottom,
              row_number() OVER (PARTITION BY a.frame, a.level ORDER BY least(a.bottom, b.bottom) - greatest(a.top, b.top) DESC, a.x, a.idx, b.x, b.idx) AS i
-      FROM w a JOIN w b USING (frame, level) WHERE b.x - a.x >= 10 AND least(a.bottom, b.bottom) - greatest(a.top, b.top) >= 8),
+      FROM w a JOIN w b USING (frame, level) WHERE b.x - a.x >= 10 AND least(a.bottom, b.bottom) - greatest(a.top, b.top) >= CASE WHEN level = 0 THEN 16 // 2 ELSE floor(40 * 0.4::DOUBLE * 0.6::DOUBLE) // 2 END),
 tries AS (SELECT frame, level AS attempt, l, r, top, bottom FROM k WHERE i = 1
-          UNION ALL SELECT frame, attempt, 3, 57, 2, 38 FROM (SELECT DISTINCT frame FROM line), (VALUES (2), (3)) q (attempt)),
-c AS (SELECT frame || '#' || attempt AS frame_id, frame, attempt, l + greatest(3, (r - l) // 10) AS first, r - l - 2 * greatest(3, (r - l) // 10) AS wide, top, bottom - top AS n FROM tries),
+          UNION ALL SELECT frame, attempt, {mx}, {width - mx}, {my}, {height - my} FROM (SELECT DISTINCT frame FROM line), (VALUES (2), (3)) q (attempt)),
+c AS (SELECT frame || '#' || attempt AS frame_id, frame, attempt, l, r, l + greatest(3, (r - l) // 10) AS first, r - l - 2 * greatest(3, (r - l) // 10) AS wide, top, bottom - top AS n FROM tries),
 d AS (SELECT *, first + wide // 4 AS mid, greatest(1, wide // 2) AS half FROM c WHERE wide > 0 AND n > 0),
-px AS (SELECT frame_id, y - top AS y, CASE WHEN line.n >= CASE WHEN attempt % 2 = 0 THEN 40 ELSE 25 END THEN 255 ELSE 0 END AS e, x >= mid AND x < mid + half AS central, v
+px AS (SELECT frame_id, y - top AS y, CASE WHEN attempt % 2 = 0 THEN edge ELSE edge_relaxed END AS e, x >= mid AND x < mid + half AS central, v
        FROM d JOIN line USING (frame) WHERE x >= first AND x < first + wide AND y >= top AND y < top + d.n),
 pr AS (SELECT frame_id, y, sum(e)::DOUBLE AS e, sum(e) FILTER (central)::DOUBLE AS se, median(v) FILTER (central)::DOUBLE AS v FROM px GROUP BY 1, 2),
 al AS (SELECT frame_id, n, unnest(range(n)) AS y FROM d),
@@ -100,14 +107,22 @@ ps AS (SELECT frame_id, y, n, coalesce(se, 0)::DOUBLE AS e FROM al LEFT JOIN pr
 hz AS (SELECT frame_id, arg_max((y1 + y2) // 2 - d.top, (abs(x1 - x2), (y1 + y2) // 2)) AS line
        FROM d JOIN combined USING (frame_id) JOIN sg ON sg.frame = d.frame AND sg.level = d.attempt % 2
        WHERE least(x1, x2) >= mid AND greatest(x1, x2) < mid + half AND half >= 3 AND n >= 3 AND abs(x1 - x2) >= greatest(8, half // 4)
-         AND abs(y1 - y2) <= greatest(2, abs(x1 - x2) * 0.03::DOUBLE) AND (y1 + y2) // 2 - d.top > surface + 2 AND (y1 + y2) // 2 - d.top <= n - 1 GROUP BY frame_id)
-SELECT frame AS frame_id, attempt::INT AS attempt, method, d.top::INT AS jar_top, (d.top + surface)::INT AS dough_top, (d.top + coalesce(line, low.bottom))::INT AS jar_bottom,
-       (coalesce(line, low.bottom) - surface) AS level
-FROM d JOIN combined USING (frame_id) JOIN low USING (frame_id) LEFT JOIN hz USING (frame_id)
-WHERE surface IS NOT NULL QUALIFY row_number() OVER (PARTITION BY frame ORDER BY attempt) = 1"""
+         AND abs(y1 - y2) <= greatest(2, abs(x1 - x2) * 0.03::DOUBLE) AND (y1 + y2) // 2 - d.top > surface + 2 AND (y1 + y2) // 2 - d.top <= n - 1 GROUP BY frame_id),
+every AS (SELECT frame, attempt, method, band_top, band_contrast, c.surface, l, r, d.top, coalesce(line, low.bottom) AS low
+          FROM d JOIN combined c USING (frame_id) JOIN band USING (frame_id) JOIN low USING (frame_id) LEFT JOIN hz USING (frame_id)
+          WHERE c.surface IS NOT NULL OR attempt = 3 QUALIFY row_number() OVER (PARTITION BY frame ORDER BY c.surface IS NULL, attempt) = 1)
+SELECT frame AS frame_id, attempt::INT AS attempt, coalesce(method, 'none') AS method, band_top, round_even(band_contrast, 4) AS band_contrast, surface,
+       CASE WHEN surface IS NOT NULL THEN l END::INT AS jar_left, CASE WHEN surface IS NOT NULL THEN r END::INT AS jar_right,
+       CASE WHEN surface IS NOT NULL THEN top + {moved} END::INT AS jar_top, (top + surface + {moved})::INT AS dough_top,
+       CASE WHEN surface IS NOT NULL THEN top + low + {moved} END::INT AS jar_bottom, (low - surface)::INT AS level
+FROM (SELECT DISTINCT frame FROM line) LEFT JOIN every USING (frame)"""
+
+
+_FRAMES = _frames(_LINES, 60, 40, True, 0)
+_REGIONS = _frames(f"SELECT * REPLACE (x - 10 AS x, y - 5 AS y) FROM ({_LINES}) WHERE x >= 10 AND x < 55 AND y >= 5 AND y < 35", 45, 30, False, 5)
 
 
-def _fold(reset: bool) -> str:
+def _fold(reset: bool, per_minute: float = GATE_PER_MINUTE, session_hours: float = SESSION_HOURS) -> str:
     """The fold, row by row for all series at once: lists hold the last heights and rises."""
     is_reset = "e.event_type = 'error'" if reset else "FALSE"
     return f"""
@@ -140,11 +155,11 @@ f AS (
     FROM (
       SELECT *, CASE WHEN base <> 0 THEN (sm - base) / base * 100.0::DOUBLE ELSE 'NaN'::DOUBLE END AS rise, list_median(rises) AS recent
       FROM (
-        SELECT *, list_median(hs) AS sm, active AND acc_h IS NOT NULL AND ((us - acc_us) <= 0 OR abs(value - acc_h) > {GATE_PER_MINUTE}::DOUBLE * ((us - acc_us) / 60000000.0::DOUBLE) + {GATE_JITTER}::DOUBLE) AS gated
+        SELECT *, list_median(hs) AS sm, active AND acc_h IS NOT NULL AND ((us - acc_us) <= 0 OR abs(value - acc_h) > {per_minute}::DOUBLE * ((us - acc_us) / 60000000.0::DOUBLE) + {GATE_JITTER}::DOUBLE) AS gated
         FROM (
           SELECT e.event_id, f.user_id, e.rn, e.us, e.value, e.event_type, {is_reset} AS is_reset, f.heights, f.rises, f.n, f.base, f.start_us, f.acc_h, f.acc_us, f.rejects, f.collapses,
                  list_slice(list_append(f.heights, e.value), -5, -1) AS hs,
-                 f.base IS NOT NULL AND NOT (f.n > 0 AND (e.us - f.start_us) / 3600000000.0::DOUBLE > {SESSION_HOURS}) AS active
+                 f.base IS NOT NULL AND NOT (f.n > 0 AND (e.us - f.start_us) / 3600000000.0::DOUBLE > {session_hours}) AS active
           FROM f JOIN o e ON e.user_id = f.user_id AND e.rn = f.rn + 1)))))"""
 
 
@@ -208,6 +223,16 @@ SELECT frame_id, "left", "right", top, bottom, overlap FROM k WHERE i = 1""",
 h AS (SELECT frame_id, ((y1 + y2) // 2)::INT AS y, abs(x1 - x2) AS length FROM seg WHERE abs(x1 - x2) > 0 AND abs(y1 - y2) <= greatest(2, abs(x1 - x2) * 0.03::DOUBLE))
 SELECT frame_id, arg_max(y, (length, y)) AS bottom FROM h WHERE y > 12 AND y <= 90 GROUP BY frame_id""",
         "measured_frames": _FRAMES,
+        "measured_regions": _REGIONS,
+        "frame_cycle": f"""WITH RECURSIVE m AS ({_FRAMES}),
+events AS (SELECT row_number() OVER () AS event_id, split_part(frame_id, '-', 1)::BIGINT AS user_id, make_timestamp(split_part(frame_id, '-', 2)::BIGINT, 1, 1, 0, 0, 0.0) AS ts, level::DOUBLE AS value, '' AS event_type
+           FROM m WHERE level IS NOT NULL),
+{_fold(False, 1e9, 87_660).replace("WITH RECURSIVE ", "", 1).lstrip()}
+SELECT 'monitor/' || user_id || CASE WHEN status = 'ok' THEN '/state' ELSE '/measurement_status' END AS topic,
+       CASE WHEN status = 'ok' THEN CASE WHEN new_session THEN 0.0::DOUBLE ELSE round_even(greatest(0, least(500, rise_raw)), 1) END::VARCHAR ELSE 'none' END AS shown, status = 'ok' AS retain FROM f WHERE rn > 0
+UNION ALL SELECT 'monitor/' || split_part(frame_id, '-', 1) || '/measurement_status', 'none', FALSE FROM m WHERE level IS NULL
+UNION ALL SELECT 'monitor/' || frame_id || '/diagnostics', concat_ws(' ', method, round_even(coalesce(band_contrast, 0), 0)::INT, coalesce(band_top::VARCHAR, '-'), coalesce(surface::VARCHAR, '-'), coalesce(dough_top::VARCHAR, '-'),
+       coalesce(jar_bottom::VARCHAR, '-'), coalesce((jar_bottom - jar_top)::VARCHAR, '-'), coalesce((jar_bottom - dough_top)::VARCHAR, '-')), TRUE FROM m""",
         "rise_fold": f"""{_fold(False)}
 SELECT event_id, user_id, status, round_even(smoothed, 4) AS smoothed, round_even(rise_raw, 4) AS rise_raw, new_session, make_timestamp(session_us) AS session_start FROM f WHERE rn > 0""",
         "rise_stream": f"""{_fold(False)}
@@ -256,6 +281,7 @@ SELECT 'homeassistant/' || kind || '/' || d || '/' || key || '/config' AS topic,
         "state_import": """SELECT user_id, CASE WHEN user_id % 10 = 0 THEN 0 ELSE count(*) END AS n_samples,
   CASE WHEN user_id % 10 <> 0 THEN round_even(arg_min(value, ts), 4) END AS baseline, CASE WHEN user_id % 10 <> 0 THEN min(ts) END AS session_start FROM events GROUP BY user_id""",
         "retention": "SELECT event_id, ts FROM events WHERE (epoch_us((SELECT max(ts) FROM events)) - epoch_us(ts)) / 3600000000.0 > 48.0",
-        "diagnostics_lines": f"""{_COMBINED}
-SELECT strftime(make_timestamp(frame_id * 86400000000), '%Y%m%d') AS day, strftime(make_timestamp(frame_id * 86400000000), '%Y-%m-%dT%H:%M:%S.%f') || '0+00:00' AS time, method, surface AS final_row FROM combined""",
+        "diagnostics_lines": f"""WITH m AS ({_FRAMES}), t AS (SELECT *, make_timestamp(split_part(frame_id, '-', 2)::BIGINT, 2, 3, 4, 5, 6.5) AS ts FROM m)
+SELECT strftime(ts, '%Y%m%d') AS day, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '0+00:00' AS time, frame_id || '.jpg' AS image, method, band_contrast, band_top AS band_top_row, surface AS final_row,
+       jar_left AS jar_left_px, jar_right AS jar_right_px, jar_top AS jar_top_px, dough_top AS dough_top_px, jar_bottom AS jar_bottom_px, (jar_bottom - 20)::INT AS session_start_surface_px FROM t""",
     }

@@ -13,6 +13,7 @@ import json
 import math
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field, replace
+from itertools import accumulate
 from statistics import median
 
 import numpy as np
@@ -44,9 +45,14 @@ class State:
     accepted_time: int | None = None
     rejects: int = 0
     collapses: int = 0
+    #: The latest time among the samples up to each, for late ones may follow.
+    latest: list[int] = field(init=False, compare=False)
+
+    def __post_init__(self) -> None:
+        self.latest = list(accumulate((t for t, _ in self.samples), max))
 
     def dumps(self) -> str:
-        return json.dumps(asdict(self))
+        return json.dumps({k: v for k, v in asdict(self).items() if k != "latest"})
 
     @classmethod
     def loads(cls, text: str) -> State:
@@ -66,7 +72,7 @@ class State:
 
     def open(self, time: int, baseline: float | None) -> None:
         """A new session; the reject streak and the last accepted pair live on."""
-        self.samples, self.slopes, self.heights = [], [], []
+        self.samples, self.latest, self.slopes, self.heights = [], [], [], []
         self.baseline, self.session_start = baseline, time
         self.peaked, self.last_fit, self.collapses = False, None, 0
 
@@ -103,12 +109,14 @@ def rounded(x: float, low: float, high: float, digits: int) -> float:
     return x if math.isnan(x) else round(min(max(x, low), high), digits)
 
 
-def _slope(samples: list[tuple[int, float]], now: int, minutes: float) -> float | None:
+def _slope(samples: list[tuple[int, float]], latest: list[int], now: int, minutes: float) -> float | None:
+    """The regression slope over the samples of the last minutes; late ones may stand between them."""
     window = []
-    for t, r in reversed(samples):
-        if (now - t) / US_PER_MINUTE > minutes:
+    for (t, r), last in zip(reversed(samples), reversed(latest)):
+        if (now - last) / US_PER_MINUTE > minutes:
             break
-        window.append((t, r))
+        if (now - t) / US_PER_MINUTE <= minutes:
+            window.append((t, r))
     if len(window) < 4:
         return None
     window.reverse()
@@ -162,7 +170,8 @@ def advance(state: State, time: int, height: float | None, options: AnalysisOpti
             return Reading("ok", rise_percent=0.0, new_session=True, session_start=time, smoothed=smoothed, rise_raw=0.0)
     state.collapses = 0
     state.samples.append((time, rise))
-    slope = _slope(state.samples, time, o.slope_window_minutes)
+    state.latest.append(max(time, state.latest[-1] if state.latest else time))
+    slope = _slope(state.samples, state.latest, time, o.slope_window_minutes)
     if slope is not None:
         state.slopes.append((time, slope))
     n = o.peak_confirm_windows

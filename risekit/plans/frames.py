@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,23 +11,30 @@ from risekit.functions import rise
 from risekit.operators import profiles, segments
 from risekit.scratch import scratch_path
 
-_COLUMN = ["frame_id", "attempt", "first", "width", "top", "height"]
+_COLUMN = ["frame_id", "attempt", "first", "width", "top", "height", "left", "right"]
+#: Searched columns: between walls, then the whole frame, each in the strict and the relaxed edges.
+ATTEMPTS = 4
+
 
+def _walls(lines: DataFrame, relaxed: bool, min_width: int, min_length: int) -> DataFrame:
+    """Columns between the walls found in the strict or the relaxed edges."""
+    return segments.wall_pairs(segments.near_vertical(lines.where(F.col("relaxed") == relaxed)), min_width, min_length).select("frame_id", "left", "right", "top", "bottom")
 
-def columns_to_search(pixels: DataFrame, lines: DataFrame, width: int, height: int, min_width: int, min_length: int) -> DataFrame:
-    """(frame_id, attempt, first, width, top, height): the columns in which a frame's surface is looked for, in turn.
+
+def columns_to_search(frames: DataFrame, lines: DataFrame, attempt: int, width: int, height: int, min_width: int, min_lengths: tuple[int, int]) -> DataFrame:
+    """(frame_id, attempt, first, width, top, height, left, right): the column in which an attempt looks for the surface of each of the frames.
 
     Attempts 0 and 1 lie between the walls found in the strict and in the relaxed edges, where there
     are walls; 2 and 3 are the whole frame without its border, in the same two edges.
     """
-    walls = [segments.wall_pairs(segments.near_vertical(lines.where(F.col("relaxed") == bool(k))), min_width, min_length).withColumn("attempt", F.lit(k)) for k in (0, 1)]
-    between = walls[0].union(walls[1]).select("frame_id", "attempt", "left", "right", "top", "bottom")
-    whole = rise.fallback_column(F.lit(width), F.lit(height))
-    frames = pixels.select("frame_id").distinct().withColumn("attempt", F.explode(F.array(F.lit(2), F.lit(3))))
-    every = between.unionByName(frames.withColumns(whole))
+    if attempt < 2:
+        every = _walls(lines.join(frames, "frame_id", "left_semi"), attempt == 1, min_width, min_lengths[attempt])
+    else:
+        every = frames.withColumns(rise.fallback_column(F.lit(width), F.lit(height)))
     gap = rise.inset(F.col("right") - F.col("left"))
     inner = (F.col("right") - F.col("left") - gap * 2).cast("int").alias("width")
-    cells = every.select("frame_id", "attempt", (F.col("left") + gap).cast("int").alias("first"), inner, F.col("top").cast("int"), (F.col("bottom") - F.col("top")).cast("int").alias("height"))
+    place = [F.col(c).cast("int").alias(c) for c in ("left", "right")]
+    cells = every.select("frame_id", F.lit(attempt).alias("attempt"), (F.col("left") + gap).cast("int").alias("first"), inner, F.col("top").cast("int"), (F.col("bottom") - F.col("top")).cast("int").alias("height"), *place)
     return cells.where((F.col("width") > 0) & (F.col("height") > 0))
 
 
@@ -67,24 +76,49 @@ def lower_edges(surfaces: DataFrame, lines: DataFrame) -> DataFrame:
     return found.select("frame_id.frame_id", "frame_id.attempt", F.col("bottom").alias("line"))
 
 
-def measure(pixels: DataFrame, lines: DataFrame, width: int, height: int, min_width: int, min_length: int, roi_y: int | None = None) -> DataFrame:
-    """(frame_id, attempt, method, jar_top, dough_top, jar_bottom, level): a row for each frame with a surface.
+def measure(pixels: DataFrame, lines: DataFrame, width: int, height: int, min_width: int, min_lengths: tuple[int, int], roi_y: int | None = None, roi: dict[str, int | None] | None = None) -> DataFrame:
+    """A row for each frame: (frame_id, attempt, method, band_top, band_contrast, surface, jar_left, jar_right, jar_top, dough_top, jar_bottom, level).
 
     pixels: (frame_id, x, y, v, edge, edge_relaxed), intensity and the strength of both edge maps.
     lines: (frame_id, idx, x1, y1, x2, y2, relaxed), segments found in the strict or the relaxed map.
-    All frames have the given size. The first attempt that finds a surface counts. Rows are moved
-    down by roi_y where the pixels are a region of a larger frame. Frames without pixels or surface
-    have no row, nor do those with a null id. Surfaces are found when this is called.
+    All frames have the given size. min_lengths are the least lengths of walls in the strict and in
+    the relaxed map. The first attempt that finds a surface counts; later ones read only the frames
+    that are still open. band_top and surface are rows of the searched column, the others places in
+    the frame. A frame without a surface has the last attempt's method and band, and nulls.
+
+    roi (x, y, width, height) cuts a region out of every frame first, in whose coordinates lines are;
+    rows of the result are moved down by roi_y, the region's y where that is not given. Null frame
+    ids have no row. Surfaces are found when this is called.
     """
-    cols = columns_to_search(pixels, lines, width, height, min_width, min_length)
+    if roi is not None and not any(roi.get(k) is None for k in ("x", "y", "width", "height")):
+        pixels = profiles.crop(pixels, roi).withColumns({"x": F.col("x") - roi["x"], "y": F.col("y") - roi["y"]})
+        width, height = max(0, min(width - roi["x"], roi["width"])), max(0, min(height - roi["y"], roi["height"]))
+        roi_y = roi["y"] if roi_y is None else roi_y
     spark = pixels.sparkSession
-    # written, as both what follows reads it and a filter on a surface would compute it anew
-    path = scratch_path(spark, "frame-surfaces")
-    profiles.combined_surface(column_profiles(pixels, cols), "energy", "strip_intensity").write.parquet(path)
-    found = spark.read.parquet(path).where("surface IS NOT NULL").withColumn("last", F.col("height") - 1)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    frames = kept(pixels.select("frame_id").where("frame_id IS NOT NULL").distinct(), "frames")
+    still, results = frames, []
+    for attempt in range(ATTEMPTS):
+        cols = columns_to_search(still, lines, attempt, width, height, min_width, min_lengths)
+        # written, as both what follows reads it and a filter on a surface would compute it anew
+        found = kept(profiles.combined_surface(column_profiles(pixels, cols), "energy", "strip_intensity"), "frame-surfaces")
+        results.append(found)
+        still = still.join(found.where("surface IS NOT NULL"), "frame_id", "left_anti")
+        if attempt + 1 < ATTEMPTS:
+            still = kept(still, "frames-open")
+            if still.isEmpty():
+                break
+    found = reduce(DataFrame.union, results).where("surface IS NOT NULL").withColumn("last", F.col("height") - 1)
     low = profiles.bottom_from_energy(found, "strip_energy", "last", "surface").join(lower_edges(found, lines), ["frame_id", "attempt"], "left")
-    bottom = F.coalesce("line", "bottom")
-    row = low.select("frame_id", "attempt", "method", F.col("top").alias("jar_top"), (F.col("top") + F.col("surface")).alias("dough_top"), (F.col("top") + bottom).cast("int").alias("jar_bottom"))
-    first = row.groupBy("frame_id").agg(F.min_by(F.struct("attempt", "method", "jar_top", "dough_top", "jar_bottom"), "attempt").alias("m")).select("frame_id", "m.*")
-    moved = profiles.shift_rows(first, ["jar_top", "dough_top", "jar_bottom"], F.lit(roi_y).cast("int"))
+    bottom = (F.col("top") + F.coalesce("line", "bottom")).cast("int")
+    seen = ["frame_id", "attempt", "method", "band_top", "band_contrast"]
+    measured = low.select(*seen, "surface", F.col("left").alias("jar_left"), F.col("right").alias("jar_right"), F.col("top").alias("jar_top"), (F.col("top") + F.col("surface")).alias("dough_top"), bottom.alias("jar_bottom"))
+    none = results[-1].where("surface IS NULL").select(*seen) if len(results) == ATTEMPTS else measured.select(*seen).limit(0)
+    rest = frames.join(measured, "frame_id", "left_anti").join(none, "frame_id", "left").withColumn("method", F.coalesce("method", F.lit("none")))
+    moved = profiles.shift_rows(measured.unionByName(rest, allowMissingColumns=True), ["jar_top", "dough_top", "jar_bottom"], F.lit(roi_y).cast("int"))
     return moved.withColumn("level", rise.height(F.col("dough_top"), F.col("jar_bottom")))

@@ -27,6 +27,8 @@ SESSION_HOURS = 360.0
 OPTIONS = AnalysisOptions(slope_window_minutes=SLOPE_MINUTES, max_rise_px_per_minute=GATE_PER_MINUTE, jitter_tolerance_px=GATE_JITTER, max_session_hours=SESSION_HOURS)
 #: Without fits, for the queries that SQL can follow.
 NO_FIT = AnalysisOptions(**(OPTIONS.__dict__ | {"min_samples_for_fit": 1 << 30}))
+#: For frames a year apart: no gate, sessions of ten years.
+FRAME_OPTIONS = AnalysisOptions(**(NO_FIT.__dict__ | {"max_rise_px_per_minute": 1e9, "max_session_hours": 87_660.0}))
 KEYS = ["user_id"]
 #: Tells rows of a series apart that have equal times.
 TIES = ["event_id"]
@@ -172,25 +174,57 @@ def lowest_horizontal(spark, sf_dir):
     return segments.lowest_long_horizontal(_segments(spark, sf_dir), F.lit(10), F.lit(90))
 
 
-#: Size of the frames that measured_frames makes of lineitem.
-FRAME_WIDTH, FRAME_HEIGHT = 60, 40
+#: Size of the frames that measured_frames makes of lineitem, and the least lengths of walls in strict and in relaxed edges.
+FRAME_WIDTH, FRAME_HEIGHT, WALLS = 60, 40, (16, 9)
 
 
-def measured_frames(spark, sf_dir):
-    """A measurement of each frame (supplier and year); every other supplier's frames have a bright upper half."""
+def _line_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pixels and segments of frames (supplier and year).
+
+    Every other supplier's frames have a bright upper half. Those of suppliers that end in 3 have
+    weak edges only and no segments, and those that end in 7 have neither.
+    """
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     x, y, n = F.col("l_partkey") % FRAME_WIDTH, F.col("l_orderkey") % FRAME_HEIGHT, F.col("l_quantity").cast("long")
     frame = F.concat_ws("-", "l_suppkey", F.date_format("l_shipdate", "yyyy")).alias("frame_id")
     bright = (F.col("l_suppkey") % 2 == 0) & (y < FRAME_HEIGHT // 2)
-    edge, relaxed = (F.when(n >= least, 255).otherwise(0) for least in (40, 25))
+    kind = F.col("l_suppkey") % 10
+    edge, relaxed = F.when((n >= 40) & ~kind.isin(3, 7), 255).otherwise(0), F.when((n >= 25) & (kind != 7), 255).otherwise(0)
     pixels_ = line.select(frame, x.alias("x"), y.alias("y"), (F.when(bright, 200).otherwise(60) + F.col("l_partkey") % 40).alias("v"), edge.alias("edge"), relaxed.alias("edge_relaxed"))
     upright, high = F.col("l_linenumber") % 2 == 0, F.col("l_orderkey") % 20
-    lines = line.select(
+    lines = line.where(~kind.isin(3, 7)).select(
         frame, (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("idx"), x.alias("x1"), F.when(upright, high).otherwise(y).alias("y1"),
         F.when(upright, x + n % 4).otherwise(x + n % 20).alias("x2"), F.when(upright, F.least(F.lit(FRAME_HEIGHT - 1), high + n)).otherwise(y + n % 3).alias("y2"),
         F.explode(F.when(n >= 35, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True)))).alias("relaxed"),
     )
-    return frames.measure(pixels_, lines, FRAME_WIDTH, FRAME_HEIGHT, 10, 16)
+    return pixels_, lines
+
+
+def measured_frames(spark, sf_dir):
+    """A measurement of each frame, or what was seen where nothing was measured."""
+    pixels_, lines = _line_frames(spark, sf_dir)
+    return frames.measure(pixels_, lines, FRAME_WIDTH, FRAME_HEIGHT, 10, WALLS).withColumn("band_contrast", F.bround("band_contrast", 4))
+
+
+def measured_regions(spark, sf_dir):
+    """Measurements of a region of each frame, in the rows of the whole frame."""
+    pixels_, lines = _line_frames(spark, sf_dir)
+    region = {"x": 10, "y": 5, "width": 45, "height": 30}
+    return frames.measure(pixels_, lines.limit(0), FRAME_WIDTH, FRAME_HEIGHT, 10, WALLS, roi=region).withColumn("band_contrast", F.bround("band_contrast", 4))
+
+
+def frame_cycle(spark, sf_dir):
+    """From frames to messages: a series is a supplier with a frame a year; a frame without a surface sends that there is no reading."""
+    measured = measured_frames(spark, sf_dir)
+    series = F.substring_index("frame_id", "-", 1).cast("long")
+    ts = F.make_timestamp(F.substring_index("frame_id", "-", -1).cast("int"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    rows = measured.select("frame_id", series.alias("series_id"), ts.alias("ts"), F.col("level").cast("double").alias("height"))
+    readings = batch.readings(rows, FRAME_OPTIONS, keep=["series_id", "ts"])
+    sent = messages.reading_messages(readings, F.concat(F.lit("monitor/"), F.col("series_id")))
+    shown = sent.select("topic", F.coalesce(F.get_json_object("payload", "$.rise_percent"), F.lit("none")).alias("shown"), "retain")
+    debug = messages.diagnostics_messages(measured, F.concat(F.lit("monitor/"), F.col("frame_id")))
+    fields = F.array(*[F.coalesce(F.get_json_object("payload", f"$.{k}"), F.lit("-")) for k in messages.DIAGNOSTICS])
+    return shown.union(debug.select("topic", F.array_join(fields, " "), "retain"))
 
 
 def rise_fold(spark, sf_dir):
@@ -290,7 +324,7 @@ def debug_messages(spark, sf_dir):
     df = profiles.combined_surface(_profiles(spark, sf_dir), "e", "v").withColumn("last", F.size("e") - 1)
     df = profiles.bottom_from_energy(df, "e", "last", "surface")
     found = F.col("surface").isNotNull()
-    df = df.withColumns({"top": F.col("surface") + 10, "jar_top": F.when(found, F.lit(10)), "bottom": F.when(found, F.col("bottom") + 10)})
+    df = df.withColumns({"dough_top": F.col("surface") + 10, "jar_top": F.when(found, F.lit(10)), "jar_bottom": F.when(found, F.col("bottom") + 10)})
     sent = messages.diagnostics_messages(df, F.concat(F.lit("monitor_"), F.col("frame_id")))
     fields = ", ".join(f"{k} {'string' if k == 'method' else 'int'}" for k in messages.DIAGNOSTICS)
     return sent.select("topic", "retain", F.from_json("payload", fields).alias("p")).select("topic", "retain", "p.*")
@@ -335,16 +369,20 @@ def retention(spark, sf_dir):
 
 
 def diagnostics_lines(spark, sf_dir):
-    """JSON lines of the combined surface of each profile, parsed again."""
-    df = profiles.combined_surface(_profiles(spark, sf_dir), "e", "v").withColumn("ts", F.timestamp_micros(F.col("frame_id") * 86_400_000_000))
+    """JSON lines of each frame, parsed again; a session began 20 rows above the lower edge."""
+    seen = measured_frames(spark, sf_dir)
+    line = rise.session_line(F.lit(0), F.col("jar_bottom"), F.lit(20.0)).cast("int")
+    year = F.make_timestamp(F.substring_index("frame_id", "-", -1).cast("int"), F.lit(2), F.lit(3), F.lit(4), F.lit(5), F.lit(6.5))
+    df = seen.select("*", line.alias("session_line"), year.alias("ts"), F.concat("frame_id", F.lit(".jpg")).alias("image"))
     lines = diagnostics.diagnostics_lines(df)
-    p = F.from_json("value", "time string, method string, final_row int")
-    return lines.select("day", p.alias("p")).select("day", "p.time", "p.method", "p.final_row")
+    kinds = {"time": "string", "image": "string", "method": "string", "band_contrast": "double"}
+    fields = ["time", "image", *diagnostics.FIELDS]
+    return lines.select("day", F.from_json("value", ", ".join(f"{k} {kinds.get(k, 'int')}" for k in fields)).alias("p")).select("day", "p.*")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         rolling_median, rise_percent, window_slope, lag_gate, collapse_candidates, flat_run_peak, peak_forecast, moving_average, moving_average_embeddings,
-        edge_surface, band_top, combined_surface, bottom_from_energy, row_reductions, histogram_median, blurred_energy, wall_pairs, lowest_horizontal, measured_frames, rise_fold, rise_readings, rise_slopes, rise_restored,
+        edge_surface, band_top, combined_surface, bottom_from_energy, row_reductions, histogram_median, blurred_energy, wall_pairs, lowest_horizontal, measured_frames, measured_regions, frame_cycle, rise_fold, rise_readings, rise_slopes, rise_restored,
         rise_resets, rise_stream, sigmoid_fit, reading_json, reading_status, debug_messages, discovery, debug_discovery, snapshot_urls, state_import, retention, diagnostics_lines,
     )}

@@ -8,11 +8,28 @@ from pyspark.sql import functions as F
 from risekit.sinks.messages import iso
 
 
+#: Fields of a line after time and image, each with the column of frames.measure() that it comes from.
+FIELDS = {
+    "method": "method",
+    "band_contrast": "band_contrast",
+    "band_top_row": "band_top",
+    "final_row": "surface",
+    "jar_left_px": "jar_left",
+    "jar_right_px": "jar_right",
+    "jar_top_px": "jar_top",
+    "dough_top_px": "dough_top",
+    "jar_bottom_px": "jar_bottom",
+    "session_start_surface_px": "session_line",
+}
+
+
 def diagnostics_lines(frames: DataFrame, ts: str = "ts", image: str = "image") -> DataFrame:
-    """(day, value): one JSON line per frame; missing columns are nulls."""
-    own = {"method": "method", "band_contrast": "band_contrast", "band_top_row": "band_top", "final_row": "surface", "jar_left_px": "left", "jar_right_px": "right", "jar_top_px": "top", "dough_top_px": "surface", "jar_bottom_px": "bottom", "session_start_surface_px": "session_line"}
+    """(day, value): one JSON line per frame; missing columns are nulls.
+
+    band_top and surface are rows of the searched column, what ends in _px is a place in the frame.
+    """
     cells = [iso(F.col(ts)).alias("time"), (F.col(image) if image in frames.columns else F.lit(None).cast("string")).alias("image")]
-    cells += [(F.col(c) if c in frames.columns else F.lit(None).cast("int")).alias(k) for k, c in own.items()]
+    cells += [(F.col(c) if c in frames.columns else F.lit(None).cast("int")).alias(k) for k, c in FIELDS.items()]
     return frames.select(F.date_format(ts, "yyyyMMdd").alias("day"), F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}).alias("value"))
 
 

@@ -57,17 +57,17 @@ def diagnostics_messages(frames: DataFrame, device: Column) -> DataFrame:
     """Retained diagnostics of frames, for the debug mode.
 
     frames has method, band_contrast, band_top and surface as rows of the searched column, and the
-    measurement top, jar_top and bottom as rows of the frame (null where there is none).
+    measurement dough_top, jar_top and jar_bottom as rows of the frame (null where there is none).
     """
     cells = (
         F.coalesce("method", F.lit("none")),
         F.bround(F.coalesce("band_contrast", F.lit(0.0)), 0).cast("int"),
         F.col("band_top"),
         F.col("surface"),
-        F.col("top"),
-        F.col("bottom"),
-        F.col("bottom") - F.col("jar_top"),
-        F.col("bottom") - F.col("top"),
+        F.col("dough_top"),
+        F.col("jar_bottom"),
+        F.col("jar_bottom") - F.col("jar_top"),
+        F.col("jar_bottom") - F.col("dough_top"),
     )
     payload = _json(**dict(zip(DIAGNOSTICS, cells, strict=True)))
     return frames.select(F.concat(device, F.lit("/diagnostics")).alias("topic"), payload.alias("payload"), F.lit(True).alias("retain"))

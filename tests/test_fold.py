@@ -142,3 +142,15 @@ def test_fit_needs_enough():
     assert fit(h[:4], h[:4] * 10) is None
     assert fit(h, h * 0.5) is None
     assert fit(h, 1000 * np.exp(h)) is None or fit(h, 1000 * np.exp(h)).limit <= 500
+
+
+def test_slope_after_late_rows():
+    rows = [(m, 100 - m) for m in range(8)]
+    late = [(-98, 92), (-98, 92), (-98, 92)]  # the third one ends the streak of rejects
+    rs, state = run([*rows, *late, (8, 92)], B)
+    assert [r.status for r in rs[8:]] == ["no_reading:implausible"] * 2 + ["ok"] * 2
+    x = [m for m, _ in rows[1:]] + [8]
+    y = [r.rise_raw for r in rs[1:8]] + [rs[-1].rise_raw]
+    assert rs[-1].rise_rate == pytest.approx(np.polyfit(np.array(x) / 60, y, 1)[0], abs=0.05)
+    again = State.loads(state.dumps())
+    assert again == state and again.latest == state.latest == [T0 + m * MIN for m in (1, 2, 3, 4, 5, 6, 7, 7, 8)]

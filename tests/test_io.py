@@ -67,10 +67,12 @@ def test_discovery_has_more_in_debug_mode(spark):
 
 
 def test_diagnostics_lines_by_day(spark, tmp_path):
-    f = spark.createDataFrame([(dt.datetime(2024, 1, 2), "band", 60.4, 5, 6, 16, 10, 100)], "ts timestamp, method string, band_contrast double, band_top int, surface int, top int, jar_top int, bottom int")
+    f = spark.createDataFrame([(dt.datetime(2024, 1, 2), "band", 60.4, 5, 6, 16, 10, 100)], "ts timestamp, method string, band_contrast double, band_top int, surface int, dough_top int, jar_top int, jar_bottom int")
     diagnostics.append_lines(diagnostics.diagnostics_lines(f), f"{tmp_path}/log")
     (row,) = spark.read.text(f"{tmp_path}/log").collect()
-    assert json.loads(row["value"])["final_row"] == 6 and str(row["day"]) == "20240102"
+    line = json.loads(row["value"])
+    assert str(row["day"]) == "20240102" and len(line) == 12
+    assert {k: line[k] for k in ("final_row", "jar_top_px", "dough_top_px", "jar_bottom_px", "jar_left_px")} == {"final_row": 6, "jar_top_px": 10, "dough_top_px": 16, "jar_bottom_px": 100, "jar_left_px": None}
     (m,) = messages.diagnostics_messages(f, F.lit("jar")).collect()
     size = {"dough_top_px": 16, "jar_bottom_px": 100, "jar_height_px": 90, "dough_height_px": 84}
     assert m["retain"] and json.loads(m["payload"]) == {"method": "band", "band_contrast": 60, "band_top_row": 5, "final_row": 6} | size
