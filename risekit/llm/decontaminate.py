@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from risekit.llm.common import small_batches, table
 
@@ -240,8 +241,8 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_spans(docs: DataFrame, phrases: Phrases, text_col: str = "text", keep: list[str] | None = None, before: bool = False) -> DataFrame:
-    """docs with n_words, spans (word start and end, merged) and items, in place of columns of these names.
+def find_spans(docs: DataFrame, phrases: Phrases, text_col: str = "text", keep: list[str] | None = None, before: bool = False, kind: T.DataType = T.LongType()) -> DataFrame:
+    """docs with n_words, spans (word start and end, merged) and items (ids of that kind), in place of columns of these names.
 
     before: docs is the result of another pass, whose spans and items are added to.
     """
@@ -251,9 +252,10 @@ def find_spans(docs: DataFrame, phrases: Phrases, text_col: str = "text", keep:
     extra = [c for c in dict.fromkeys([text_col, *(("spans", "items") if before else ())]) if c not in kept]
     source = docs.select(*[F.col(f"`{c}`") for c in [*kept, *extra]])
     fields = [source.schema[c] for c in kept]
-    schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(kind))])
     names = [*kept, *extra]
     at = names.index(text_col)
+    items_type = pa.list_(to_arrow_type(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -287,7 +289,7 @@ def find_spans(docs: DataFrame, phrases: Phrases, text_col: str = "text", keep:
             cells = [
                 pa.array([len(words[r]) for r in rows], pa.int64()),
                 pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _ARROW_SPANS),
-                pa.array(items, pa.list_(pa.int64())),
+                pa.array(items, items_type),
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *cells], names=[*kept, *added])
 
@@ -299,18 +301,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     Windows are WINDOW consecutive words of an item, or all its words where it has fewer; items
     without words have none. Spans are the merged word ranges inside occurrences, items the sorted
-    ids of items with an occurring window (a null id isn't listed, its windows count). The
-    benchmark is searched in blocks of bounded size, one pass over the documents each. A null text
+    ids of items with an occurring window (a null id isn't listed, its windows count). Item ids are of
+    any one type; repeated items count once. The benchmark is searched in blocks of bounded size, one pass over the documents each. A null text
     has no words; repeated rows get equal results; nothing is shuffled or dropped. Columns of docs
     named n_words, spans or items are replaced, all others come through.
     """
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    given = benchmark.select("item_id", "text").where("text IS NOT NULL").distinct()  # repeated rows would share a block
+    total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
+    kind = benchmark.schema["item_id"].dataType
     out = docs
     for b in range(blocks):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).select("item_id", "text").collect()
+        rows = given.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         last = b == blocks - 1
-        out = find_spans(out, Phrases([(r["item_id"], r["text"]) for r in rows]), text_col, keep if last else None, before=b > 0)
+        out = find_spans(out, Phrases([(r["item_id"], r["text"]) for r in rows]), text_col, keep if last else None, before=b > 0, kind=kind)
     return out
 
 

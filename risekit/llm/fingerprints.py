@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from risekit.llm.common import ascii_lower
@@ -122,8 +123,12 @@ def beside_next(docs: DataFrame, id_col: str, columns: list[str], rows_per_range
 def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likeness (see op8).
 
-    Only the id and the text are read, whatever other columns docs has. No rows: no rows.
+    Ids are whole numbers (others raise an error) and meant to be nearly unique, as rows that repeat
+    one meet in one task. Only the id and the text are read, whatever other columns docs has. No
+    rows: no rows.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be of a whole number type to be put in order by ranges")
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     own = base.withColumn("fingerprint", fingerprint(F.col("text")))
     both = beside_next(own, "doc_id", ["text", "fingerprint"])

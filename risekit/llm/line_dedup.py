@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from risekit.functions.once import once
-from risekit.llm.common import ascii_lower, written
+from risekit.llm.common import ascii_lower, unused, written
 
 #: A line is boilerplate from so many documents on, if its key has so many code points.
 MIN_DOCS = 10
@@ -38,12 +38,14 @@ def dedup_lines(
     count as one document) lose all their lines. Rows may repeat an id,
     with the same text or another, and are of any type. A null or empty text is
     one empty line, which is never lost; its result is the empty text. Columns of docs named n_lines
-    or n_dropped are replaced, all others come through.
+    or n_dropped are replaced, all others come through, whatever they are called.
 
     Keys are compared by two 64-bit hashes of their bytes. A key in a third of all documents is
-    pre-aggregated before the shuffle, and its line rows are salted over 32 partitions.
+    pre-aggregated before the shuffle, and its line rows are salted over 32 partitions, which the
+    adaptive skew join splits further where they are large.
     """
     salts = 32
+    of, at, lost_at = unused(docs, "of", "at", "lost")
     rest = [c for c in docs.columns if c.lower() not in {"n_lines", "n_dropped"}]
     version = F.xxhash64(F.col(text_col))
     exploded = (
@@ -64,19 +66,19 @@ def dedup_lines(
     lost = (
         lines.withColumn("salt", F.pmod(F.xxhash64("id", "pos"), F.lit(salts)).cast("int"))
         .join(common, ["h1", "h2", "salt"], "left_semi")
-        .groupBy(F.col("id").alias("__id"), F.col("v").alias("__v"))
-        .agg(F.collect_set("pos").alias("__lost"))
+        .groupBy(F.col("id").alias(of), F.col("v").alias(at))
+        .agg(F.collect_set("pos").alias(lost_at))
     )
-    joined = docs.join(lost, docs[id_col].eqNullSafe(F.col("__id")) & (version == F.col("__v")), "left")
+    joined = docs.join(lost, F.col(id_col).eqNullSafe(F.col(of)) & (version == F.col(at)), "left")
     own = text_lines(F.col(text_col))
 
     def without(lines: Column) -> Column:
-        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__lost")
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost_at)
         return F.transform(left, lambda i: F.get(lines, i))
 
-    kept = F.when(F.col("__lost").isNull(), own).otherwise(once(own, without))
+    kept = F.when(F.col(lost_at).isNull(), own).otherwise(once(own, without))
     cells = [F.array_join(kept, "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in rest]
-    dropped = F.when(F.col("__lost").isNull(), 0).otherwise(F.size("__lost")).cast("long")
+    dropped = F.when(F.col(lost_at).isNull(), 0).otherwise(F.size(lost_at)).cast("long")
     return joined.select(*cells, F.size(own).cast("long").alias("n_lines"), dropped.alias("n_dropped"))
 
 

@@ -75,23 +75,28 @@ def grow(slot_bytes: list[int], owner: list[int], n_shards: int) -> list[int]:
     return owner
 
 
-def slot_of(text_hash: Column, id_hash: Column, hot: list[int], n_slots: int) -> Column:
-    """Equal texts share a slot, but those of a hot group are dealt out by id."""
+def slot_of(text_hash: Column, id_hash: Column, row: Column, hot: list[int], copies: list[int], n_slots: int) -> Column:
+    """Equal texts share a slot, but those of a hot group are dealt out by id, and copies of one id and text row by row."""
     by_text = F.pmod(text_hash, F.lit(n_slots))
     if not hot:
         return by_text
-    return F.when(text_hash.isin(hot), F.pmod(F.xxhash64(text_hash, id_hash), F.lit(n_slots))).otherwise(by_text)
+    dealt = F.xxhash64(text_hash, id_hash)
+    if copies:
+        dealt = F.when(dealt.isin(copies), F.xxhash64(text_hash, id_hash, row)).otherwise(dealt)
+    return F.when(text_hash.isin(hot), F.pmod(dealt, F.lit(n_slots))).otherwise(by_text)
 
 
-def store_map(spark: SparkSession, path: str, version: int, owner: list[int], slot_bytes: list[int], hot: list[int]) -> None:
-    """Write a version of the map: (slot, shard, bytes) for every slot, and the hot groups that are dealt out by id.
+def store_map(spark: SparkSession, path: str, version: int, owner: list[int], slot_bytes: list[int], hot: list[int], n_shards: int) -> None:
+    """Write a version of the map: (slot, shard, bytes, shards) for every slot, and the hot groups that are dealt out by id.
 
-    A version is a folder of its own and is never changed; the slots' folder is written last, so a
-    version is there as a whole or not at all.
+    A version is a folder of its own, and one that is whole is never changed. The slots' folder is
+    written last; what a lost driver left of a version that isn't whole is written over.
     """
-    spark.createDataFrame([(h,) for h in hot], "text_hash long").coalesce(1).write.parquet(f"{path}/hot/version={version}")
-    rows = [(slot, shard, slot_bytes[slot]) for slot, shard in enumerate(owner)]
-    spark.createDataFrame(rows, "slot int, shard int, bytes long").coalesce(1).write.parquet(f"{path}/slots/version={version}")
+    if version in versions(spark, path):
+        raise ValueError(f"version {version} of the map is there")
+    spark.createDataFrame([(h,) for h in hot], "text_hash long").coalesce(1).write.mode("overwrite").parquet(f"{path}/hot/version={version}")
+    rows = [(slot, shard, slot_bytes[slot], n_shards) for slot, shard in enumerate(owner)]
+    spark.createDataFrame(rows, "slot int, shard int, bytes long, shards int").coalesce(1).write.mode("overwrite").parquet(f"{path}/slots/version={version}")
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:
@@ -106,9 +111,9 @@ def versions(spark: SparkSession, path: str) -> list[int]:
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """(slot, shard, bytes) of a stored version, the last one if none is named."""
+    """(slot, shard, bytes, shards) of a stored version, the last one if none is named."""
     version = versions(spark, path)[-1] if version is None else version
-    return spark.read.schema("slot int, shard int, bytes long").parquet(f"{path}/slots/version={version}")
+    return spark.read.schema("slot int, shard int, bytes long, shards int").parquet(f"{path}/slots/version={version}")
 
 
 def load_hot(spark: SparkSession, path: str, version: int) -> list[int]:
@@ -116,33 +121,33 @@ def load_hot(spark: SparkSession, path: str, version: int) -> list[int]:
     return sorted(r["text_hash"] for r in rows)
 
 
-def _owner(stored: DataFrame) -> tuple[list[int], list[int]]:
-    """owner and bytes of each slot of a stored version; a fixed number of rows."""
-    rows = sorted(tuple(r) for r in stored.select("slot", "shard", "bytes").collect())
-    return [r[1] for r in rows], [r[2] for r in rows]
+def _owner(stored: DataFrame) -> tuple[list[int], list[int], int]:
+    """owner and bytes of each slot of a stored version, and its number of shards; a fixed number of rows."""
+    rows = sorted(tuple(r) for r in stored.select("slot", "shard", "bytes", "shards").collect())
+    return [r[1] for r in rows], [r[2] for r in rows], rows[0][3]
 
 
-def rebalance_map(spark: SparkSession, path: str, slot_bytes: list[int], hot: list[int], n_shards: int) -> int:
+def rebalance_map(spark: SparkSession, path: str, slot_bytes: list[int], hot: list[int]) -> int:
     """Edit the last stored version for the slots' bytes of today and store the result; its version."""
     last = versions(spark, path)[-1]
-    owner, _ = _owner(load_map(spark, path, last))
-    store_map(spark, path, last + 1, rebalance(slot_bytes, owner, n_shards), slot_bytes, hot)
+    owner, _, n_shards = _owner(load_map(spark, path, last))
+    store_map(spark, path, last + 1, rebalance(slot_bytes, owner, n_shards), slot_bytes, hot, n_shards)
     return last + 1
 
 
 def grow_map(spark: SparkSession, path: str) -> int:
     """Edit the last stored version for one more shard and store the result; its version."""
     last = versions(spark, path)[-1]
-    owner, slot_bytes = _owner(load_map(spark, path, last))
-    store_map(spark, path, last + 1, grow(slot_bytes, owner, max(owner) + 1), slot_bytes, load_hot(spark, path, last))
+    owner, slot_bytes, n_shards = _owner(load_map(spark, path, last))
+    store_map(spark, path, last + 1, grow(slot_bytes, owner, n_shards), slot_bytes, load_hot(spark, path, last), n_shards + 1)
     return last + 1
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, th) of each row: what placing it needs, without its text."""
+    """(doc_id, size, text_crc32, th, row) of each row: what placing it needs, without its text; row is a number of its own."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = (F.octet_length(text) + 1).cast("long")
-    return docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("th"))
+    return docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("th"), F.monotonically_increasing_id().alias("row"))
 
 
 def hot_groups(light: DataFrame, n_shards: int) -> list[int]:
@@ -153,9 +158,20 @@ def hot_groups(light: DataFrame, n_shards: int) -> list[int]:
     return sorted(r["th"] for r in large.select("th").collect())
 
 
-def placed(light: DataFrame, hot: list[int], n_slots: int) -> DataFrame:
+def hot_copies(light: DataFrame, hot: list[int], n_shards: int) -> list[int]:
+    """Of hot groups, hashes of an id and text that hold more than a sixteenth of a shard's fair part: fewer than 32 * n_shards."""
+    if not hot:
+        return []
+    groups = light.where(F.col("th").isin(hot)).groupBy(F.xxhash64("th", F.xxhash64("doc_id")).alias("pair")).agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+    total = light.agg(F.sum("size").alias("tb"), F.count("*").alias("tn")).first()
+    part = 16 * n_shards
+    large = groups.where(((F.col("b") * part > total["tb"]) | (F.col("n") * part > total["tn"])) & (F.col("n") > 1))
+    return sorted(r["pair"] for r in large.select("pair").collect())
+
+
+def placed(light: DataFrame, hot: list[int], copies: list[int], n_slots: int) -> DataFrame:
     """light with its virtual_slot and lane."""
-    slot = slot_of(F.col("th"), F.xxhash64("doc_id"), hot, n_slots).cast("int")
+    slot = slot_of(F.col("th"), F.xxhash64("doc_id"), F.col("row"), hot, copies, n_slots).cast("int")
     return light.withColumn("virtual_slot", slot).withColumn("lane", F.pmod(F.xxhash64("doc_id", "size"), F.lit(N_LANES)).cast("int"))
 
 
@@ -188,27 +204,28 @@ def shard_rows(
 
     size is the text's UTF-8 bytes plus 1 (null: 1). Equal texts share a virtual slot and so a
     shard, unless they hold more than a shard's fair part of all bytes or rows: such a group (there
-    are fewer than 2 * n_shards) is dealt over all slots by id, so that shards stay near equal; once
-    dealt out it stays so in later versions. Rows that repeat an id each get a slot of their own.
+    are fewer than 2 * n_shards) is dealt over all slots by id, and the copies of one id in it row by
+    row, so that shards stay near equal; once dealt out it stays so in later versions. Rows that
+    repeat an id each get a slot of their own.
     Null ids are one id. No rows: an empty result.
     """
     spark = docs.sparkSession
     light = written(sized(docs, id_col, text_col), "shard-rows")
     stored = versions(spark, map_path)
     if stored:  # a stored map's slots and shards are what they are
-        owner, _ = _owner(load_map(spark, map_path))
-        n_slots, n_shards = len(owner), max(owner) + 1
+        owner, _, n_shards = _owner(load_map(spark, map_path))
+        n_slots = len(owner)
     hot = hot_groups(light, n_shards)
     if stored:
         hot = sorted({*hot, *load_hot(spark, map_path, stored[-1])})
     else:
-        store_map(spark, map_path, 1, [s % n_shards for s in range(n_slots)], [0] * n_slots, hot)
-    rows = placed(light, hot, n_slots)
+        store_map(spark, map_path, 1, [s % n_shards for s in range(n_slots)], [0] * n_slots, hot, n_shards)
+    rows = placed(light, hot, hot_copies(light, hot, n_shards), n_slots)
     lanes = written(rows.groupBy("virtual_slot", "lane").agg(F.sum("size").alias("b"), F.count("*").alias("n")), "shard-lanes")
     slot_bytes = [0] * n_slots
     for r in lanes.groupBy("virtual_slot").agg(F.sum("b").alias("b")).collect():  # n_slots rows at most
         slot_bytes[r["virtual_slot"]] = r["b"]
-    version = rebalance_map(spark, map_path, slot_bytes, hot, n_shards)
+    version = rebalance_map(spark, map_path, slot_bytes, hot)
     return assigned(rows, lanes, load_map(spark, map_path, version))
 
 

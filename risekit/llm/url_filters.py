@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from risekit.llm.common import ascii_lower
+from risekit.llm.common import ascii_lower, unused
 
 #: (verdict, host, path) of the production rule set.
 RULES = (
@@ -127,10 +127,11 @@ def filter_urls(
 
     host, path = url_parts(F.col(url_col))
     kept = [c for c in pages.columns if c.lower() not in {"host", "path", "rule", "verdict"}]
-    found = pages.select(*[F.col(f"`{c}`") for c in kept], host.alias("host"), path.alias("path")).withColumn("__rule", rule_index("host", "path"))
+    (number,) = unused(pages, "rule_number")
+    found = pages.select(*[F.col(f"`{c}`") for c in kept], host.alias("host"), path.alias("path")).withColumn(number, rule_index("host", "path"))
 
     def pick(values: list[str]) -> Column:
-        return F.get(F.array(*[F.lit(v) for v in values]).cast("array<string>"), F.when(F.col("__rule") >= 0, F.col("__rule")))
+        return F.get(F.array(*[F.lit(v) for v in values]).cast("array<string>"), F.when(F.col(number) >= 0, F.col(number)))
 
     return found.select(*[F.col(f"`{c}`") for c in kept], "host", "path", pick(names).alias("rule"), F.coalesce(pick(verdicts), F.lit(default)).alias("verdict"))
 

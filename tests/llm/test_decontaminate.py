@@ -119,3 +119,16 @@ def test_digest_of_no_items(spark):
     rows = queries.queries()["op9_decontamination"](spark, "/root/testdata/sf0.001").collect()
     empty = hashlib.sha256(b"").hexdigest()
     assert any(r["contaminated"] for r in rows) and all((r["items_sha256"] == empty) == (r["n_items"] == 0) for r in rows)
+
+
+def test_repeated_items_and_ids_of_any_type(spark, documents, monkeypatch):
+    phrase = " ".join(f"w{i}" for i in range(12))
+    monkeypatch.setattr(d, "BLOCK_BYTES", 40)
+    items = spark.createDataFrame([("b", phrase)] * 300 + [("a", "w3 w4"), (None, "w9"), ("c", None)], "item_id string, text string")
+    seen = []
+    kept = d.Phrases.__init__
+    monkeypatch.setattr(d.Phrases, "__init__", lambda self, rows, *a: (seen.append(len(rows)), kept(self, rows, *a))[1])
+    got = {r["doc_id"]: r for r in d.contaminated(documents([(1, f"x {phrase} y"), (2, "w3 w4"), (3, "none")]), items).collect()}
+    assert sum(seen) == 3
+    assert got[1]["items"] == ["a", "b"] and got[2]["items"] == ["a"] and got[3]["items"] == []
+    assert [tuple(s) for s in got[1]["spans"]] == [(1, 13)]

@@ -95,3 +95,8 @@ def test_main_path_is_native(spark):
     with contextlib.redirect_stdout(out):
         queries.queries()["op8_fingerprints"](spark, "/root/testdata/sf0.001").explain()
     assert not re.search("Python|Pandas|Arrow", out.getvalue())
+
+
+def test_ids_are_whole_numbers(spark):
+    with pytest.raises(TypeError):
+        fingerprints.fingerprint_pairs(spark.createDataFrame([("a", "b")], "doc_id string, text string"))

@@ -47,3 +47,12 @@ def test_other_columns_stay_and_clashes_are_replaced(documents):
 
 def test_empty_table(documents):
     assert dedup_lines(documents([])).count() == 0
+
+
+def test_columns_of_any_name_come_through(spark):
+    names = ["doc_id", "text", "of", "at", "lost", "__id", "__lost", "__v", "id", "v", "h1"]
+    rows = [(i, f"shared\nown {i}", *range(i, i + 9)) for i in range(10)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {'string' if n == 'text' else 'long'}" for n in names))
+    got = dedup_lines(df)
+    assert got.columns == [*names, "n_lines", "n_dropped"]
+    assert sorted(tuple(r) for r in got.collect()) == [(i, f"own {i}", *range(i, i + 9), 2, 1) for i in range(10)]

@@ -1,3 +1,4 @@
+import os
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -98,6 +99,36 @@ def test_hot_group_is_dealt_out(documents, path):
     assert max(loads) < 1.02 * min(loads)
 
 
+@pytest.mark.parametrize("other", [None, 7])
+def test_hot_copies_of_one_id_are_dealt_out(documents, path, other):
+    rows = [(other, "copy " * 20)] * 1000 + [(i, f"text {i} " * (1 + i % 3)) for i in range(2000)]
+    got = sharding.shard_rows(documents(rows).repartition(3), path).collect()
+    assert len(got) == 3000
+    loads = check(got, 16)
+    assert max(loads) < 1.02 * min(loads)
+    assert len({r["virtual_slot"] for r in got if r["size"] == 101 and r["doc_id"] == other}) > 500
+
+
+def test_a_version_that_a_lost_driver_left_is_written_over(spark, documents, path):
+    rows = [(i, f"t{i}") for i in range(50)]
+    sharding.shard_rows(documents(rows), path, n_shards=3, n_slots=32)
+    spark.createDataFrame([(1,)], "text_hash long").write.parquet(f"{path}/hot/version=3")  # and no slots
+    spark.createDataFrame([(1,)], "slot int").write.parquet(f"{path}/slots/version=4")
+    os.remove(path.removeprefix("file:") + "/slots/version=4/_SUCCESS")
+    assert sharding.versions(spark, path) == [1, 2]
+    assert sharding.grow_map(spark, path) == 3 and sharding.grow_map(spark, path) == 4
+    assert sharding.load_map(spark, path).count() == 32 and sharding.load_hot(spark, path, 3) == []
+    with pytest.raises(ValueError):
+        sharding.store_map(spark, path, 4, [0], [0], [], 1)
+
+
+def test_a_last_shard_without_slots_is_kept(spark, path):
+    sharding.store_map(spark, path, 1, [0, 0, 1, 1], [4, 4, 4, 4], [], 3)
+    assert sharding.grow_map(spark, path) == 2
+    assert {r["shard"] for r in sharding.load_map(spark, path).collect()} == {0, 1, 3}
+    assert {r["shards"] for r in sharding.load_map(spark, path).collect()} == {4}
+
+
 def test_stored_map_is_edited(spark, documents, path):
     rows = [(i, f"t{i} " * (1 + i % 9)) for i in range(500)]
     first = {r["doc_id"]: (r["virtual_slot"], r["shard"]) for r in sharding.shard_rows(documents(rows), path, n_shards=4, n_slots=128).collect()}

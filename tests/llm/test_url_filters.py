@@ -42,6 +42,12 @@ def test_many_rules_cross_words():
     assert a.match(urls).tolist() == [*range(40), -1, -1]
 
 
+def test_columns_of_any_name_come_through(spark):
+    df = spark.createDataFrame([("http://x.net/es/", 1.5, "kept")], "url string, __rule double, Rule_Number string")
+    got = url_filters.filter_urls(df)
+    assert [tuple(r) for r in got.collect()] == [("http://x.net/es/", 1.5, "kept", "x.net", "/es/", "net/es/", "block")]
+
+
 def test_empty_table(spark):
     assert url_filters.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
