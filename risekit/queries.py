@@ -20,6 +20,7 @@ from risekit.scratch import scratch_path
 from risekit.sinks import diagnostics, messages
 from risekit.sources import snapshots, states
 from risekit.streaming import stream
+from risekit.streaming.run import to_end
 
 SLOPE_MINUTES = 72 * 60.0
 GATE_PER_MINUTE, GATE_JITTER = 0.1, 6.0
@@ -253,8 +254,7 @@ def rise_stream(spark, sf_dir):
     out, state = scratch_path(spark, "rise-stream"), scratch_path(spark, "rise-state")
     events = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = events.select(F.col("user_id").alias("series_id"), "ts", F.col("value").alias("height"), F.lit(None).cast("string").alias("kind"))
-    q = stream.stream_readings(rows, NO_FIT).writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
-    q.awaitTermination()
+    to_end(stream.stream_readings(rows, NO_FIT), out, state)
     r = spark.read.parquet(out)
     return r.select("series_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "status", F.bround("smoothed", 4).alias("smoothed"), F.bround("rise_raw", 4).alias("rise_raw"), "new_session")
 
@@ -278,8 +278,7 @@ def rise_restored(spark, sf_dir):
     events = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).where(us >= middle)
     rows = events.select(F.col("user_id").alias("series_id"), "ts", F.col("value").alias("height"), F.lit(None).cast("string").alias("kind"))
     readings = stream.stream_readings(rows, NO_FIT, saved=spark.read.schema("series_id long, state string").parquet(saved))
-    q = readings.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
-    q.awaitTermination()
+    to_end(readings, out, state)
     r = spark.read.parquet(out)
     return r.select("series_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "status", F.bround("smoothed", 4).alias("smoothed"), F.bround("rise_raw", 4).alias("rise_raw"), "new_session")
 

@@ -10,10 +10,18 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from risekit.options import SnapshotOptions
 from risekit.sinks import messages
+from risekit.streaming import stream
 
 Send = Callable[[str, str, bool], None]
 
 
+def to_end(rows: DataFrame, path: str, checkpoint: str, form: str = "parquet") -> None:
+    """Run a stream until its input of now ends, into a folder."""
+    with stream.typed_state(rows.sparkSession):
+        q = rows.writeStream.format(form).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+    q.awaitTermination()
+
+
 def start(readings: DataFrame, device: str, connect: Callable[[], Send], checkpoint: str, options: SnapshotOptions = SnapshotOptions(), available_now: bool = False) -> StreamingQuery:
     """Publish readings batch by batch, at the sampling interval or (available_now) until the input ends.
 
@@ -25,7 +33,8 @@ def start(readings: DataFrame, device: str, connect: Callable[[], Send], checkpo
 
     writer = readings.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": f"{options.sample_interval_minutes * 60:g} seconds"}
-    return writer.trigger(**trigger).start()
+    with stream.typed_state(readings.sparkSession):
+        return writer.trigger(**trigger).start()
 
 
 class Availability(StreamingQueryListener):

@@ -8,6 +8,7 @@ from risekit import options, queries
 from risekit.plans import batch
 from risekit.sinks import diagnostics, messages
 from risekit.sources import snapshots, states
+from risekit.streaming import run as run_
 from risekit.streaming import stream
 
 
@@ -97,7 +98,7 @@ def test_stream_equals_batch_over_a_restart(spark, tmp_path):
 
     def run():
         s = spark.readStream.schema(rows.schema).parquet(source)
-        stream.stream_readings(s, queries.NO_FIT).writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+        run_.to_end(stream.stream_readings(s, queries.NO_FIT), out, state)
 
     rows.where(F.col("ts") < F.lit(cut)).coalesce(1).write.parquet(source)
     run()
@@ -137,3 +138,47 @@ def test_published_states_and_availability(spark, tmp_path):
         time.sleep(0.1)
     spark.streams.removeListener(listener)
     assert [m[1] for m in seen] == ["online", "offline"]
+
+
+def test_late_rows_in_the_stream_and_fits_over_restarts(spark, tmp_path):
+    """Batches of one row file each: a late row that the reject cap lets through, and a fit that starts from the last one."""
+    t0 = dt.datetime(2024, 1, 1, 12)
+    o = options.AnalysisOptions(min_samples_for_fit=4, median_window_size=1)
+    rows = [(m, 100.0 + 10 * m / (1 + 0.01 * m * m)) for m in range(10)] + [(-98, 118.0)] * 3 + [(m, 126.0 + m / 10) for m in range(10, 14)]
+    source, state, out = (f"{tmp_path}/{x}" for x in ("in", "state", "out"))
+    schema = "series_id string, ts timestamp, height double, kind string"
+    from risekit.plans.fold import State, take_rows
+
+    states, want = {"s": State()}, []
+    for part in (rows[:6], rows[6:11], rows[11:12], rows[12:]):
+        frame = spark.createDataFrame([("s", t0 + dt.timedelta(minutes=m), h, None) for m, h in part], schema)
+        frame.coalesce(1).write.mode("append").parquet(source)
+        run_.to_end(stream.stream_readings(spark.readStream.schema(schema).parquet(source), o), out, state)
+        us = [round((t0 + dt.timedelta(minutes=m)).replace(tzinfo=dt.timezone.utc).timestamp() * 1e6) for m, _ in part]
+        order = sorted(range(len(part)), key=lambda i: us[i])
+        want += take_rows([("s", us[i], part[i][1], None) for i in order], states, o)
+    got = spark.read.parquet(out).collect()
+    key = lambda r: (r["status"], r["rise_rate"], r["predicted_peak_percent"], r["rise_raw"])
+    assert sorted(map(key, got), key=str) == sorted(((r.status, r.rise_rate, r.predicted_peak_percent, r.rise_raw) for r in want), key=str)
+    assert sum(r["predicted_peak_percent"] is not None for r in got) > 3 and sum(r["status"] == "no_reading:implausible" for r in got) >= 2
+
+
+def test_saved_states_are_read_once(spark, tmp_path):
+    from risekit.plans.fold import State
+
+    source, state, out = (f"{tmp_path}/{x}" for x in ("in", "state", "out"))
+    t0 = dt.datetime(2024, 1, 1)
+    us = round(t0.replace(tzinfo=dt.timezone.utc).timestamp() * 1e6)
+    saved = State(samples=[(us, 5.0)], baseline=100.0, session_start=us, accepted_height=105.0, accepted_time=us)
+    schema = "series_id string, ts timestamp, height double, kind string"
+
+    def run(minutes, text):
+        rows = [(s, t0 + dt.timedelta(minutes=minutes), 110.0, None) for s in ("a", "b")]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        frame = spark.createDataFrame([("a", text), ("c", text)], "series_id string, state string")
+        run_.to_end(stream.stream_readings(spark.readStream.schema(schema).parquet(source), options.AnalysisOptions(median_window_size=1), saved=frame), out, state)
+
+    run(5, saved.dumps())
+    run(6, "{}")  # a text that can't be read: nobody does
+    got = {(r["series_id"], r["ts"].minute): (r["new_session"], r["rise_raw"]) for r in spark.read.parquet(out).collect()}
+    assert got == {("a", 5): (False, 10.0), ("b", 5): (True, 0.0), ("a", 6): (False, 10.0), ("b", 6): (False, 0.0)}
