@@ -170,6 +170,13 @@ def _blur(value: str, line: str, along: str) -> str:
   + coalesce(lead({value}, 2) {w}, CASE WHEN lead({value}) {w} IS NULL THEN lag({value}, 2) {w} ELSE {value} END)) / 16.0::DOUBLE"""
 
 
+_STATUS = f"""{_fold(False)},
+r AS (SELECT f.*, e.ts FROM f JOIN events e ON e.event_id = f.event_id WHERE rn > 0)
+SELECT 'monitor/' || user_id || CASE WHEN status = 'ok' THEN '/state' ELSE '/measurement_status' END AS topic, status <> 'ok' AS "none", status = 'ok' AS retain,
+       CASE WHEN status = 'ok' THEN CASE WHEN new_session THEN 0.0::DOUBLE ELSE round_even(greatest(0, least(500, rise_raw)), 1) END END AS rise_percent,
+       CASE WHEN status = 'ok' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '0+00:00' END AS last_update FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "rolling_median": f"SELECT event_id, round_even(smoothed, 4) AS smoothed FROM ({_SMOOTH})",
@@ -252,11 +259,9 @@ FROM f LEFT JOIN y ON y.event_id = f.event_id WHERE rn > 0""",
 r AS (SELECT f.*, e.ts FROM f JOIN events e ON e.event_id = f.event_id WHERE rn > 0)
 SELECT user_id AS series_id, ts, status, round_even(smoothed, 4) AS smoothed, round_even(rise_raw, 4) AS rise_raw, new_session FROM r
 WHERE epoch_us(ts) >= (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 FROM events)""",
-        "reading_status": f"""{_fold(False)},
-r AS (SELECT f.*, e.ts FROM f JOIN events e ON e.event_id = f.event_id WHERE rn > 0)
-SELECT 'monitor/' || user_id || CASE WHEN status = 'ok' THEN '/state' ELSE '/measurement_status' END AS topic, status <> 'ok' AS "none", status = 'ok' AS retain,
-       CASE WHEN status = 'ok' THEN CASE WHEN new_session THEN 0.0::DOUBLE ELSE round_even(greatest(0, least(500, rise_raw)), 1) END END AS rise_percent,
-       CASE WHEN status = 'ok' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '0+00:00' END AS last_update FROM r""",
+        "reading_status": _STATUS,
+        "sent_messages": _STATUS,
+        "snapshot_stream": "SELECT page_id, strlen(coalesce(html, ''))::BIGINT + 1 AS bytes, sha256(coalesce(html, '') || chr(10)) AS sha256, 1 AS attempts FROM pages",
         "debug_messages": f"""{_COMBINED}, {_BOTTOM},
 m AS (SELECT frame_id, c.surface, method, band_top, band_contrast, bottom FROM combined c JOIN band USING (frame_id) JOIN low USING (frame_id))
 SELECT 'monitor_' || frame_id || '/diagnostics' AS topic, TRUE AS retain, method, round_even(band_contrast, 0)::INT AS band_contrast, band_top AS band_top_row, surface AS final_row,

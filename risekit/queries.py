@@ -17,10 +17,10 @@ from risekit.operators import pixels, profiles, rolling, rows, segments
 from risekit.options import AnalysisOptions, PublishOptions
 from risekit.plans import batch, frames
 from risekit.scratch import scratch_path
-from risekit.sinks import diagnostics, messages
+from risekit.sinks import diagnostics, messages, outbox
 from risekit.sources import snapshots, states
 from risekit.streaming import stream
-from risekit.streaming.run import to_end
+from risekit.streaming.run import start_outbox, to_end
 
 SLOPE_MINUTES = 72 * 60.0
 GATE_PER_MINUTE, GATE_JITTER = 0.1, 6.0
@@ -259,6 +259,36 @@ def rise_stream(spark, sf_dir):
     return r.select("series_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "status", F.bround("smoothed", 4).alias("smoothed"), F.bround("rise_raw", 4).alias("rise_raw"), "new_session")
 
 
+def snapshot_stream(spark, sf_dir):
+    """Every page as a frame in a file, fetched by a stream that stops in the middle of the list and goes on from its checkpoint."""
+    folder, out, state, listed = (scratch_path(spark, name) for name in ("frames", "snapshots", "snapshot-state", "frame-list"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
+    pages.repartition("page_id").write.partitionBy("page_id").text(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    spark.dataSource.register(snapshots.SnapshotSource)
+    for half in (0, 1):
+        files.where(F.pmod(F.xxhash64("path"), F.lit(2)) == half).write.text(f"{listed}/{half}")
+        to_end(spark.readStream.format("snapshot").option("list", listed).option("delay", "0").load(), out, state)
+    page = F.regexp_extract("url", "page_id=([0-9]+)", 1).cast("long")
+    return spark.read.parquet(out).select(page.alias("page_id"), F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"), "attempts")
+
+
+def sent_messages(spark, sf_dir):
+    """What an outbox got of the messages of the fold as a stream over two halves of the events."""
+    source, state, box = (scratch_path(spark, name) for name in ("events", "outbox-state", "outbox"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("series_id"), "ts", F.col("value").alias("height"), F.lit(None).cast("string").alias("kind"))
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    ends = events.agg(F.min(us).alias("first"), F.max(us).alias("last")).first()
+    middle = ((ends["first"] or 0) + (ends["last"] or 0)) // 2
+    for early in (True, False):
+        events.where((us < middle) == early).write.mode("append").parquet(source)
+        readings = stream.stream_readings(spark.readStream.schema(events.schema).parquet(source), NO_FIT)
+        start_outbox(messages.reading_messages(readings, F.concat(F.lit("monitor/"), F.col("series_id"))), box, state, available_now=True).awaitTermination()
+    sent = outbox.sent(spark, box)
+    p = F.from_json("payload", "rise_percent double, last_update string")
+    return sent.select("topic", (F.col("payload") == "no_reading").alias("none"), "retain", p["rise_percent"].alias("rise_percent"), p["last_update"].alias("last_update"))
+
+
 def rise_slopes(spark, sf_dir):
     """What the fold says besides fits: status, slope, session, and the peak that latches without a fit."""
     m = _events(spark, sf_dir).withColumnRenamed("value", "height").withColumn("series_id", F.col("user_id"))
@@ -383,5 +413,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         rolling_median, rise_percent, window_slope, lag_gate, collapse_candidates, flat_run_peak, peak_forecast, moving_average, moving_average_embeddings,
         edge_surface, band_top, combined_surface, bottom_from_energy, row_reductions, histogram_median, blurred_energy, wall_pairs, lowest_horizontal, measured_frames, measured_regions, frame_cycle, rise_fold, rise_readings, rise_slopes, rise_restored,
-        rise_resets, rise_stream, sigmoid_fit, reading_json, reading_status, debug_messages, discovery, debug_discovery, snapshot_urls, state_import, retention, diagnostics_lines,
+        rise_resets, rise_stream, sigmoid_fit, snapshot_stream, sent_messages, reading_json, reading_status, debug_messages, discovery, debug_discovery, snapshot_urls, state_import, retention, diagnostics_lines,
     )}

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 from risekit.options import SnapshotOptions
-from risekit.sinks import messages
+from risekit.sinks import messages, outbox
 from risekit.streaming import stream
 
 Send = Callable[[str, str, bool], None]
@@ -25,16 +25,26 @@ def to_end(rows: DataFrame, path: str, checkpoint: str, form: str = "parquet") -
 def start(readings: DataFrame, device: str, connect: Callable[[], Send], checkpoint: str, options: SnapshotOptions = SnapshotOptions(), available_now: bool = False) -> StreamingQuery:
     """Publish readings batch by batch, at the sampling interval or (available_now) until the input ends.
 
-    A batch is published again if it fails half-way; the messages are states, so that does no harm.
+    A broker's connection knows no batches, so a batch is published again if it fails half-way; the
+    messages are states, so that does no harm. An outbox takes each batch once.
     """
 
     def batch(df: DataFrame, _: int) -> None:
         messages.publish(messages.reading_messages(df, F.lit(device)), connect)
 
-    writer = readings.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return _started(readings.writeStream.foreachBatch(batch), checkpoint, options, available_now)
+
+
+def start_outbox(sent: DataFrame, path: str, checkpoint: str, options: SnapshotOptions = SnapshotOptions(), available_now: bool = False) -> StreamingQuery:
+    """Put the messages (topic, payload, retain) of a stream into an outbox, each batch once."""
+    sent.sparkSession.dataSource.register(outbox.Outbox)
+    return _started(sent.select(*outbox.FIELDS).writeStream.format("outbox").option("path", path), checkpoint, options, available_now)
+
+
+def _started(writer: DataStreamWriter, checkpoint: str, options: SnapshotOptions, available_now: bool) -> StreamingQuery:
     trigger = {"availableNow": True} if available_now else {"processingTime": f"{options.sample_interval_minutes * 60:g} seconds"}
-    with stream.typed_state(readings.sparkSession):
-        return writer.trigger(**trigger).start()
+    with stream.typed_state(SparkSession.active()):
+        return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 class Availability(StreamingQueryListener):

@@ -182,3 +182,83 @@ def test_saved_states_are_read_once(spark, tmp_path):
     run(6, "{}")  # a text that can't be read: nobody does
     got = {(r["series_id"], r["ts"].minute): (r["new_session"], r["rise_raw"]) for r in spark.read.parquet(out).collect()}
     assert got == {("a", 5): (False, 10.0), ("b", 5): (True, 0.0), ("a", 6): (False, 10.0), ("b", 6): (False, 0.0)}
+
+
+def test_listed_snapshots_are_fetched_once_over_restarts(spark, tmp_path):
+    spark.dataSource.register(snapshots.SnapshotSource)
+    (tmp_path / "list").mkdir()
+    (tmp_path / "list" / "_SUCCESS").write_text("no frame")
+    state, out = f"{tmp_path}/state", f"{tmp_path}/out"
+
+    def run(name, frames):
+        for i in frames:
+            (tmp_path / f"{i}.jpg").write_bytes(bytes([i]) * 3)
+        (tmp_path / "list" / name).write_text("".join(f"file://{tmp_path}/{i}.jpg\n" for i in frames) + f"\nfile://{tmp_path}/none.jpg")
+        rows = spark.readStream.format("snapshot").option("list", f"{tmp_path}/list").option("retries", "1").option("delay", "0").load()
+        run_.to_end(rows, out, state)
+        return sorted((r["position"], r["content"] and r["content"][0], r["attempts"]) for r in spark.read.parquet(out).collect())
+
+    first = run("a", range(100))
+    assert first == [*((i, i, 1) for i in range(100)), (100, None, 2)]
+    assert run("b", range(150, 160)) == [*first, *((101 + i, 150 + i, 1) for i in range(10)), (111, None, 2)]
+
+
+def test_live_snapshots_are_replayed_from_the_spool(tmp_path, monkeypatch):
+    seen = iter(range(100))
+    monkeypatch.setattr(snapshots, "fetch", lambda *a: bytes([next(seen)]))
+    clock = [1000.0]
+    monkeypatch.setattr(snapshots.time, "time", lambda: clock[0])
+    reader = snapshots.LiveSnapshots({"urls": "a\nb", "spool": f"file://{tmp_path}", "interval": "1"})
+    start, end = reader.initialOffset(), reader.latestOffset()
+    assert (start, end) == ({"interval": 15}, {"interval": 16}) and reader.partitions(end, end) == []
+    rows = [r for p in reader.partitions(start, end) for r in reader.read(p)]
+    assert rows == [("a", b"\0", 1, 16), ("b", b"\1", 1, 16)]
+    again = snapshots.LiveSnapshots({"urls": "a\nb", "spool": f"file://{tmp_path}", "interval": "1"})
+    assert [r for p in again.partitions(start, end) for r in again.read(p)] == rows
+    clock[0] += 130
+    late = again.latestOffset()
+    assert late == {"interval": 18} and [r for p in again.partitions(end, late) for r in again.read(p)] == [("a", b"\2", 1, 18), ("b", b"\3", 1, 18)]
+    again.commit(end)
+    assert [x.name for x in tmp_path.iterdir()] == ["18"]
+
+
+def test_an_outbox_takes_each_batch_once(spark, tmp_path):
+    import os
+
+    from risekit.sinks import outbox
+
+    source, state, box = (f"{tmp_path}/{x}" for x in ("in", "state", "box"))
+    schema = "topic string, payload string, retain boolean"
+
+    def run(k):
+        if k is not None:
+            spark.createDataFrame([(f"t{k}", str(i), i % 2 == 0) for i in range(20)], schema).repartition(3).write.mode("append").parquet(source)
+        run_.start_outbox(spark.readStream.schema(schema).parquet(source), f"file://{box}", state, available_now=True).awaitTermination()
+        return sorted((r["topic"], int(r["payload"]), r["retain"], r["batch"]) for r in outbox.sent(spark, f"file://{box}").collect())
+
+    first = run(0)
+    assert first == sorted(("t0", i, i % 2 == 0, 0) for i in range(20))
+    lost = lambda: [os.remove(f"{state}/commits/{x}") for x in ("0", ".0.crc")]
+    lost()  # the driver, after the sink's commit: the batch runs again
+    assert run(None) == first
+    lost()  # in the middle of the sink's commit: files are there, the note isn't
+    os.remove(f"{box}/sent/0")
+    os.rename(f"{box}/batches/0/0.json", f"{box}/batches/0/77.json")
+    assert run(None) == first
+    both = run(1)
+    assert both == first + sorted(("t1", i, i % 2 == 0, 1) for i in range(20)) and os.listdir(f"{box}/staged") == []
+
+
+def test_decoded_images_of_every_kind(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    rows = [(f"i{c}", 7, 5, c, bytearray(r.integers(0, 256, 7 * 5 * c, np.uint8).tobytes())) for c in (1, 3, 4)] + [("empty", 0, 0, 1, bytearray())]
+    images = spark.createDataFrame(rows, "origin string, height int, width int, nChannels int, data binary")
+    got = {(x["frame_id"], x["x"], x["y"]): x["v"] for x in snapshots.decoded(images).collect()}
+    want = {}
+    for name, h, w, c, data in rows:
+        for i in range(h * w):
+            b = data[i * c : i * c + c]
+            want[name, i % w, i // w] = float(b[0]) if c == 1 else float(round(0.114 * b[0] + 0.587 * b[1] + 0.299 * b[2]))
+    assert got == want
