@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.window import Window
+
+#: Walls of a frame that meet each other in one go, and the longest walls that all others meet first in a larger frame.
+BLOCK, PIVOTS = 512, 32
+_PAIR = ("frame_id", "left", "right", "top", "bottom", "overlap")
 
 
 def near_vertical(segments: DataFrame) -> DataFrame:
@@ -23,18 +32,61 @@ def lowest_long_horizontal(segments: DataFrame, top: Column, fallback: Column) -
     return level.groupBy("frame_id").agg(F.max_by("y", F.struct("length", "y")).alias("bottom"))
 
 
-def wall_pairs(walls: DataFrame, min_width: int, min_length: int) -> DataFrame:
+def wall_pairs(walls: DataFrame, min_width: int, min_length: int, block: int = BLOCK) -> DataFrame:
     """(frame, left, right, top, bottom, overlap): the pair of walls of each frame with the longest common height.
 
     Pairs are at least min_width apart and overlap by at least half of min_length; of equal overlaps
-    the first pair in the order of (x, idx) wins. A frame has tens of walls, so the theta join is an
-    equi-join on the frame whose pairs are folded by max_by before any shuffle.
+    the first pair in the order of (x, idx) wins. Most frames have tens of walls: their pairs are an
+    equi-join on the frame, folded by max_by before any shuffle. A frame of more than block walls is
+    dealt out in pairs of blocks, whose maxima are folded; walls shorter than what the longest ones
+    overlap with others stay out.
     """
-    a = walls.select("frame_id", *[F.col(c).alias(f"{c}_a") for c in ("idx", "x", "top", "bottom")])
-    b = walls.select("frame_id", *[F.col(c).alias(f"{c}_b") for c in ("idx", "x", "top", "bottom")])
+    least = min_length // 2
+    large = walls.groupBy("frame_id").agg(F.count("*").alias("walls")).where(F.col("walls") > block)
+    few = _joined(walls.join(large, "frame_id", "left_anti"), walls, min_width, least)
+    return _folded(_folded(few).union(_folded(_blocked(walls.join(large, "frame_id"), min_width, least, block)))).select(*_PAIR)
+
+
+def _joined(a: DataFrame, b: DataFrame, min_width: int, least: int) -> DataFrame:
+    """Pairs of a wall of a with one of b of its frame, far enough apart and with enough in common."""
+    a = a.select("frame_id", *[F.col(c).alias(f"{c}_a") for c in ("idx", "x", "top", "bottom")])
+    b = b.select("frame_id", *[F.col(c).alias(f"{c}_b") for c in ("idx", "x", "top", "bottom")])
     top, bottom = F.greatest("top_a", "top_b"), F.least("bottom_a", "bottom_b")
-    pairs = a.join(b, "frame_id").where((F.col("x_b") - F.col("x_a") >= min_width) & (bottom - top >= min_length // 2))
-    pairs = pairs.select("frame_id", F.col("x_a").alias("left"), F.col("x_b").alias("right"), top.alias("top"), bottom.alias("bottom"), (bottom - top).alias("overlap"), "idx_a", "idx_b")
+    pairs = a.join(b, "frame_id").where((F.col("x_b") - F.col("x_a") >= min_width) & (bottom - top >= least))
+    return pairs.select("frame_id", F.col("x_a").alias("left"), F.col("x_b").alias("right"), top.alias("top"), bottom.alias("bottom"), (bottom - top).alias("overlap"), "idx_a", "idx_b")
+
+
+def _folded(pairs: DataFrame) -> DataFrame:
+    """The first pair of each frame: longest overlap, then smallest (left, idx_a, right, idx_b)."""
     order = F.struct("overlap", -F.col("left"), -F.col("idx_a"), -F.col("right"), -F.col("idx_b"))
-    best = pairs.groupBy("frame_id").agg(F.max_by(F.struct("left", "right", "top", "bottom", "overlap"), order).alias("p"))
+    best = pairs.groupBy("frame_id").agg(F.max_by(F.struct(*_PAIR[1:], "idx_a", "idx_b"), order).alias("p"))
     return best.select("frame_id", "p.*")
+
+
+def _blocked(walls: DataFrame, min_width: int, least: int, block: int) -> DataFrame:
+    """The best pair of each two blocks of the walls of large frames."""
+    length = F.col("bottom") - F.col("top")
+    longest = walls.withColumn("k", F.row_number().over(Window.partitionBy("frame_id").orderBy(length.desc(), "x", "idx"))).where(F.col("k") <= PIVOTS).drop("k")
+    met = _joined(walls, longest, min_width, least).union(_joined(longest, walls, min_width, least))
+    known = met.groupBy("frame_id").agg(F.max("overlap").alias("known"))
+    kept = walls.join(known, "frame_id", "left").where(length >= F.coalesce("known", F.lit(least)))
+    blocks = F.ceil(F.col("walls") / block).cast("int")
+    own = kept.withColumns({"own": F.pmod(F.xxhash64("idx", "x", "top", "bottom"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    dealt = own.select("frame_id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "idx", "x", "top", "bottom")
+    fields = [dealt.schema[c] for c in ("frame_id", "x", "x", "top", "bottom", "top", "idx", "idx")]
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip([*_PAIR, "idx_a", "idx_b"], fields)])
+    arrow = to_arrow_schema(schema)
+
+    def best(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("x", "ascending"), ("idx", "ascending")])
+        x, top, bottom = (group.column(c).to_numpy().astype(np.int64) for c in ("x", "top", "bottom"))
+        overlap = np.minimum(bottom[:, None], bottom) - np.maximum(top[:, None], top)
+        overlap[x - x[:, None] < min_width] = np.iinfo(np.int64).min
+        a, b = np.unravel_index(overlap.argmax(), overlap.shape)  # the first of equals in the order of (x, idx)
+        if overlap[a, b] < least:
+            return arrow.empty_table()
+        frame, idx = group.column("frame_id")[0].as_py(), group.column("idx")
+        cells = [frame, int(x[a]), int(x[b]), int(max(top[a], top[b])), int(min(bottom[a], bottom[b])), int(overlap[a, b]), idx[int(a)].as_py(), idx[int(b)].as_py()]
+        return pa.table([pa.array([c], f.type) for c, f in zip(cells, arrow)], schema=arrow)
+
+    return dealt.groupBy("frame_id", "i", "j").applyInArrow(best, schema)

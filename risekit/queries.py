@@ -320,6 +320,60 @@ def sigmoid_fit(spark, sf_dir):
     return batch.final_fits(e.select(F.col("user_id").alias("series_id"), "ts", total.alias("value")))
 
 
+def fit_check(spark, sf_dir):
+    """Fits held against their samples: the error and that of the start, its slope in each parameter, and its neighbours.
+
+    The samples are those of sigmoid_fit a minute apart where they are an hour, as a monitor's are.
+    """
+    e = _events(spark, sf_dir)
+    total = F.sum("value").over(rolling.ordered(KEYS, ties=TIES)) / F.sum("value").over(rolling.Window.partitionBy(*KEYS)) * 100.0
+    first = F.min(F.unix_micros(F.col("ts").cast("timestamp"))).over(rolling.Window.partitionBy(*KEYS))
+    since = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - first) / 60)
+    rows = e.select("user_id", total.alias("value"), since.alias("us")).withColumn("h", F.col("us") / 3_600_000_000.0)
+    fits = batch.final_fits(rows.select(F.col("user_id").alias("series_id"), F.timestamp_micros("us").alias("ts"), "value")).withColumnRenamed("series_id", "user_id")
+    t, y, fit = F.col("h"), F.col("value"), [F.col(c) for c in ("limit", "rate", "middle")]
+    start = rows.groupBy("user_id").agg(F.greatest(F.max(y) * 1.5, F.lit(30.0)).alias("s0"), F.greatest(F.max(t), F.lit(1.0)).alias("s2"), F.max(y).alias("top"))
+    # the error's derivatives by the logarithm of each parameter, against the error itself
+    g = rise.logistic(t, *fit)
+    slopes = [g, g * (1 - g / fit[0]) * fit[1] * (t - fit[2]), -g * (1 - g / fit[0]) * fit[1] * fit[2]]
+    near = [rise.squared_error(t, y, *[p * f if i == k else p for i, p in enumerate(fit)]).alias(f"n{k}{j}") for k in range(3) for j, f in enumerate((0.99, 1.01))]
+    by = rows.join(fits, "user_id").join(start, "user_id").groupBy("user_id", "samples", "relative_error", "limit", "top").agg(
+        rise.squared_error(t, y, *fit).alias("sse"), rise.squared_error(t, y, F.col("s0"), F.lit(1.0), F.col("s2")).alias("start_sse"), *near,
+        *[F.abs(F.sum(2 * (g - y) * d)).alias(f"g{k}") for k, d in enumerate(slopes)],
+    )
+    sse = F.col("sse")
+    lowest = F.least(*[f"n{k}{j}" for k in range(3) for j in range(2)]) >= sse
+    holds = lambda c: F.coalesce(c, F.col("limit").isNull())  # noqa: E731  a series whose fit is out of bounds has none to check
+    return by.select(
+        "user_id", "samples", ((F.col("samples") >= 5) & (F.col("top") >= 5)).alias("fittable"), F.bround("start_sse", 2).alias("start_sse"),
+        holds(sse <= F.col("start_sse")).alias("better"), holds(F.greatest("g0", "g1", "g2") <= sse * 1e-2).alias("level"), holds(lowest).alias("lowest"),
+        holds(F.abs(F.sqrt(sse / F.col("samples")) / F.col("limit") - F.col("relative_error")) < 1e-9).alias("error_holds"),
+    )
+
+
+def fitted_latch(spark, sf_dir):
+    """The fold with fits held against its rules: where a fit may be, what it shows, and the peak that latches with and without one."""
+    r = rise_readings(spark, sf_dir)
+    session = rolling.Window.partitionBy("user_id", "session_start").orderBy("ts", "event_id")
+    earlier = session.rowsBetween(rolling.Window.unboundedPreceding, -1)
+    last_rate = F.col("last_rate")
+    last = F.last("rise_rate", True).over(earlier).alias("last_rate")
+    sample = (F.col("status") == "ok") & ~F.col("new_session")
+    s = r.where(sample).select("*", last).select(
+        "event_id", F.count("*").over(session).alias("samples"), F.max("rise_raw").over(session).alias("top"), F.coalesce(F.lag("peaked").over(session), F.lit(False)).alias("before"),
+        "peaked", "predicted_peak_percent", "rise_rate", last_rate, F.last(F.when(F.col("rise_rate").isNotNull(), last_rate), True).over(earlier).alias("last_but_one"),
+    )
+    shown = F.col("predicted_peak_percent")
+    gate = (F.col("samples") >= OPTIONS.min_samples_for_fit) & (F.col("top") >= 5)
+    within = shown.isNull() | (gate & ~F.col("before"))
+    reached = (F.col("top") >= OPTIONS.min_rise_percent_for_peak) | (F.col("top") >= shown - 0.5)
+    flat = F.coalesce((F.col("rise_rate") <= OPTIONS.flat_slope_percent_per_hour) & (last_rate <= OPTIONS.flat_slope_percent_per_hour) & (F.col("last_but_one") <= OPTIONS.flat_slope_percent_per_hour), F.lit(False))
+    latch = F.when(F.col("before"), F.col("peaked")).otherwise(~F.col("peaked") | (flat & F.coalesce(reached, F.lit(False))))
+    without = rise_slopes(spark, sf_dir).select("event_id", F.col("peaked").alias("without_fit"))
+    held = s.join(without, "event_id")
+    return held.select("event_id", "samples", gate.alias("gate"), within.alias("within"), latch.alias("latch"), "without_fit", (F.col("peaked") | ~F.col("without_fit")).alias("at_least"))
+
+
 def reading_json(spark, sf_dir):
     """Reading messages, with their payloads parsed again."""
     r = _risen(spark, sf_dir).select(
@@ -413,5 +467,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         rolling_median, rise_percent, window_slope, lag_gate, collapse_candidates, flat_run_peak, peak_forecast, moving_average, moving_average_embeddings,
         edge_surface, band_top, combined_surface, bottom_from_energy, row_reductions, histogram_median, blurred_energy, wall_pairs, lowest_horizontal, measured_frames, measured_regions, frame_cycle, rise_fold, rise_readings, rise_slopes, rise_restored,
-        rise_resets, rise_stream, sigmoid_fit, snapshot_stream, sent_messages, reading_json, reading_status, debug_messages, discovery, debug_discovery, snapshot_urls, state_import, retention, diagnostics_lines,
+        rise_resets, rise_stream, sigmoid_fit, fit_check, fitted_latch, snapshot_stream, sent_messages, reading_json, reading_status, debug_messages, discovery, debug_discovery, snapshot_urls, state_import, retention, diagnostics_lines,
     )}

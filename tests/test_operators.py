@@ -114,3 +114,26 @@ def test_equal_times_go_by_their_ties(spark):
         df = spark.createDataFrame(order, "s int, ts long, k int, v double")
         got = {r["k"]: r["m"] for r in rolling.rolling_median(df, ["s"], "v", 2, out="m", ties=["k"]).collect()}
         assert got == {0: 9.0, 1: 5.0, 2: 4.0, 3: 5.0}
+
+
+def test_wall_pairs_of_large_frames(spark):
+    """Frames on both sides of the block's size, against all pairs; many equal walls, and a frame without a pair."""
+    import random
+
+    r = random.Random(3)
+    rows = [(f, i, r.randrange(200), 0, 0) for f, n in (("few", 30), ("many", 700), ("equal", 300), ("thin", 100)) for i in range(n)]
+    walls = []
+    for f, i, x, _, _ in rows:
+        top = 5 if f == "equal" else r.randrange(100)
+        walls.append((f, i, x % 9 if f == "thin" else x, top, top + (40 if f == "equal" else r.randrange(1, 90))))
+    want = {}
+    for f, i, x, t, b in walls:
+        for g, j, y, u, c in walls:
+            if f == g and y - x >= 10 and min(b, c) - max(t, u) >= 8:
+                key = (-(min(b, c) - max(t, u)), x, i, y, j)
+                want[f] = min(want.get(f, (key,)), (key, (x, y, max(t, u), min(b, c), min(b, c) - max(t, u))))
+    df = spark.createDataFrame(walls, "frame_id string, idx long, x int, top int, bottom int")
+    for block in (16, 100, 10_000):
+        got = {row[0]: tuple(row[1:]) for row in segments.wall_pairs(df, 10, 16, block).collect()}
+        assert got == {f: v[1] for f, v in want.items()} and len(got) == 3
+    assert segments.wall_pairs(df.limit(0), 10, 16).count() == 0
