@@ -295,6 +295,8 @@ SELECT 'homeassistant/' || kind || '/' || d || '/' || key || '/config' AS topic,
         "state_import": """SELECT user_id, CASE WHEN user_id % 10 = 0 THEN 0 ELSE count(*) END AS n_samples,
   CASE WHEN user_id % 10 <> 0 THEN round_even(arg_min(value, ts), 4) END AS baseline, CASE WHEN user_id % 10 <> 0 THEN min(ts) END AS session_start FROM events GROUP BY user_id""",
         "retention": "SELECT event_id, ts FROM events WHERE (epoch_us((SELECT max(ts) FROM events)) - epoch_us(ts)) / 3600000000.0 > 48.0",
+        "rotating_log": f"""{_COMBINED}
+SELECT strftime(make_timestamp(frame_id * 86400000000), '%Y%m%d') AS day, (frame_id % 2)::INT AS batch, strftime(make_timestamp(frame_id * 86400000000), '%Y-%m-%dT%H:%M:%S.%f') || '0+00:00' AS time, method, surface AS final_row FROM combined""",
         "diagnostics_lines": f"""WITH m AS ({_FRAMES}), t AS (SELECT *, make_timestamp(split_part(frame_id, '-', 2)::BIGINT, 2, 3, 4, 5, 6.5) AS ts FROM m)
 SELECT strftime(ts, '%Y%m%d') AS day, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '0+00:00' AS time, frame_id || '.jpg' AS image, method, band_contrast, band_top AS band_top_row, surface AS final_row,
        jar_left AS jar_left_px, jar_right AS jar_right_px, jar_top AS jar_top_px, dough_top AS dough_top_px, jar_bottom AS jar_bottom_px, (jar_bottom - 20)::INT AS session_start_surface_px FROM t""",

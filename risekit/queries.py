@@ -463,9 +463,21 @@ def diagnostics_lines(spark, sf_dir):
     return lines.select("day", F.from_json("value", ", ".join(f"{k} {kinds.get(k, 'int')}" for k in fields)).alias("p")).select("day", "p.*")
 
 
+def rotating_log(spark, sf_dir):
+    """The lines of profiles, kept in two batches of which the first runs again, and pruned of what is past its age."""
+    df = profiles.combined_surface(_profiles(spark, sf_dir), "e", "v").withColumn("ts", F.timestamp_micros(F.col("frame_id") * 86_400_000_000))
+    path = scratch_path(spark, "log")
+    for batch_ in (0, 1, 0):
+        diagnostics.append_lines(diagnostics.diagnostics_lines(df.where(F.col("frame_id") % 2 == batch_)), path, batch_)
+    diagnostics.prune(spark, path, F.current_timestamp())  # nothing is that old
+    lines = spark.read.option("basePath", path).text(f"{path}/day=*/batch=*")
+    p = F.from_json("value", "time string, method string, final_row int")
+    return lines.select(F.col("day").cast("string").alias("day"), F.col("batch").cast("int").alias("batch"), p.alias("p")).select("day", "batch", "p.*")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         rolling_median, rise_percent, window_slope, lag_gate, collapse_candidates, flat_run_peak, peak_forecast, moving_average, moving_average_embeddings,
         edge_surface, band_top, combined_surface, bottom_from_energy, row_reductions, histogram_median, blurred_energy, wall_pairs, lowest_horizontal, measured_frames, measured_regions, frame_cycle, rise_fold, rise_readings, rise_slopes, rise_restored,
-        rise_resets, rise_stream, sigmoid_fit, fit_check, fitted_latch, snapshot_stream, sent_messages, reading_json, reading_status, debug_messages, discovery, debug_discovery, snapshot_urls, state_import, retention, diagnostics_lines,
+        rise_resets, rise_stream, sigmoid_fit, fit_check, fitted_latch, snapshot_stream, sent_messages, reading_json, reading_status, debug_messages, discovery, debug_discovery, snapshot_urls, state_import, retention, diagnostics_lines, rotating_log,
     )}

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from risekit.sinks.messages import iso
@@ -33,12 +36,35 @@ def diagnostics_lines(frames: DataFrame, ts: str = "ts", image: str = "image") -
     return frames.select(F.date_format(ts, "yyyyMMdd").alias("day"), F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def append_lines(lines: DataFrame, path: str) -> None:
-    """Append to folders by day."""
-    lines.write.mode("append").partitionBy("day").text(path)
+def append_lines(lines: DataFrame, path: str, batch: int | None = None) -> None:
+    """Append to folders by day. With a batch's number its own folders are written anew, so a batch that runs again leaves its lines once."""
+    if batch is None:
+        lines.write.mode("append").partitionBy("day").text(path)
+    else:
+        mine = lines.withColumn("batch", F.lit(batch))
+        mine.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").text(path)
 
 
 def expired_files(files: DataFrame, now: Column, hours: float = 48.0, modified: str = "modificationTime") -> DataFrame:
     """Files older than the retention, of whatever name; nothing is deleted here."""
     age = (F.unix_micros(now) - F.unix_micros(F.col(modified).cast("timestamp"))) / 3_600_000_000.0
     return files.where(age > hours)
+
+
+def log_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, modificationTime) of all files below a folder; their contents aren't read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "modificationTime")
+
+
+def prune(spark: SparkSession, path: str, now: Column, hours: float = 48.0) -> None:
+    """Delete the files below a folder that are older than the retention, from tasks; those that are gone or can't be deleted are left to the next time."""
+
+    def delete(rows: Iterator) -> None:
+        for r in rows:
+            system, file = fs.FileSystem.from_uri(r["path"])
+            try:
+                system.delete_file(file)
+            except OSError:
+                continue
+
+    expired_files(log_files(spark, path), now, hours).select("path").foreachPartition(delete)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 from risekit.options import SnapshotOptions
-from risekit.sinks import messages, outbox
+from risekit.sinks import diagnostics, messages, outbox
 from risekit.streaming import stream
 
 Send = Callable[[str, str, bool], None]
@@ -47,12 +47,31 @@ def _started(writer: DataStreamWriter, checkpoint: str, options: SnapshotOptions
         return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def start_log(lines: DataFrame, path: str, checkpoint: str, hours: float = 48.0, options: SnapshotOptions = SnapshotOptions(), available_now: bool = False) -> StreamingQuery:
+    """Keep a stream's diagnostics lines (day, value) in folders by day, each batch once, and delete files past the retention after each batch."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        diagnostics.append_lines(df.select("day", "value"), path, number)
+        diagnostics.prune(df.sparkSession, path, F.current_timestamp(), hours)
+
+    return _started(lines.writeStream.foreachBatch(batch), checkpoint, options, available_now)
+
+
 class Availability(StreamingQueryListener):
-    """Says online when a query starts and offline when it ends."""
+    """Says online when a query starts and offline when it ends.
+
+    A driver that is lost can't say so: willed() gives the broker the offline message as the last will
+    of the driver's connection. Connections of tasks have no will, as they end with every batch.
+    """
 
     def __init__(self, device: str, send: Send):
         self.topic, self.send = f"{device}/availability", send
 
+    @classmethod
+    def willed(cls, device: str, connect: Callable[[tuple[str, str, bool]], Send]) -> Availability:
+        """connect takes the will (topic, payload, retain) and gives a send."""
+        return cls(device, connect((f"{device}/availability", "offline", True)))
+
     def onQueryStarted(self, event) -> None:
         self.send(self.topic, "online", True)
 

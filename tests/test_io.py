@@ -262,3 +262,54 @@ def test_decoded_images_of_every_kind(spark):
             b = data[i * c : i * c + c]
             want[name, i % w, i // w] = float(b[0]) if c == 1 else float(round(0.114 * b[0] + 0.587 * b[1] + 0.299 * b[2]))
     assert got == want
+
+
+def test_a_log_keeps_each_batch_once_and_prunes_old_files(spark, tmp_path):
+    import os
+
+    path, source = f"{tmp_path}/log", f"{tmp_path}/in"
+    schema = "day string, value string"
+
+    def run(day, n):
+        spark.createDataFrame([(day, f"{day} {i}") for i in range(n)], schema).coalesce(2).write.mode("append").parquet(source)
+        run_.start_log(spark.readStream.schema(schema).parquet(source), path, f"{tmp_path}/state", available_now=True).awaitTermination()
+        return sorted(r["value"] for r in spark.read.option("basePath", path).text(f"{path}/day=*/batch=*").collect())
+
+    assert run("20240101", 3) == [f"20240101 {i}" for i in range(3)]
+    for x in ("0", ".0.crc"):
+        os.remove(f"{tmp_path}/state/commits/{x}")  # the first batch runs again, then a second one
+    both = run("20240102", 2)
+    assert both == [*(f"20240101 {i}" for i in range(3)), *(f"20240102 {i}" for i in range(2))]
+    files = [os.path.join(d, f) for d, _, names in os.walk(f"{path}/day=20240101") for f in names if f.startswith("part-")]
+    for f in files:
+        os.utime(f, (time.time() - 49 * 3600,) * 2)
+    diagnostics.prune(spark, path, F.current_timestamp())
+    assert not any(map(os.path.exists, files))
+    assert sorted(r["value"] for r in spark.read.text(f"{path}/day=20240102/batch=1").collect()) == both[3:]
+    diagnostics.prune(spark, path, F.current_timestamp())
+
+
+def test_capture_tries_again_where_nothing_was_measured(spark, tmp_path):
+    from risekit.sources.capture import capture
+
+    for name, data in (("a", b"1"), ("b", b"22"), ("c", b"333")):
+        (tmp_path / name).write_bytes(data)
+    rounds = []
+
+    def measure(frames):
+        rounds.append(sorted(r["url"][-1] for r in frames.collect()))
+        good = F.octet_length("content") <= len(rounds)  # longer frames need more attempts
+        return frames.select("url", F.when(good, F.octet_length("content")).alias("level"))
+
+    urls = [f"file://{tmp_path}/{x}" for x in "abcd"]
+    o = options.SnapshotOptions(retry_count=1, retry_delay_seconds=0.0)
+    got = {r["url"][-1]: tuple(r)[1:] for r in capture(spark, urls, measure, o).collect()}
+    assert rounds == [["a", "b", "c"], ["b", "c"]]
+    assert got == {"a": (1, True, 1), "b": (2, True, 2), "c": (2, True, None), "d": (2, False, None)}
+
+
+def test_the_last_will():
+    wills, seen = [], []
+    a = run_.Availability.willed("jar", lambda will: wills.append(will) or (lambda *m: seen.append(m)))
+    a.onQueryStarted(None)
+    assert wills == [("jar/availability", "offline", True)] and seen == [("jar/availability", "online", True)]
