@@ -184,6 +184,44 @@ SELECT 'monitor/' || user_id || CASE WHEN status = 'ok' THEN '/state' ELSE '/mea
        CASE WHEN status = 'ok' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '0+00:00' END AS last_update FROM r"""
 
 
+_GRAY = "SELECT vec_id AS frame_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS e FROM embeddings"
+
+
+def _at(dx: int, dy: int) -> str:
+    """The pixel beside (x, y) of a frame of 8 by 8 in the list e; beyond the border the last one repeats."""
+    return f"e[least(7, greatest(0, y + {dy})) * 8 + least(7, greatest(0, x + {dx})) + 1]"
+
+
+def _strength(dx: int, dy: int) -> str:
+    return f"CASE WHEN x + {dx} BETWEEN 0 AND 7 AND y + {dy} BETWEEN 0 AND 7 THEN ms[(y + {dy}) * 8 + x + {dx} + 1] ELSE 0 END"
+
+
+_GX = f"({_at(1, -1)} + 2 * {_at(1, 0)} + {_at(1, 1)} - {_at(-1, -1)} - 2 * {_at(-1, 0)} - {_at(-1, 1)})"
+_GY = f"({_at(-1, 1)} + 2 * {_at(0, 1)} + {_at(1, 1)} - {_at(-1, -1)} - 2 * {_at(0, -1)} - {_at(1, -1)})"
+_EDGES = f"""WITH RECURSIVE f AS ({_GRAY}),
+p AS (SELECT frame_id, e, unnest(range(64)) % 8 AS x, unnest(range(64)) // 8 AS y FROM f),
+g AS (SELECT frame_id, x, y, {_GX} AS gx, {_GY} AS gy FROM p),
+l AS (SELECT frame_id, list(abs(gx) + abs(gy) ORDER BY y, x) AS ms FROM g GROUP BY frame_id),
+n AS (SELECT frame_id, x, y, abs(gx) + abs(gy) AS m,
+        CASE WHEN abs(gy) < abs(gx) * 0.41421356237309503::DOUBLE THEN abs(gx) + abs(gy) > {_strength(-1, 0)} AND abs(gx) + abs(gy) >= {_strength(1, 0)}
+             WHEN abs(gy) > abs(gx) * 2.41421356237309503::DOUBLE THEN abs(gx) + abs(gy) > {_strength(0, -1)} AND abs(gx) + abs(gy) >= {_strength(0, 1)}
+             WHEN (gx >= 0) = (gy >= 0) THEN abs(gx) + abs(gy) > {_strength(-1, -1)} AND abs(gx) + abs(gy) > {_strength(1, 1)}
+             ELSE abs(gx) + abs(gy) > {_strength(1, -1)} AND abs(gx) + abs(gy) > {_strength(-1, 1)} END AS across FROM g JOIN l USING (frame_id)),
+c AS (SELECT frame_id, x, y, m FROM n WHERE across AND m > 140),
+r AS (SELECT frame_id, x, y FROM c WHERE m > 280 UNION SELECT c.frame_id, c.x, c.y FROM r JOIN c ON c.frame_id = r.frame_id AND abs(c.x - r.x) <= 1 AND abs(c.y - r.y) <= 1)
+SELECT frame_id, x, y FROM r"""
+_HOUGH = f"""WITH f AS ({_GRAY}),
+p AS (SELECT frame_id, unnest(range(64)) % 8 AS x, unnest(range(64)) // 8 AS y, unnest(e) AS v FROM f),
+k AS (SELECT a AS angle, round(cos(pi() * a / 180) * 65536)::BIGINT AS c, round(sin(pi() * a / 180) * 65536)::BIGINT AS s FROM (SELECT unnest(range(180)) AS a)),
+d AS (SELECT frame_id, x, y, angle, (x * c + y * s + 32768) >> 16 AS dist, (y * c - x * s + 32768) >> 16 AS t FROM p, k WHERE v > 10),
+q AS (SELECT frame_id, angle, dist, count(*) AS votes FROM d GROUP BY 1, 2, 3 HAVING count(*) >= 5),
+b AS (SELECT * FROM q WHERE NOT EXISTS (SELECT 1 FROM q o WHERE o.frame_id = q.frame_id AND abs(o.angle - q.angle) <= 1 AND abs(o.dist - q.dist) <= 1 AND (o.votes, -o.angle, -o.dist) > (q.votes, -q.angle, -q.dist))),
+o AS (SELECT d.*, coalesce((t - lag(t) OVER w > 1)::INT, 1) AS fresh FROM d JOIN b USING (frame_id, angle, dist) WINDOW w AS (PARTITION BY frame_id, angle, dist ORDER BY t, x, y)),
+u AS (SELECT *, sum(fresh) OVER (PARTITION BY frame_id, angle, dist ORDER BY t, x, y) AS run FROM o),
+e AS (SELECT frame_id, angle, dist, run, arg_min(x, (t, x, y)) AS x1, arg_min(y, (t, x, y)) AS y1, arg_max(x, (t, x, y)) AS x2, arg_max(y, (t, x, y)) AS y2 FROM u GROUP BY 1, 2, 3, 4)
+SELECT frame_id, ((angle * 1048576 + dist + 524288) * 1048576 + run)::BIGINT AS idx, x1::INT AS x1, y1::INT AS y1, x2::INT AS x2, y2::INT AS y2 FROM e WHERE greatest(abs(x2 - x1), abs(y2 - y1)) >= 4"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "rolling_median": f"SELECT event_id, round_even(smoothed, 4) AS smoothed FROM ({_SMOOTH})",
@@ -228,6 +266,8 @@ SELECT frame_id, median_bin, round_even(greatest(10.0, median_bin * 0.66::DOUBLE
 p AS (SELECT frame_id, i % 8 AS x, i // 8 AS y, v FROM q), b1 AS (SELECT *, {_blur('v', 'y', 'x')} AS b FROM p), b2 AS (SELECT frame_id, x, y, {_blur('b', 'x', 'y')} AS s FROM b1),
 d AS (SELECT frame_id, y, abs(coalesce(lead(s) OVER c, s) - coalesce(lag(s) OVER c, s)) AS e FROM b2 WINDOW c AS (PARTITION BY frame_id, x ORDER BY y))
 SELECT frame_id, y, round_even(sum(e), 6) AS energy FROM d GROUP BY frame_id, y""",
+        "edge_pixels": _EDGES,
+        "hough_segments": _HOUGH,
         "wall_pairs": f"""{_SEGMENTS},
 w AS (SELECT frame_id, idx, ((x1 + x2) // 2)::INT AS x, least(y1, y2) AS top, greatest(y1, y2) AS bottom FROM seg WHERE abs(y1 - y2) > 0 AND abs(x1 - x2) <= greatest(4, abs(y1 - y2) * 0.09::DOUBLE)),
 j AS (SELECT a.frame_id, a.x AS "left", b.x AS "right", greatest(a.top, b.top) AS top, least(a.bottom, b.bottom) AS bottom, a.idx AS ia, b.idx AS ib FROM w a JOIN w b USING (frame_id) WHERE b.x - a.x >= 10),

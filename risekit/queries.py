@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from risekit.functions import rise
-from risekit.operators import pixels, profiles, rolling, rows, segments
+from risekit.operators import edges, hough, pixels, profiles, rolling, rows, segments
 from risekit.options import AnalysisOptions, PublishOptions
 from risekit.plans import batch, frames
 from risekit.scratch import scratch_path
@@ -154,6 +154,22 @@ def blurred_energy(spark, sf_dir):
     return energy.select("frame_id", "y", F.bround("energy", 6).alias("energy"))
 
 
+def _gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as frames of 8 by 8 whole numbers."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("frame_id"), F.posexplode("embedding").alias("i", "v"))
+    return e.select("frame_id", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), F.floor(F.col("v").cast("double") * 256).alias("v"))
+
+
+def edge_pixels(spark, sf_dir):
+    """Edges of small frames, in tiles that cut through them."""
+    return edges.edge_pixels(_gray(spark, sf_dir), F.lit(140), F.lit(280), tile=5)
+
+
+def hough_segments(spark, sf_dir):
+    """Segments in the bright pixels of small frames."""
+    return hough.segments(_gray(spark, sf_dir).where("v > 10").select("frame_id", "x", "y"), 5, 4, 1)
+
+
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of a frame (supplier and month): upright ones and level ones of many lengths."""
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -478,6 +494,6 @@ def rotating_log(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         rolling_median, rise_percent, window_slope, lag_gate, collapse_candidates, flat_run_peak, peak_forecast, moving_average, moving_average_embeddings,
-        edge_surface, band_top, combined_surface, bottom_from_energy, row_reductions, histogram_median, blurred_energy, wall_pairs, lowest_horizontal, measured_frames, measured_regions, frame_cycle, rise_fold, rise_readings, rise_slopes, rise_restored,
+        edge_surface, band_top, combined_surface, bottom_from_energy, row_reductions, histogram_median, blurred_energy, edge_pixels, hough_segments, wall_pairs, lowest_horizontal, measured_frames, measured_regions, frame_cycle, rise_fold, rise_readings, rise_slopes, rise_restored,
         rise_resets, rise_stream, sigmoid_fit, fit_check, fitted_latch, snapshot_stream, sent_messages, reading_json, reading_status, debug_messages, discovery, debug_discovery, snapshot_urls, state_import, retention, diagnostics_lines, rotating_log,
     )}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from risekit.functions import rise
-from risekit.operators import profiles, rolling, rows, segments
+from risekit.operators import edges, hough, profiles, rolling, rows, segments
 
 EDGE_A = [0.8, 0.8, 0.8, 0.1, 0.1, 0.1, 0.1, 0.95, 0.95, 0.95, 0.95]
 EDGE_B = [0.1, 0.1, 0.1, 0.1, 0.2, 0.25, 0.3, 0.35, 0.3, 0.28, 0.24, 0.2]
@@ -137,3 +137,75 @@ def test_wall_pairs_of_large_frames(spark):
         got = {row[0]: tuple(row[1:]) for row in segments.wall_pairs(df, 10, 16, block).collect()}
         assert got == {f: v[1] for f, v in want.items()} and len(got) == 3
     assert segments.wall_pairs(df.limit(0), 10, 16).count() == 0
+
+
+def _thinned_by_hand(v):
+    """Strength where it is largest across the edge, pixel by pixel."""
+    h, w = len(v), len(v[0])
+    at = lambda y, x: v[min(max(y, 0), h - 1)][min(max(x, 0), w - 1)]
+    g = {}
+    for y in range(h):
+        for x in range(w):
+            gx = sum(k * (at(y + d, x + 1) - at(y + d, x - 1)) for d, k in ((-1, 1), (0, 2), (1, 1)))
+            gy = sum(k * (at(y + 1, x + d) - at(y - 1, x + d)) for d, k in ((-1, 1), (0, 2), (1, 1)))
+            g[y, x] = gx, gy
+    m = {k: abs(a) + abs(b) for k, (a, b) in g.items()}
+    out = {}
+    for (y, x), (gx, gy) in g.items():
+        tangent = abs(gy) / abs(gx) if gx else float("inf") if gy else 1.0
+        dy, dx = (0, 1) if tangent < edges.SLANT else (1, 0) if tangent > edges.SLANT + 2 else (1, 1) if (gx >= 0) == (gy >= 0) else (1, -1)
+        first, second = m.get((y - dy, x - dx), 0), m.get((y + dy, x + dx), 0)
+        if m[y, x] > first and (m[y, x] > second or m[y, x] == second and 0 in (dy, dx)):
+            out[y, x] = m[y, x]
+    return out
+
+
+def test_edges_over_tiles(spark):
+    import random
+
+    r = random.Random(8)
+    frames = {"noise": [[r.randrange(0, 256, 16) for _ in range(33)] for _ in range(21)]}
+    spiral = [[0] * 40 for _ in range(40)]  # one long weak edge with a strong end, over many tiles
+    y, x, dy, dx, size = 2, 2, 0, 1, 36
+    while size > 4:
+        for _ in range(2):
+            for _ in range(size):
+                spiral[y][x] = 40
+                y, x = y + dy, x + dx
+            dy, dx = dx, -dy
+        size -= 6
+    spiral[2][2] = spiral[2][3] = 255
+    frames["spiral"] = spiral
+    frames["flat"] = [[7] * 9 for _ in range(9)]
+    rows = [(f, x, y, v) for f, rows_ in frames.items() for y, line in enumerate(rows_) for x, v in enumerate(line)]
+    want = set()
+    for f, v in frames.items():
+        m = {k: s for k, s in _thinned_by_hand(v).items() if s > 100}
+        stack = [k for k, s in m.items() if s > 500]
+        seen = set(stack)
+        while stack:
+            y, x = stack.pop()
+            for k in ((y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+                if k in m and k not in seen:
+                    seen.add(k)
+                    stack.append(k)
+        want |= {(f, x, y) for y, x in seen}
+    df = spark.createDataFrame(rows, "frame_id string, x int, y int, v int")
+    for tile in (4, 7, 256):
+        got = [tuple(r) for r in edges.edge_pixels(df, F.lit(100), F.lit(500), tile).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert {f for f, *_ in want} == {"noise", "spiral"} and sum(f == "spiral" for f, *_ in want) > 100
+    assert edges.edge_pixels(df.limit(0), F.lit(1), F.lit(2)).count() == 0
+
+
+def test_segments_of_drawn_lines(spark):
+    drawn = {(10, y) for y in range(5, 80) if not 30 < y < 36} | {(x, 60) for x in range(20, 90)} | {(20 + i, 5 + i) for i in range(40)} | {(70, y) for y in range(5, 15)}
+    df = spark.createDataFrame([("a", x, y) for x, y in drawn] + [(None, 1, 1)], "frame_id string, x int, y int")
+    got = [tuple(r)[2:] for r in hough.segments(df, 30, 25, 8).collect()]
+    exact = [s for s in got if s[0] == s[2] or s[1] == s[3]]
+    assert (10, 5, 10, 79) in [tuple(sorted((s[:2], s[2:]))[0] + sorted((s[:2], s[2:]))[1]) for s in exact]
+    assert any(s[1] == s[3] == 60 and {s[0], s[2]} == {20, 89} for s in exact)
+    assert any({s[:2], s[2:]} == {(20, 5), (59, 44)} for s in got)
+    cut = [tuple(r)[2:] for r in hough.segments(df, 30, 25, 3).collect()]
+    assert any({s[1], s[3]} == {5, 30} and s[0] == s[2] == 10 for s in cut) and any({s[1], s[3]} == {36, 79} and s[0] == s[2] == 10 for s in cut)
+    assert hough.segments(df.limit(0), 3, 2, 1).count() == 0
