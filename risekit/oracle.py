@@ -250,6 +250,9 @@ SELECT user_id, round_even(greatest(0, least(500, lim * 0.97::DOUBLE)), 0) AS pr
        date_trunc('second', make_timestamp(epoch_us(start) + round_even((middle - ln(1.0::DOUBLE / 0.97::DOUBLE - 1.0) / rate) * 3600000000.0::DOUBLE, 0)::BIGINT)) AS peak_eta,
        round_even(sse, 2) AS sse FROM s""",
         "moving_average": f"{_PROFILE} SELECT frame_id, y::INT AS y, round_even({_smooth('v', 7)}, 4) AS m FROM p",
+        "moving_average_blocks": f"{_PROFILE} SELECT frame_id, y::INT AS y, round_even({_smooth('v', 7)}, 4) AS m FROM p",
+        "step_contrast": f"""{_PROFILE}, q AS (SELECT *, sum(v) OVER (PARTITION BY frame_id ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above, sum(v) OVER (PARTITION BY frame_id) AS total FROM p)
+SELECT frame_id, y::INT AS y, round_even(above / y - (total - above) / (n - y), 4) AS step FROM q WHERE y > 0""",
         "moving_average_embeddings": f"""WITH p AS (SELECT vec_id AS frame_id, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding)))::INT AS y FROM embeddings)
 SELECT frame_id AS vec_id, y, round_even({_smooth('v', 5)}, 6) AS m FROM p""",
         "edge_surface": f"{_EDGE} SELECT frame_id, surface FROM edge",

@@ -8,10 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from risekit.functions import rise
-from risekit.operators import profiles, segments
+from risekit.operators import edges, hough, profiles, segments
+from risekit.operators import pixels as pixels_
+from risekit.operators import rows as rows_
+from risekit.options import SnapshotOptions, VisionOptions
 from risekit.scratch import scratch_path
 
 _COLUMN = ["frame_id", "attempt", "first", "width", "top", "height", "left", "right"]
+#: What the relaxed pass multiplies thresholds and wall lengths by; votes and gap of walls; votes, length and gap of lower edges.
+RELAXATION, WALL_VOTES, LEVEL_VOTES = 0.6, (60, 20), (22, 8, 8)
 #: Searched columns: between walls, then the whole frame, each in the strict and the relaxed edges.
 ATTEMPTS = 4
 
@@ -66,17 +71,25 @@ def column_profiles(pixels: DataFrame, columns: DataFrame) -> DataFrame:
     return listed.select(*_COLUMN, *[F.col(f"rows.{c}").alias(c) for c in ("energy", "strip_energy", "strip_intensity")])
 
 
-def lower_edges(surfaces: DataFrame, lines: DataFrame) -> DataFrame:
-    """(frame_id, attempt, line): the longest level segment in the central strip below a column's surface."""
+def lower_edges(surfaces: DataFrame, lines: DataFrame, cut: bool = False) -> DataFrame:
+    """(frame_id, attempt, line): the longest level segment in the central strip below a column's surface.
+
+    With cut, segments of whole frames count as far as they lie in the strip; else those that reach out of it don't.
+    """
     level = lines.withColumnRenamed("frame_id", "of").join(surfaces.select(*_COLUMN, "surface"), (F.col("of") == F.col("frame_id")) & (F.col("relaxed") == (F.col("attempt") % 2 == 1)))
     at, wide = _strip()
+    if cut:
+        slope = (F.col("y2") - F.col("y1")) / F.greatest(F.lit(1), F.abs(F.col("x2") - F.col("x1"))) * F.signum(F.col("x2") - F.col("x1"))
+        inside = {c: F.greatest(at, F.least(F.col(c), at + wide - 1)) for c in ("x1", "x2")}
+        rows = {y: F.round(F.col(y) + (inside[x] - F.col(x)) * slope).cast("int") for x, y in (("x1", "y1"), ("x2", "y2"))}
+        level = level.withColumns({k: c.cast("int") for k, c in (inside | rows).items()})
     within = (F.least("x1", "x2") >= at) & (F.greatest("x1", "x2") < at + wide) & (F.abs(F.col("x1") - F.col("x2")) >= F.greatest(F.lit(8), F.floor(wide / 4)))
     level = level.where(within & (F.col("height") >= 3) & (wide >= 3)).withColumns({c: F.col(c) - F.col("top") for c in ("y1", "y2")}).withColumn("frame_id", F.struct("frame_id", "attempt"))
     found = segments.lowest_long_horizontal(level, F.col("surface"), F.col("height") - 1)
     return found.select("frame_id.frame_id", "frame_id.attempt", F.col("bottom").alias("line"))
 
 
-def measure(pixels: DataFrame, lines: DataFrame, width: int, height: int, min_width: int, min_lengths: tuple[int, int], roi_y: int | None = None, roi: dict[str, int | None] | None = None) -> DataFrame:
+def measure(pixels: DataFrame, lines: DataFrame, width: int, height: int, min_width: int, min_lengths: tuple[int, int], roi_y: int | None = None, roi: dict[str, int | None] | None = None, cut: bool = False) -> DataFrame:
     """A row for each frame: (frame_id, attempt, method, band_top, band_contrast, surface, jar_left, jar_right, jar_top, dough_top, jar_bottom, level).
 
     pixels: (frame_id, x, y, v, edge, edge_relaxed), intensity and the strength of both edge maps.
@@ -88,7 +101,7 @@ def measure(pixels: DataFrame, lines: DataFrame, width: int, height: int, min_wi
 
     roi (x, y, width, height) cuts a region out of every frame first, in whose coordinates lines are;
     rows of the result are moved down by roi_y, the region's y where that is not given. Null frame
-    ids have no row. Surfaces are found when this is called.
+    ids have no row. Surfaces are found when this is called. cut: see lower_edges.
     """
     if roi is not None and not any(roi.get(k) is None for k in ("x", "y", "width", "height")):
         pixels = profiles.crop(pixels, roi).withColumns({"x": F.col("x") - roi["x"], "y": F.col("y") - roi["y"]})
@@ -104,21 +117,50 @@ def measure(pixels: DataFrame, lines: DataFrame, width: int, height: int, min_wi
     frames = kept(pixels.select("frame_id").where("frame_id IS NOT NULL").distinct(), "frames")
     still, results = frames, []
     for attempt in range(ATTEMPTS):
-        cols = columns_to_search(still, lines, attempt, width, height, min_width, min_lengths)
+        cols = kept(columns_to_search(still, lines, attempt, width, height, min_width, min_lengths), "frame-columns")
+        if attempt + 1 < ATTEMPTS and cols.isEmpty():
+            continue
         # written, as both what follows reads it and a filter on a surface would compute it anew
-        found = kept(profiles.combined_surface(column_profiles(pixels, cols), "energy", "strip_intensity"), "frame-surfaces")
-        results.append(found)
-        still = still.join(found.where("surface IS NOT NULL"), "frame_id", "left_anti")
+        results.append(kept(profiles.combined_surface(column_profiles(pixels, cols), "energy", "strip_intensity"), "frame-surfaces"))
         if attempt + 1 < ATTEMPTS:
-            still = kept(still, "frames-open")
+            still = kept(still.join(results[-1].where("surface IS NOT NULL"), "frame_id", "left_anti"), "frames-open")
             if still.isEmpty():
                 break
     found = reduce(DataFrame.union, results).where("surface IS NOT NULL").withColumn("last", F.col("height") - 1)
-    low = profiles.bottom_from_energy(found, "strip_energy", "last", "surface").join(lower_edges(found, lines), ["frame_id", "attempt"], "left")
+    low = profiles.bottom_from_energy(found, "strip_energy", "last", "surface").join(lower_edges(found, lines, cut), ["frame_id", "attempt"], "left")
     bottom = (F.col("top") + F.coalesce("line", "bottom")).cast("int")
     seen = ["frame_id", "attempt", "method", "band_top", "band_contrast"]
     measured = low.select(*seen, "surface", F.col("left").alias("jar_left"), F.col("right").alias("jar_right"), F.col("top").alias("jar_top"), (F.col("top") + F.col("surface")).alias("dough_top"), bottom.alias("jar_bottom"))
-    none = results[-1].where("surface IS NULL").select(*seen) if len(results) == ATTEMPTS else measured.select(*seen).limit(0)
+    none = results[-1].where((F.col("attempt") == ATTEMPTS - 1) & F.col("surface").isNull()).select(*seen)
     rest = frames.join(measured, "frame_id", "left_anti").join(none, "frame_id", "left").withColumn("method", F.coalesce("method", F.lit("none")))
     moved = profiles.shift_rows(measured.unionByName(rest, allowMissingColumns=True), ["jar_top", "dough_top", "jar_bottom"], F.lit(roi_y).cast("int"))
     return moved.withColumn("level", rise.height(F.col("dough_top"), F.col("jar_bottom")))
+
+
+def measure_images(gray: DataFrame, width: int, height: int, vision: VisionOptions = VisionOptions(), snapshot: SnapshotOptions = SnapshotOptions()) -> DataFrame:
+    """measure() of frames of gray pixels (frame_id, x, y, v from 0 to 255), whose edges and segments are found here.
+
+    The snapshot options' region is cut out first. Edge thresholds follow each frame's median intensity; walls
+    are long upright segments, lower edges level ones.
+    """
+    roi = {k: getattr(snapshot, f"roi_{k}") for k in ("x", "y", "width", "height")}
+    if not any(v is None for v in roi.values()):
+        gray = profiles.crop(gray, roi).withColumns({"x": F.col("x") - roi["x"], "y": F.col("y") - roi["y"]})
+        width, height = max(0, min(width - roi["x"], roi["width"])), max(0, min(height - roi["y"], roi["height"]))
+    spark = gray.sparkSession
+    smooth = pixels_.gaussian_blur(gray.select("frame_id", "x", "y", F.col("v").cast("double").alias("v")), ["frame_id"]).withColumn("v", F.bround("v", 0).cast("int"))
+    smooth = smooth.join(rows_.histogram_median(smooth, ["frame_id"], F.col("v")), "frame_id")
+    cells, lines, lengths = gray.select("frame_id", "x", "y", "v"), [], []
+    for relaxed, (name, relaxation) in enumerate((("edge", 1.0), ("edge_relaxed", RELAXATION))):
+        path = scratch_path(spark, name)
+        edges.edge_pixels(smooth, *rise.auto_threshold(F.col("median_bin"), relaxation)).write.parquet(path)
+        found = spark.read.parquet(path)
+        lengths.append(int(height * vision.wall_min_length_fraction * relaxation))
+        upright, level = hough.segments(found, *WALL_VOTES[:1], lengths[-1], WALL_VOTES[1]), hough.segments(found, *LEVEL_VOTES)
+        dx, dy = F.abs(F.col("x1") - F.col("x2")), F.abs(F.col("y1") - F.col("y2"))
+        lines.append(upright.where(dy >= dx).union(level.where(dx > dy)).withColumn("relaxed", F.lit(bool(relaxed))))
+        cells = cells.join(found.select("frame_id", "x", "y", F.lit(255).alias(name)), ["frame_id", "x", "y"], "left")
+    path = scratch_path(spark, "frame-lines")
+    lines[0].union(lines[1]).write.parquet(path)
+    cells = cells.fillna(0, ["edge", "edge_relaxed"])
+    return measure(cells, spark.read.parquet(path), width, height, int(width * vision.min_width_fraction), tuple(lengths), roi_y=snapshot.roi_y, cut=True)

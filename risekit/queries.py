@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from risekit.functions import rise
-from risekit.operators import edges, hough, pixels, profiles, rolling, rows, segments
+from risekit.operators import edges, hough, pixels, profiles, rolling, rows, segmented, segments
 from risekit.options import AnalysisOptions, PublishOptions
 from risekit.plans import batch, frames
 from risekit.scratch import scratch_path
@@ -104,6 +104,27 @@ def moving_average(spark, sf_dir):
     return p.select("frame_id", "y", F.bround("m", 4).alias("m"))
 
 
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(frame_id, v, pos): the values of the profiles as rows."""
+    rows_ = _events(spark, sf_dir).select(F.col("user_id").alias("frame_id"), "ts", "event_id", F.col("value").alias("v"))
+    return segmented.positions(rows_, ["frame_id"], ["ts", "event_id"]).select("frame_id", "v", "pos")
+
+
+def moving_average_blocks(spark, sf_dir):
+    """moving_average with each series cut into blocks."""
+    p = segmented.moving_average(_placed(spark, sf_dir), ["frame_id"], "v", 7, block=16)
+    return p.select("frame_id", F.col("pos").cast("int").alias("y"), F.bround("m", 4).alias("m"))
+
+
+def step_contrast(spark, sf_dir):
+    """At each place of a profile the mean above it less the mean from it on, from prefix sums over blocks."""
+    p = segmented.prefix_sums(_placed(spark, sf_dir), ["frame_id"], "v", block=16)
+    whole = p.groupBy("frame_id").agg(F.sum("v").alias("total"), F.count("*").alias("n"))
+    above = F.col("so_far") - F.col("v")
+    step = above / F.col("pos") - (F.col("total") - above) / (F.col("n") - F.col("pos"))
+    return p.join(whole, "frame_id").where("pos > 0").select("frame_id", F.col("pos").cast("int").alias("y"), F.bround(step, 4).alias("step"))
+
+
 def moving_average_embeddings(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     p = e.select("vec_id", F.posexplode(profiles.moving_average(profiles.doubles(F.col("embedding")), 5)).alias("y", "m"))
@@ -493,7 +514,7 @@ def rotating_log(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        rolling_median, rise_percent, window_slope, lag_gate, collapse_candidates, flat_run_peak, peak_forecast, moving_average, moving_average_embeddings,
+        rolling_median, rise_percent, window_slope, lag_gate, collapse_candidates, flat_run_peak, peak_forecast, moving_average, moving_average_blocks, step_contrast, moving_average_embeddings,
         edge_surface, band_top, combined_surface, bottom_from_energy, row_reductions, histogram_median, blurred_energy, edge_pixels, hough_segments, wall_pairs, lowest_horizontal, measured_frames, measured_regions, frame_cycle, rise_fold, rise_readings, rise_slopes, rise_restored,
         rise_resets, rise_stream, sigmoid_fit, fit_check, fitted_latch, snapshot_stream, sent_messages, reading_json, reading_status, debug_messages, discovery, debug_discovery, snapshot_urls, state_import, retention, diagnostics_lines, rotating_log,
     )}

@@ -313,3 +313,21 @@ def test_the_last_will():
     a = run_.Availability.willed("jar", lambda will: wills.append(will) or (lambda *m: seen.append(m)))
     a.onQueryStarted(None)
     assert wills == [("jar/availability", "offline", True)] and seen == [("jar/availability", "online", True)]
+
+
+def test_scratch_folders_off_one_machine_must_be_shared(spark):
+    """A stand-in for a session on a cluster whose warehouse is a folder of each machine."""
+    from types import SimpleNamespace
+
+    import pytest
+
+    from risekit.scratch import scratch_path
+
+    def session(master, **conf):
+        context = SimpleNamespace(master=master, applicationId="app")
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k.split(".")[1], d)), sparkContext=context, _jvm=spark._jvm, _jsc=spark._jsc)
+
+    with pytest.raises(RuntimeError):
+        scratch_path(session("yarn", sql="file:/tmp/warehouse"), "x")
+    assert scratch_path(session("yarn", sql="file:/tmp/warehouse", checkpoint="file:/shared"), "x").startswith("file:/shared/x-")
+    assert "/rise-app/x-" in scratch_path(session("local[2]"), "x")

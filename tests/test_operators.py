@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from risekit.functions import rise
-from risekit.operators import edges, hough, profiles, rolling, rows, segments
+from risekit.operators import edges, hough, profiles, rolling, rows, segmented, segments
 
 EDGE_A = [0.8, 0.8, 0.8, 0.1, 0.1, 0.1, 0.1, 0.95, 0.95, 0.95, 0.95]
 EDGE_B = [0.1, 0.1, 0.1, 0.1, 0.2, 0.25, 0.3, 0.35, 0.3, 0.28, 0.24, 0.2]
@@ -209,3 +209,24 @@ def test_segments_of_drawn_lines(spark):
     cut = [tuple(r)[2:] for r in hough.segments(df, 30, 25, 3).collect()]
     assert any({s[1], s[3]} == {5, 30} and s[0] == s[2] == 10 for s in cut) and any({s[1], s[3]} == {36, 79} and s[0] == s[2] == 10 for s in cut)
     assert hough.segments(df.limit(0), 3, 2, 1).count() == 0
+
+
+def test_segmented_profiles(spark):
+    """One series of many blocks and ranges, others of one row and of a null key; repeated times."""
+    rows = [("long", i // 2, i, float(i * 7919 % 101)) for i in range(2000)] + [("one", 0, 0, 3.0)] + [(None, i, i, float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, t int, i int, v double").repartition(5)
+    placed = segmented.positions(df, ["k"], ["t", "i"]).cache()
+    got = {(r["k"], r["i"]): r["pos"] for r in placed.collect()}
+    assert got == {(k, i): i for k, _, i, _ in rows}
+    placed = placed.where("k IS NOT NULL")
+    sums = {(r["k"], r["pos"]): r["so_far"] for r in segmented.prefix_sums(placed, ["k"], "v", block=64).collect()}
+    means = {(r["k"], r["pos"]): r["m"] for r in segmented.moving_average(placed, ["k"], "v", 5, block=8).collect()}
+    v, so_far = [x[3] for x in rows[:2000]], 0.0
+    for i in range(2000):
+        so_far += v[i]
+        window = v[max(0, i - 2) : i + 3]
+        assert sums["long", i] == so_far and means["long", i] == pytest.approx(sum(window) / len(window))
+    assert sums["one", 0] == means["one", 0] == 3.0 and len(sums) == len(means) == 2001
+    assert segmented.positions(df.limit(0), ["k"], ["t"]).count() == 0
+    with pytest.raises(ValueError):
+        segmented.moving_average(placed, ["k"], "v", 9, block=8)
