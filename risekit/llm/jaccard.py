@@ -36,6 +36,8 @@ from risekit.llm.components import connected_components
 
 #: Longer runs of one signature are long runs.
 LONG_RUN = 32
+#: Instead of a signature's meta: the run is long, whatever rows of it there are.
+MARK = -1
 #: Cost of a signature that is likely to meet by chance, against that of a row.
 CHANCE_COST = 8
 #: Members and n-grams of a block in which a long run's sets are verified against each other.
@@ -179,7 +181,7 @@ def _key(subset: np.ndarray, count: np.ndarray, segment: np.ndarray, band: int)
     return mix(mix(subset + count.astype(np.uint64) * _C[2]) + segment.astype(np.uint64) * _C[3] + np.uint64((band + 1) * int(_C[4]) % (1 << 64)))
 
 
-def _meta(band: int, own: bool, deleted: bool, segment: np.ndarray, n: int) -> np.ndarray:
+def _meta(band: int, own: bool, deleted: bool, segment: np.ndarray | int, n: int) -> np.ndarray:
     """band, own band, deleted, segment (24 bits) and set size (28 bits) in one integer; larger sets count as 2**28 - 1."""
     return (band << 54 | own << 53 | deleted << 52) | np.minimum(segment, (1 << 24) - 1) << 28 | min(n, (1 << 28) - 1)
 
@@ -258,7 +260,8 @@ def signature_rows(docs: DataFrame, text_col: str, n: int, schemes: Schemes) ->
 def meetings(signatures: DataFrame, percent: int, long_run: int = LONG_RUN) -> DataFrame:
     """Pairs (kind 0: a < b, meta band and how often) of short runs, and the members (kind 1: a key, b set, meta) of long ones.
 
-    Rows are sorted by key and streamed, so a run of any length takes bounded memory.
+    Rows are sorted by key and streamed, so a run of any length takes bounded memory. A row with MARK
+    for its meta makes its run a long one and is no member.
     """
     ordered = signatures.repartition("key").sortWithinPartitions("key", "sid")
 
@@ -276,7 +279,7 @@ def meetings(signatures: DataFrame, percent: int, long_run: int = LONG_RUN) -> D
                 continue
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             size = np.diff(np.r_[start, len(key)])
-            long = size > long_run
+            long = (size > long_run) | np.logical_or.reduceat(meta == MARK, start)
             if open_key is not None and key[0] == open_key:
                 long[0] = True
             stop = len(key)
@@ -302,7 +305,8 @@ def _runs(key, sid, meta, size, long, percent: int) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(m)], names=["kind", "a", "b", "meta"])
 
     if long.any():
-        yield rows(1, key[long], sid[long], meta[long])
+        named = long & (meta != MARK)
+        yield rows(1, key[named], sid[named], meta[named])
     pick = ~long & (size > 1)
     key, sid, meta = key[pick], sid[pick], meta[pick]
     n, own, deleted = meta & (1 << 28) - 1, meta >> 53 & 1, meta >> 52 & 1
@@ -459,18 +463,35 @@ def long_run_members(met: DataFrame, long: DataFrame, schemes: Schemes) -> DataF
     return ranked.where(deletion | (F.col("i") > _spare(schemes))).select("key", "sid", "n")
 
 
-def member_tokens(members: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """(key, sid, meta) for each n-gram of each set that compares in long runs, in the form of signatures: a segment for each n-gram."""
+def member_grams(members: DataFrame, texts: DataFrame, n: int, long_run: int = LONG_RUN) -> DataFrame:
+    """The n-grams of the sets that compare in long runs, with what very many sets have counted before the shuffle.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for sid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tokens = grams(text.as_py(), n)
-                cells = [tokens.view(np.int64), np.full(len(tokens), sid, np.int64), np.full(len(tokens), _meta(0, True, False, np.zeros(1, np.int64), len(tokens))[0])]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells], names=["key", "sid", "meta"])
+    Sets of one neighbourhood are dealt into blocks. An n-gram of over long_run sets of a block is
+    common: the block counts for each set how many it has (kind 1: key its size, sid, meta the count)
+    and sends the n-gram once, marked. Every other n-gram of a set is a row in the form of signatures,
+    a segment for each n-gram (kind 0: key, sid, meta; marked ones among them).
+    """
 
-    rows = texts.join(members.select("sid").distinct(), "sid", "left_semi").select("sid", "text")
-    return rows.mapInArrow(run, "key long, sid long, meta long")
+    def run(group: pa.Table) -> pa.Table:
+        sids = group.column("sid").to_numpy()
+        sets = [grams(t.as_py(), n) for t in group.column("text")]
+        size = np.array([len(s) for s in sets])
+        row = np.repeat(np.arange(len(sets)), size)
+        key, code, times = np.unique(np.concatenate(sets).view(np.int64), return_inverse=True, return_counts=True)
+        hot = times > long_run
+        few = ~hot[code]
+        meta = np.array([_meta(0, True, False, 0, k) for k in size], np.int64)
+        common = np.bincount(row[~few], minlength=len(sets))
+        marks = key[hot]
+        cells = [
+            (np.zeros(few.sum(), np.int32), key[code[few]], sids[row[few]], meta[row[few]]),
+            (np.zeros(len(marks), np.int32), marks, np.full(len(marks), np.iinfo(np.int64).min), np.full(len(marks), MARK)),
+            (np.ones(len(sets), np.int32), size, sids, common),
+        ]
+        return pa.table({c: pa.array(np.concatenate(x)) for c, x in zip(("kind", "key", "sid", "meta"), zip(*cells))})
+
+    rows = texts.join(home_blocks(members, members.select("key", "sid"), "jaccard-gram-blocks"), "sid").select("block", "sid", "text")
+    return rows.groupBy("block").applyInArrow(run, "kind int, key long, sid long, meta long")
 
 
 def _needed(percent: int, x: Column, y: Column) -> Column:
@@ -478,11 +499,11 @@ def _needed(percent: int, x: Column, y: Column) -> Column:
     return F.ceil(percent * (x + y) / (100 + percent))
 
 
-def common_parts(tokens: DataFrame, met: DataFrame) -> DataFrame:
-    """(sid, n, common): size of each set, and how many of its n-grams very many of the sets have."""
-    size = tokens.groupBy("sid").agg(F.count("*").alias("n"))
+def common_parts(rows: DataFrame, met: DataFrame) -> DataFrame:
+    """(sid, n, common): size of each set, and how many of its n-grams very many of the sets have; of member_grams and their meetings."""
+    size = rows.where("kind = 1").select("sid", F.col("key").alias("n"), F.col("meta").alias("counted"))
     common = met.where("kind = 1").groupBy(F.col("b").alias("sid")).agg(F.count("*").alias("common"))
-    return size.join(common, "sid", "left").select("sid", "n", F.coalesce("common", F.lit(0)).alias("common"))
+    return size.join(common, "sid", "left").select("sid", "n", (F.col("counted") + F.coalesce("common", F.lit(0))).alias("common"))
 
 
 def rare_pairs(met: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
@@ -537,15 +558,21 @@ def homes(core: DataFrame, some: DataFrame) -> DataFrame:
     return _salted_join(some, "key", label, total, how="inner").groupBy("sid").agg(F.max("run")["key"].alias("home"))
 
 
+def home_blocks(core: DataFrame, some: DataFrame, name: str) -> DataFrame:
+    """(sid, n, block): each set of some (key, sid) in one block of bounded size, that of its neighbourhood where it fits."""
+    home = written(homes(core, some).join(core.select("sid", "n").distinct(), "sid"), f"{name}-of")
+    size = home.groupBy(F.col("home").alias("key")).agg(_blocks().alias("blocks"))
+    dealt = _salted_join(home, "home", size, home.count(), how="inner")
+    return written(dealt.select("sid", "n", F.xxhash64("home", F.pmod(F.xxhash64("sid"), "blocks")).alias("block")), name)
+
+
 def dealt_blocks(core: DataFrame, some: DataFrame) -> DataFrame:
     """(block, part, sid, left): each set of some (key, sid) in one block, which meets the parts of all members of core that share a run with it.
 
     The sets of one neighbourhood share blocks. Blocks and parts are of bounded size, and a member
     is sent once to each block that it meets.
     """
-    home = homes(core, some).join(core.select("sid", "n").distinct(), "sid")
-    size = home.groupBy("home").agg(_blocks().alias("blocks"))
-    home = written(home.join(size, "home").select("sid", "n", F.xxhash64("home", F.pmod(F.xxhash64("sid"), "blocks")).alias("block")), "jaccard-homes")
+    home = home_blocks(core, some, "jaccard-homes")
     blocks = written(some.join(home, "sid").select("key", "block").distinct(), "jaccard-blocks")
     right = _salted_join(core.select("key", "sid", "n"), "key", blocks, core.count(), how="inner")
     right = written(right.select("block", "sid", "n").distinct(), "jaccard-parts")
@@ -622,10 +649,10 @@ def met_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
     members = written(long_run_members(met, long, schemes), "jaccard-members")
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(members.select("sid")).distinct()
     texts = written(set_texts(plain, sets, wanted), "jaccard-texts")
-    tokens = written(member_tokens(members, texts, n), "jaccard-tokens")
-    met_tokens = written(meetings(tokens, percent), "jaccard-met-tokens")
-    parts = written(common_parts(tokens, met_tokens), "jaccard-common")
-    pairs = written(pairs.union(rare_pairs(met_tokens, parts, percent)).distinct(), "jaccard-pairs")
+    rows = written(member_grams(members, texts, n), "jaccard-grams")
+    met_grams = written(meetings(rows.where("kind = 0").select("key", "sid", "meta"), percent), "jaccard-met-grams")
+    parts = written(common_parts(rows, met_grams), "jaccard-common")
+    pairs = written(pairs.union(rare_pairs(met_grams, parts, percent)).distinct(), "jaccard-pairs")
     core = written(core_members(members, parts, percent), "jaccard-core")
     return sets, pairs, core, texts
 

@@ -98,6 +98,37 @@ def test_stragglers_meet_the_whole_run(documents, monkeypatch):
     assert sorted(got, key=str) == brute(rows, 4, 85)
 
 
+def test_common_shingles_are_counted_in_blocks(documents, monkeypatch):
+    # what very many members have is counted where they meet in blocks, in some of which few have it
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(jaccard.meetings, "__defaults__", (3,))
+    monkeypatch.setattr(jaccard.member_grams, "__defaults__", (3,))
+    rows = corpus(3, 3, (60, 150), (60, 60), (0, 9)) + [(20_000 + i, t) for i, t in corpus(4, 2, (4, 12), (40, 40), (0, 3))]
+    docs = documents(rows)
+    plain = docs.select("doc_id", "text")
+    schemes = jaccard.Schemes(85)
+    sets = jaccard.document_sets(plain, "doc_id", "text", 4)
+    met = jaccard.written(jaccard.meetings(jaccard.signature_rows(plain, "text", 4, schemes), 85), "met")
+    members = jaccard.written(jaccard.long_run_members(met, jaccard.long_segments(met), schemes), "members")
+    found = jaccard.written(jaccard.member_grams(members, jaccard.set_texts(plain, sets, members), 4), "grams")
+    met_grams = jaccard.meetings(found.where("kind = 0").select("key", "sid", "meta"), 85)
+    own = {}
+    for _, text in rows:
+        shingle = jaccard.grams(text, 4)
+        own[jaccard.set_id(shingle)] = set(shingle.tolist())
+    inside = {r["sid"] for r in members.select("sid").distinct().collect()}
+    holders = defaultdict(set)
+    for sid in inside:
+        for g in own[sid]:
+            holders[g].add(sid)
+    want = sorted((sid, len(own[sid]), sum(len(holders[g]) > 3 for g in own[sid])) for sid in inside)
+    assert len(inside) > 50 and any(c for _, _, c in want)
+    assert sorted(tuple(r) for r in jaccard.common_parts(found, met_grams).collect()) == want
+    assert found.where("kind = 0").count() < 0.7 * sum(len(own[s]) for s in inside)
+    got = [tuple(x) for x in jaccard.near_duplicates(docs, n=4, percent=85).collect()]
+    assert sorted(got, key=str) == brute(rows, 4, 85)
+
+
 def passages(count, own):
     r = random.Random(7)
     passage = " ".join(f"p{i}" for i in range(300))
@@ -153,6 +184,20 @@ def test_runs_across_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_marks_make_long_runs(spark):
+    """Marks, before or after a run's rows and repeated, make it a long run and are no members."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        meta = int(jaccard._meta(0, True, False, 0, 50))
+        least = int(np.iinfo(np.int64).min)
+        rows = [(k, s, meta) for k in range(20) for s in range(-1, k % 5)] + [(k, least, jaccard.MARK) for k in range(0, 20, 2)] * 2
+        met = jaccard.meetings(spark.createDataFrame(rows, "key long, sid long, meta long"), 85).collect()
+        assert sorted((r["a"], r["b"]) for r in met if r["kind"] == 1) == [(k, s) for k in range(0, 20, 2) for s in range(-1, k % 5)]
+        assert sum((r["meta"] & 0xFFFFFFFF) for r in met if r["kind"] == 0) == sum((k % 5 + 1) * (k % 5) // 2 for k in range(1, 20, 2))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_components(spark):
     r = random.Random(9)
     links = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1100)] + [(r.randint(2000, 2200), r.randint(2000, 2200)) for _ in range(150)] + [(5, 5)]
