@@ -36,9 +36,18 @@ def diagnostics_lines(frames: DataFrame, ts: str = "ts", image: str = "image") -
     return frames.select(F.date_format(ts, "yyyyMMdd").alias("day"), F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def append_lines(lines: DataFrame, path: str, batch: int | None = None) -> None:
-    """Append to folders by day. With a batch's number its own folders are written anew, so a batch that runs again leaves its lines once."""
-    if batch is None:
+def append_lines(lines: DataFrame, path: str, batch: int | None = None, by_day: bool = True) -> None:
+    """Append to folders by day. With a batch's number its own folders are written anew, so a batch that runs again leaves its lines once.
+
+    A folder costs many calls of the file system. Batches of very many days go without by_day to one
+    folder each, whose files hold ranges of days, in order; a line has its time. Their files are as
+    old as their batch either way, so pruning takes the same lines.
+    """
+    if not by_day:
+        name = "0" if batch is None else str(batch)
+        whole = lines.repartitionByRange("day").sortWithinPartitions("day", "value").select("value")
+        whole.write.mode("append" if batch is None else "overwrite").text(f"{path}/batch={name}")
+    elif batch is None:
         lines.write.mode("append").partitionBy("day").text(path)
     else:
         mine = lines.withColumn("batch", F.lit(batch))

@@ -289,6 +289,20 @@ def test_a_log_keeps_each_batch_once_and_prunes_old_files(spark, tmp_path):
     diagnostics.prune(spark, path, F.current_timestamp())
 
 
+def test_batches_of_many_days_have_few_folders(spark, tmp_path):
+    import os
+
+    path = f"{tmp_path}/log"
+    days = spark.range(300).select(F.concat(F.lit("d"), "id").alias("day"), F.col("id").cast("string").alias("value"))
+    for batch, part in ((0, "id < 200"), (1, "id >= 200"), (0, "id < 200")):
+        diagnostics.append_lines(days.where(part.replace("id", "int(value)")), path, batch, by_day=False)
+    got = sorted((r["batch"], int(r["value"])) for r in spark.read.option("basePath", path).text(path).collect())
+    assert got == [(int(i >= 200), i) for i in range(300)]
+    assert sorted(d for d in os.listdir(path) if "=" in d) == ["batch=0", "batch=1"]
+    diagnostics.prune(spark, path, F.current_timestamp() + F.expr("interval 50 hours"))
+    assert not [f for _, _, names in os.walk(path) for f in names if f.startswith("part-")]
+
+
 def test_capture_tries_again_where_nothing_was_measured(spark, tmp_path):
     from risekit.sources.capture import capture
 
