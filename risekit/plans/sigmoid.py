@@ -125,7 +125,8 @@ def sound(found: Sequence[tuple[np.ndarray, float]], samples: int) -> Fit | None
 def fit_many(hours: Sequence[np.ndarray], values: Sequence[np.ndarray], before: Sequence[Fit | None] | None = None) -> list[Fit | None]:
     """Best logistics, each over hours since its first sample; None where there is too little to fit or none is sound.
 
-    A fit starts from the samples' own range and, where there is one, from the fit before.
+    A fit starts from the samples' own range and, where there is one, from the fit before. A simplex
+    may shrink before its error is level, so what is found is the start of another one.
     """
     before = [None] * len(values) if before is None else before
     starts, lanes, at = [], [], []
@@ -137,7 +138,10 @@ def fit_many(hours: Sequence[np.ndarray], values: Sequence[np.ndarray], before:
                 lanes.append((h, v))
                 at.append(i)
     found: list[list] = [[] for _ in values]
-    for i, r in zip(at, descend(starts, [h for h, _ in lanes], [v for _, v in lanes])):
+    once = descend(starts, [h for h, _ in lanes], [v for _, v in lanes])
+    again = [(k, p) for k, (p, _) in enumerate(once) if p[0] > 0 and p[1] > 0 and np.isfinite(p).all()]
+    twice = descend([p for _, p in again], [lanes[k][0] for k, _ in again], [lanes[k][1] for k, _ in again])
+    for i, r in [*zip(at, once), *((at[k], r) for (k, _), r in zip(again, twice))]:
         found[i].append(r)
     return [sound(f, len(v)) for f, v in zip(found, values)]
 
