@@ -25,9 +25,13 @@ def clamp(c: Column, low: float, high: float) -> Column:
     return F.when(c.isNull() | F.isnan(c), c).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
-def rounded(c: Column, digits: int) -> Column:
-    """Half-even rounding."""
-    return F.bround(c, digits)
+def rounded(c: Column | str, digits: int) -> Column:
+    """Half-even rounding of the double that c times a power of ten is, as DuckDB's round_even and numpy do it.
+
+    (bround rounds the shortest decimal that names c, which at ties may be another one.)
+    """
+    scale = F.lit(10.0**digits)
+    return F.rint((F.col(c) if isinstance(c, str) else c).cast("double") * scale) / scale
 
 
 def shown_rise(c: Column) -> Column:
@@ -53,7 +57,7 @@ def hours_at_fraction(rate: Column, middle: Column, fraction: float = AnalysisOp
 
 def after_hours(start: Column, hours: Column) -> Column:
     """start plus fractional hours, to the microsecond."""
-    return F.timestamp_micros(F.unix_micros(start) + F.bround(hours * 3_600_000_000.0, 0).cast("long"))
+    return F.timestamp_micros(F.unix_micros(start) + F.rint(hours * 3_600_000_000.0).cast("long"))
 
 
 def squared_error(hours: Column, value: Column, limit: Column, rate: Column, middle: Column) -> Column:
@@ -70,7 +74,7 @@ def auto_threshold(median: Column, relax: float = 1.0) -> tuple[Column, Column]:
 
 def session_line(top: Column, bottom: Column, baseline: Column) -> Column:
     """Row at which the surface stood when the session began."""
-    return F.bround(top + bottom - baseline, 0)
+    return F.rint(top + bottom - baseline)
 
 
 def inset(width: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,8 @@ def reading_frame(series: list, times: list[int], heights: list, kinds: list, st
     for f in TIMES:
         frame[f] = pd.to_datetime(pd.Series([getattr(r, f) for r in readings], dtype="Int64"), unit="us")
     for f in ("rise_percent", "rise_rate", "predicted_peak_percent", "smoothed", "rise_raw"):
-        frame[f] = frame[f].astype("float64")
+        values = np.array([math.nan if (x := getattr(r, f)) is None else x for r in readings], np.float64)
+        frame[f] = pd.arrays.FloatingArray(values, np.array([getattr(r, f) is None for r in readings], bool))  # a NaN stays apart from a null
     return frame
 
 

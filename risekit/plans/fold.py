@@ -106,7 +106,8 @@ class Draft:
 
 
 def rounded(x: float, low: float, high: float, digits: int) -> float:
-    return x if math.isnan(x) else round(min(max(x, low), high), digits)
+    """x within bounds, rounded half-even as functions.rise.rounded does it."""
+    return x if math.isnan(x) else float(np.rint(min(max(x, low), high) * 10.0**digits)) / 10.0**digits
 
 
 def _slope(samples: list[tuple[int, float]], latest: list[int], now: int, minutes: float) -> float | None:

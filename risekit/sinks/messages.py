@@ -37,10 +37,10 @@ def _json(**cells: Column) -> Column:
 
 
 def reading_messages(readings: DataFrame, device: Column) -> DataFrame:
-    """One message per reading: its state, retained, or that there is no reading."""
+    """One message per reading: its state, retained, or that there is no reading. JSON has no NaN, so what is one is null."""
     state = _json(
-        rise_percent=F.col("rise_percent"),
-        rise_rate=F.col("rise_rate"),
+        rise_percent=F.when(~F.isnan("rise_percent"), F.col("rise_percent")),
+        rise_rate=F.when(~F.isnan("rise_rate"), F.col("rise_rate")),
         predicted_peak_percent=F.col("predicted_peak_percent"),
         peak_eta=iso(F.col("peak_eta")),
         peaked=F.when(F.col("peaked"), "ON").otherwise("OFF"),
@@ -61,7 +61,7 @@ def diagnostics_messages(frames: DataFrame, device: Column) -> DataFrame:
     """
     cells = (
         F.coalesce("method", F.lit("none")),
-        F.bround(F.coalesce("band_contrast", F.lit(0.0)), 0).cast("int"),
+        F.rint(F.coalesce("band_contrast", F.lit(0.0))).cast("int"),
         F.col("band_top"),
         F.col("surface"),
         F.col("dough_top"),

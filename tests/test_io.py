@@ -303,6 +303,12 @@ def test_batches_of_many_days_have_few_folders(spark, tmp_path):
     assert not [f for _, _, names in os.walk(path) for f in names if f.startswith("part-")]
 
 
+def test_a_message_has_no_nan(spark):
+    r = spark.range(1).selectExpr("'ok' status", "double('nan') rise_percent", "double('nan') rise_rate", "double(null) predicted_peak_percent", "timestamp'2024-01-01' ts", "timestamp(null) peak_eta", "false peaked", "false new_session", "timestamp(null) session_start")
+    (m,) = messages.reading_messages(r, F.lit("jar")).collect()
+    assert json.loads(m["payload"])["rise_percent"] is None and json.loads(m["payload"])["rise_rate"] is None
+
+
 def test_capture_tries_again_where_nothing_was_measured(spark, tmp_path):
     from risekit.sources.capture import capture
 
