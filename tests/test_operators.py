@@ -230,3 +230,9 @@ def test_segmented_profiles(spark):
     assert segmented.positions(df.limit(0), ["k"], ["t"]).count() == 0
     with pytest.raises(ValueError):
         segmented.moving_average(placed, ["k"], "v", 9, block=8)
+
+
+def test_hough_deals_votes_lines_and_pixels_once(spark):
+    df = spark.createDataFrame([(f, 7, y) for f in (1, 2) for y in range(12)], "frame_id long, x long, y long")
+    plan = hough.segments(df, 5, 4, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3 and plan.count("Join") == 1 and "SortAggregate" not in plan
