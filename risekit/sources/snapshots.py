@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -88,16 +89,24 @@ class ListedSnapshots(DataSourceStreamReader):
         found = system.get_file_info(fs.FileSelector(path, allow_not_found=True, recursive=True))
         return system, sorted((f for f in found if f.type == fs.FileType.File and f.size and not f.base_name.startswith(("_", "."))), key=lambda f: f.path)
 
-    def _lines(self) -> Iterator[str]:
+    def _lines(self, begin: tuple[str, int] | None = None) -> Iterator[tuple[tuple[str, int], str]]:
+        """Lines with their places (file and byte), from a place on."""
         system, files = self._files()
         for f in files:
-            with system.open_input_stream(f.path) as stream:
+            if begin is not None and f.path < begin[0]:
+                continue
+            at = begin[1] if begin is not None and f.path == begin[0] else 0
+            with system.open_input_file(f.path) as stream:
+                stream.seek(at)
                 left = b""
                 while chunk := stream.read(1 << 16):
                     *whole, left = (left + chunk).split(b"\n")
-                    yield from (x.decode() for x in whole if x.strip())
+                    for x in whole:
+                        if x.strip():
+                            yield (f.path, at), x.decode()
+                        at += len(x) + 1
                 if left.strip():
-                    yield left.decode()
+                    yield (f.path, at), left.decode()
 
     def initialOffset(self) -> dict:
         return {"frames": 0}
@@ -107,11 +116,12 @@ class ListedSnapshots(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         first, last = start["frames"], end["frames"]
-        return [InputPartition((i, min(i + FRAMES_PER_TASK, last))) for i in range(first, last, FRAMES_PER_TASK)]
+        begins = ((i, place) for i, (place, _) in enumerate(islice(self._lines(), last)) if i >= first and (i - first) % FRAMES_PER_TASK == 0)
+        return [InputPartition((i, min(i + FRAMES_PER_TASK, last), place)) for i, place in begins]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        first, last = partition.value
-        for i, url in enumerate(islice(self._lines(), first, last), first):
+        first, last, begin = partition.value
+        for i, (_, url) in enumerate(islice(self._lines(begin), last - first), first):
             yield url, *self.frames.frame(url), i
 
 
@@ -181,6 +191,30 @@ class SnapshotSource(DataSource):
         return ListedSnapshots(self.options) if "list" in self.options else LiveSnapshots(self.options)
 
 
+def write_frames(frames: DataFrame, folder: str) -> DataFrame:
+    """(path) of the files into which tasks put the rows (name, content) of frames, a file each; run it once.
+
+    Files lie in a folder a task, and are called by name, task and row: a task that runs again writes the same ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = fs.FileSystem.from_uri(folder)
+        task, row = TaskContext.get().partitionId(), 0
+        base = f"{path}/{task}"
+        system.create_dir(base)
+        shown = f"file://{base}" if system.type_name == "local" else f"{folder}/{task}"
+        for batch in batches:
+            files = []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                files.append(f"{name}-{row}")
+                with system.open_output_stream(f"{base}/{files[-1]}") as out:
+                    out.write(content.as_buffer())
+                row += 1
+            yield pa.RecordBatch.from_arrays([pa.array([f"{shown}/{f}" for f in files], pa.string())], names=["path"])
+
+    return frames.select("name", "content").mapInArrow(run, "path string")
+
+
 def fetch(url: str, token: str = "", timeout: float = 5.0) -> bytes | None:
     """The body of a GET request, or of a file; None where it can't be had."""
     request = urllib.request.Request(url, headers={"Authorization": f"Bearer {token}"} if token else {})

@@ -351,3 +351,32 @@ def test_scratch_folders_off_one_machine_must_be_shared(spark):
         scratch_path(session("yarn", sql="file:/tmp/warehouse"), "x")
     assert scratch_path(session("yarn", sql="file:/tmp/warehouse", checkpoint="file:/shared"), "x").startswith("file:/shared/x-")
     assert "/rise-app/x-" in scratch_path(session("local[2]"), "x")
+
+
+def test_tasks_read_only_their_own_part_of_the_list(tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshots, "FRAMES_PER_TASK", 3)
+    monkeypatch.setattr(snapshots.SnapshotReader, "frame", lambda self, url: (url.encode(), 1))
+    (tmp_path / "a").write_text("".join(f"u{i}\n\n" for i in range(4)) + "ü4")
+    (tmp_path / "b").write_text("".join(f"u{i}\n" for i in range(5, 10)))
+    source = snapshots.ListedSnapshots({"list": f"file://{tmp_path}"})
+    parts = source.partitions({"frames": 1}, {"frames": 9})
+    seen, lines = [], snapshots.ListedSnapshots._lines
+
+    def watched(self, *begin):
+        for x in lines(self, *begin):
+            seen.append(x)
+            yield x
+
+    monkeypatch.setattr(snapshots.ListedSnapshots, "_lines", watched)
+    got = [r for p in parts for r in source.read(p)]
+    assert [(r[0], r[3]) for r in got] == [(f"{'ü' if i == 4 else 'u'}{i}", i) for i in range(1, 9)]
+    assert len(seen) == 8
+
+
+def test_frames_of_one_id_have_a_file_each(spark, tmp_path):
+    import pandas as pd
+
+    pd.DataFrame({"page_id": [7, 7, -1], "html": ["a", "b", None]}).to_parquet(tmp_path / "pages.parquet")
+    from risekit.queries import snapshot_stream
+
+    assert sorted((r["page_id"], r["bytes"]) for r in snapshot_stream(spark, f"file://{tmp_path}").collect()) == [(-1, 1), (7, 2), (7, 2)]
