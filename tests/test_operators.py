@@ -236,3 +236,20 @@ def test_hough_deals_votes_lines_and_pixels_once(spark):
     df = spark.createDataFrame([(f, 7, y) for f in (1, 2) for y in range(12)], "frame_id long, x long, y long")
     plan = hough.segments(df, 5, 4, 1)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 3 and plan.count("Join") == 1 and "SortAggregate" not in plan
+
+
+def test_edges_of_a_stack_of_tiles_and_of_tiles_cut_by_batches(spark):
+    import numpy as np
+
+    v = np.random.default_rng(5).integers(0, 256, (3, 9, 7))
+    assert (edges.thinned(v) == np.stack([edges.thinned(x) for x in v])).all()
+    df = spark.createDataFrame([(f"f{k}", x, y, int(v[k, y, x])) for k in range(3) for y in range(9) for x in range(7)], "frame_id string, x int, y int, v long")
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, got = spark.conf.get(most), []
+    for n in (before, "5"):
+        spark.conf.set(most, n)
+        try:
+            got.append(sorted(map(tuple, edges.edge_pixels(df, F.lit(140), F.lit(280), tile=5).collect())))
+        finally:
+            spark.conf.set(most, before)
+    assert got[0] == got[1] and got[0] == sorted(map(tuple, edges.edge_pixels(df, F.lit(140), F.lit(280)).collect()))
