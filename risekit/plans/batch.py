@@ -19,6 +19,8 @@ FIELDS = [f.split()[0] for f in READING_FIELDS.split(", ")]
 TIMES = ("peak_eta", "session_start")
 #: Samples of whole series that are fitted together.
 SERIES_SAMPLES = 200_000
+#: Rows that are taken together: fits of many sessions go side by side, and a step of few costs as much.
+TAKEN_ROWS = 100_000
 
 
 def micros(ts: Column) -> Column:
@@ -51,6 +53,18 @@ def _ordered(measurements: DataFrame, keep: list[str], kind: Column | None) -> D
     return _dealt(rows, "__s").sortWithinPartitions("__s", "__us", *keep)
 
 
+def _gathered(frames: Iterator[pd.DataFrame], rows: int = TAKEN_ROWS) -> Iterator[pd.DataFrame]:
+    """The frames, so many in one that it has rows of them or more; the last may have fewer."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        held.append(frame)
+        if sum(map(len, held)) >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _take(frame: pd.DataFrame, states: dict, options: AnalysisOptions) -> pd.DataFrame:
     return reading_frame(frame["__s"].tolist(), frame["__us"].tolist(), frame["__h"].tolist(), frame["__kind"].tolist(), states, options)
 
@@ -61,7 +75,7 @@ def readings(measurements: DataFrame, options: AnalysisOptions, keep: list[str]
     Every row in gives a row out; rejected ones have a status that starts with no_reading, as do
     rows without a time, which come first and leave their series alone. Rows of a series are taken
     in order of ts, then of keep. A partition is sorted and streamed, and holds the state of one
-    session at a time and a batch's rows, so a series of any length takes bounded memory.
+    session at a time and TAKEN_ROWS rows, so a series of any length takes bounded memory.
     """
     keep = ["series_id", "ts"] if keep is None else keep
     rows = _ordered(measurements, keep, kind)
@@ -70,7 +84,7 @@ def readings(measurements: DataFrame, options: AnalysisOptions, keep: list[str]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         states: dict = {}
-        for frame in frames:
+        for frame in _gathered(frames):
             out = _take(frame, states, options)
             if len(frame):
                 last = frame["__s"].iloc[-1]

@@ -154,3 +154,14 @@ def test_slope_after_late_rows():
     assert rs[-1].rise_rate == pytest.approx(np.polyfit(np.array(x) / 60, y, 1)[0], abs=0.05)
     again = State.loads(state.dumps())
     assert again == state and again.latest == state.latest == [T0 + m * MIN for m in (1, 2, 3, 4, 5, 6, 7, 7, 8)]
+
+
+def test_rows_of_small_batches_are_taken_together():
+    import pandas as pd
+
+    from risekit.plans import batch
+
+    frames = [pd.DataFrame({"x": range(i, i + 3)}) for i in range(0, 21, 3)]
+    taken = list(batch._gathered(iter(frames), 6))
+    assert [len(f) for f in taken] == [6, 6, 6, 3] and [x for f in taken for x in f["x"]] == list(range(21))
+    assert list(batch._gathered(iter([]))) == []
