@@ -17,6 +17,7 @@ from risekit.schemas import READING_FIELDS
 
 FIELDS = [f.split()[0] for f in READING_FIELDS.split(", ")]
 TIMES = ("peak_eta", "session_start")
+NUMBERS = ("rise_percent", "rise_rate", "predicted_peak_percent", "smoothed", "rise_raw")
 #: Samples of whole series that are fitted together.
 SERIES_SAMPLES = 200_000
 #: Rows that are taken together: fits of many sessions go side by side, and a step of few costs as much.
@@ -28,17 +29,24 @@ def micros(ts: Column) -> Column:
     return F.coalesce(F.unix_micros(ts.cast("timestamp")), F.lit(NO_TIME))
 
 
-def reading_frame(series: list, times: list[int], heights: list, kinds: list, states: dict, options: AnalysisOptions) -> pd.DataFrame:
-    """Columns of the readings of rows in order; states is by series and is updated."""
+def reading_columns(series: list, times: list[int], heights: list, kinds: list, states: dict, options: AnalysisOptions) -> dict[str, np.ndarray | pd.arrays.FloatingArray]:
+    """Columns of the readings of rows in order, as arrays: for few rows pandas' own conversions cost more than the fold; states is by series and is updated."""
     rows = [(s, t, None if h is None or h != h else h, k) for s, t, h, k in zip(series, times, heights, kinds)]
     readings = take_rows(rows, states, options)
-    frame = pd.DataFrame({f: pd.Series([getattr(r, f) for r in readings], dtype="object" if f not in TIMES else None) for f in FIELDS})
-    for f in TIMES:
-        frame[f] = pd.to_datetime(pd.Series([getattr(r, f) for r in readings], dtype="Int64"), unit="us")
-    for f in ("rise_percent", "rise_rate", "predicted_peak_percent", "smoothed", "rise_raw"):
-        values = np.array([math.nan if (x := getattr(r, f)) is None else x for r in readings], np.float64)
-        frame[f] = pd.arrays.FloatingArray(values, np.array([getattr(r, f) is None for r in readings], bool))  # a NaN stays apart from a null
-    return frame
+    columns = {}
+    for f in FIELDS:
+        cells = [getattr(r, f) for r in readings]
+        if f in TIMES:
+            columns[f] = np.array([NO_TIME if x is None else x for x in cells], np.int64).view("datetime64[us]")  # NO_TIME is NaT
+        elif f in NUMBERS:
+            columns[f] = pd.arrays.FloatingArray(np.array([math.nan if x is None else x for x in cells], np.float64), np.array([x is None for x in cells], bool))  # a NaN stays apart from a null
+        else:
+            columns[f] = np.array(cells, object)
+    return columns
+
+
+def reading_frame(series: list, times: list[int], heights: list, kinds: list, states: dict, options: AnalysisOptions) -> pd.DataFrame:
+    return pd.DataFrame(reading_columns(series, times, heights, kinds, states, options))
 
 
 def _dealt(rows: DataFrame, series: str) -> DataFrame:

@@ -165,3 +165,12 @@ def test_rows_of_small_batches_are_taken_together():
     taken = list(batch._gathered(iter(frames), 6))
     assert [len(f) for f in taken] == [6, 6, 6, 3] and [x for f in taken for x in f["x"]] == list(range(21))
     assert list(batch._gathered(iter([]))) == []
+
+
+def test_columns_of_readings_keep_nulls_apart():
+    from risekit.plans import batch
+
+    out = batch.reading_columns([1] * 3, [T0, T0 + 5 * MIN, T0 + 6 * MIN], [0.0, 0.0, None], [None] * 3, {}, B)
+    assert out["session_start"].dtype == np.dtype("datetime64[us]") and out["session_start"].view(np.int64).tolist()[:2] == [T0, T0] and np.isnat(out["session_start"][2])
+    assert out["rise_raw"][0] == 0 and math.isnan(out["rise_raw"].to_numpy(np.float64, na_value=-1.0)[1]) and out["rise_raw"].isna().tolist() == [False, False, True]
+    assert out["status"].tolist()[2] == "no_reading:measurement"
