@@ -449,7 +449,7 @@ def candidate_pairs(met: DataFrame, long: DataFrame, schemes: Schemes) -> DataFr
 
 
 def long_run_members(met: DataFrame, long: DataFrame, schemes: Schemes) -> DataFrame:
-    """(key, sid, n) of the sets that must compare within long runs: those with more long segments than spare ones.
+    """(key, sid, n, members) of the sets that must compare within long runs: those with more long segments than spare ones; members: how many such sets the run has.
 
     In subset schemes such a set leaves out as many of its most frequent signatures as its scheme
     has spare segments: a linked pair shares more than that, so its rarest common one is kept.
@@ -460,7 +460,7 @@ def long_run_members(met: DataFrame, long: DataFrame, schemes: Schemes) -> DataF
     times = rows.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
     order = Window.partitionBy("sid", "band").orderBy(F.col("times").desc(), "key")
     ranked = rows.join(times, "key").withColumn("i", F.row_number().over(order))
-    return ranked.where(deletion | (F.col("i") > _spare(schemes))).select("key", "sid", "n")
+    return ranked.where(deletion | (F.col("i") > _spare(schemes))).select("key", "sid", "n", F.col("times").alias("members"))
 
 
 def member_grams(members: DataFrame, texts: DataFrame, n: int, long_run: int = LONG_RUN) -> DataFrame:
@@ -490,7 +490,7 @@ def member_grams(members: DataFrame, texts: DataFrame, n: int, long_run: int = L
         ]
         return pa.table({c: pa.array(np.concatenate(x)) for c, x in zip(("kind", "key", "sid", "meta"), zip(*cells))})
 
-    rows = texts.join(home_blocks(members, members.select("key", "sid"), "jaccard-gram-blocks"), "sid").select("block", "sid", "text")
+    rows = texts.join(home_blocks(members, members.select("key", "sid", "members"), "jaccard-gram-blocks"), "sid").select("block", "sid", "text")
     return rows.groupBy("block").applyInArrow(run, "kind int, key long, sid long, meta long")
 
 
@@ -515,24 +515,24 @@ def rare_pairs(met: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
 
 
 def core_members(members: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """(key, sid, n, common, small): members of long runs that their common n-grams alone may link to another.
+    """(key, sid, n, common, pivot): members of long runs that their common n-grams alone may link to another.
 
     Of two sets that common n-grams alone link, either has percent of its n-grams among them, and
-    the smaller one (small) so many as a pair of its size needs. Runs without a small one go.
+    the smaller one (small) so many as a pair of its size needs. Runs without a small one go; pivot
+    is the small one of the run that has the fewest n-grams of its own.
     """
     core = parts.where(100 * F.col("common") >= percent * F.col("n")).withColumn("small", F.col("common") >= _needed(percent, F.col("n"), F.col("n")))
     rows = written(members.select("key", "sid").join(core, "sid"), "jaccard-core")
-    keys = rows.groupBy("key").agg(F.max("small").alias("small"), F.count("*").alias("members")).where("small AND members > 1")
-    return _salted_join(rows, "key", keys.select("key"), rows.count(), how="inner").select("key", "sid", "n", "common", "small")
+    share = F.when(F.col("small"), F.struct((F.col("common") / F.col("n")).alias("share"), (-F.col("sid")).alias("first")))
+    keys = rows.groupBy("key").agg(F.max_by(F.struct("sid", "n", "common"), share).alias("pivot"), F.count("*").alias("members"), F.max("small").alias("some")).where("some AND members > 1")
+    return _salted_join(rows, "key", keys.select("key", "pivot"), rows.count(), how="inner").select("key", "sid", "n", "common", "pivot")
 
 
 def pivot_pairs(core: DataFrame, percent: int) -> DataFrame:
     """(a, b): each member with the member of its run that has the fewest n-grams of its own, where common ones may link them."""
-    share = F.struct((F.col("common") / F.col("n")).alias("share"), (-F.col("sid")).alias("first"))
-    pivot = core.where("small").groupBy("key").agg(F.max_by(F.struct("sid", "n", "common"), share).alias("p"))
-    met = _salted_join(core, "key", pivot, core.count(), how="inner").where(F.col("sid") != F.col("p.sid"))
-    close = met.where(F.least("common", "p.common") >= _needed(percent, F.col("n"), F.col("p.n")))
-    return close.select(F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b")).distinct()
+    met = core.where(F.col("sid") != F.col("pivot.sid"))
+    close = met.where(F.least("common", "pivot.common") >= _needed(percent, F.col("n"), F.col("pivot.n")))
+    return close.select(F.least("sid", "pivot.sid").alias("a"), F.greatest("sid", "pivot.sid").alias("b")).distinct()
 
 
 def stragglers(core: DataFrame, component: DataFrame) -> DataFrame:
@@ -541,18 +541,21 @@ def stragglers(core: DataFrame, component: DataFrame) -> DataFrame:
     rows = written(core.select("key", "sid").join(own, "sid", "left").select("key", "sid", F.coalesce("component", "sid").alias("component")), "jaccard-runs")
     per = rows.groupBy("key", "component").agg(F.count("*").alias("rows"))
     main = per.groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.count("*").alias("pieces")).where("pieces > 1")
-    return _salted_join(rows, "key", main.select("key", "main"), rows.count(), how="inner").where("component <> main").select("key", "sid")
+    # pieces meet first, so that only what lies outside is joined
+    outside = per.join(main, "key").where("component <> main").select(F.struct("key", "component").alias("key"))
+    return _salted_join(rows.withColumn("piece", F.struct("key", "component")), "piece", outside, rows.count(), how="inner").select("key", "sid")
 
 
 def homes(core: DataFrame, some: DataFrame) -> DataFrame:
-    """(sid, home) of the sets of some (key, sid): a key that the sets of one neighbourhood agree upon.
+    """(sid, home) of the sets of some (key, sid, and members if that is known): a key that the sets of one neighbourhood agree upon.
 
     Each set names the longest of its runs, each run the longest that its sets name, and each set
     the longest that its runs name.
     """
     total = some.count()
-    size = core.groupBy("key").agg(F.count("*").alias("members"))
-    own = _salted_join(some, "key", size, total, how="inner").withColumn("run", F.struct("members", "key"))
+    if "members" not in some.columns:
+        some = written(_salted_join(some, "key", core.groupBy("key").agg(F.count("*").alias("members")), total, how="inner"), "jaccard-sized")
+    own = some.withColumn("run", F.struct("members", "key"))
     named = written(own.groupBy("sid").agg(F.max("run").alias("run")), "jaccard-named")
     label = some.join(named, "sid").groupBy("key").agg(F.max("run").alias("run"))
     return _salted_join(some, "key", label, total, how="inner").groupBy("sid").agg(F.max("run")["key"].alias("home"))

@@ -251,3 +251,16 @@ def test_links_are_counted(documents, long_run, monkeypatch):
 def test_no_documents(documents):
     assert jaccard.near_duplicates(documents([])).count() == 0
     assert jaccard.near_duplicates(documents([(1, None), (2, "")])).count() == 2
+
+
+def test_runs_name_their_pivot_and_what_lies_outside(spark):
+    """One join gives a run's members their pivot; of the pieces of a run only the smaller ones are joined."""
+    members = spark.createDataFrame([(1, s, 20, 4) for s in (10, 11, 12, 13)] + [(2, 10, 20, 2), (2, 14, 20, 2)], "key long, sid long, n long, members long")
+    parts = spark.createDataFrame([(10, 20, 17), (11, 20, 20), (12, 20, 20), (13, 20, 19), (14, 20, 3)], "sid long, n long, common long")
+    core = jaccard.core_members(members, parts, 80)
+    assert {(r["key"], r["sid"], r["pivot"]["sid"]) for r in core.collect()} == {(1, s, 11) for s in (10, 11, 12, 13)}
+    assert {tuple(r) for r in jaccard.pivot_pairs(core, 80).collect()} == {(11, 12), (11, 13)}
+    component = spark.createDataFrame([(11, 11), (12, 11), (10, 10), (13, 13)], "node long, component long")
+    assert {tuple(r) for r in jaccard.stragglers(core, component).collect()} == {(1, 10), (1, 13)}
+    sized = {tuple(r) for r in jaccard.homes(core, members.select("key", "sid", "members")).collect()}
+    assert sized == {(s, 1) for s in (10, 11, 12, 13, 14)}
