@@ -241,10 +241,11 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_spans(docs: DataFrame, phrases: Phrases, text_col: str = "text", keep: list[str] | None = None, before: bool = False, kind: T.DataType = T.LongType()) -> DataFrame:
+def find_spans(docs: DataFrame, phrases: Phrases, text_col: str = "text", keep: list[str] | None = None, before: bool = False, kind: T.DataType = T.LongType(), cut: bool = False) -> DataFrame:
     """docs with n_words, spans (word start and end, merged) and items (ids of that kind), in place of columns of these names.
 
-    before: docs is the result of another pass, whose spans and items are added to.
+    before: docs is the result of another pass, whose spans and items are added to. cut: texts come
+    without their spans, as cut_spans has them.
     """
     shared = docs.sparkSession.sparkContext.broadcast(phrases)  # BLOCK_BYTES of text at most
     added = ["n_words", "spans", "items"]
@@ -291,12 +292,16 @@ def find_spans(docs: DataFrame, phrases: Phrases, text_col: str = "text", keep:
                 pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _ARROW_SPANS),
                 pa.array(items, items_type),
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *cells], names=[*kept, *added])
+            columns = batch.columns[: len(kept)]
+            if cut and at < len(kept) and any(spans):
+                texts = [without_spans(t, [{"start": a, "end": b} for a, b in s]) for t, s in zip(columns[at].to_pylist(), spans)]
+                columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays([*columns, *cells], names=[*kept, *added])
 
     return small_batches(source).mapInArrow(run, schema)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, cut: bool = False) -> DataFrame:
     """docs (or their columns in keep) with n_words, spans and items.
 
     Windows are WINDOW consecutive words of an item, or all its words where it has fewer; items
@@ -304,7 +309,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     ids of items with an occurring window (a null id isn't listed, its windows count). Item ids are of
     any one type; repeated items count once. The benchmark is searched in blocks of bounded size, one pass over the documents each. A null text
     has no words; repeated rows get equal results; nothing is shuffled or dropped. Columns of docs
-    named n_words, spans or items are replaced, all others come through.
+    named n_words, spans or items are replaced, all others come through. cut: the last pass cuts the
+    spans (of the texts as they were) out, as cut_spans does, without another Python worker for it.
     """
     given = benchmark.select("item_id", "text").where("text IS NOT NULL").distinct()  # repeated rows would share a block
     total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -314,7 +320,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     for b in range(blocks):
         rows = given.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         last = b == blocks - 1
-        out = find_spans(out, Phrases([(r["item_id"], r["text"]) for r in rows]), text_col, keep if last else None, before=b > 0, kind=kind)
+        out = find_spans(out, Phrases([(r["item_id"], r["text"]) for r in rows]), text_col, keep if last else None, before=b > 0, kind=kind, cut=cut and last)
     return out
 
 

@@ -132,3 +132,20 @@ def test_repeated_items_and_ids_of_any_type(spark, documents, monkeypatch):
     assert sum(seen) == 3
     assert got[1]["items"] == ["a", "b"] and got[2]["items"] == ["a"] and got[3]["items"] == []
     assert [tuple(s) for s in got[1]["spans"]] == [(1, 13)]
+
+
+@pytest.mark.parametrize("block", [1 << 24, 12])
+def test_the_search_cuts_spans_as_cut_spans_does(spark, documents, monkeypatch, block):
+    monkeypatch.setattr(d, "BLOCK_BYTES", block)  # in one pass and in several
+    bench = spark.createDataFrame([(1, "Alpha beta, gamma!"), (2, "gamma delta")], "item_id long, text string")
+    df = documents([(1, "é Keep (alpha Beta gamma delta) rest."), (2, "nothing here"), (3, None), (4, "alpha beta gamma"), (5, "x gamma delta y alpha beta gamma z")])
+    once = d.contaminated(df, bench, cut=True)
+    assert sorted(map(str, once.collect())) == sorted(map(str, d.cut_spans(d.contaminated(df, bench)).collect()))
+    assert {r["doc_id"]: r["text"] for r in once.collect()}[5] == "x  y  z"
+
+
+def test_the_pipelines_stage_takes_one_python_worker_a_task(spark, documents):
+    import corpus_pipeline
+
+    plan = corpus_pipeline.decontamination_stage(spark, documents([(1, "a b")]), "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
