@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -515,17 +515,17 @@ def rare_pairs(met: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
 
 
 def core_members(members: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """(key, sid, n, common, pivot): members of long runs that their common n-grams alone may link to another.
+    """(key, sid, n, common, pivot, members): members of long runs that their common n-grams alone may link to another.
 
     Of two sets that common n-grams alone link, either has percent of its n-grams among them, and
     the smaller one (small) so many as a pair of its size needs. Runs without a small one go; pivot
-    is the small one of the run that has the fewest n-grams of its own.
+    is the small one of the run that has the fewest n-grams of its own, members how many such members it has.
     """
     core = parts.where(100 * F.col("common") >= percent * F.col("n")).withColumn("small", F.col("common") >= _needed(percent, F.col("n"), F.col("n")))
     rows = written(members.select("key", "sid").join(core, "sid"), "jaccard-core")
     share = F.when(F.col("small"), F.struct((F.col("common") / F.col("n")).alias("share"), (-F.col("sid")).alias("first")))
     keys = rows.groupBy("key").agg(F.max_by(F.struct("sid", "n", "common"), share).alias("pivot"), F.count("*").alias("members"), F.max("small").alias("some")).where("some AND members > 1")
-    return _salted_join(rows, "key", keys.select("key", "pivot"), rows.count(), how="inner").select("key", "sid", "n", "common", "pivot")
+    return _salted_join(rows, "key", keys.select("key", "pivot", "members"), rows.count(), how="inner").select("key", "sid", "n", "common", "pivot", "members")
 
 
 def pivot_pairs(core: DataFrame, percent: int) -> DataFrame:
@@ -535,30 +535,30 @@ def pivot_pairs(core: DataFrame, percent: int) -> DataFrame:
     return close.select(F.least("sid", "pivot.sid").alias("a"), F.greatest("sid", "pivot.sid").alias("b")).distinct()
 
 
-def stragglers(core: DataFrame, component: DataFrame) -> DataFrame:
-    """(key, sid): members outside of the largest component of their run."""
+def stragglers(core: DataFrame, component: DataFrame, keep: Sequence[str] = ("key", "sid")) -> DataFrame:
+    """The columns keep of core, key and sid among them: members outside of the largest component of their run."""
     own = component.select(F.col("node").alias("sid"), "component")
-    rows = written(core.select("key", "sid").join(own, "sid", "left").select("key", "sid", F.coalesce("component", "sid").alias("component")), "jaccard-runs")
+    rows = written(core.select(*keep).join(own, "sid", "left").select(*keep, F.coalesce("component", "sid").alias("component")), "jaccard-runs")
     per = rows.groupBy("key", "component").agg(F.count("*").alias("rows"))
     main = per.groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.count("*").alias("pieces")).where("pieces > 1")
     # pieces meet first, so that only what lies outside is joined
     outside = per.join(main, "key").where("component <> main").select(F.struct("key", "component").alias("key"))
-    return _salted_join(rows.withColumn("piece", F.struct("key", "component")), "piece", outside, rows.count(), how="inner").select("key", "sid")
+    return _salted_join(rows.withColumn("piece", F.struct("key", "component")), "piece", outside, rows.count(), how="inner").select(*keep)
 
 
 def homes(core: DataFrame, some: DataFrame) -> DataFrame:
     """(sid, home) of the sets of some (key, sid, and members if that is known): a key that the sets of one neighbourhood agree upon.
 
     Each set names the longest of its runs, each run the longest that its sets name, and each set
-    the longest that its runs name.
+    takes the one that the run which it has named names. So a set, however many runs it is in, is
+    joined once.
     """
-    total = some.count()
     if "members" not in some.columns:
-        some = written(_salted_join(some, "key", core.groupBy("key").agg(F.count("*").alias("members")), total, how="inner"), "jaccard-sized")
+        some = written(_salted_join(some, "key", core.groupBy("key").agg(F.count("*").alias("members")), some.count(), how="inner"), "jaccard-sized")
     own = some.withColumn("run", F.struct("members", "key"))
     named = written(own.groupBy("sid").agg(F.max("run").alias("run")), "jaccard-named")
-    label = some.join(named, "sid").groupBy("key").agg(F.max("run").alias("run"))
-    return _salted_join(some, "key", label, total, how="inner").groupBy("sid").agg(F.max("run")["key"].alias("home"))
+    label = some.join(named, "sid").groupBy("key").agg(F.max("run")["key"].alias("home"))
+    return _salted_join(named.select("sid", F.col("run.key").alias("named")), "named", label, named.count(), how="inner").select("sid", "home")
 
 
 def home_blocks(core: DataFrame, some: DataFrame, name: str) -> DataFrame:
@@ -621,7 +621,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets, pairs, core, texts = met_sets(docs, id_col, text_col, n, percent)
     copies = written(sets.where("sid IS NOT NULL").groupBy("sid").agg(F.count("*").alias("copies")), "jaccard-copies")
     verified = written(verify(pairs, texts, n, percent), "jaccard-links")
-    dealt = written(dealt_blocks(core, core.select("key", "sid")), "jaccard-dealt")
+    dealt = written(dealt_blocks(core, core.select("key", "sid", "members")), "jaccard-dealt")
     blocks = written(block_links(dealt, texts, copies, n, percent), "jaccard-block-links")
     component = connected_components(verified.union(blocks.where("kind = 0").select("a", "b")))
     # a pair counts once each way: in the block of the one where the other is sent there, else from the verified pairs
@@ -670,7 +670,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     if not open_pairs.isEmpty():
         links = links.union(written(verify(open_pairs, texts, n, percent), "jaccard-more"))
         component = written(connected_components(links), "jaccard-components")
-    left = written(stragglers(core, component), "jaccard-stragglers")
+    left = written(stragglers(core, component, ["key", "sid", "members"]), "jaccard-stragglers")
     if not left.isEmpty():
         none = sets.where("sid IS NOT NULL").select("sid").distinct().withColumn("copies", F.lit(1).cast("long"))
         blocks = block_links(dealt_blocks(core, left), texts, none, n, percent).where("kind = 0").select("a", "b")

@@ -264,3 +264,23 @@ def test_runs_name_their_pivot_and_what_lies_outside(spark):
     assert {tuple(r) for r in jaccard.stragglers(core, component).collect()} == {(1, 10), (1, 13)}
     sized = {tuple(r) for r in jaccard.homes(core, members.select("key", "sid", "members")).collect()}
     assert sized == {(s, 1) for s in (10, 11, 12, 13, 14)}
+
+
+def test_a_set_of_many_runs_is_joined_once_with_its_home(spark, monkeypatch):
+    """What homes() and core_members() join, beyond the members themselves, is a row for each set, not for each of its runs."""
+    rows = [(k, s, 20, 40) for k in range(1, 31) for s in range(40)] + [(99, s, 20, 3) for s in (0, 50, 51)]
+    members = spark.createDataFrame(rows, "key long, sid long, n long, members long")
+    joined = []
+    plain = jaccard._salted_join
+    monkeypatch.setattr(jaccard, "_salted_join", lambda left, *rest, **named: joined.append(left.count()) or plain(left, *rest, **named))
+    assert {tuple(r) for r in jaccard.homes(members, members.select("key", "sid", "members")).collect()} == {(s, 30) for s in (*range(40), 50, 51)}
+    assert joined == [42]
+    joined.clear()
+    parts = spark.createDataFrame([(s, 20, 20) for s in (*range(40), 50, 51)], "sid long, n long, common long")
+    core = jaccard.core_members(members, parts, 85)
+    none = spark.createDataFrame([], "node long, component long")
+    left = jaccard.stragglers(core, none, ["key", "sid", "members"])
+    assert {(r["key"], r["members"]) for r in left.collect()} == {*((k, 40) for k in range(1, 31)), (99, 3)}
+    joined.clear()
+    jaccard.home_blocks(core, left, "test-homes")
+    assert max(joined) == 40  # one set of each run is its largest component
